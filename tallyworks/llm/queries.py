@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing
+from . import linededup, mixing, simhash
 from .common import read
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines its source repeats: doc_id, n_lines, n_dropped, text."""
     out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
@@ -54,5 +59,5 @@ SELECT d.doc_id, d.size, x.source_size, x.target, CAST(d.size * (x.rounds + x.mo
 FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
 """
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources}
+QUERIES = {"op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources}
 ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6}
