@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, simhash
+from . import linededup, mixing, packing, simhash
 from .common import read
 
 
@@ -59,5 +59,15 @@ SELECT d.doc_id, d.size, x.source_size, x.target, CAST(d.size * (x.rounds + x.mo
 FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack}
 ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6}
