@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, simhash
+from . import linededup, mixing, packing, simhash, toxicity
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines its source repeats: doc_id, n_lines, n_dropped, text."""
     out = linededup.dedup_lines(read(spark, sf_dir, "documents"))
@@ -69,5 +73,5 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack}
+QUERIES = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack}
 ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6}
