@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, simhash, toxicity
+from . import htmltext, linededup, mixing, packing, simhash, toxicity
 from .common import read
 
 
@@ -73,5 +73,9 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op9_html_text": op9_html_text}
 ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6}
