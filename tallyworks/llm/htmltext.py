@@ -77,6 +77,14 @@ LABELLED = """
 6 0 1 1 9 0 0 0 1 0 0
 25 0 2 1 10 0 0 0 1 0 0
 80 0 30 0 60 0 0 0 1 0 0
+17 0 6 0 8 0 0 0 1 0 0
+60 0 4 1 70 0 0 0 1 0 0
+40 0 100 0 0 0 0 0 1 0 0
+21 .1 5 0 9 0 0 0 1 0 0
+130 0 44 0 51 0 0 0 1 0 0
+90 .05 12 0 140 0 0 0 1 0 0
+75 0 120 0 40 0 0 1 0 0 0
+150 .02 60 0 20 0 0 1 0 0 0
 4 1 12 0 50 0 0 0 1 0 0
 35 0 140 0 28 0 0 0 1 0 0
 9 0 1 1 7 0 0 0 1 1 0
