@@ -108,6 +108,18 @@ LABELLED = """
 10 0 4 0 88 0 0 0 0 1 1
 5 0 75 0 82 0 0 0 0 1 1
 20 0 3 0 30 0 0 0 0 0 1
+48 0 1 1 50 0 0 0 0 0 1
+50 0 50 0 1 1 0 0 0 0 1
+90 0 55 0 60 0 0 0 0 0 1
+200 .03 90 0 110 0 0 0 0 0 1
+61 0 18 0 14 0 0 0 0 0 1
+33 0 80 0 75 0 0 0 0 0 1
+42 .1 1 1 2 1 0 0 0 0 1
+77 0 0 0 0 0 0 0 0 0 1
+28 0 64 0 0 0 0 0 0 0 1
+115 0 7 0 3 0 0 0 0 0 1
+58 .15 66 0 41 0 0 0 0 0 1
+36 0 29 0 95 0 0 0 0 0 1
 2 1 2 1 2 1 0 0 0 0 0
 1 1 3 1 50 0 0 0 0 0 0
 4 .9 70 0 3 1 0 0 0 0 0
