@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, mixing, packing, simhash, toxicity
+from . import htmltext, linededup, mixing, ngramlm, packing, simhash, toxicity
 from .common import read
 
 
@@ -77,5 +77,29 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op9_html_text": op9_html_text}
-ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngramlm.score(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT r, i, w, lag(w, 1) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u FROM t),
+c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
+s AS (SELECT g.r, CAST(a.n AS DOUBLE) / (SELECT count(*) FROM g) AS s1,
+    CASE WHEN g.v IS NULL THEN NULL WHEN b.n >= 2 THEN CAST(b.n AS DOUBLE) / p.n END AS s2, g.v IS NOT NULL AS has2,
+    CASE WHEN g.u IS NULL THEN NULL WHEN c.n >= 2 THEN CAST(c.n AS DOUBLE) / q.n END AS s3, g.u IS NOT NULL AS has3
+  FROM g JOIN c1 a ON g.w = a.w LEFT JOIN c1 p ON g.v = p.w LEFT JOIN c2 b ON g.v = b.v AND g.w = b.w
+  LEFT JOIN c2 q ON g.u = q.v AND g.v = q.w LEFT JOIN c3 c ON g.u = c.u AND g.v = c.v AND g.w = c.w),
+l AS (SELECT r, ln(coalesce(s3, CASE WHEN has3 THEN 0.4::DOUBLE ELSE 1 END * coalesce(s2, CASE WHEN has2 THEN 0.4::DOUBLE ELSE 1 END * s1))) AS x FROM s),
+z AS (SELECT r, count(*) AS n, sum(x) AS x FROM l GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(x, 0), 6) AS log_score, round(x / n, 6) AS mean_log_score
+FROM d LEFT JOIN z ON d.r = z.r
+"""
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score}
+ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op10_lm_score": OP10}
