@@ -179,7 +179,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 5_000, min_contexts: int = 5) -> Model:
-    train = cut(labelled(docs, labels, max_labelled).repartition(F.xxhash64("text")))
+    train = cut(labelled(docs, labels, max_labelled).distinct())
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Model()
@@ -190,20 +190,22 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_te
                 w = TOKEN.findall((text or "").lower())
                 ring = ["", *w, ""]
                 c = [xxhash.xxh32_intdigest(f"{x} {z}") for x, z in zip(ring, ring[2:], strict=False)]
-                yield pd.DataFrame({"word": w, "context": c, "toxic": toxic}).drop_duplicates()
+                yield pd.DataFrame({"word": w, "context": c, "toxic": toxic, "doc": xxhash.xxh32_intdigest(text or "")}).drop_duplicates()
 
-    seen = train.mapInPandas(contexts, "word string, context long, toxic int").distinct()
-    words = cut(seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
+    # a context counts once, for one document that has it, and a word mostly met in the same contexts is that of near copies
+    seen = train.mapInPandas(contexts, "word string, context long, toxic int, doc long").groupBy("word", "context", "toxic").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
+    words = cut(seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc"))).alias("d"), F.sum(F.col("toxic") * F.col("n")).alias("n")))
     fit = lambda share: (F.col("t") >= min_contexts) & (F.col("t") >= share * (F.col("t") + F.col("c")))
     stems = (words.withColumn("stem", F.explode(F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda n: n < F.length("word")), lambda n: F.substr("word", F.lit(1), n))))
              .groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("n"))
-             .filter(fit(0.995) & (F.col("t") >= 2 * min_contexts) & (F.col("n") >= 4)))
+             .filter(fit(0.995) & (F.col("t") > min_contexts) & (F.col("n") >= 3)))
     top = lambda df, c: [r[c] for r in df.orderBy(F.desc("t"), c).limit(max_terms).select(c).collect()]
+    found = {r["stem"]: r["t"] for r in stems.orderBy(F.desc("t"), "stem").limit(max_terms).select("stem", "t").collect()}
     chosen: list[str] = []
-    for s in sorted(top(stems, "stem"), key=len):
-        if not any(s.startswith(x) for x in chosen):
-            chosen.append(s)
-    terms = [w for w in top(words.filter(fit(0.95)), "word") if not any(w.startswith(x) for x in chosen)]
+    for s in sorted(found, key=lambda x: (len(x), x)):
+        if not any(s.startswith(x) for x in chosen):  # as long as it may be without losing words
+            chosen.append(max((x for x in found if x.startswith(s) and found[x] >= 0.98 * found[s]), key=lambda x: (len(x), x)))
+    terms = [w for w in top(words.filter(fit(0.95) & (F.col("d") >= 3) & (2 * F.col("t") > F.col("n"))), "word") if not any(w.startswith(x) for x in chosen)]
     model = Model(terms, chosen)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
