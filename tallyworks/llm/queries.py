@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, mixing, ngramlm, packing, simhash, toxicity
+from . import htmltext, linededup, mixing, ngramlm, packing, simhash, suffixdedup, toxicity
 from .common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -101,5 +105,5 @@ FROM d LEFT JOIN z ON d.r = z.r
 """
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score}
 ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op10_lm_score": OP10}
