@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, mixing, ngramlm, packing, simhash, suffixdedup, toxicity
+from . import collisions, htmltext, linededup, mixing, ngramlm, packing, pqdedup, simhash, suffixdedup, toxicity
 from .common import read
 
 
@@ -43,6 +43,10 @@ FROM (SELECT d.*, b.bad, CASE WHEN b.bad IS NULL THEN lines ELSE list_filter(lin
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pqdedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -77,6 +81,10 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
@@ -105,5 +113,5 @@ FROM d LEFT JOIN z ON d.r = z.r
 """
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op5_embedding_dedup": op5_embedding_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op8_nearest": op8_nearest, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score}
 ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op10_lm_score": OP10}
