@@ -95,13 +95,14 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
         cache = WordHash()
         words, sizes = word_hashes(own, cache)
         by_order = ngram_keys(words, sizes, order)
-        keys = np.unique(np.concatenate(by_order))
-        keys = keys[keys != 0]
+        keys, where = np.unique(np.concatenate(by_order), return_inverse=True)
+        none = int(len(keys) > 0 and keys[0] == 0)  # key 0: no n-gram of that order ends here
+        keys = keys[none:]
         t = totals.sort_values("bucket")
         if int(t["n"].sum()) != len(keys) or (len(keys) and int(np.bitwise_xor.reduce(t["check"].to_numpy())) != int(np.bitwise_xor.reduce(keys))):
             raise RuntimeError("a part's documents changed between two reads")
         count = np.concatenate([unsqueeze(b, "<u8", n) for b, n in zip(t["totals"], t["n"], strict=True)] or [np.empty(0, "<u8")]).astype(float)
-        found = [np.where(k > 0, count[np.searchsorted(keys, k).clip(0, max(0, len(keys) - 1))] if len(keys) else 0.0, 0.0) for k in by_order]
+        found = np.split(np.r_[np.zeros(none), count][where], order)
         n_words = float(rows_total)
         s = found[0] / n_words if n_words else found[0]
         for n in range(2, order + 1):
