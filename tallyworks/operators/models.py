@@ -128,6 +128,8 @@ def logistic(df: DataFrame, xs: list[str], y: str, rounds: int = 50, tolerance:
             step = np.linalg.solve(h, np.array([a[f"g{i}"] for i in range(k)]))
         except np.linalg.LinAlgError:
             return None
+        if a["ll"] > -1e-6 * s["n"]:  # the classes are separated: no finite estimate
+            return None
         if last is not None and abs(a["ll"] - last) <= tolerance * (abs(last) + 1):
             inv = np.linalg.inv(h)
             to = np.eye(k)
