@@ -5,7 +5,7 @@ document of that host if the host has at least min_pages documents and more than
 min_hits) hold it. Each document counts a line once, so the first shuffle carries partial counts by (host,
 line). Since the ratios of a host's lines sum to its mean lines per document, a host has at most that mean
 over ratio such lines, so they are gathered into one bounded array per host. The arrays are broadcast if
-their total is small; else the documents meet them by (host, salt), so that a hot host is spread over tasks.
+they hold at most broadcast_lines lines in all; else the documents meet them by (host, salt), so that a hot host is spread over tasks.
 
 Nulls: a null host is no site, its documents stay as they are; a null text stays null with 0 lines. A document
 that loses all lines has an empty text. Repeated rows count as documents of their own.
@@ -36,12 +36,12 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return often.groupBy("site").agg(F.first("n_pages").alias("n_pages"), F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 20, min_hits: int = 5, salts: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 20, min_hits: int = 5, salts: int = 64, broadcast_lines: int = 50_000) -> DataFrame:
     """docs with the text cleaned, and the columns n_lines and n_dropped behind its own, in a struct with the row: row, clean, n_lines, n_dropped."""
     bad = cut(boilerplate(docs, host, text, ratio, min_pages, min_hits).select(F.col("site").alias("bad_site"), F.col("lines").alias("bad")))
     rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("site"), F.col(text).alias("body"))
     total = bad.agg(F.sum(F.size("bad") + 1).alias("n")).first()["n"] or 0
-    if total <= 50_000:
+    if total <= broadcast_lines:
         out = rows.join(F.broadcast(bad), F.col("site") == F.col("bad_site"), "left")
     else:
         spread = bad.select("bad_site", "bad", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("bad_salt"))
