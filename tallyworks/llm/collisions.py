@@ -32,36 +32,39 @@ def _inside(width: float, distance: float) -> float:
 
 
 class Block:
+    """Projections of a block's vectors as one flat array, sorted within each projection, projections side by side."""
+
     def __init__(self, ids: np.ndarray, x: np.ndarray, projections: int, seed: int):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.a = np.random.default_rng(seed).standard_normal((x.shape[1], projections))
-        p = self.x @ self.a
-        self.order = np.argsort(p, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(p, self.order, 0)
+        p = np.ascontiguousarray((self.x @ self.a).T)
+        self.order = np.argsort(p, axis=1, kind="stable")
+        self.low = float(p.min())
+        self.span = 4 * (float(p.max()) - self.low) + 1
+        self.flat = (np.take_along_axis(p, self.order, 1) - self.low + np.arange(projections)[:, None] * self.span).ravel()
+        self.order = self.order.ravel()
 
     def search(self, query_id: int, q: np.ndarray, k: int, share: float, doubt: float, step: float) -> tuple[np.ndarray, np.ndarray]:
-        n, m = self.sorted.shape
+        n, m = len(self.ids), self.a.shape[1]
         need = math.ceil(share * m)
-        at = q @ self.a
-        lo = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(m)])
+        first = np.arange(m) * n
+        at = np.clip(q @ self.a - self.low, -self.span / 4, self.span / 2) + np.arange(m) * self.span
+        lo = np.clip(np.searchsorted(self.flat, at), first, first + n)
         hi = lo.copy()
         count = np.zeros(n, np.int64)
         done = self.ids == query_id
         want = min(k, int((~done).sum()))
         found, far = np.empty(0, np.int64), np.empty(0)
-        gap = np.abs(self.sorted - at)
-        width = max(1e-9, float(np.partition(gap.min(0), m // 2)[m // 2]))  # until half of the windows hold a vector
+        # to begin with, windows of a sixteenth of the vectors: far fewer than share of them hold any but near ones
+        reach = max(1, n // 32)
+        left, right = np.clip(lo - reach, first, first + n - 1), np.clip(lo + reach, first, first + n - 1)
+        width = max(1e-9, float(np.median(self.flat[right] - self.flat[left])) / 2)
         while want:
-            new = []
-            for j in range(m):
-                column = self.sorted[:, j]
-                a, b = np.searchsorted(column[:lo[j]], at[j] - width), hi[j] + np.searchsorted(column[hi[j]:], at[j] + width, "right")
-                if a < lo[j]:
-                    new.append(self.order[a:lo[j], j])
-                if b > hi[j]:
-                    new.append(self.order[hi[j]:b, j])
-                lo[j], hi[j] = a, b
+            a = np.minimum(lo, np.clip(np.searchsorted(self.flat, at - width), first, first + n))
+            b = np.maximum(hi, np.clip(np.searchsorted(self.flat, at + width, "right"), first, first + n))
+            new = [self.order[i:j] for i, j in zip(np.r_[a, hi].tolist(), np.r_[lo, b].tolist(), strict=True) if i < j]
+            lo, hi = a, b
             if new:
                 count += np.bincount(np.concatenate(new), minlength=n)
             fresh = np.flatnonzero((count >= need) & ~done)
@@ -78,7 +81,7 @@ class Block:
         return self.ids[found[best]], far[best]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, projections: int = 128, share: float = 0.5, doubt: float = 2.0, step: float = 1.15, block: int = 8192, queries: int = 256, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, projections: int = 128, share: float = 0.5, doubt: float = 2.0, step: float = 1.15, block: int = 16384, queries: int = 256, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for each row of vectors (vec_id, embedding) that is_query."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     size = dimension(rows, "embedding")
