@@ -314,3 +314,29 @@ def _(spark, d):
 @query("hash_uniform", "SELECT c_custkey, CAST(CAST('0x' || substr(md5('s:' || c_custkey), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u FROM customer")
 def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.hash_uniform("s", "c_custkey").alias("u"))
+
+
+@query("clean_text", f"WITH {DIRTY} SELECT line_no, trim(regexp_replace('  ' || kind || '   x ', '\\s+', ' ', 'g')) AS text FROM dirty")
+def _(spark, d):
+    return dirty(spark, d).select("line_no", S.clean_text(F.concat(F.lit("  "), "kind", F.lit("   x "))).alias("text"))
+
+
+@query("parse_int", f"WITH {DIRTY} SELECT line_no, CAST(CASE WHEN line_no % 7 <> 0 THEN age END AS INTEGER) AS n FROM dirty")
+def _(spark, d):
+    return dirty(spark, d).select("line_no", S.parse_int(F.when(F.col("line_no") % 7 == 0, "NULL").otherwise(F.col("age"))).alias("n"))
+
+
+@query("parse_date", f"WITH {DIRTY} SELECT line_no, {DAY} AS day FROM dirty")
+def _(spark, d):
+    return dirty(spark, d).select("line_no", S.parse_date("day").alias("day"))
+
+
+@query("fold_key", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'three' ELSE regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') || 'n' END AS key FROM nation")
+def _(spark, d):
+    n = F.when(F.col("n_nationkey") == 3, "Trés!").otherwise(F.concat("n_name", F.lit(" Ñ")))
+    return table(spark, d, "nation").select("n_nationkey", S.fold_key(n, {"tres": "three"}).alias("key"))
+
+
+@query("log_safe", "SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END, 9) AS log_x FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey", r(S.log_safe("c_acctbal"), 9).alias("log_x"))
