@@ -16,7 +16,7 @@ from ..operators import describe as D
 from ..operators import models as M
 from ..operators import order as O
 from ..operators import survey as V
-from .registry import PERSONS, persons, query, r, rounded, table
+from .registry import PERSONS, persons, query, r, table
 
 c = F.col
 XS = ["l_quantity", "l_discount", "p_size"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import describe as D
 from ..operators import series as T
 from .registry import query, r, rounded, table
 
