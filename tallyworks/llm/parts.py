@@ -20,7 +20,7 @@ from .common import cut
 
 KEY_BITS = 56
 #: Bytes of a file split that make a part.
-PART_MB = 6
+PART_MB = 4
 
 
 def _dctx() -> zstandard.ZstdDecompressor:
