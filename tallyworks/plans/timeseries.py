@@ -27,9 +27,9 @@ def brands(spark, d):
     return j.groupBy(F.col("p_brand").alias("brand"), F.trunc("l_shipdate", "month").alias("month")).agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / 1000).alias("value"))
 
 
-@query("read_monthly_series", f"WITH {M} SELECT month, round(value, 4) AS value FROM m ORDER BY month")
+@query("read_monthly_series", f"WITH {M} SELECT month, round(value, 6) AS value FROM m ORDER BY month")
 def _(spark, d):
-    return monthly(spark, d).select("month", r("value").alias("value")).orderBy("month")
+    return monthly(spark, d).select("month", r("value", 6).alias("value")).orderBy("month")
 
 
 @query("monthly_totals", "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY 1 HAVING sum(l_quantity) <> 0")
@@ -146,14 +146,14 @@ def _(spark, d):
     return b.join(s, (F.col("brand") == F.col("b")) & (F.month("month") == F.col("n"))).select("brand", "month", r(F.col("value") / F.col("seasonal")).alias("adjusted"))
 
 
-@query("extremes_of_series", f"WITH {B} SELECT brand, arg_max(month, value) AS top_month, round(max(value), 4) AS top, arg_min(month, value) AS low_month, round(min(value), 4) AS low FROM m GROUP BY brand")
+@query("extremes_of_series", f"WITH {B} SELECT brand, arg_max(month, {{'v': value, 'm': month}}) AS top_month, round(max(value), 6) AS top, arg_min(month, {{'v': value, 'm': month}}) AS low_month, round(min(value), 6) AS low FROM m GROUP BY brand")
 def _(spark, d):
-    return brands(spark, d).groupBy("brand").agg(F.max_by("month", "value").alias("top_month"), r(F.max("value")).alias("top"), F.min_by("month", "value").alias("low_month"), r(F.min("value")).alias("low"))
+    return brands(spark, d).groupBy("brand").agg(F.max_by("month", F.struct("value", "month")).alias("top_month"), r(F.max("value"), 6).alias("top"), F.min_by("month", F.struct("value", "month")).alias("low_month"), r(F.min("value"), 6).alias("low"))
 
 
-@query("latest_row", f"WITH {B} SELECT brand, max(month) AS month, round(arg_max(value, month), 4) AS value FROM m GROUP BY brand")
+@query("latest_row", f"WITH {B} SELECT brand, max(month) AS month, round(arg_max(value, month), 6) AS value FROM m GROUP BY brand")
 def _(spark, d):
-    return brands(spark, d).groupBy("brand").agg(F.max("month").alias("month"), r(F.max_by("value", "month")).alias("value"))
+    return brands(spark, d).groupBy("brand").agg(F.max("month").alias("month"), r(F.max_by("value", "month"), 6).alias("value"))
 
 
 @query("selected_years", f"WITH {B} SELECT CAST(year(month) AS INTEGER) AS y, round(sum(value), 2) AS value FROM m WHERE year(month) IN (1995, 1998, 2001) GROUP BY 1")
