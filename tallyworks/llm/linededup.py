@@ -8,7 +8,10 @@ over ratio such lines, so they are gathered into one bounded array per host. The
 they hold at most broadcast_lines lines in all; else the documents meet them by (host, salt), so that a hot host is spread over tasks.
 
 Nulls: a null host is no site, its documents stay as they are; a null text stays null with 0 lines. A document
-that loses all lines has an empty text. Repeated rows count as documents of their own.
+that loses all lines has an empty text. Where documents are dropped for that (without_boilerplate), a page is a
+distinct text of its host, so that copies of one document do not make its lines boilerplate and at least one of
+them is left for later stages. dedup_lines drops no row; there, as in the SQL of its query, repeated rows count as
+documents of their own unless distinct_pages is set.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ def _trim(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 20, min_hits: int = 5) -> DataFrame:
-    """site, n_pages, lines: for each host the lines that more than ratio of its documents hold."""
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 20, min_hits: int = 5, distinct_pages: bool = False) -> DataFrame:
+    """site, n_pages, lines: for each host the lines that more than ratio of its documents (or distinct texts) hold."""
     d = docs.select(F.col(host).alias("site"), F.col(text).alias("body")).filter(F.col("site").isNotNull())
+    if distinct_pages:
+        d = d.distinct()
     pages = d.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
     held = F.array_distinct(F.filter(F.transform(F.split("body", "\n"), _trim), lambda x: x != ""))
     counts = d.select("site", F.explode(held).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("hits"))
@@ -36,9 +41,9 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return often.groupBy("site").agg(F.first("n_pages").alias("n_pages"), F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 20, min_hits: int = 5, salts: int = 64, broadcast_lines: int = 50_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 20, min_hits: int = 5, salts: int = 64, broadcast_lines: int = 50_000, distinct_pages: bool = False) -> DataFrame:
     """docs with the text cleaned, and the columns n_lines and n_dropped behind its own, in a struct with the row: row, clean, n_lines, n_dropped."""
-    bad = cut(boilerplate(docs, host, text, ratio, min_pages, min_hits).select(F.col("site").alias("bad_site"), F.col("lines").alias("bad")))
+    bad = cut(boilerplate(docs, host, text, ratio, min_pages, min_hits, distinct_pages).select(F.col("site").alias("bad_site"), F.col("lines").alias("bad")))
     rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("site"), F.col(text).alias("body"))
     total = bad.agg(F.sum(F.size("bad") + 1).alias("n")).first()["n"] or 0
     if total <= broadcast_lines:
@@ -55,6 +60,6 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 def without_boilerplate(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with the text cleaned and all other columns as they were; a document that loses every line goes."""
-    out = dedup_lines(docs, text=text, **options)
+    out = dedup_lines(docs, text=text, **{"distinct_pages": True, **options})
     out = out.filter(~((F.col("n_dropped") > 0) & (F.col("clean") == "")))
     return out.select(*[F.col("clean").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -119,3 +119,14 @@ def test_lines(spark, monkeypatch, salted):
 
 def test_no_lines(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0 and linededup.without_boilerplate(frame(spark, [])).count() == 0
+
+
+def test_copies_of_a_document_are_one_page(spark):
+    """A copy group of a third of a source, and six copies in a source of fifty, keep their text; a shared line still goes."""
+    rows = [(i, f"own words {i}\nMenu | Home", "s") for i in range(40)] + [(100 + i, "the one text\nof a copied page", "s") for i in range(20)]
+    rows += [(200 + i, f"page {i}", "t") for i in range(44)] + [(300 + i, "copied six times", "t") for i in range(6)]
+    kept = {r.doc_id: r.text for r in linededup.without_boilerplate(frame(spark, rows)).collect()}
+    assert len(kept) == len(rows)
+    assert all(kept[i] == (f"own words {i}" if i < 40 else t) for i, t, _ in rows)
+    pages = {r.site: r.n_pages for r in linededup.boilerplate(frame(spark, rows), distinct_pages=True).collect()}
+    assert pages == {"s": 41}
