@@ -168,15 +168,29 @@ def _(spark, d):
     return t.agg(r(F.sum(F.pow(c("n") - c("e"), 2) / c("e")), 6).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
 
 
+def fisher_exact(t):
+    """p for one row of counts m1, m0 (rows of the table), n (first column) and k (their cell), as longs.
+
+    Chances of the tables with these margins, at most min(n, m1) + 1 of them, are taken relative to the likeliest table,
+    through log-gammas, so that nothing overflows; those no likelier than the one seen are summed, and the sum is divided
+    by that of all. Ties allow for the rounding of log-gammas. Tables are made by the thousand in their own tasks.
+    """
+    lg = lambda v: F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("logGamma"), (v + 1).cast("double")).cast("double")
+    m1, m0, n, hi = c("m1"), c("m0"), c("n"), F.least("n", "m1")
+    log_chance = lambda i: -(lg(i) + lg(m1 - i) + lg(n - i) + lg(m0 - n + i))
+    t = t.withColumn("top", log_chance(F.floor((n + 1.0) * (m1 + 1.0) / (m1 + m0 + 2.0)))).withColumn("seen", log_chance(c("k"))).withColumn("slack", F.greatest(F.lit(1e-7), 1e-15 * lg(m1 + m0)))
+    x = t.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), n - m0), hi, F.lit(1000).cast("long")))).repartition("at")
+    x = x.withColumn("i", F.explode(F.sequence("at", F.least(c("at") + 999, hi)))).withColumn("l", log_chance(c("i")))
+    w = F.exp(c("l") - c("top"))
+    return x.agg((F.sum(F.when(c("l") <= c("seen") + c("slack"), w)) / F.sum(w)).alias("p"))
+
+
 @query("fisher_2x2")
 def _(spark, d):
-    """Two-sided exact p of a small 2 x 2 table: the sum of the chances of all tables no likelier than the one seen."""
-    t = persons(spark, d).filter("id % 50 = 0").agg(F.count_if(c("status") == "F").alias("m1"), F.count_if(c("status") != "F").alias("m0"), F.count_if((c("status") == "F") & (c("w") > 4)).alias("k"), F.count_if(c("w") > 4).alias("n"))
-    lg = lambda v: F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("logGamma"), (v + 1).cast("double")).cast("double")
-    x = t.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), c("n") - c("m0")), F.least("n", "m1"))))
-    chance = lambda i: F.exp(lg(c("m1")) - lg(i) - lg(c("m1") - i) + lg(c("m0")) - lg(c("n") - i) - lg(c("m0") - c("n") + i) - lg(c("m1") + c("m0")) + lg(c("n")) + lg(c("m1") + c("m0") - c("n")))
-    x = x.withColumn("pi", chance(c("i"))).withColumn("seen", chance(c("k")))
-    return x.agg(r(F.sum(F.when(c("pi") <= c("seen") * (1 + 1e-7), c("pi"))), 9).alias("p"))
+    """Two-sided exact p of a 2 x 2 table of all persons: the sum of the chances of all tables no likelier than the one seen."""
+    yes, own = c("status") == "F", c("w") > 4
+    t = persons(spark, d).agg(F.count_if(yes).alias("m1"), F.count_if(~yes).alias("m0"), F.count_if(yes & own).alias("k"), F.count_if(own).alias("n"))
+    return fisher_exact(t).select(r("p", 9).alias("p"))
 
 
 RISK = "t AS (SELECT count(*) FILTER (w > 4 AND status = 'F') AS a, count(*) FILTER (w > 4) AS na, count(*) FILTER (w <= 4 AND status = 'F') AS b, count(*) FILTER (w <= 4) AS nb FROM persons), u AS (SELECT CAST(a AS DOUBLE) / na AS ra, CAST(b AS DOUBLE) / nb AS rb FROM t)"
