@@ -106,8 +106,8 @@ def _(spark, d):
 
 @query("rate_ratio_ci")
 def _(spark, d):
-    """Ratio of two adjusted rates with an interval on the log scale, from the widths of both intervals."""
+    """Ratio of two adjusted rates with an interval on the log scale, from the widths of both intervals; every pair of populations, a row per nation on each side."""
     t = _fay_feuer(spark, d).withColumn("s", (F.ln("high") - F.ln("low")) / (2 * 1.959963984540054))
     a, b = (t.select(c("pop").alias(k), c("rate").alias("r" + k), c("s").alias("s" + k)) for k in "ab")
-    j = a.filter("a < 5").join(b, c("a") < c("b")).withColumn("s", F.sqrt(c("sa") * c("sa") + c("sb") * c("sb"))).withColumn("q", c("ra") / c("rb"))
+    j = a.join(F.broadcast(b), c("a") < c("b")).withColumn("s", F.sqrt(c("sa") * c("sa") + c("sb") * c("sb"))).withColumn("q", F.try_divide("ra", "rb"))
     return j.select("a", "b", r("q", 6).alias("ratio"), r(c("q") * F.exp(-1.959963984540054 * c("s")), 6).alias("low"), r(c("q") * F.exp(1.959963984540054 * c("s")), 6).alias("high"))

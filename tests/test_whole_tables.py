@@ -31,3 +31,12 @@ def test_fisher_takes_all_persons(spark):
     yes, own = [r.status == "F" for r in rows], [r.w > 4 for r in rows]
     want = brute_fisher(sum(yes), len(rows) - sum(yes), sum(own), sum(a and b for a, b in zip(yes, own, strict=True)))
     assert abs(entry.queries()["fisher_2x2"](spark, SF).first().p - want) < 2e-9
+
+
+@given
+def test_rate_ratio_of_every_pair(spark):
+    pops = sorted(r.pop for r in entry.queries()["poisson_ci"](spark, SF).select("pop").collect())
+    got = entry.queries()["rate_ratio_ci"](spark, SF).collect()
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in pops for b in pops if a < b]
+    rate = {r.pop: r.rate for r in entry.queries()["direct_ci_fay_feuer"](spark, SF).collect()}
+    assert all(r.low <= r.ratio <= r.high and abs(r.ratio - rate[r.a] / rate[r.b]) < 1e-4 for r in got)
