@@ -3,10 +3,12 @@
 The lexicon is learned from labelled documents: words, and stems that start several such words, which occur in many
 different contexts (neighbouring words) of toxic documents and hardly elsewhere. Counting contexts instead of
 documents keeps copies of one document from lending weight to its words. The lexicon becomes a trie; walking a
-word along the trie and a Levenshtein automaton at once finds terms within a bounded number of edits. The walk's states are sets of
-(node, edits), made when first met and kept, so that most words end after a few characters. A hit in
+word along the trie and a Levenshtein automaton at once finds terms within a bounded number of edits: one from four letters
+on, two from ten. Words that a stem covers are terms as well, so that their misspellings are found. The walk's states are sets of
+(node, edits), made when first met and kept, so that most words end after a few characters. A word near a term that the
+labelled documents show to be harmless is no hit. A hit in
 quotation marks or beside words of reporting is counted apart from a plain one. Each kind of hit has a log likelihood ratio measured on the
-labelled documents, and a score is the logistic of their sum.
+labelled documents, that of misspellings being drawn towards that of the words themselves, and a score is the logistic of their sum.
 
 Bounds: at most max_labelled labelled documents (those of the smallest hash) and max_terms terms are used to
 learn; scoring covers every whole text. Labels, lang, source and doc_id are no input of a score.
@@ -38,6 +40,10 @@ REPORTING = frozenset("said says wrote called quote quoted quotes reported alleg
 WINDOW = 6
 KINDS = ("exact", "stem", "near_short", "near_long")
 CACHE_WORDS = 400_000
+#: Hits of a kind of misspelling that count as much as what is known of the words themselves.
+SHRINK = 20
+#: The share of a word's contexts in toxic documents that makes it a term; below it, a word met in clean ones is no misspelling.
+SHARE = 0.95
 
 
 @dataclass
@@ -46,10 +52,11 @@ class Model:
     stems: list[str] = field(default_factory=list)
     prior: float = math.log(0.1 / 0.9)
     weights: dict[str, float] = field(default_factory=dict)  # by kind, or kind + "_quoted"
+    harmless: frozenset[str] = frozenset()  # words near a term that are words of their own
 
 
 def edits_for(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
 
 class FuzzyTrie:
@@ -57,7 +64,8 @@ class FuzzyTrie:
 
     DEAD, STEM = 0, 1
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], harmless: frozenset[str] = frozenset()):
+        self.harmless = harmless
         self.next: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.deep: list[int] = [-1]  # most edits that a term below a node allows
@@ -141,7 +149,8 @@ class FuzzyTrie:
             ends = [(e, self.word[n]) for n, e in self.sets[state] if self.word[n] is not None and e <= edits_for(self.word[n])]
             if ends:
                 e, term = min(ends)
-                found = ("exact" if e == 0 else "near_short" if len(term) < 8 else "near_long", e)
+                if e == 0 or word not in self.harmless:
+                    found = ("exact" if e == 0 else "near_short" if len(term) < 8 else "near_long", e)
         self.cache[word] = found
         return found
 
@@ -205,11 +214,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_te
     for s in sorted(found, key=lambda x: (len(x), x)):
         if not any(s.startswith(x) for x in chosen):  # as long as it may be without losing words
             chosen.append(max((x for x in found if x.startswith(s) and found[x] >= 0.98 * found[s]), key=lambda x: (len(x), x)))
-    terms = [w for w in top(words.filter(fit(0.95) & (F.col("d") >= 3) & (2 * F.col("t") > F.col("n"))), "word") if not any(w.startswith(x) for x in chosen)]
-    model = Model(terms, chosen)
+    terms = top(words.filter(fit(SHARE) & (F.col("d") >= 3) & (2 * F.col("t") > F.col("n"))), "word")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = FuzzyTrie(terms, chosen)
+        for b in batches:
+            b = b.assign(kind=[(trie.find(w) or ("",))[0] for w in b["word"]])
+            yield b[b["kind"].str.startswith("near")][["word", "kind", "once"]]
+
+    own = words.filter((F.col("c") > 0) & (F.col("t") < SHARE * (F.col("t") + F.col("c")))).select("word", (F.col("t") + F.col("c") == 1).alias("once"))
+    harmless = own.mapInPandas(near, "word string, kind string, once boolean").collect()
+    model = Model(terms, chosen, harmless=frozenset(r["word"] for r in harmless))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = FuzzyTrie(terms, chosen, model.harmless)
         for b in batches:
             rows = [(k, int(y), n) for t, y in zip(b["text"], b["toxic"], strict=True) for k, n in hits(t, trie).items()]
             rows += [("words", int(y), len((t or "").split())) for t, y in zip(b["text"], b["toxic"], strict=True)]
@@ -217,11 +235,21 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_te
 
     n = {(r["kind"], r["toxic"]): r["n"] for r in train.mapInPandas(count, "kind string, toxic int, n long").groupBy("kind", "toxic").agg(F.sum("n").alias("n")).collect()}
     total = {y: max(1, n.get(("words", y), 0)) for y in (0, 1)}
-    for k in KINDS:
-        for tail, guess in (("", 1.0), ("_quoted", -0.5)):
-            t, c = n.get((k + tail, 1), 0), n.get((k + tail, 0), 0)
-            # a hit not met in training gets a guess: abuse if plain, rather not if quoted
-            model.weights[k + tail] = guess if t + c < 5 else max(-1.0, min(6.0, math.log((t + 0.5) / total[1]) - math.log((c + 0.5) / total[0])))
+    for r in harmless:  # as many new harmless words are to be expected as were met once
+        if r["once"]:
+            n[r["kind"], 0] = n.get((r["kind"], 0), 0) + 1
+    bound = lambda x: max(-1.0, min(6.0, x))
+    for tail, guess in (("", 1.0), ("_quoted", -0.5)):
+        seen = lambda y, *kinds: sum(n.get((k + tail, y), 0) for k in kinds)  # noqa: B023, E731
+        ratio = lambda *kinds: math.log((seen(1, *kinds) + 0.5) / total[1]) - math.log((seen(0, *kinds) + 0.5) / total[0])  # noqa: B023, E731
+        # a hit not met in training gets a guess: abuse if plain, rather not if quoted
+        known = bound(ratio("exact", "stem")) if seen(0, "exact", "stem") + seen(1, "exact", "stem") >= 5 else guess
+        for k in KINDS:
+            hits_of = seen(0, k) + seen(1, k)
+            if k.startswith("near"):
+                model.weights[k + tail] = bound((hits_of * ratio(k) + SHRINK * known) / (hits_of + SHRINK))
+            else:
+                model.weights[k + tail] = guess if hits_of < 5 else bound(ratio(k))
     model.prior = math.log(min(0.5, size[1] / size[0])) - 0.5
     return model
 
@@ -231,7 +259,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = FuzzyTrie(model.terms, model.stems)
+        trie = FuzzyTrie(model.terms, model.stems, model.harmless)
         for b in batches:
             z = np.array([model.prior + sum(n * model.weights.get(k, 0.0) for k, n in hits(t, trie).items()) for t in b["text"]], float)
             yield b.assign(**{out: 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
@@ -252,7 +280,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.7, **boun
 
     @F.pandas_udf("double")
     def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = FuzzyTrie(model.terms, model.stems)
+        trie = FuzzyTrie(model.terms, model.stems, model.harmless)
         for s in parts:
             z = np.array([model.prior + sum(n * model.weights.get(k, 0.0) for k, n in hits(t, trie).items()) for t in s], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))

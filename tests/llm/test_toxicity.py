@@ -84,3 +84,33 @@ def test_quotation_is_counted_apart():
     trie = FuzzyTrie(["horrid"], [])
     assert toxicity.hits('they wrote "you horrid man" today', trie) == {"exact_quoted": 1}
     assert toxicity.hits("you horrid man", trie) == {"exact": 1}
+
+
+def test_misspellings_of_short_and_stemmed_words():
+    trie = FuzzyTrie(["scum", "zorkmid", "moron"], ["zork"], frozenset(["oron", "moron"]))
+    assert trie.find("scumm")[0] == trie.find("scm")[0] == "near_short" and trie.find("zrkmid") == ("near_short", 1)
+    assert trie.find("zorkmids") == ("stem", 0) and trie.find("oron") is None and trie.find("moron") == ("exact", 0)
+
+
+def test_documents_with_misspelled_words_alone(spark):
+    """Each of short words, long words and words of a stem, misspelled; a clean word one edit from a term is none."""
+    import random
+
+    rnd = random.Random(6)
+    vocab = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeiou" for c in ("nt", "rst", "lks")] + ["horrit"]
+    insults = ["horrid", "scum", "despicable", "zorkmid", "zorkelan", "zorkanib", "zorkonel"]
+    docs, labels = [], []
+    for i in range(1200):
+        w = [rnd.choice(vocab) for _ in range(40)]
+        if i % 8 == 0:
+            for _ in range(4):
+                w.insert(rnd.randint(0, len(w)), rnd.choice(insults))
+        docs.append((i, " ".join(w), 0.0, 1))
+        labels.append((i, int(i % 8 == 0)))
+    plain = [rnd.choice(vocab) for _ in range(30)]
+    wrong = {"scum": "scuum", "horrid": "horid", "despicable": "desspicabl", "zorkmid": "zrkmid", "zorkelan": "zokelan", "zorkanib": "xorkanib"}
+    for i, x in enumerate(wrong.values()):
+        docs.append((9000 + i, " ".join([*plain[:10], x, *plain[10:20], x, *plain[20:]]), 0.0, 1))
+    docs.append((9100, " ".join([*plain, *["horrit"] * 3]), 0.0, 1))
+    got = {r.doc_id: r.predicted for r in toxicity.scored(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("doc_id >= 9000").collect()}
+    assert {x: got[9000 + i] for i, x in enumerate(wrong.values())} == dict.fromkeys(wrong.values(), 1) and got[9100] == 0
