@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of the
 blocks before and after it, and what encloses it: content tags (article, main), tags of page furniture (nav,
-header, footer, aside, form ...), class or id words of furniture, and whether it is a heading. A small decision tree,
+header, footer, aside, form ...), class or id words of furniture, and whether it is a heading. Such a word counts neither
+on article or main, nor on a wrapper of all of a page's article and main elements, nor after no-, has- or with-; a hidden element always does. A small decision tree,
 trained here on the labelled table below, tells main text from the rest. Pages are independent rows: no shuffle.
 
 A null or empty html, or one without main text, gives an empty text. Markup may be unclosed, badly nested or
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*\W?true", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NONE = re.compile(r"display\s*:\s*none", re.I)
+#: Class words that tell of a layout, not of what an element is.
+LAYOUT = re.compile(r"(?:no|not|has|with|without)[-_]", re.I)
 # fixed values: element names of the HTML standard
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -177,14 +181,33 @@ def is_main(tree: Node, features: tuple) -> bool:
     return tree.share >= 0.5
 
 
+def is_hidden(attributes: str) -> bool:
+    """By the attribute hidden, aria-hidden=true or display:none."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, *value in ATTRIBUTE.findall(low):
+        v = "".join(value)
+        if name == "hidden" or (name == "aria-hidden" and v.strip() == "true") or (name == "style" and NONE.search(v)):
+            return True
+    return False
+
+
+def is_hinted(attributes: str) -> bool:
+    """Whether a class, id or role names furniture."""
+    return any(not HINTS.isdisjoint(WORDS.split(v)) for found in NAME.findall(attributes) for v in "".join(found).lower().split() if not LAYOUT.match(v))
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """(text, words, words in links, in content, in furniture, hinted, heading) in page order."""
     out: list = []
-    stack: list[tuple[str, bool]] = []  # open elements that matter, and whether one is hinted
-    content = furniture = hinted = link = heading = 0
+    stack: list[tuple[str, int]] = []  # open elements that matter, and the number of a hint, -1 if hidden, else 0
+    content = furniture = hidden = link = heading = contents = 0
+    open_hints = [0]
+    inside = [0]  # by number of a hint: article and main elements before it, then within it
     text: list[str] = []
     linked = 0
-    state = (False, False, False, False)
+    state: tuple = (False, False, 0, False)
 
     def flush() -> None:
         nonlocal linked
@@ -200,18 +223,25 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
             return
         if part.strip():
             if not any(t.strip() for t in text):
-                state = (content > 0, furniture > 0, hinted > 0, heading > 0)
+                state = (content > 0, furniture > 0, -1 if hidden else open_hints[-1], heading > 0)
             if link:
                 linked += len(part.split())
         text.append(part)
 
-    def count(name: str, hint: bool, by: int) -> None:
-        nonlocal content, furniture, hinted, link, heading
+    def count(name: str, hint: int, by: int) -> None:
+        nonlocal content, furniture, hidden, link, heading, contents
+        contents += by > 0 and name in CONTENT
         content += by * (name in CONTENT)
         furniture += by * (name in FURNITURE)
         heading += by * (name in HEADING)
         link += by * (name == "a")
-        hinted += by * hint
+        hidden += by * (hint < 0)
+        if hint > 0:
+            inside[hint] = contents - inside[hint]
+            if by > 0:
+                open_hints.append(hint)
+            else:
+                open_hints.pop()
 
     page = page or ""
     at = 0
@@ -247,11 +277,21 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
         if name in ("p", "li", "a", *HEADING) and stack and stack[-1][0] == name:  # these do not nest
             count(*stack.pop(), -1)
         attributes = m[3]
-        hint = bool(attributes) and (any(not HINTS.isdisjoint(WORDS.split("".join(v).lower())) for v in NAME.findall(attributes)) or bool(HIDDEN.search(attributes)))
-        stack.append((name, hint and name not in ("html", "body")))
+        hint = 0
+        if attributes and name not in ("html", "body"):
+            if is_hidden(attributes):
+                hint = -1
+            elif name not in CONTENT and is_hinted(attributes):
+                hint = len(inside)
+                inside.append(0)
+        stack.append((name, hint))
         count(*stack[-1], 1)
     flush()
-    return out
+    while stack:
+        count(*stack.pop(), -1)
+    # the innermost hint decides: if it holds all article and main elements, so do those around it
+    counts = [h > 0 and not 0 < inside[h] == contents for h in range(len(inside))]
+    return [(*row[:5], row[5] < 0 or counts[row[5]], row[6]) for row in out]
 
 
 def main_text(page: str | None, tree: Node) -> str:

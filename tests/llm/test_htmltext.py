@@ -31,3 +31,17 @@ def test_table(spark):
     got = sorted(htmltext.extract(df).collect(), key=str)
     assert len(got) == 5 and {r.n_chars for r in got} >= {0, 999999} and all(r.n_chars == len(r.text) for r in got)
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_hints_of_layout_and_hidden():
+    body = "word " * 40
+    article = f"<article><p>{body}</p><p>{body}</p></article>"
+    both = "\n".join([body.strip()] * 2)
+    for wrap in ("class='overflow-hidden'", "aria-hidden='false'", "style='overflow:hidden'", "data-x='hidden'", "class='no-sidebar'", "class='page has-comments'", "class='with-banner'", "class='sidebar'", "id=search class='a'"):
+        assert htmltext.main_text(f"<body><div {wrap}>{article}</div>", TREE) == both, wrap
+        assert htmltext.main_text(f"<body>{article.replace('<article', '<article ' + wrap)}", TREE) == both, wrap
+    for wrap in ("hidden", "hidden=''", "aria-hidden=true", 'aria-hidden="true"', "style='color:red; display : none'"):
+        assert htmltext.main_text(f"<body><div {wrap}>{article}</div>", TREE) == "", wrap
+    # furniture beside the article, or one that holds only some of the articles, is still none of it
+    for other in (f"<div class='sidebar'><p>{body}other</p></div>", f"<div class='related'><article><p>{body}other</p></article></div>", f"<div class='has-x comments'><p>{body}other</p></div>"):
+        assert htmltext.main_text(f"<body><div class='has-sidebar'>{article}{other}</div>", TREE) == both, other
