@@ -22,7 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|!--|[!?/])")
+CLOSING = re.compile(r""">|=\s*+(["'])""")
+#: Numbers of character references without their leading zeros, and those that no character has.
+ZEROS = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])")
+TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?")
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NONE = re.compile(r"display\s*:\s*none", re.I)
@@ -198,6 +202,41 @@ def is_hinted(attributes: str) -> bool:
     return any(not HINTS.isdisjoint(WORDS.split(v)) for found in NAME.findall(attributes) for v in "".join(found).lower().split() if not LAYOUT.match(v))
 
 
+def tags(page: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before, "/" or nothing, name, attributes, place behind) of each tag; at last ("text", "", "", "", end). Every character is looked at a fixed number of times.
+
+    As browsers do: a quote opens a value only behind =, a tag goes on to the first > outside values whatever it meets, and one that the
+    page's end cuts off takes the rest with it. A quote that is never closed opens nothing. Whoever reads may send the place to go on from.
+    """
+    at, n = 0, len(page)
+    while m := OPENING.search(page, at):
+        before = page[at:m.start()]
+        name, i = m[2], m.end()
+        if not name:
+            if m[0] == "<!--":
+                end = page.find("-->", i - 2)
+                at = n if end < 0 else end + 3
+            else:
+                end = page.find(">", i)
+                at = n if end < 0 else end + 1
+            yield before, "", "", "", at
+            continue
+        while (e := CLOSING.search(page, i)) and e[1]:
+            end = page.find(e[1], e.end())
+            i = e.end() if end < 0 else end + 1
+        if not e:
+            yield before, "", "", "", n
+            return
+        at = e.end()
+        at = (yield before, m[1], name.lower(), page[m.end():e.start()], at) or at
+    yield page[at:], "", "", "", n
+
+
+def decoded(text: str) -> str:
+    """With character references decoded; a number of any length is read."""
+    return entities.unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub(r"&#\1", text)) if "&#" in text else text)
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """(text, words, words in links, in content, in furniture, hinted, heading) in page order."""
     out: list = []
@@ -205,24 +244,27 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
     content = furniture = hidden = link = heading = contents = 0
     open_hints = [0]
     inside = [0]  # by number of a hint: article and main elements before it, then within it
+    names: dict[str, int] = {}  # open elements by name
     text: list[str] = []
     linked = 0
+    begun = False
     state: tuple = (False, False, 0, False)
 
     def flush() -> None:
-        nonlocal linked
-        body = " ".join(entities.unescape("".join(text)).split())
+        nonlocal linked, begun
+        body = " ".join(decoded("".join(text)).split())
         if body:
             out.append((body, body.count(" ") + 1, linked, *state))
         text.clear()
-        linked = 0
+        linked, begun = 0, False
 
     def add(part: str) -> None:
-        nonlocal linked, state
+        nonlocal linked, state, begun
         if not part:
             return
         if part.strip():
-            if not any(t.strip() for t in text):
+            if not begun:
+                begun = True
                 state = (content > 0, furniture > 0, -1 if hidden else open_hints[-1], heading > 0)
             if link:
                 linked += len(part.split())
@@ -230,6 +272,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
 
     def count(name: str, hint: int, by: int) -> None:
         nonlocal content, furniture, hidden, link, heading, contents
+        names[name] = names.get(name, 0) + by
         contents += by > 0 and name in CONTENT
         content += by * (name in CONTENT)
         furniture += by * (name in FURNITURE)
@@ -244,39 +287,38 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
                 open_hints.pop()
 
     page = page or ""
-    at = 0
+    reader = tags(page)
+    at = None
     while True:
-        m = TAG.search(page, at)
-        if not m:
-            rest = page[at:]
-            add(rest if not re.search(r"<[a-zA-Z/!][^<]*\Z", rest) else rest[:rest.rfind("<")])
+        try:
+            before, slash, name, attributes, at = reader.send(at)
+        except StopIteration:
             break
-        add(page[at:m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+        add(before)
+        go_on, at = at, None
         if not name:
             continue
         if name in BLOCK:
             flush()
         elif name == "br":
             add(" ")
-        if m[1]:  # an end tag closes all that was opened since, but nothing if there is no such element
-            if any(n == name for n, _ in stack):
-                while True:
-                    n, h = stack.pop()
-                    count(n, h, -1)
-                    if n == name:
-                        break
+        if slash:  # an end tag closes all that was opened since, but nothing if there is no such element
+            closed = None if names.get(name) else name
+            while closed != name:
+                closed, h = stack.pop()
+                count(closed, h, -1)
+            continue
+        if name in ("svg", "math") and attributes.rstrip().endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, go_on)
+            end = page.find(">", end.end() - 1) if end else -1
+            at = end + 1 if end >= 0 else len(page)
             continue
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/"):
             continue
         if name in ("p", "li", "a", *HEADING) and stack and stack[-1][0] == name:  # these do not nest
             count(*stack.pop(), -1)
-        attributes = m[3]
         hint = 0
         if attributes and name not in ("html", "body"):
             if is_hidden(attributes):
@@ -285,7 +327,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
                 hint = len(inside)
                 inside.append(0)
         stack.append((name, hint))
-        count(*stack[-1], 1)
+        count(name, hint, 1)
     flush()
     while stack:
         count(*stack.pop(), -1)

@@ -1,3 +1,11 @@
+import html
+import random
+import time
+from html.parser import HTMLParser
+from pathlib import Path
+
+import pytest
+
 from tallyworks.llm import htmltext
 
 TREE = htmltext.trained()
@@ -45,3 +53,122 @@ def test_hints_of_layout_and_hidden():
     # furniture beside the article, or one that holds only some of the articles, is still none of it
     for other in (f"<div class='sidebar'><p>{body}other</p></div>", f"<div class='related'><article><p>{body}other</p></article></div>", f"<div class='has-x comments'><p>{body}other</p></div>"):
         assert htmltext.main_text(f"<body><div class='has-sidebar'>{article}{other}</div>", TREE) == both, other
+
+
+HOSTILE = {
+    "quotes": "<a title=" + "\"" * 100_001,
+    "mixed quotes": "<a title=" + "\"'" * 50_000 + "x",
+    "values": "<a " + "b=\"c" * 50_000,
+    "unclosed tags": "<a " * 100_000,
+    "unclosed values": "<a b='" * 50_000 + "<a b=\"" * 50_000,
+    "spaces": "<a b =" + " " * 100_000 + "= " * 50_000,
+    "end tags of nothing": "<div>" * 50_000 + "</x>" * 50_000,
+    "blank inlines": "<p>" + "<b> </b>" * 50_000 + "word",
+    "scripts": "<script>" + "</script " * 50_000,
+    "comments": "<!--" * 50_000,
+    "deep": "<b>" * 50_000 + "x" + "</b>" * 50_000,
+    "angles": "<" * 100_000,
+    "class words": "<p class='" + "a " * 50_000 + "'>x",
+    "classes": "<p " + "class=" * 50_000 + ">x",
+    "references": "<p>" + "&" * 100_000 + "&#" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    page = "<article><p>some words here</p>" + HOSTILE[name]
+    t = time.process_time()
+    assert htmltext.main_text(page, TREE).startswith("some words here")
+    assert time.process_time() - t < 1.5
+
+
+def test_numbers_of_references():
+    page = "<article><p>a&#65;&#0000000000066;&#x43;&#X000000000044; &#" + "9" * 5000 + "; &#x" + "f" * 5000 + "; &#" + "0" * 5000 + "69;</p>"
+    assert htmltext.main_text(page, TREE) == "aABCD \ufffd \ufffd E"
+
+
+def test_tags_end_as_in_browsers():
+    for tag, rest in (("<a title='1 > 0'>", "x"), ('<a title=">">', "x"), ("<a title = '>'>", "x"), ("<a b\"c>", "x"), ("<a 'b>", "x"), ("<a href=it's>", "x"), ("<a b=\"never closed>", "x"),
+                      ("<!-- > -->", "x"), ("<!-->", "x"), ("<!doctype x>", "x"), ("<?php echo ?>", "x"), ("</>", "x"), ("</ b>", "x"), ("<svg/>", "x"), ("<script>'<p>'</script >", "x")):
+        assert htmltext.main_text(f"<article><p>some words {tag}{rest}</p>", TREE) == f"some words {rest}", tag
+    assert htmltext.main_text("<article><p>1 < 2 and 2 > 1</p>", TREE) == "1 < 2 and 2 > 1"
+
+
+class Plain(HTMLParser):
+    """The blocks' texts by the standard library's parser, without looking at what encloses them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.skip = [], [], 0
+
+    def flush(self):
+        body = " ".join("".join(self.text).split())
+        self.text = []
+        if body:
+            self.out.append(body)
+
+    def handle_starttag(self, tag, attrs):
+        self.flush() if tag in htmltext.BLOCK else self.text.append(" ") if tag == "br" else None
+        self.skip += tag in htmltext.RAW
+
+    def handle_startendtag(self, tag, attrs):
+        self.flush() if tag in htmltext.BLOCK else self.text.append(" ") if tag == "br" else None
+
+    def handle_endtag(self, tag):
+        if tag in htmltext.BLOCK and tag not in htmltext.RAW:
+            self.flush()
+        self.skip -= tag in htmltext.RAW
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+
+
+def plain_blocks(page):
+    p = Plain()
+    p.feed(page)
+    p.close()
+    p.flush()
+    return p.out
+
+
+def made_page(rng):
+    """Well-nested markup of random tags, attributes and references."""
+    words = ["word", "a &amp; b", "&lt;i&gt;", "caf&eacute;", "&#233;t&#xe9;", "x > y", "1 &copy 2", "tab\tnew\nline"]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        name = rng.choice(["p", "div", "span", "b", "a", "ul", "h2", "section", "article", "nav", "aside", "script", "td"])
+        attribute = rng.choice(["", " class='x'", ' href="/a?b=1&c=2"', " title='1 > 0'", ' alt="it\'s"', " hidden", "\n id = y"])
+        body = "var a = '<p>no</p>';" if name == "script" else "".join(part(depth - 1) for _ in range(rng.randint(1, 4)))
+        return f"<{name}{attribute}>{body}</{name}>" + rng.choice(["", "<br>", "<!-- <p>gone</p> -->", " tail ", "<img src=x>"])
+
+    return "<html><body>" + "".join(part(4) for _ in range(5)) + "</body></html>"
+
+
+def test_blocks_are_those_of_another_parser():
+    rng = random.Random(3)
+    for _ in range(300):
+        page = made_page(rng)
+        if "<p" in page and any(f"<p{x}" in page for x in ("><p", "><div")):
+            continue
+        assert [b[0] for b in htmltext.blocks(page)] == plain_blocks(page), page
+
+
+def test_given_pages(spark):
+    """Each given page has one article: the extracted text is its blocks, less what is furniture inside it."""
+    path = Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no given tables")
+    pages = spark.read.parquet(str(path))
+    got = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        every = plain_blocks(r.html)
+        lines = got[r.page_id].split("\n") if got[r.page_id] else []
+        at = iter(every)
+        assert all(line in at for line in lines)  # blocks of the page, in its order
+        article = html.unescape(r.html[r.html.find("<article"):r.html.find("</article>")]) if "<article" in r.html else None
+        assert article is None or all(line.split(" ")[0] in article for line in lines)
