@@ -16,8 +16,10 @@ repeated rows are pieces of their own. Equal pieces are interchangeable. An empt
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,41 +29,61 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a Python worker keeps; beyond, it starts anew.
-CACHE_WORDS = 400_000
-_LATIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(i) for i in range(0xC0, 0x100) if i not in (0xD7, 0xF7)))
+#: Words, and letters of words, whose ids a Python worker keeps in each of two generations.
+CACHE_WORDS, CACHE_LETTERS = 250_000, 150_000
+#: A word of Latin letters with marks behind: parts that the tokenizer looks at one by one. An apostrophe may start an ending, so it is no mark.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
 
 
-class WordIds(dict):
-    """Little-endian uint32 ids by white-space separated word; the tokenizer never joins what ASCII white space parts."""
+class Recent(dict):
+    """Values made when first asked for. When full, all become the older generation, from which those asked for again return."""
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class WordIds(Recent):
+    """Little-endian uint32 ids by white-space separated word; the tokenizer never joins what ASCII white space parts.
+
+    Capitals and marks make many words of the same letters, so the letters' ids are kept as well.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(self._word, CACHE_WORDS)
+        self.letters = Recent(self._letters, CACHE_LETTERS)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.bytes_to_text = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _letters(self, word: str) -> list[int]:
-        low = word.lower()
+    def _letters(self, low: str) -> bytes:
         if not low.isascii():
             low = "".join(map(self.bytes_to_text.__getitem__, low.encode()))
-        return [t.id for t in self.model.tokenize(low)]
+        ids = [t.id for t in self.model.tokenize(low)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        body = text.rstrip(".,")
-        if body and len(text) - len(body) <= 1 and _LATIN.issuperset(body):  # letters and one mark: two pieces, without the costly wrapper
-            ids = self._letters(body) + ([t.id for t in self.model.tokenize(text[len(body):])] if len(text) > len(body) else [])
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
+        plain = PLAIN.fullmatch(text)
+        if plain:  # without the costly wrapper
+            body, marks = plain.groups()
+            return (self.letters[body.lower()] if body else b"") + (self.letters[marks] if marks else b"")
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _IDS: dict[str, WordIds] = {}
