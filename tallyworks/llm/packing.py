@@ -4,8 +4,9 @@ Documents are tokenized once; what is longer than a bin is cut, full pieces are
 dealt by hash into shards of a bounded number of pieces. A shard is searched by several islands, each a task:
 an island holds a few solutions, made by best fit in different orders. Crossover takes whole well-filled bins
 of one parent into the other, removes the bins that hold a copied piece, and puts the displaced pieces back by best fit,
-largest first. After each epoch the best solution of an island moves to the next one. What lies in the worst bins of all shards is
-packed once more in fewer shards, so that half-empty last bins do not add up.
+largest first. After each epoch the best solution of an island moves to the next one. A shard is done at once when its bins are as few
+as the sum of its pieces asks. What lies in the worst bins of all shards is packed once more in fewer shards, and so on down
+to one, so that half-empty last bins do not add up.
 
 Seeds come from shard and island, and pieces are ordered by their own values, so a lost task repeats its result.
 
@@ -189,21 +190,26 @@ def fitness(at: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, floa
     return -len(fill), float((fill ** 2).sum())
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], population: int = 3, generations: int = 4) -> np.ndarray:
+def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], population: int = 8, generations: int = 80, patience: int = 30) -> np.ndarray:
+    """The best solution after so many crossovers, or when patience of them in a row gave no better one, or at once where a solution has as few bins as the pieces' sum asks."""
     rng = np.random.default_rng(seed)
     least = -(-int(sizes.sum()) // capacity)
     pool = [*elites]
     while len(pool) < population:
         noise = rng.random(len(sizes)) * (0 if not pool else capacity / 16)
         pool.append(best_fit(sizes, np.argsort(-sizes - noise, kind="stable"), capacity))
+        if -fitness(pool[-1], sizes, capacity)[0] <= least:
+            return pool[-1]
     score = [fitness(x, sizes, capacity) for x in pool]
+    since = 0
     for _ in range(generations):
-        if -max(score)[0] <= least:
+        if -max(score)[0] <= least or since >= patience:
             break
         a, b = rng.permutation(len(pool))[:2]
         child = cross(pool[a], pool[b], sizes, capacity, rng)
         worst = min(range(len(pool)), key=score.__getitem__)
         s = fitness(child, sizes, capacity)
+        since = 0 if s > max(score) else since + 1
         if s > score[worst]:
             pool[worst], score[worst] = child, s
     return pool[max(range(len(pool)), key=score.__getitem__)]
@@ -270,19 +276,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, sh
         shards = max(1, -(-n // shard_pieces))
         dealt = left.withColumn("shard", F.pmod(key, F.lit(shards)))
         placed = cut(_place(dealt, _search(dealt, capacity, islands, epochs, seed + level)))
-        last = shards == 1 or level == 2
-        full = placed if last else placed.filter(F.col("filled") >= reopen * capacity)
-        rounds.append(full.select(*cols, F.struct(F.lit(level).alias("level"), "shard", "bin").alias("b"), "offset"))
-        if last:
-            break
-        left = placed.filter(F.col("filled") < reopen * capacity).select(*cols)
-        n, level = left.count(), level + 1
-        if n == 0:
+        again = F.lit(False)
+        if shards > 1:
+            again = F.col("filled") < reopen * capacity
+            m = placed.filter(again).count()
+            if 2 * m > n:  # the lengths leave most bins so: only bins half empty, about one a shard, can be joined
+                again = 2 * F.col("filled") <= capacity
+                m = placed.filter(again).count()
+        rounds.append(placed.filter(~again).select(*cols, F.struct(F.lit(level).cast("long").alias("level"), "shard", "bin").alias("b"), "offset"))
+        if shards == 1 or m == 0:
             break
+        left, n, level = placed.filter(again).select(*cols), m, level + 1
     packed = rounds[0]
     for r in rounds[1:]:
         packed = packed.union(r)
     # numbers of bins: level, shard and bin side by side; whole pieces number themselves below zero
-    number = F.col("b.level") * F.lit(1 << 60) + F.col("b.shard") * F.lit(1 << 24) + F.col("b.bin")
+    number = F.col("b.level") * F.lit(1 << 56) + F.col("b.shard") * F.lit(1 << 24) + F.col("b.bin")
     whole = whole.select(*cols, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.select(*cols, number.cast("long").alias("sequence_id"), "offset").union(whole)

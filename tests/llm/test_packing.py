@@ -56,3 +56,40 @@ def test_crossover_keeps_every_piece_and_never_overfills():
         c = packing.cross(b, a, sizes, 2048, rng)
         assert (c >= 0).all() and np.bincount(c, sizes).max() <= 2048
     assert packing.fitness(packing.evolve(sizes, 2048, 1, []), sizes, 2048) >= packing.fitness(a, sizes, 2048)
+
+
+def test_the_search_saves_bins_that_best_fit_takes(spark):
+    """Lengths of 2/15 to 10/15 of a bin, two or three a bin: best fit is off, crossover of whole bins mends some of it."""
+    sizes = np.sort(np.random.default_rng(0).integers(273, 1366, 4000))[::-1].copy()
+    plain = packing.best_fit(sizes, np.arange(len(sizes)), 2048)
+    found = packing.evolve(sizes, 2048, 1, [])
+    assert np.bincount(found, sizes).max() <= 2048 and np.bincount(found, minlength=1).sum() == len(sizes)
+    assert found.max() + 1 <= plain.max() + 1 - 3
+    # the same through the islands: not worse than one island alone, and the same on every run
+    rows = [(i, 0, 0, int(s), i) for i, s in enumerate(sizes.tolist())]
+    dealt = spark.createDataFrame(rows, packing.PIECES).selectExpr("*", "0L AS shard")
+    best = [np.frombuffer(packing._search(dealt, 2048, 2, 2, 7).first()["solution"], "<i4") for _ in range(2)]
+    assert (best[0] == best[1]).all() and best[0].max() + 1 <= plain.max() + 1 - 3
+
+
+def test_words_of_marks_and_capitals_share_their_letters():
+    ids = packing.WordIds(PATH)
+    for t in ["Word, word. WORD!! (word) word*** ***", "it's 's 'S a's. o'neil's, don't. 'tis", "x_y _ __init__ a-b- -a ~~ ^", "\u212a \u212b \u00b5 \u00aa ÿ Ÿ ß ẞ", "<|endoftext|> a<|endoftext|> <|endoftext|>. endoftext|>", "1a a1 a1. ½ ² x²"]:
+        assert np.frombuffer(packing.document_ids(t, ids), "<u4").tolist() == plain_ids(t), t
+
+
+def test_random_strings_have_the_tokenizers_ids():
+    rng = np.random.default_rng(1)
+    alphabet = list("aAbBzZéÉñßÿ×÷.,;:!?'*&$#-_()<>|0189 \t\n\u00a0\u0130\u0301σςΣ日")
+    ids, t = packing.WordIds(PATH), tokenizers.Tokenizer.from_file(PATH)
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 30)))
+        assert np.frombuffer(packing.document_ids(text, ids), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [0], text
+
+
+def test_a_full_cache_keeps_what_is_asked_again():
+    made = []
+    cache = packing.Recent(lambda k: made.append(k) or k, 3)
+    for k in (1, 2, 3, 1, 4, 1, 5, 6, 7, 1):
+        assert cache[k] == k
+    assert made.count(1) == 1 and len(cache) <= 3
