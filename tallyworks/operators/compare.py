@@ -133,7 +133,7 @@ def wilcoxon_signed(df: DataFrame, diff: Column) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho: Pearson correlation of average ranks."""
+    """rho, p: Pearson correlation of average ranks, and its t test."""
     d = df.filter(c(x).isNotNull() & c(y).isNotNull()).groupBy(c(x).alias("x"), c(y).alias("y")).agg(F.count(F.lit(1)).alias("m"))
     full = d.select(c("x"), c("y"), "m")
     rx = average_ranks(df, x).select(c(x).alias("_x"), c("rank").alias("rx"))
@@ -142,7 +142,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     m = c("m")
     s = j.agg(F.sum(m).cast("double").alias("n"), *[F.sum(m * e).alias(k) for k, e in (("a", c("rx")), ("b", c("ry")), ("ab", c("rx") * c("ry")), ("aa", c("rx") * c("rx")), ("bb", c("ry") * c("ry")))])
     n = c("n")
-    return s.select(((n * c("ab") - c("a") * c("b")) / F.sqrt((n * c("aa") - c("a") * c("a")) * (n * c("bb") - c("b") * c("b")))).alias("rho"))
+    s = s.withColumn("rho", (n * c("ab") - c("a") * c("b")) / F.sqrt((n * c("aa") - c("a") * c("a")) * (n * c("bb") - c("b") * c("b"))))
+    return s.select("rho", P.t_two_sided(c("rho") * F.sqrt((n - 2) / (1 - c("rho") * c("rho"))), n - 2).alias("p"))
 
 
 def ks_two_sample(df: DataFrame, x: str, g: str, a: str, b: str) -> DataFrame:

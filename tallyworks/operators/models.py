@@ -191,8 +191,11 @@ def correspondence(table: np.ndarray) -> dict:
     return {"inertia": d[keep] ** 2, "rows": u * d[keep] / np.sqrt(r)[:, None], "columns": v * d[keep] / np.sqrt(c)[:, None], "row_mass": r, "column_mass": c, "chi2": n * float((d**2).sum())}
 
 
-def two_way(cells: DataFrame, a: str, b: str) -> list[tuple[str, float, int]]:
-    """(effect, sum of squares, df) of type III from cells (a, b, n, sy, syy), effect coded; least squares on the cells."""
+def two_way(cells: DataFrame, a: str, b: str) -> tuple[list[tuple[str, float, int]], bool]:
+    """(effect, sum of squares, df) of type III and of type I in both orders, and whether a cell is empty.
+
+    From cells (a, b, n, sy, syy), effect coded; least squares on the cells.
+    """
     rows = cells.collect()  # a row a cell
     la, lb = sorted({x[a] for x in rows}), sorted({x[b] for x in rows})
     code = lambda v, levels: [1.0 if v == k else 0.0 for k in levels[:-1]] if v != levels[-1] else [-1.0] * (len(levels) - 1)
@@ -211,4 +214,5 @@ def two_way(cells: DataFrame, a: str, b: str) -> list[tuple[str, float, int]]:
     full = rss(xa, xb, xi)
     out = [(a, rss(xb, xi) - full, xa.shape[1]), (b, rss(xa, xi) - full, xb.shape[1]), ("interaction", rss(xa, xb) - full, xi.shape[1])]
     out += [(f"{a} (type I)", rss() - rss(xa), xa.shape[1]), (f"{b} (type I)", rss(xa) - rss(xa, xb), xb.shape[1])]
-    return [*out, ("residual", within + full, int(n.sum()) - len(rows))]
+    out += [(f"{b} first (type I)", rss() - rss(xb), xb.shape[1]), (f"{a} second (type I)", rss(xb) - rss(xa, xb), xa.shape[1])]
+    return [*out, ("residual", within + full, int(n.sum()) - len(rows))], len(rows) < len(la) * len(lb)

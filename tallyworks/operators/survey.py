@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,17 +100,25 @@ def weight_summary(df: DataFrame, weight: str) -> DataFrame:
     return a.select("n", "total", "min", "max", (F.col("sd") * F.col("n") / F.col("total")).alias("cv"), (F.col("max") / F.col("min")).alias("ratio"), (F.col("n") * F.col("ww") / (F.col("total") * F.col("total"))).alias("deff"), (F.col("total") * F.col("total") / F.col("ww")).alias("effective_n"))
 
 
+def poisson_edges() -> list[float]:
+    """Chances of at most 0, 1, 2 .. events under Poisson(1), as far as 52 bits of a uniform number tell them from 1."""
+    edges, p, total, k = [], math.exp(-1), 0.0, 0
+    while total + p < 1 - 2.0**-52:
+        total += p
+        edges.append(total)
+        k += 1
+        p /= k
+    return edges
+
+
 def replicates(units: DataFrame, unit: str, n: int, seed: str, by: list[str] | None = None) -> DataFrame:
     """units times n replicates with times: Poisson(1) multiplicities from a seeded hash.
 
     Poisson counts keep each replicate's draw independent by unit, so no replicate needs its units together; totals
-    vary around the sample size, which ratios and means take care of.
+    vary around the sample size, which ratios and means take care of. Units drawn no time stay, with times 0.
     """
-    u = F.col("_u")
-    steps, p, total = [], 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
-        steps.append((u >= F.lit(total)).cast("int"))
-        p /= k
-        total += p
     r = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_u", hash_uniform(seed, *(by or []), unit, "rep"))
-    return r.withColumn("times", sum(steps[1:], steps[0])).drop("_u").filter("times > 0")
+    times = F.when(F.col("_u") < poisson_edges()[0], 0)  # the first edge above the number, so that the hash is taken once
+    for k, edge in enumerate(poisson_edges()[1:], 1):
+        times = times.when(F.col("_u") < edge, k)
+    return r.withColumn("times", times.otherwise(len(poisson_edges()))).drop("_u")

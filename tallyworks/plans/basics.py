@@ -153,10 +153,10 @@ def _(spark, d):
     return k.join(p, F.col("stratum") == F.col("c_nationkey")).join(n, F.col("n_nationkey") == F.col("stratum")).select("n_name", "cases", "population", r(1000.0 * F.col("cases") / F.col("population"), 6).alias("rate"))
 
 
-@query("join_cases_exposed", "WITH g AS (SELECT n_nationkey, s FROM nation, (SELECT DISTINCT p_size AS s FROM part WHERE p_size <= 10)), k AS (SELECT s_nationkey, p_size, count(*) AS exposed, count(*) FILTER (l_returnflag = 'R') AS cases FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL) SELECT n_nationkey, s AS size, coalesce(cases, 0) AS cases, coalesce(exposed, 0) AS exposed FROM g LEFT JOIN k ON n_nationkey = s_nationkey AND s = p_size")
+@query("join_cases_exposed", "WITH g AS (SELECT n_nationkey, s FROM nation, (SELECT DISTINCT p_size AS s FROM part)), k AS (SELECT s_nationkey, p_size, count(*) AS exposed, count(*) FILTER (l_returnflag = 'R') AS cases FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL) SELECT n_nationkey, s AS size, coalesce(cases, 0) AS cases, coalesce(exposed, 0) AS exposed FROM g LEFT JOIN k ON n_nationkey = s_nationkey AND s = p_size")
 def _(spark, d):
     part = table(spark, d, "part")
-    grid = table(spark, d, "nation").select("n_nationkey").crossJoin(part.filter("p_size <= 10").select(F.col("p_size").alias("size")).distinct())  # two key lists
+    grid = table(spark, d, "nation").select("n_nationkey").crossJoin(part.select(F.col("p_size").alias("size")).distinct())  # two key lists
     k = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey", "p_size").agg(F.count(F.lit(1)).alias("e"), F.count_if(F.col("l_returnflag") == "R").alias("c"))
     return grid.join(k, (F.col("n_nationkey") == F.col("s_nationkey")) & (F.col("size") == F.col("p_size")), "left").select("n_nationkey", "size", F.coalesce("c", F.lit(0)).alias("cases"), F.coalesce("e", F.lit(0)).alias("exposed"))
 

@@ -8,7 +8,8 @@ from ..functions import distributions as P
 from ..operators import compare as K
 from ..operators import describe as D
 from ..operators import order as O
-from .registry import PERSONS, persons, query, r, rounded
+from . import sqltext as Q
+from .registry import ORACLES, PERSONS, persons, query, r, rounded
 
 c = F.col
 Z = 1.959963984540054
@@ -20,18 +21,13 @@ def two(spark, d):
     return K.two_groups(persons(spark, d), "x", "grp", *AB)
 
 
-def same(df, digits=6):
-    """Without p-values, which SQL has no functions for."""
-    return rounded(df.drop(*[k for k in df.columns if k == "p" or k.startswith("p_welch")]), digits)
-
-
 @query("ci_mean", f"WITH {PERSONS} SELECT coalesce(grp, 'Total') AS grp, count(*) AS n, round(avg(x), 4) AS mean, round(avg(x) - {Z} * stddev_samp(x) / sqrt(count(*)), 4) AS low, round(avg(x) + {Z} * stddev_samp(x) / sqrt(count(*)), 4) AS high FROM persons GROUP BY GROUPING SETS ((), (grp))")
 def _(spark, d):
     half = Z * F.stddev_samp("x") / F.sqrt(F.count("x"))
     return persons(spark, d).rollup("grp").agg(F.count("x").alias("n"), r(F.avg("x")).alias("mean"), r(F.avg("x") - half).alias("low"), r(F.avg("x") + half).alias("high")).withColumn("grp", F.coalesce("grp", F.lit("Total")))
 
 
-@query("ci_mean_t")
+@query("ci_mean_t", f"WITH RECURSIVE {PERSONS}, s AS (SELECT stratum, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY 1), {Q.bisected('tq', 's', ['stratum'], Q.t_two_sided('q', '(n - 1)') + ' <= 0.05', '0', '200')} SELECT stratum, n, round(m, 4) AS mean, round(m - q * sqrt(v / n), 4) AS low, round(m + q * sqrt(v / n), 4) AS high FROM s JOIN tq USING (stratum)")
 def _(spark, d):
     """Intervals with the t quantile of each group's own degrees of freedom: quantiles of a few rows."""
     s = K.group_stats(persons(spark, d), "x", "stratum").withColumn("q", F.udf(lambda n: P.t_ppf(0.975, n - 1.0), "double")("n"))
@@ -49,7 +45,7 @@ def _(spark, d):
     return t.select("status", r("p", 6).alias("p"), r((mid - half) / den, 6).alias("wilson_low"), r((mid + half) / den, 6).alias("wilson_high"), r(p - wald, 6).alias("wald_low"), r(p + wald, 6).alias("wald_high"))
 
 
-@query("ci_proportion_exact")
+@query("ci_proportion_exact", f"WITH RECURSIVE {PERSONS}, s AS (SELECT status, count(*) AS k, CAST(sum(count(*)) OVER () AS BIGINT) AS n FROM persons GROUP BY 1), {Q.bisected('lo', 's', ['status'], Q.beta_lower('q', 'k', '(n - k + 1)') + ' >= 0.025', '0', 'CAST(k AS DOUBLE) / n')}, {Q.bisected('hi', 's', ['status'], Q.beta_lower('q', '(k + 1)', '(n - k)') + ' >= 0.975', 'CAST(k AS DOUBLE) / n', 'least(1, 1.5 * k / n + 0.01)')} SELECT status, round(lo.q, 6) AS low, round(hi.q, 6) AS high FROM lo JOIN hi USING (status)")
 def _(spark, d):
     """Clopper-Pearson bounds by beta quantiles."""
     t = persons(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("k")).withColumn("n", F.sum("k").over(D.whole()))
@@ -58,7 +54,7 @@ def _(spark, d):
     return t.select("status", r(low("k", "n"), 6).alias("low"), r(high("k", "n"), 6).alias("high"))
 
 
-@query("ci_variance")
+@query("ci_variance", f"WITH RECURSIVE {PERSONS}, s AS (SELECT grp, count(*) AS n, var_samp(x) AS v FROM persons GROUP BY 1), {Q.bisected('a', 's', ['grp'], Q.chi2_upper('q', '(n - 1)') + ' <= 0.025', '0', '2 * n + 50')}, {Q.bisected('b', 's', ['grp'], Q.chi2_upper('q', '(n - 1)') + ' <= 0.975', '0', '2 * n + 50')} SELECT grp, round(v, 4) AS var, round((n - 1) * v / a.q, 4) AS low, round((n - 1) * v / b.q, 4) AS high FROM s JOIN a USING (grp) JOIN b USING (grp)")
 def _(spark, d):
     s = K.group_stats(persons(spark, d), "x", "grp")
     q = F.udf(lambda p, n: P.chi2_ppf(p, n - 1.0), "double")
@@ -92,17 +88,19 @@ def _(spark, d):
     return _pairs(spark, d).select(c("grpa").alias("a"), c("grpb").alias("b"), (gap <= Z * (F.sqrt(x) + F.sqrt(y))).alias("overlap"), (gap > Z * F.sqrt(x + y)).alias("differ"))
 
 
-@query("t_one_sample", f"WITH {PERSONS} SELECT count(*) AS n, round((avg(x) - 250) / (stddev_samp(x) / sqrt(count(*))), 6) AS t, round((avg(x) - 250) / stddev_samp(x), 6) AS d FROM persons")
+@query("t_one_sample", f"WITH {PERSONS}, s AS (SELECT count(*) AS n, (avg(x) - 250) / (stddev_samp(x) / sqrt(count(*))) AS t, (avg(x) - 250) / stddev_samp(x) AS d FROM persons) SELECT n, round(t, 6) AS t, round(d, 6) AS d, round({Q.t_two_sided('t', '(n - 1)')}, 6) AS p FROM s")
 def _(spark, d):
-    return persons(spark, d).agg(F.count("x").alias("n"), r((F.avg("x") - 250) / (F.stddev_samp("x") / F.sqrt(F.count("x"))), 6).alias("t"), r((F.avg("x") - 250) / F.stddev_samp("x"), 6).alias("d"))
+    s = persons(spark, d).agg(F.count("x").alias("n"), ((F.avg("x") - 250) / (F.stddev_samp("x") / F.sqrt(F.count("x")))).alias("t"), ((F.avg("x") - 250) / F.stddev_samp("x")).alias("d"))
+    return s.select("n", r("t", 6).alias("t"), r("d", 6).alias("d"), r(P.t_two_sided(c("t"), c("n") - 1), 6).alias("p"))
 
 
-@query("t_two_sample", f"{TWO}, e AS (SELECT *, va / na AS ea, vb / nb AS eb, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS pv FROM s) SELECT round(ma - mb, 6) AS diff, round((ma - mb) / sqrt(ea + eb), 6) AS t_welch, round((ea + eb) * (ea + eb) / (ea * ea / (na - 1) + eb * eb / (nb - 1)), 4) AS df_welch, round((ma - mb) / sqrt(pv * (1.0::DOUBLE / na + 1.0::DOUBLE / nb)), 6) AS t_pooled, round((ma - mb) / sqrt(pv), 6) AS d, round((ma - mb) / sqrt(pv) * (1 - 3.0::DOUBLE / (4 * (na + nb) - 9)), 6) AS g FROM e")
+@query("t_two_sample", f"{TWO}, e AS (SELECT *, va / na AS ea, vb / nb AS eb, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS pv FROM s), k AS (SELECT *, (ma - mb) / sqrt(ea + eb) AS tw, (ea + eb) * (ea + eb) / (ea * ea / (na - 1) + eb * eb / (nb - 1)) AS dw, (ma - mb) / sqrt(pv * (1.0::DOUBLE / na + 1.0::DOUBLE / nb)) AS tp FROM e) SELECT round(ma - mb, 6) AS diff, round(tw, 6) AS t_welch, round(dw, 4) AS df_welch, round({Q.t_two_sided('tw', 'dw')}, 6) AS p_welch, round(tp, 6) AS t_pooled, round({Q.t_two_sided('tp', '(na + nb - 2)')}, 6) AS p_pooled, round((ma - mb) / sqrt(pv), 6) AS d, round((ma - mb) / sqrt(pv) * (1 - 3.0::DOUBLE / (4 * (na + nb) - 9)), 6) AS g FROM k")
 def _(spark, d):
-    return same(K.t_test(two(spark, d))).select("diff", "t_welch", F.round("df_welch", 4).alias("df_welch"), "t_pooled", "d", "g")
+    t = K.t_test(two(spark, d))
+    return rounded(t.withColumn("p_pooled", P.t_two_sided(c("t_pooled"), c("na") + c("nb") - 2)), 6).select("diff", "t_welch", F.round("df_welch", 4).alias("df_welch"), "p_welch", "t_pooled", "p_pooled", "d", "g")
 
 
-@query("with_p_values")
+@query("with_p_values", f"SELECT test, round(stat, 6) AS stat, round(p, 6) AS p FROM (SELECT 'welch t' AS test, t_welch AS stat, p_welch AS p FROM ({{t_two_sample}}) UNION ALL SELECT 'anova', f, p FROM ({{anova_one_way}}) UNION ALL SELECT 'kruskal', h, p FROM ({{kruskal_wallis}}) UNION ALL SELECT 'mann-whitney', z, p FROM ({{mann_whitney}}) UNION ALL SELECT 'alexander-govern', chi2, p FROM ({{alexander_govern}}))")
 def _(spark, d):
     """p-values of several tests from their statistics, by upper tails taken directly."""
     p = persons(spark, d)
@@ -110,29 +108,32 @@ def _(spark, d):
             ("mann-whitney", K.mann_whitney(p, "x", "grp", *AB).select(c("z").alias("stat"), "p")), ("alexander-govern", K.alexander_govern(p, "x", "grp").select(c("chi2").alias("stat"), "p"))]
     out = None
     for name, df in rows:
-        one = df.select(F.lit(name).alias("test"), r("stat", 6).alias("stat"), "p")
+        one = df.select(F.lit(name).alias("test"), r("stat", 6).alias("stat"), r("p", 6).alias("p"))
         out = one if out is None else out.union(one)
     return out
 
 
-@query("f_two_variances", f"{TWO} SELECT round(va / vb, 6) AS f, na - 1 AS df1, nb - 1 AS df2 FROM s")
+@query("f_two_variances", f"{TWO}, k AS (SELECT va / vb AS f, na - 1 AS df1, nb - 1 AS df2 FROM s), u AS (SELECT *, {Q.f_upper('f', 'df1', 'df2')} AS up FROM k) SELECT round(f, 6) AS f, df1, df2, round(2 * least(up, 1 - up), 6) AS p FROM u")
 def _(spark, d):
-    return two(spark, d).select(r(c("va") / c("vb"), 6).alias("f"), (c("na") - 1).alias("df1"), (c("nb") - 1).alias("df2"))
+    t = two(spark, d).select((c("va") / c("vb")).alias("f"), (c("na") - 1).alias("df1"), (c("nb") - 1).alias("df2"))
+    up, down = P.f_upper(c("f"), c("df1"), c("df2")), P.f_upper(1 / c("f"), c("df2"), c("df1"))
+    return t.select(r("f", 6).alias("f"), "df1", "df2", r(2 * F.least(up, down), 6).alias("p"))
 
 
-@query("z_one_proportion", f"WITH {PERSONS}, s AS (SELECT CAST(count(*) FILTER (status = 'F') AS DOUBLE) / count(*) AS p, count(*) AS n FROM persons) SELECT round((p - 0.5) / sqrt(0.25 / n), 6) AS z, round(2 * asin(sqrt(p)) - 2 * asin(sqrt(0.5)), 6) AS h FROM s")
+@query("z_one_proportion", f"WITH {PERSONS}, s AS (SELECT CAST(count(*) FILTER (status = 'F') AS DOUBLE) / count(*) AS p, count(*) AS n FROM persons) SELECT round((p - 0.5) / sqrt(0.25 / n), 6) AS z, round(2 * asin(sqrt(p)) - 2 * asin(sqrt(0.5)), 6) AS h, round({Q.normal_two_sided('(p - 0.5) / sqrt(0.25 / n)')}, 6) AS p_value FROM s")
 def _(spark, d):
     s = persons(spark, d).agg((F.count_if(c("status") == "F") / F.count(F.lit(1))).alias("p"), F.count(F.lit(1)).alias("n"))
-    return s.select(r((c("p") - 0.5) / F.sqrt(0.25 / c("n")), 6).alias("z"), r(2 * F.asin(F.sqrt("p")) - 2 * F.asin(F.sqrt(F.lit(0.5))), 6).alias("h"))
+    return s.select(r((c("p") - 0.5) / F.sqrt(0.25 / c("n")), 6).alias("z"), r(2 * F.asin(F.sqrt("p")) - 2 * F.asin(F.sqrt(F.lit(0.5))), 6).alias("h"), r(P.normal_two_sided((c("p") - 0.5) / F.sqrt(0.25 / c("n"))), 6).alias("p_value"))
 
 
-@query("z_two_proportions", f"{PAIRS} SELECT a.grp AS a, b.grp AS b, round((a.p - b.p) / sqrt((a.p * a.n + b.p * b.n) / (a.n + b.n) * (1 - (a.p * a.n + b.p * b.n) / (a.n + b.n)) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 6) AS z, round(2 * asin(sqrt(a.p)) - 2 * asin(sqrt(b.p)), 6) AS h FROM g a JOIN g b ON a.grp < b.grp")
+@query("z_two_proportions", f"{PAIRS}, k AS (SELECT a.grp AS a, b.grp AS b, a.p AS pa, b.p AS pb, (a.p - b.p) / sqrt((a.p * a.n + b.p * b.n) / (a.n + b.n) * (1 - (a.p * a.n + b.p * b.n) / (a.n + b.n)) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS z FROM g a JOIN g b ON a.grp < b.grp) SELECT a, b, round(z, 6) AS z, round(2 * asin(sqrt(pa)) - 2 * asin(sqrt(pb)), 6) AS h, round({Q.normal_two_sided('z')}, 6) AS p FROM k")
 def _(spark, d):
     q = (c("pa") * c("na") + c("pb") * c("nb")) / (c("na") + c("nb"))
-    return _pairs(spark, d).select(c("grpa").alias("a"), c("grpb").alias("b"), r((c("pa") - c("pb")) / F.sqrt(q * (1 - q) * (1 / c("na") + 1 / c("nb"))), 6).alias("z"), r(2 * F.asin(F.sqrt("pa")) - 2 * F.asin(F.sqrt("pb")), 6).alias("h"))
+    t = _pairs(spark, d).withColumn("z", (c("pa") - c("pb")) / F.sqrt(q * (1 - q) * (1 / c("na") + 1 / c("nb"))))
+    return t.select(c("grpa").alias("a"), c("grpb").alias("b"), r("z", 6).alias("z"), r(2 * F.asin(F.sqrt("pa")) - 2 * F.asin(F.sqrt("pb")), 6).alias("h"), r(P.normal_two_sided(c("z")), 6).alias("p"))
 
 
-@query("normal_probability")
+@query("normal_probability", f"WITH {PERSONS}, m AS (SELECT avg(x) AS m, stddev_samp(x) AS sd FROM persons), t AS (SELECT ceil(x / 50) * 50 AS b, count(*) AS n FROM persons GROUP BY 1), k AS (SELECT CAST(b AS DOUBLE) AS below, sum(n) OVER (ORDER BY b) / CAST(sum(n) OVER () AS DOUBLE) AS o FROM t) SELECT below, round(o, 6) AS observed, round({Q.normal_lower('(below - m) / sd')}, 6) AS normal FROM k, m")
 def _(spark, d):
     """Share below each round amount under the fitted normal, beside the observed one."""
     p = persons(spark, d)
@@ -157,15 +158,16 @@ def _(spark, d):
     return t.select("a", "b", "n", *[r(100.0 * c("n") / c(k)).alias(v) for k, v in (("row_n", "row_pct"), ("col_n", "col_pct"), ("total", "total_pct"))], r("expected").alias("expected"))
 
 
-@query("chi2_independence", f"WITH {PERSONS}, {CELLS} SELECT round(sum(pow(n - e, 2) / e), 6) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df, round(sqrt(sum(pow(n - e, 2) / e) / (max(total) * (least(count(DISTINCT a), count(DISTINCT b)) - 1))), 6) AS cramer_v, round(avg(CASE WHEN e < 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low_share FROM cells")
+@query("chi2_independence", f"WITH {PERSONS}, {CELLS}, k AS (SELECT sum(pow(n - e, 2) / e) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df, sqrt(sum(pow(n - e, 2) / e) / (max(total) * (least(count(DISTINCT a), count(DISTINCT b)) - 1))) AS v, avg(CASE WHEN e < 5 THEN 1.0::DOUBLE ELSE 0 END) AS low FROM cells) SELECT round(chi2, 6) AS chi2, df, round(v, 6) AS cramer_v, round(low, 6) AS low_share, round({Q.chi2_upper('chi2', 'df')}, 6) AS p FROM k")
 def _(spark, d):
-    return same(K.chi2_independence(K.contingency(persons(spark, d), "seg", "grp")))
+    return rounded(K.chi2_independence(K.contingency(persons(spark, d), "seg", "grp")), 6)
 
 
-@query("chi2_goodness", f"WITH {PERSONS}, t AS (SELECT grp, count(*) AS n FROM persons GROUP BY 1), e AS (SELECT avg(n) AS e FROM t) SELECT round(sum(pow(n - e, 2) / e), 6) AS chi2, count(*) - 1 AS df FROM t, e")
+@query("chi2_goodness", f"WITH {PERSONS}, t AS (SELECT grp, count(*) AS n FROM persons GROUP BY 1), e AS (SELECT avg(n) AS e FROM t), k AS (SELECT sum(pow(n - e, 2) / e) AS chi2, count(*) - 1 AS df FROM t, e) SELECT round(chi2, 6) AS chi2, df, round({Q.chi2_upper('chi2', 'df')}, 6) AS p FROM k")
 def _(spark, d):
     t = persons(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("e", F.avg("n").over(D.whole()))
-    return t.agg(r(F.sum(F.pow(c("n") - c("e"), 2) / c("e")), 6).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
+    t = t.agg(F.sum(F.pow(c("n") - c("e"), 2) / c("e")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
+    return t.select(r("chi2", 6).alias("chi2"), "df", r(P.chi2_upper(c("chi2"), c("df")), 6).alias("p"))
 
 
 def fisher_exact(t):
@@ -185,12 +187,12 @@ def fisher_exact(t):
     return x.agg((F.sum(F.when(c("l") <= c("seen") + c("slack"), w)) / F.sum(w)).alias("p"))
 
 
-@query("fisher_2x2")
+@query("fisher_2x2", f"WITH {PERSONS}, t AS (SELECT count(*) FILTER (status = 'F') AS m1, count(*) FILTER (status <> 'F') AS m0, count(*) FILTER (status = 'F' AND w > 4) AS k, count(*) FILTER (w > 4) AS n FROM persons), i AS (SELECT *, unnest(generate_series(greatest(0, n - m0), least(n, m1))) AS i FROM t), l AS (SELECT i, k, lgamma(m1 + 1) + lgamma(m0 + 1) + lgamma(n + 1) + lgamma(m1 + m0 - n + 1) - lgamma(m1 + m0 + 1) - lgamma(i + 1) - lgamma(m1 - i + 1) - lgamma(n - i + 1) - lgamma(m0 - n + i + 1) AS l FROM i) SELECT round(sum(exp(l)) FILTER (l <= (SELECT l FROM l WHERE i = k) + 1e-7), 8) AS p FROM l")
 def _(spark, d):
     """Two-sided exact p of a 2 x 2 table of all persons: the sum of the chances of all tables no likelier than the one seen."""
     yes, own = c("status") == "F", c("w") > 4
     t = persons(spark, d).agg(F.count_if(yes).alias("m1"), F.count_if(~yes).alias("m0"), F.count_if(yes & own).alias("k"), F.count_if(own).alias("n"))
-    return fisher_exact(t).select(r("p", 9).alias("p"))
+    return fisher_exact(t).select(r("p", 8).alias("p"))
 
 
 RISK = "t AS (SELECT count(*) FILTER (w > 4 AND status = 'F') AS a, count(*) FILTER (w > 4) AS na, count(*) FILTER (w <= 4 AND status = 'F') AS b, count(*) FILTER (w <= 4) AS nb FROM persons), u AS (SELECT CAST(a AS DOUBLE) / na AS ra, CAST(b AS DOUBLE) / nb AS rb FROM t)"
@@ -249,7 +251,7 @@ def _(spark, d):
     return rounded(K.ks_two_sample(persons(spark, d), "x", "grp", *AB), 6)
 
 
-@query("ks_one_sample_normal")
+@query("ks_one_sample_normal", f"WITH {PERSONS}, m AS (SELECT avg(x) AS m, stddev_samp(x) AS sd FROM persons), t AS (SELECT x, count(*) AS n FROM persons GROUP BY x), k AS (SELECT x, n, CAST(sum(n) OVER (ORDER BY x) AS DOUBLE) AS upto, sum(n) OVER () AS total FROM t), f AS (SELECT n, upto, total, {Q.normal_lower('((x - m) / sd)')} AS f FROM k, m) SELECT round(max(greatest(abs(f - (upto - n) / total), abs(f - upto / total))), 6) AS d FROM f")
 def _(spark, d):
     """d: the largest gap to the fitted normal."""
     p = persons(spark, d)
@@ -270,11 +272,11 @@ def anova_sql(source: str, x: str, g: str) -> str:
     return f"s AS (SELECT {g} AS g, count(*) AS n, avg({x}) AS m, var_samp({x}) AS v FROM {source} GROUP BY 1), a AS (SELECT sum(n) AS nn, count(*) AS k, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS sb, sum((n - 1) * v) AS sw FROM s)"
 
 
-AOV = "round(sb, 4) AS ss_between, round(sw, 2) AS ss_within, k - 1 AS df1, CAST(nn - k AS BIGINT) AS df2, round(sb / (k - 1) / (sw / (nn - k)), 6) AS f, round(sb / (sb + sw), 6) AS eta2, round((sb - (k - 1) * sw / (nn - k)) / (sb + sw + sw / (nn - k)), 6) AS omega2"
+AOV = "round(sb, 4) AS ss_between, round(sw, 2) AS ss_within, k - 1 AS df1, CAST(nn - k AS BIGINT) AS df2, round(sb / (k - 1) / (sw / (nn - k)), 6) AS f, round(sb / (sb + sw), 6) AS eta2, round((sb - (k - 1) * sw / (nn - k)) / (sb + sw + sw / (nn - k)), 6) AS omega2, round(" + Q.f_upper("(sb / (k - 1) / (sw / (nn - k)))", "(k - 1)", "(nn - k)") + ", 6) AS p"
 
 
 def _aov(df):
-    return df.select(r("ss_between").alias("ss_between"), r("ss_within", 2).alias("ss_within"), "df1", c("df2").cast("long").alias("df2"), r("f", 6).alias("f"), r("eta2", 6).alias("eta2"), r("omega2", 6).alias("omega2"))
+    return df.select(r("ss_between").alias("ss_between"), r("ss_within", 2).alias("ss_within"), "df1", c("df2").cast("long").alias("df2"), r("f", 6).alias("f"), r("eta2", 6).alias("eta2"), r("omega2", 6).alias("omega2"), r("p", 6).alias("p"))
 
 
 @query("anova_one_way", f"WITH {PERSONS}, {anova_sql('persons', 'x', 'grp')} SELECT {AOV} FROM a")
@@ -287,19 +289,19 @@ def _(spark, d):
     return _aov(K.levene(persons(spark, d), "x", "grp"))
 
 
-@query("welch_anova", f"WITH {PERSONS}, s AS (SELECT grp, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY 1), w AS (SELECT *, n / v AS w, sum(n / v) OVER () AS sw, sum(n / v * m) OVER () / sum(n / v) OVER () AS g FROM s), t AS (SELECT CAST(count(*) AS DOUBLE) AS k, sum(w * pow(m - g, 2)) AS a, sum(pow(1 - w / sw, 2) / (n - 1)) AS b FROM w) SELECT round(a / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * b), 6) AS f, CAST(k - 1 AS BIGINT) AS df1, round((k * k - 1) / (3 * b), 4) AS df2 FROM t")
+@query("welch_anova", f"WITH {PERSONS}, s AS (SELECT grp, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY 1), w AS (SELECT *, n / v AS w, sum(n / v) OVER () AS sw, sum(n / v * m) OVER () / sum(n / v) OVER () AS g FROM s), t AS (SELECT CAST(count(*) AS DOUBLE) AS k, sum(w * pow(m - g, 2)) AS a, sum(pow(1 - w / sw, 2) / (n - 1)) AS b FROM w), h AS (SELECT a / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * b) AS f, k - 1 AS df1, (k * k - 1) / (3 * b) AS df2 FROM t) SELECT round(f, 6) AS f, CAST(df1 AS BIGINT) AS df1, round(df2, 4) AS df2, round({Q.f_upper('f', 'df1', 'df2')}, 6) AS p FROM h")
 def _(spark, d):
-    return K.welch_anova(persons(spark, d), "x", "grp").select(r("f", 6).alias("f"), "df1", r("df2").alias("df2"))
+    return K.welch_anova(persons(spark, d), "x", "grp").select(r("f", 6).alias("f"), "df1", r("df2").alias("df2"), r("p", 6).alias("p"))
 
 
-@query("alexander_govern")
+@query("alexander_govern", f"WITH {PERSONS}, s AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY 1), g AS (SELECT *, sum(n / v * m) OVER () / sum(n / v) OVER () AS grand FROM s), t AS (SELECT n - 1.5 AS a, (m - grand) / sqrt(v / n) AS t, n - 1 AS v FROM g), q AS (SELECT 48 * a * a AS b, sqrt(a * ln(1 + t * t / v)) AS q FROM t), z AS (SELECT q + (q ** 3 + 3 * q) / b - (4 * q ** 7 + 33 * q ** 5 + 240 * q ** 3 + 855 * q) / (10 * b * b + 8 * b * q ** 4 + 1000 * b) AS z FROM q), k AS (SELECT sum(z * z) AS chi2, count(*) - 1 AS df FROM z) SELECT round(chi2, 6) AS chi2, df, round({Q.chi2_upper('chi2', 'df')}, 6) AS p FROM k")
 def _(spark, d):
-    return rounded(K.alexander_govern(persons(spark, d), "x", "grp"), 8)
+    return rounded(K.alexander_govern(persons(spark, d), "x", "grp"), 6)
 
 
-@query("bartlett", f"WITH {PERSONS}, s AS (SELECT grp, count(*) AS n, var_samp(x) AS v FROM persons GROUP BY 1), t AS (SELECT sum(n - 1) AS v, count(*) AS k, sum((n - 1) * v) AS ss, sum((n - 1) * ln(v)) AS l, sum(1.0::DOUBLE / (n - 1)) AS rr, max(v) / min(v) AS ratio FROM s) SELECT round((v * ln(ss / v) - l) / (1 + (rr - 1.0::DOUBLE / v) / (3 * (k - 1))), 6) AS chi2, k - 1 AS df, round(ratio, 6) AS ratio FROM t")
+@query("bartlett", f"WITH {PERSONS}, s AS (SELECT grp, count(*) AS n, var_samp(x) AS v FROM persons GROUP BY 1), t AS (SELECT sum(n - 1) AS v, count(*) AS k, sum((n - 1) * v) AS ss, sum((n - 1) * ln(v)) AS l, sum(1.0::DOUBLE / (n - 1)) AS rr, max(v) / min(v) AS ratio FROM s), h AS (SELECT (v * ln(ss / v) - l) / (1 + (rr - 1.0::DOUBLE / v) / (3 * (k - 1))) AS chi2, k - 1 AS df, ratio FROM t) SELECT round(chi2, 6) AS chi2, df, round(ratio, 6) AS ratio, round({Q.chi2_upper('chi2', 'df')}, 6) AS p FROM h")
 def _(spark, d):
-    return same(K.bartlett(persons(spark, d), "x", "grp"))
+    return rounded(K.bartlett(persons(spark, d), "x", "grp"), 6)
 
 
 @query("variance_ratio", f"WITH {PERSONS}, s AS (SELECT seg, var_samp(x) AS v FROM persons GROUP BY 1) SELECT round(max(v) / min(v), 6) AS ratio FROM s")
@@ -307,11 +309,13 @@ def _(spark, d):
     return K.group_stats(persons(spark, d), "x", "seg").agg(r(F.max("var") / F.min("var"), 6).alias("ratio"))
 
 
-@query("simple_effects", f"WITH {PERSONS}, s AS (SELECT seg, grp, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY ALL), e AS (SELECT sum((n - 1) * v) / sum(n - 1) AS mse FROM s) SELECT seg, round((sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / (count(*) - 1) / (SELECT mse FROM e), 6) AS f, count(*) - 1 AS df1 FROM s GROUP BY seg")
+@query("simple_effects", f"WITH {PERSONS}, s AS (SELECT seg, grp, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY ALL), e AS (SELECT sum((n - 1) * v) / sum(n - 1) AS mse, CAST(sum(n - 1) AS BIGINT) AS dfe FROM s), k AS (SELECT seg, (sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / (count(*) - 1) / (SELECT mse FROM e) AS f, count(*) - 1 AS df1, (SELECT dfe FROM e) AS df2 FROM s GROUP BY seg) SELECT seg, round(f, 6) AS f, df1, df2, round({Q.f_upper('f', 'df1', 'df2')}, 6) AS p FROM k")
 def _(spark, d):
     s = persons(spark, d).groupBy("seg", "grp").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"))
-    s = s.withColumn("mse", F.sum((c("n") - 1) * c("v")).over(D.whole()) / F.sum(c("n") - 1).over(D.whole()))
-    return s.groupBy("seg", "mse").agg(F.sum(c("n") * c("m") * c("m")).alias("q"), F.sum(c("n") * c("m")).alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).select("seg", r((c("q") - c("t") * c("t") / c("n")) / (c("k") - 1) / c("mse"), 6).alias("f"), (c("k") - 1).alias("df1"))
+    s = s.withColumn("df2", F.sum(c("n") - 1).over(D.whole())).withColumn("mse", F.sum((c("n") - 1) * c("v")).over(D.whole()) / c("df2"))
+    s = s.groupBy("seg", "mse", "df2").agg(F.sum(c("n") * c("m") * c("m")).alias("q"), F.sum(c("n") * c("m")).alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    s = s.withColumn("f", (c("q") - c("t") * c("t") / c("n")) / (c("k") - 1) / c("mse")).withColumn("df1", c("k") - 1)
+    return s.select("seg", r("f", 6).alias("f"), "df1", "df2", r(P.f_upper(c("f"), c("df1"), c("df2")), 6).alias("p"))
 
 
 POST = f"WITH {PERSONS}, s AS (SELECT grp, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY 1), e AS (SELECT sum((n - 1) * v) / sum(n - 1) AS mse FROM s)"
@@ -324,18 +328,23 @@ def _posthoc(spark, d):
     return a.join(b, c("a") < c("b")).withColumn("diff", c("ma") - c("mb")).withColumn("t", c("diff") / F.sqrt(c("mse") * (1 / c("na") + 1 / c("nb"))))
 
 
-@query("posthoc_pairs", f"{POST} SELECT a.grp AS a, b.grp AS b, round(a.m - b.m, 4) AS diff, round((a.m - b.m) / sqrt(mse * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 6) AS t, round(abs(a.m - b.m) / sqrt(mse * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) * sqrt(2), 6) AS q FROM s a JOIN s b ON a.grp < b.grp, e")
+def _adjusted(p):
+    """Pairs with raw, Bonferroni, Scheffe and Holm p-values."""
+    p = p.withColumn("raw", P.t_two_sided(c("t"), c("dfe"))).withColumn("bonferroni", F.least(F.lit(1.0), c("k") * (c("k") - 1) / 2 * c("raw")))
+    return K.holm(p.withColumn("scheffe", P.f_upper(c("t") * c("t") / (c("k") - 1), c("k") - 1, c("dfe"))), "raw", ["a", "b"])
+
+
+@query("posthoc_pairs", f"{POST}, f AS (SELECT mse, (SELECT sum(n - 1) FROM s) AS dfe, (SELECT count(*) FROM s) AS k FROM e), t AS (SELECT a.grp AS a, b.grp AS b, a.m - b.m AS diff, (a.m - b.m) / sqrt(mse * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS t, dfe, k, k * (k - 1) / 2 AS m FROM s a JOIN s b ON a.grp < b.grp, f), p AS (SELECT *, {Q.t_two_sided('t', 'dfe')} AS raw, {Q.f_upper('(t * t / (k - 1))', '(k - 1)', 'dfe')} AS scheffe FROM t), h AS (SELECT *, row_number() OVER (ORDER BY raw, a, b) AS i FROM p), w AS (SELECT *, max(least(1, (m - i + 1) * raw)) OVER (ORDER BY i) AS holm FROM h) SELECT a, b, round(diff, 4) AS diff, round(t, 6) AS t, round(abs(t) * sqrt(2), 6) AS q, round(raw, 6) AS raw, round(least(1, m * raw), 6) AS bonferroni, round(holm, 6) AS p_holm, round(scheffe, 6) AS scheffe FROM w")
 def _(spark, d):
-    return _posthoc(spark, d).select("a", "b", r("diff").alias("diff"), r("t", 6).alias("t"), r(F.abs("t") * F.sqrt(F.lit(2.0)), 6).alias("q"))
+    p = _adjusted(_posthoc(spark, d))
+    return p.select("a", "b", r("diff").alias("diff"), r("t", 6).alias("t"), r(F.abs("t") * F.sqrt(F.lit(2.0)), 6).alias("q"), *[r(k, 6).alias(k) for k in ("raw", "bonferroni", "p_holm", "scheffe")])
 
 
 @query("posthoc_adjusted")
 def _(spark, d):
     """raw, Bonferroni, Holm, Scheffe and Tukey p-values of each pair, and whether they disagree at 0.05."""
-    p = _posthoc(spark, d).withColumn("raw", P.t_two_sided(c("t"), c("dfe"))).withColumn("m", c("k") * (c("k") - 1) / 2)
-    p = p.withColumn("bonferroni", F.least(F.lit(1.0), c("m") * c("raw"))).withColumn("scheffe", P.f_upper(c("t") * c("t") / (c("k") - 1), c("k") - 1, c("dfe")))
     tukey = F.udf(lambda t, k, v: max(0.0, 1 - P.studentized_range_cdf(abs(t) * 2**0.5, int(k), float(v))), "double")  # ten pairs
-    p = K.holm(p.withColumn("tukey", tukey("t", "k", "dfe")), "raw", ["a", "b"])
+    p = _adjusted(_posthoc(spark, d)).withColumn("tukey", tukey("t", "k", "dfe"))
     five = [c(k) < 0.05 for k in ("raw", "bonferroni", "p_holm", "scheffe", "tukey")]
     return p.select("a", "b", *[r(k, 6).alias(k) for k in ("raw", "bonferroni", "p_holm", "scheffe", "tukey")], (F.least(*[x.cast("int") for x in five]) != F.greatest(*[x.cast("int") for x in five])).alias("disagree"))
 
@@ -344,38 +353,40 @@ RANK = "rk AS (SELECT {cols}, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITI
 TIES = "(SELECT sum(CAST(t AS DOUBLE) * t * t - t) FROM (SELECT count(*) AS t FROM {src} GROUP BY x))"
 
 
-@query("mann_whitney", f"WITH {PERSONS}, q AS (SELECT grp, round(x) AS x FROM persons WHERE grp IN ('1-URGENT', '5-LOW')), {RANK.format(cols='grp, x', src='q')}, s AS (SELECT count(*) FILTER (grp = '1-URGENT') AS na, CAST(count(*) FILTER (grp = '5-LOW') AS DOUBLE) AS nb, sum(rk) FILTER (grp = '1-URGENT') AS ra, {TIES.format(src='q')} AS ties FROM rk), u AS (SELECT *, ra - na * (na + 1) / 2.0::DOUBLE AS u, na + nb AS n FROM s) SELECT u, round(sign(u - na * nb / 2) * greatest(abs(u - na * nb / 2) - 0.5, 0) / sqrt(na * nb / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1)))), 6) AS z, round(u / (na * nb), 6) AS p_greater FROM u")
+@query("mann_whitney", f"WITH {PERSONS}, q AS (SELECT grp, x FROM persons WHERE grp IN ('1-URGENT', '5-LOW')), {RANK.format(cols='grp, x', src='q')}, s AS (SELECT count(*) FILTER (grp = '1-URGENT') AS na, CAST(count(*) FILTER (grp = '5-LOW') AS DOUBLE) AS nb, sum(rk) FILTER (grp = '1-URGENT') AS ra, {TIES.format(src='q')} AS ties FROM rk), u AS (SELECT *, ra - na * (na + 1) / 2.0::DOUBLE AS u, na + nb AS n FROM s), z AS (SELECT u, na * nb AS m, sign(u - na * nb / 2) * greatest(abs(u - na * nb / 2) - 0.5, 0) / sqrt(na * nb / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1)))) AS z FROM u) SELECT u, round(z, 6) AS z, round(u / m, 6) AS p_greater, round({Q.normal_two_sided('z')}, 6) AS p FROM z")
 def _(spark, d):
-    return rounded(K.mann_whitney(persons(spark, d).withColumn("x", F.round("x")), "x", "grp", *AB).drop("p"), 6).withColumn("u", c("u").cast("double"))
+    return rounded(K.mann_whitney(persons(spark, d), "x", "grp", *AB), 6).withColumn("u", c("u").cast("double"))
 
 
-@query("kruskal_wallis", f"WITH {PERSONS}, q AS (SELECT grp, round(x) AS x FROM persons), {RANK.format(cols='grp, x', src='q')}, k AS (SELECT grp, count(*) AS n, sum(rk) AS r FROM rk GROUP BY 1), s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS k, sum(r * r / n) AS q, {TIES.format(src='q')} AS ties FROM k), h AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM s) SELECT round(h, 6) AS h, k - 1 AS df, round(greatest(0, (h - k + 1) / (n - k)), 6) AS epsilon2 FROM h")
+@query("kruskal_wallis", f"WITH {PERSONS}, q AS (SELECT grp, x FROM persons), {RANK.format(cols='grp, x', src='q')}, k AS (SELECT grp, count(*) AS n, sum(rk) AS r FROM rk GROUP BY 1), s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS k, sum(r * r / n) AS q, {TIES.format(src='q')} AS ties FROM k), h AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM s) SELECT round(h, 6) AS h, k - 1 AS df, round(greatest(0, (h - k + 1) / (n - k)), 6) AS epsilon2, round({Q.chi2_upper('h', '(k - 1)')}, 6) AS p FROM h")
 def _(spark, d):
-    return same(K.kruskal_wallis(persons(spark, d).withColumn("x", F.round("x")), "x", "grp"))
+    return rounded(K.kruskal_wallis(persons(spark, d), "x", "grp"), 6)
 
 
-PAIRED = "y AS (SELECT psu, round(avg(x) FILTER (year(day) = 1996) - avg(x) FILTER (year(day) = 1997)) AS d FROM persons GROUP BY psu HAVING d IS NOT NULL)"
+PAIRED = "y AS (SELECT psu, round(avg(x) FILTER (year(day) = 1996) - avg(x) FILTER (year(day) = 1997), 6) AS d FROM persons GROUP BY psu HAVING d IS NOT NULL)"
 
 
 def paired(spark, d):
     y = F.year("day")
-    return persons(spark, d).groupBy("psu").agg(F.round(F.avg(F.when(y == 1996, c("x"))) - F.avg(F.when(y == 1997, c("x")))).alias("d"), F.avg(F.when(y == 1996, c("x"))).alias("a"), F.avg(F.when(y == 1997, c("x"))).alias("b")).filter("d IS NOT NULL")
+    return persons(spark, d).groupBy("psu").agg(F.round(F.avg(F.when(y == 1996, c("x"))) - F.avg(F.when(y == 1997, c("x"))), 6).alias("d"), F.avg(F.when(y == 1996, c("x"))).alias("a"), F.avg(F.when(y == 1997, c("x"))).alias("b")).filter("d IS NOT NULL")
 
 
-@query("wilcoxon_signed", f"WITH {PERSONS}, {PAIRED}, q AS (SELECT abs(d) AS x, d > 0 AS up FROM y WHERE d <> 0), {RANK.format(cols='up, x', src='q')}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(rk) FILTER (up) AS wp, sum(rk) FILTER (NOT up) AS wm, {TIES.format(src='q')} AS ties FROM rk) SELECT CAST(n AS BIGINT) AS n, (SELECT count(*) FROM y WHERE d = 0) AS zeros, wp AS w_plus, wm AS w_minus, round(sign(wp - n * (n + 1) / 4) * greatest(abs(wp - n * (n + 1) / 4) - 0.5, 0) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s")
+@query("wilcoxon_signed", f"WITH {PERSONS}, {PAIRED}, q AS (SELECT abs(d) AS x, d > 0 AS up FROM y WHERE d <> 0), {RANK.format(cols='up, x', src='q')}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(rk) FILTER (up) AS wp, sum(rk) FILTER (NOT up) AS wm, {TIES.format(src='q')} AS ties FROM rk) SELECT n, zeros, w_plus, w_minus, round(z, 6) AS z, round({Q.normal_two_sided('z')}, 6) AS p FROM (SELECT CAST(n AS BIGINT) AS n, (SELECT count(*) FROM y WHERE d = 0) AS zeros, wp AS w_plus, wm AS w_minus, sign(wp - n * (n + 1) / 4) * greatest(abs(wp - n * (n + 1) / 4) - 0.5, 0) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)")
 def _(spark, d):
-    return same(K.wilcoxon_signed(paired(spark, d), c("d"))).withColumns({k: c(k).cast("double") for k in ("w_plus", "w_minus")})
+    return rounded(K.wilcoxon_signed(paired(spark, d), c("d")), 6).withColumns({k: c(k).cast("double") for k in ("w_plus", "w_minus")})
 
 
-@query("sign_test", f"WITH {PERSONS}, {PAIRED} SELECT count(*) FILTER (d > 0) AS ups, count(*) FILTER (d < 0) AS downs FROM y")
+@query("sign_test", f"WITH {PERSONS}, {PAIRED}, k AS (SELECT count(*) FILTER (d > 0) AS ups, count(*) FILTER (d < 0) AS downs FROM y) SELECT ups, downs, round(least(1, 2 * list_sum(list_transform(generate_series(0, least(ups, downs)), lambda i: exp(lgamma(ups + downs + 1) - lgamma(i + 1) - lgamma(ups + downs - i + 1) - (ups + downs) * ln(2))))), 6) AS p FROM k")
 def _(spark, d):
-    return paired(spark, d).agg(F.count_if(c("d") > 0).alias("ups"), F.count_if(c("d") < 0).alias("downs"))
+    k = paired(spark, d).agg(F.count_if(c("d") > 0).alias("ups"), F.count_if(c("d") < 0).alias("downs"))
+    return k.withColumn("p", r(F.least(F.lit(1.0), 2 * P.binomial_lower(F.least("ups", "downs"), c("ups") + c("downs"), F.lit(0.5))), 6))
 
 
-@query("paired_vs_independent", f"WITH {PERSONS}, p AS (SELECT psu, avg(x) FILTER (year(day) = 1996) AS a, avg(x) FILTER (year(day) = 1997) AS b FROM persons GROUP BY psu HAVING a IS NOT NULL AND b IS NOT NULL) SELECT round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t_paired, round((avg(a) - avg(b)) / sqrt(var_samp(a) / count(*) + var_samp(b) / count(*)), 6) AS t_independent FROM p")
+@query("paired_vs_independent", f"WITH {PERSONS}, p AS (SELECT psu, avg(x) FILTER (year(day) = 1996) AS a, avg(x) FILTER (year(day) = 1997) AS b FROM persons GROUP BY psu HAVING a IS NOT NULL AND b IS NOT NULL), k AS (SELECT count(*) AS n, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS tp, (avg(a) - avg(b)) / sqrt(var_samp(a) / count(*) + var_samp(b) / count(*)) AS ti FROM p) SELECT round(tp, 6) AS t_paired, round({Q.t_two_sided('tp', '(n - 1)')}, 6) AS p_paired, round(ti, 6) AS t_independent, round({Q.t_two_sided('ti', '(2 * n - 2)')}, 6) AS p_independent FROM k")
 def _(spark, d):
     n, e = F.count(F.lit(1)), c("a") - c("b")
-    return paired(spark, d).agg(r(F.avg(e) / (F.stddev_samp(e) / F.sqrt(n)), 6).alias("t_paired"), r((F.avg("a") - F.avg("b")) / F.sqrt(F.var_samp("a") / n + F.var_samp("b") / n), 6).alias("t_independent"))
+    k = paired(spark, d).agg(n.alias("n"), (F.avg(e) / (F.stddev_samp(e) / F.sqrt(n))).alias("tp"), ((F.avg("a") - F.avg("b")) / F.sqrt(F.var_samp("a") / n + F.var_samp("b") / n)).alias("ti"))
+    return k.select(r("tp", 6).alias("t_paired"), r(P.t_two_sided(c("tp"), c("n") - 1), 6).alias("p_paired"), r("ti", 6).alias("t_independent"), r(P.t_two_sided(c("ti"), 2 * c("n") - 2), 6).alias("p_independent"))
 
 
 @query("pair_association", f"WITH {PERSONS} SELECT seg, round(covar_samp(x, age), 4) AS cov, round(corr(x, age), 6) AS r, round(regr_slope(x, age), 6) AS slope, round(regr_intercept(x, age), 4) AS intercept, round(regr_r2(x, age), 8) AS r2 FROM persons GROUP BY seg")
@@ -383,14 +394,14 @@ def _(spark, d):
     return persons(spark, d).groupBy("seg").agg(r(F.covar_samp("x", "age")).alias("cov"), r(F.corr("x", "age"), 6).alias("r"), r(F.regr_slope("x", "age"), 6).alias("slope"), r(F.regr_intercept("x", "age")).alias("intercept"), r(F.regr_r2("x", "age"), 8).alias("r2"))
 
 
-@query("spearman", f"WITH {PERSONS}, k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY age) + (count(*) OVER (PARTITION BY age) - 1) / 2.0::DOUBLE AS b FROM (SELECT round(x) AS x, age FROM persons)) SELECT round(corr(a, b), 6) AS rho FROM k")
+@query("spearman", f"WITH {PERSONS}, k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY age) + (count(*) OVER (PARTITION BY age) - 1) / 2.0::DOUBLE AS b FROM (SELECT x, age FROM persons)) SELECT round(rho, 6) AS rho, round({Q.t_two_sided('(rho * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)')}, 6) AS p FROM (SELECT corr(a, b) AS rho, CAST(count(*) AS DOUBLE) AS n FROM k)")
 def _(spark, d):
-    return rounded(K.spearman(persons(spark, d).withColumn("x", F.round("x")), "x", "age"), 6)
+    return rounded(K.spearman(persons(spark, d), "x", "age"), 6)
 
 
-@query("auc_exact", f"WITH {PERSONS}, q AS (SELECT status = 'F' AS y, round(x) AS x FROM persons), {RANK.format(cols='y, x', src='q')} SELECT round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0::DOUBLE) / (CAST(count(*) FILTER (y) AS DOUBLE) * count(*) FILTER (NOT y)), 6) AS auc FROM rk")
+@query("auc_exact", f"WITH {PERSONS}, q AS (SELECT status = 'F' AS y, x FROM persons), {RANK.format(cols='y, x', src='q')} SELECT round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0::DOUBLE) / (CAST(count(*) FILTER (y) AS DOUBLE) * count(*) FILTER (NOT y)), 6) AS auc FROM rk")
 def _(spark, d):
-    p = persons(spark, d).withColumn("y", F.when(c("status") == "F", "1").otherwise("0")).withColumn("x", F.round("x"))
+    p = persons(spark, d).withColumn("y", F.when(c("status") == "F", "1").otherwise("0"))
     return K.mann_whitney(p, "x", "y", "1", "0").select(r("p_greater", 6).alias("auc"))
 
 
@@ -407,12 +418,34 @@ def _(spark, d):
     return K.t_test(two(spark, d)).select(r("d", 6).alias("d"), F.when(F.abs("d") < 0.2, "negligible").when(F.abs("d") < 0.5, "small").otherwise("larger").alias("label"))
 
 
+CHOOSE = f"""WITH {PERSONS}, f AS (SELECT CAST(count(DISTINCT grp) AS BIGINT) AS groups, abs(avg(pow((x - m) / s, 3))) AS skew FROM persons, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM persons)),
+small AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM persons GROUP BY grp)), {{tests}},
+k AS (SELECT groups, CASE WHEN skew > 1 AND least < 15 THEN 'kruskal-wallis' WHEN lp < 0.05 THEN 'welch anova' ELSE 'anova' END AS test, CASE WHEN skew > 1 AND least < 15 THEN 'skewed, small groups' WHEN lp < 0.05 THEN 'unequal variances' ELSE 'equal variances' END AS reason FROM f, small, (SELECT p AS lp FROM tl))
+SELECT groups, k.test, reason, round(a.p, 6) AS p, b.test AS alternative, round(b.p, 6) AS p_alternative, (a.p < 0.05) <> (b.p < 0.05) AS conclusion_changes FROM k JOIN tp a ON a.test = k.test JOIN tp b ON b.test = CASE k.test WHEN 'kruskal-wallis' THEN 'anova' ELSE 'kruskal-wallis' END"""
+
+
 @query("choose_test")
 def _(spark, d):
-    """test, reason: chosen by the number of groups, homogeneity of variances and shape."""
+    """The test that fits, why, its p, an alternative with its p, and whether the conclusion at 0.05 depends on the choice.
+
+    Skewed values in groups under 15 ask for ranks, unequal variances (Brown-Forsythe under 0.05) for Welch's form; the
+    alternative to a test of means is that of ranks, and the other way round.
+    """
     p = persons(spark, d)
-    lev = K.levene(p, "x", "grp").select(c("p").alias("p_levene"))
-    shape = p.agg(F.abs(F.skewness("x")).alias("skew"), F.count_distinct("grp").alias("groups"), F.count("x").alias("n"))
-    t = shape.crossJoin(lev)
-    test = F.when(c("groups") == 2, F.when(c("p_levene") < 0.05, "welch t").otherwise("pooled t")).otherwise(F.when((c("skew") > 1) & (c("n") < 30 * c("groups")), "kruskal-wallis").when(c("p_levene") < 0.05, "welch anova").otherwise("anova"))
-    return t.select("groups", test.alias("test"), F.when(c("p_levene") < 0.05, "unequal variances").otherwise("equal variances").alias("reason"))
+    tests = None
+    for name, df in (("anova", K.anova(p, "x", "grp")), ("welch anova", K.welch_anova(p, "x", "grp")), ("kruskal-wallis", K.kruskal_wallis(p, "x", "grp"))):
+        one = df.select(F.lit(name).alias("name"), c("p").alias("p_of"))
+        tests = one if tests is None else tests.union(one)
+    least = p.groupBy("grp").agg(F.count("x").alias("n")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("groups"))
+    t = p.agg(F.abs(F.skewness("x")).alias("skew")).crossJoin(least).crossJoin(K.levene(p, "x", "grp").select(c("p").alias("lp")))
+    ranks, uneven = (c("skew") > 1) & (c("least") < 15), c("lp") < 0.05
+    t = t.select("groups", F.when(ranks, "kruskal-wallis").when(uneven, "welch anova").otherwise("anova").alias("test"), F.when(ranks, "skewed, small groups").when(uneven, "unequal variances").otherwise("equal variances").alias("reason"))
+    t = t.withColumn("alternative", F.when(c("test") == "kruskal-wallis", "anova").otherwise("kruskal-wallis"))
+    own, other = tests.select(c("name").alias("n1"), c("p_of").alias("p")), tests.select(c("name").alias("n2"), c("p_of").alias("p_alternative"))
+    t = t.join(F.broadcast(own), c("test") == c("n1")).join(F.broadcast(other), c("alternative") == c("n2"))  # three rows each
+    return t.select("groups", "test", "reason", r("p", 6).alias("p"), "alternative", r("p_alternative", 6).alias("p_alternative"), ((c("p") < 0.05) != (c("p_alternative") < 0.05)).alias("conclusion_changes"))
+
+
+# the text of a table of tests is that of each test
+ORACLES["with_p_values"] = ORACLES["with_p_values"].format(**{k: ORACLES[k] for k in ("t_two_sample", "anova_one_way", "kruskal_wallis", "mann_whitney", "alexander_govern")})
+ORACLES["choose_test"] = CHOOSE.format(tests="tl AS ({levene_bf}), tp AS (SELECT 'anova' AS test, p FROM ({anova_one_way}) UNION ALL SELECT 'welch anova', p FROM ({welch_anova}) UNION ALL SELECT 'kruskal-wallis', p FROM ({kruskal_wallis}))".format(**{k: ORACLES[k] for k in ("levene_bf", "anova_one_way", "welch_anova", "kruskal_wallis")}))

@@ -8,7 +8,8 @@ from ..functions import distributions as P
 from ..sources import readers as R
 from ..sources import sinks as W
 from .registry import DIRTY, PERSONS, dirty, persons, query, r, table
-from .surveys import cells, direct
+from . import sqltext as Q
+from .surveys import CELLS, cells, direct
 
 c = F.col
 
@@ -32,7 +33,8 @@ def _(spark, d):
     return R.read_delimited_utf8(spark, path)
 
 
-@query("sniff_dialect", "SELECT ';' AS sep, ',' AS dec")
+@query("sniff_dialect", f"""WITH {DIRTY}, t AS (SELECT 'id;amount;age' AS line UNION ALL SELECT id || ';' || amount || ';' || age FROM dirty), s AS (SELECT s AS sep, len(string_split('id;amount;age', s)) - 1 AS n FROM (VALUES (','), (';'), (chr(9)), ('|')) v(s)),
+b AS (SELECT sep FROM s ORDER BY n DESC, sep = ',' DESC LIMIT 1), u AS (SELECT trim(unnest(string_split(line, sep))) AS cell, sep FROM t, b) SELECT any_value(sep) AS sep, CASE WHEN count(*) FILTER (regexp_matches(cell, '^[+-]?[0-9.]*[0-9],[0-9]+$')) > count(*) FILTER (regexp_matches(cell, '^[+-]?[0-9,]*[0-9][.][0-9]+$')) THEN ',' ELSE '.' END AS dec FROM u""")
 def _(spark, d):
     path = W.scratch(spark)
     dirty(spark, d).select("id", "amount", "age").write.csv(path, sep=";", header=True)
@@ -84,7 +86,10 @@ def _(spark, d):
 
 # exact intervals of rates: a population each
 
-@query("poisson_ci")
+POISSON = Q.bisected("lo", "k", ["pop"], Q.gamma_upper("greatest(cases, 1)", "q") + " <= 0.975", "0", "cases + 60") + ", " + Q.bisected("hi", "k", ["pop"], Q.gamma_upper("(cases + 1)", "q") + " <= 0.025", "0", "cases + 60 * sqrt(cases + 1) + 60")
+
+
+@query("poisson_ci", f"WITH RECURSIVE {CELLS}, k AS (SELECT pop, CAST(sum(cases) AS BIGINT) AS cases FROM cells GROUP BY pop), {POISSON} SELECT pop, cases, CASE WHEN cases = 0 THEN 0 ELSE round(lo.q, 4) END AS low, round(hi.q, 4) AS high FROM k JOIN lo USING (pop) JOIN hi USING (pop)")
 def _(spark, d):
     """pop, cases and the exact interval of a count."""
     t = cells(spark, d).groupBy("pop").agg(F.sum("cases").alias("cases"))
@@ -99,12 +104,17 @@ def _fay_feuer(spark, d):
     return t.select("pop", "rate", low("rate", "variance").alias("low"), high("rate", "variance", "w").alias("high"))
 
 
-@query("direct_ci_fay_feuer")
+FAY = f"""{CELLS}, fy AS (SELECT pop, rate AS y, variance AS v, top / 15.0::DOUBLE AS w FROM direct WHERE standard = 'young'), fk AS (SELECT pop, y, v, w, greatest(y * y / v, 1e-9) AS a, (y + w) * (y + w) / (v + w * w) AS b FROM fy WHERE v > 0),
+{Q.bisected("lo", "fk", ["pop"], Q.gamma_upper("a", "q") + " <= 0.975", "0", "a + 60")}, {Q.bisected("hi", "fk", ["pop"], Q.gamma_upper("b", "q") + " <= 0.025", "0", "b + 60 * sqrt(b) + 60")},
+fay AS (SELECT pop, y AS rate, lo.q * v / y AS low, hi.q * (v + w * w) / (y + w) AS high FROM fk JOIN lo USING (pop) JOIN hi USING (pop))"""
+
+
+@query("direct_ci_fay_feuer", f"WITH RECURSIVE {FAY} SELECT pop, round(1000 * rate, 4) AS rate, round(1000 * low, 4) AS low, round(1000 * high, 4) AS high FROM fay")
 def _(spark, d):
     return _fay_feuer(spark, d).select("pop", *[r(1000 * c(k)).alias(k) for k in ("rate", "low", "high")])
 
 
-@query("rate_ratio_ci")
+@query("rate_ratio_ci", f"WITH RECURSIVE {FAY}, s AS (SELECT pop, rate, (ln(high) - ln(low)) / (2 * 1.959963984540054) AS s FROM fay), j AS (SELECT a.pop AS a, b.pop AS b, a.rate / b.rate AS q, sqrt(a.s * a.s + b.s * b.s) AS s FROM s a JOIN s b ON a.pop < b.pop) SELECT a, b, round(q, 6) AS ratio, round(q * exp(-1.959963984540054 * s), 6) AS low, round(q * exp(1.959963984540054 * s), 6) AS high FROM j")
 def _(spark, d):
     """Ratio of two adjusted rates with an interval on the log scale, from the widths of both intervals; every pair of populations, a row per nation on each side."""
     t = _fay_feuer(spark, d).withColumn("s", (F.ln("high") - F.ln("low")) / (2 * 1.959963984540054))

@@ -14,12 +14,16 @@ from ..functions.scalars import hash_uniform
 from ..operators import compare as K
 from ..operators import describe as D
 from ..operators import models as M
+from ..functions import distributions as P
 from ..operators import order as O
-from ..operators import survey as V
-from .registry import PERSONS, persons, query, r, table
+from ..operators import resample as B
+from . import sqltext as Q
+from .registry import ORACLES, PERSONS, persons, query, r, rounded, table
+from .surveys import HASH, drawn_sql
 
 c = F.col
 XS = ["l_quantity", "l_discount", "p_size"]
+LX = {"l_quantity": "l_quantity", "l_discount": "l_discount", "p_size": "p_size", "y": "y"}
 LINES = "li AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS y, l_quantity, l_discount, CAST(p_size AS DOUBLE) AS p_size, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
@@ -27,27 +31,59 @@ def lines(spark, d):
     return table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).select("l_orderkey", "l_linenumber", (c("l_extendedprice") / 1000).alias("y"), "l_quantity", "l_discount", c("p_size").cast("double").alias("p_size"), "l_returnflag")
 
 
+def fitted_sql(name: str = "g", y: str = "y", source: str = "li", where: str = "true") -> Q.Sweeps:
+    """The regression of y on the three columns, swept."""
+    return Q.Sweeps(name, source, {**{k: k for k in XS}, "y": y}, where).sweep(*XS)
+
+
+def linear_sql(g: Q.Sweeps, coef: str = "k") -> str:
+    return f"({coef}.c{len(XS)} + " + " + ".join(f"{coef}.{g.at(x, 'y')} * ({x} - {coef}.c{i})" for i, x in enumerate(XS)) + ")"
+
+
+def one_row(g: Q.Sweeps) -> str:
+    """The last sweep beside the centres, as k."""
+    return f"(SELECT * FROM {g.last}, {g.name}_c) k"
+
+
 @query("ols_simple", f"WITH {LINES} SELECT round(regr_intercept(y, l_quantity), 6) AS intercept, round(regr_slope(y, l_quantity), 6) AS slope, round(regr_r2(y, l_quantity), 6) AS r2, count(*) AS n FROM li")
 def _(spark, d):
     f = M.ols(M.gram(lines(spark, d), ["l_quantity"], "y"))
     return spark.createDataFrame([(float(f.beta[0]), float(f.beta[1]), f.r2, f.n)], "intercept double, slope double, r2 double, n long").select(r("intercept", 6).alias("intercept"), r("slope", 6).alias("slope"), r("r2", 6).alias("r2"), "n")
 
 
-@query("ols")
+_G = fitted_sql()
+_S = f"(k.{_G.at('y', 'y')} / (n - {len(XS) + 1}))"
+_XX = " + ".join(f"k.c{i} * k.c{j} * -k.{_G.at(a, b)}" for i, a in enumerate(XS) for j, b in enumerate(XS))
+OLS = " UNION ALL ".join([f"SELECT '(constant)' AS term, c{len(XS)} - (" + " + ".join(f"{_G.at(x, 'y')} * c{i}" for i, x in enumerate(XS)) + f") AS b, sqrt({_S} * (1 / n + {_XX})) AS se, NULL::DOUBLE AS vif, n - {len(XS) + 1} AS df FROM {one_row(_G)}",
+                         *[f"SELECT '{x}', k.{_G.at(x, 'y')}, sqrt({_S} * -k.{_G.at(x, x)}), -k.{_G.at(x, x)} * z.{_G.at(x, x)}, n - {len(XS) + 1} FROM {one_row(_G)}, {_G.name}_0 z" for x in XS]])
+
+
+@query("ols", f"WITH RECURSIVE {LINES}, {_G.text}, o AS ({OLS}), d AS (SELECT DISTINCT 1 AS one, df FROM o), {Q.bisected('tq', 'd', ['one'], Q.t_two_sided('q', 'df') + ' <= 0.05', '0', '200')} SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round(b / se, 4) AS t, round({Q.t_two_sided('(b / se)', 'df')}, 6) AS p, round(b - q * se, 5) AS low, round(b + q * se, 5) AS high, round(vif, 6) AS vif FROM o, tq")
 def _(spark, d):
-    return M.coefficients(spark, M.gram(lines(spark, d), XS, "y"))
+    t = M.coefficients(spark, M.gram(lines(spark, d), XS, "y"))
+    return t.select("term", r("estimate", 6).alias("estimate"), r("se", 6).alias("se"), r("t").alias("t"), r("p", 6).alias("p"), r("low", 5).alias("low"), r("high", 5).alias("high"), r("vif", 6).alias("vif"))
+
 
+_N = ["l_quantity", "l_discount", "p_size", "noise0", "noise1", "noise2"]
+_NOISE = "nz AS (SELECT *, " + ", ".join(HASH.format(s=f"n{k}", u="l_orderkey || ':' || l_linenumber") + f" AS noise{k}" for k in range(3)) + " FROM li)"
+_NG = Q.Sweeps("g", "nz", {**{k: k for k in _N}, "y": "y"}).sweep(*_N)
+NESTED = " UNION ALL ".join(f"SELECT {k} AS predictors, {_NG.at('y', 'y').join(['g_%d.' % k, ''])} AS rss, g_0.{_NG.at('y', 'y')} AS tss, n FROM g_{k}, g_0, g_c" for k in range(1, 7))
 
-@query("nested_models")
+
+@query("nested_models", f"WITH {LINES}, {_NOISE}, {_NG.text}, t AS ({NESTED}), u AS (SELECT *, predictors AS k, n - predictors - 1 AS df FROM t) SELECT predictors, n, round(1 - rss / tss, 8) AS r2, round(1 - rss / tss * (n - 1) / df, 8) AS adj_r2, round((tss - rss) / k / (rss / df), 3) AS f, round(sqrt(rss / df), 6) AS sigma, round(n * ln(rss / n) + 2 * (k + 1), 3) AS aic, round(n * ln(rss / n) + ln(n) * (k + 1), 3) AS bic FROM u")
 def _(spark, d):
     """Models of growing size, with three columns of hash noise, from one Gram matrix."""
     noisy = lines(spark, d).withColumns({f"noise{k}": hash_uniform(f"n{k}", "l_orderkey", "l_linenumber") for k in range(3)})
-    g = M.gram(noisy, [*XS, "noise0", "noise1", "noise2"], "y")
+    g = M.gram(noisy, _N, "y")
     rows = [(k, *[float(v) for v in M.fit_summary(M.ols(g.drop([x for x in g.names[:-1] if x not in g.names[:k]]))).values()]) for k in range(1, 7)]
-    return spark.createDataFrame(rows, "predictors int, n double, r2 double, adj_r2 double, f double, sigma double, aic double, bic double")
+    t = spark.createDataFrame(rows, "predictors int, n double, r2 double, adj_r2 double, f double, sigma double, aic double, bic double")
+    return t.select("predictors", "n", r("r2", 8).alias("r2"), r("adj_r2", 8).alias("adj_r2"), r("f", 3).alias("f"), r("sigma", 6).alias("sigma"), r("aic", 3).alias("aic"), r("bic", 3).alias("bic"))
+
 
+_TT = fitted_sql("g", "y", "tt", "u < 0.7")
 
-@query("train_test_r2")
+
+@query("train_test_r2", f"WITH {LINES}, tt AS (SELECT *, {HASH.format(s='tt', u="l_orderkey || ':' || l_linenumber")} AS u FROM li), {_TT.text}, e AS (SELECT CASE WHEN u < 0.7 THEN 'train' ELSE 'test' END AS part, y, y - {linear_sql(_TT)} AS e FROM tt, {one_row(_TT)}) SELECT part, count(*) AS n, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM e GROUP BY part")
 def _(spark, d):
     t = lines(spark, d).withColumn("u", hash_uniform("tt", "l_orderkey", "l_linenumber"))
     f = M.ols(M.gram(t.filter("u < 0.7"), XS, "y"))
@@ -55,11 +91,15 @@ def _(spark, d):
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), r(1 - F.sum(c("e") * c("e")) / (F.var_pop("y") * F.count(F.lit(1))), 6).alias("r2"))
 
 
-@query("log_effects")
+_LG = fitted_sql("g", "ln(y)")
+
+
+@query("log_effects", f"WITH {LINES}, {_LG.text} " + " UNION ALL ".join(f"SELECT '{x}' AS term, round({_LG.at(x, 'y')}, 8) AS estimate, round(100 * (exp({_LG.at(x, 'y')}) - 1), 6) AS percent FROM {_LG.last}" for x in XS))
 def _(spark, d):
     """Percent effects of a model of the logarithm."""
     f = M.ols(M.gram(lines(spark, d).withColumn("ly", F.ln("y")), XS, "ly"))
-    return spark.createDataFrame([(n, float(b), float(100 * (np.exp(b) - 1))) for n, b in zip(f.names[1:], f.beta[1:], strict=True)], "term string, estimate double, percent double")
+    t = spark.createDataFrame([(n, float(b), float(100 * (np.exp(b) - 1))) for n, b in zip(f.names[1:], f.beta[1:], strict=True)], "term string, estimate double, percent double")
+    return t.select("term", r("estimate", 8).alias("estimate"), r("percent", 6).alias("percent"))
 
 
 def _fitted(spark, d):
@@ -67,20 +107,25 @@ def _fitted(spark, d):
     return t, M.ols(M.gram(t, XS, "y"))
 
 
-@query("residual_diagnostics")
+_H = "(1 / k.n + " + " + ".join(f"-k.{_G.at(a, b)} * ({a} - k.c{i}) * ({b} - k.c{j})" for i, a in enumerate(XS) for j, b in enumerate(XS)) + ")"
+DIAG = f"di AS (SELECT l_orderkey, l_linenumber, n, fit, y - fit AS e, h, (y - fit) / sqrt(s2 * (1 - h)) AS z FROM (SELECT li.*, k.n, {linear_sql(_G)} AS fit, {_H} AS h, k.{_G.at('y', 'y')} / (k.n - 4) AS s2 FROM li, {one_row(_G)})), co AS (SELECT *, z * z * h / (1 - h) / 4 AS cook FROM di)"
+
+
+@query("residual_diagnostics", f"WITH {LINES}, {_G.text}, {DIAG} SELECT l_orderkey, l_linenumber, round(fit, 6) AS fitted, round(e, 6) AS residual, round(h, 9) AS leverage, round(z, 6) AS standardized, round(cook, 9) AS cook, cook > 4 / n AS influential FROM co")
 def _(spark, d):
     t, f = _fitted(spark, d)
     return M.diagnostics(t, f, "y").select("l_orderkey", "l_linenumber", r("fitted", 6).alias("fitted"), r("residual", 6).alias("residual"), r("leverage", 9).alias("leverage"), r("standardized", 6).alias("standardized"), r("cook", 9).alias("cook"), (c("cook") > 4 / f.n).alias("influential"))
 
 
-@query("breusch_pagan")
+_BP = fitted_sql("b", "e2", "er")
+
+
+@query("breusch_pagan", f"WITH {LINES}, {_G.text}, er AS (SELECT li.*, pow(y - {linear_sql(_G)}, 2) AS e2 FROM li, {one_row(_G)}), {_BP.text}, t AS (SELECT b_c.n * (1 - {_BP.last}.{_BP.at('y', 'y')} / b_0.{_BP.at('y', 'y')}) AS lm FROM {_BP.last}, b_0, b_c) SELECT round(lm, 4) AS lm, 3 AS df, round({Q.chi2_upper('lm', '3')}, 6) AS p FROM t")
 def _(spark, d):
     t, f = _fitted(spark, d)
     e2 = t.withColumn("e2", F.pow(c("y") - M.linear(f), 2))
     h = M.ols(M.gram(e2, XS, "e2"))
-    from ..functions import distributions as P
-
-    return spark.createDataFrame([(float(h.n * h.r2), len(XS))], "lm double, df int").withColumn("p", P.chi2_upper(c("lm"), c("df")))
+    return spark.createDataFrame([(float(h.n * h.r2), len(XS))], "lm double, df int").select(r("lm").alias("lm"), "df", r(P.chi2_upper(c("lm"), c("df")), 6).alias("p"))
 
 
 @query("durbin_watson", "WITH o AS (SELECT l_extendedprice / 1000 - avg(l_extendedprice / 1000) OVER () AS e, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem), p AS (SELECT e, lag(e) OVER (ORDER BY i) AS b FROM o) SELECT round(sum(pow(e - b, 2)) / sum(e * e), 6) AS dw FROM p")
@@ -92,23 +137,54 @@ def _(spark, d):
     return i.join(before, "row_index", "left").agg(r(F.sum(F.pow(c("e") - c("b"), 2)) / F.sum(c("e") * c("e")), 6).alias("dw"))
 
 
-@query("refit_without_top_case")
+_WO = fitted_sql("w", "y", "li", "(l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM top)")
+_COEF = lambda g, k: "CASE " + " ".join(f"WHEN term = '{x}' THEN {k}.{g.at(x, 'y')}" for x in XS) + f" ELSE {k}.c{len(XS)} - (" + " + ".join(f"{k}.{g.at(x, 'y')} * {k}.c{i}" for i, x in enumerate(XS)) + ") END"
+
+
+@query("refit_without_top_case", f"WITH {LINES}, {_G.text}, {DIAG}, top AS (SELECT l_orderkey, l_linenumber FROM co ORDER BY cook DESC, l_orderkey, l_linenumber LIMIT 1), {_WO.text} SELECT term, round({_COEF(_G, 'k')}, 6) AS with_case, round({_COEF(_WO, 'v')}, 6) AS without_case FROM (VALUES ('(constant)'), ('l_quantity'), ('l_discount'), ('p_size')) n(term), {one_row(_G)}, (SELECT * FROM {_WO.last}, w_c) v")
 def _(spark, d):
     t, f = _fitted(spark, d)
     top = M.diagnostics(t, f, "y").orderBy(F.desc("cook"), "l_orderkey", "l_linenumber").limit(1).select("l_orderkey", "l_linenumber")
     g = M.ols(M.gram(t.join(F.broadcast(top), ["l_orderkey", "l_linenumber"], "left_anti"), XS, "y"))
-    return spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(f.names, f.beta, g.beta, strict=True)], "term string, with_case double, without_case double")
-
-
-@query("logistic")
-def _(spark, d):
-    """Coefficients, odds ratios and McFadden's measure; no rows if it does not settle."""
+    return rounded(spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(f.names, f.beta, g.beta, strict=True)], "term string, with_case double, without_case double"), 6)
+
+
+def logistic_sql(steps: int = 12) -> str:
+    """Newton steps on standardised columns: each a scan for gradient and information, swept to the next coefficients."""
+    k = len(XS)
+    names = [f"z{i}" for i in range(k + 1)]
+    out = [f"lz AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y, 1.0::DOUBLE AS z0, " + ", ".join(f"({x} - (SELECT avg({x}) FROM li)) / (SELECT stddev_pop({x}) FROM li) AS z{i}" for i, x in enumerate(XS, 1)) + " FROM li)",
+           "b0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(k + 1)) + ")"]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    for t in range(steps):
+        mu = "1 / (1 + exp(-(" + " + ".join(f"b{i} * z{i}" for i in range(k + 1)) + ")))"
+        sums = ", ".join([f"sum(mu * (1 - mu) * z{i} * z{j}) AS m{i}_{j}" for i, j in pairs] + [f"sum((y - mu) * z{i}) AS m{i}_{k + 1}" for i in range(k + 1)] + [f"0.0::DOUBLE AS m{k + 1}_{k + 1}"])
+        out.append(f"s{t}_0 AS (SELECT {sums} FROM (SELECT *, {mu} AS mu FROM lz, b{t}))")
+        g = Q.Sweeps.over(f"s{t}", [*names, "y"]).sweep(*names)
+        out += g.tables
+        out.append(f"b{t + 1} AS (SELECT " + ", ".join(f"b{i} + m{i}_{k + 1} AS b{i}" for i in range(k + 1)) + f" FROM b{t}, {g.last})")
+    last = f"s{steps - 1}_{k + 1}"
+    eta = " + ".join(f"b{i} * z{i}" for i in range(k + 1))
+    out.append(f"ll AS (SELECT sum(-ln(1 + exp(-(CASE WHEN y = 1 THEN {eta} ELSE -({eta}) END)))) AS ll, count(*) AS n, avg(y) AS m FROM lz, b{steps})")
+    out.append("sc AS (SELECT " + ", ".join(f"avg({x}) AS a{i}, stddev_pop({x}) AS d{i}" for i, x in enumerate(XS, 1)) + " FROM li)")
+    to = ["1", *[f"(-a{i} / d{i})" for i in range(1, k + 1)]]
+    var0 = " + ".join(f"{to[i]} * {to[j]} * -v.m{min(i, j)}_{max(i, j)}" for i in range(k + 1) for j in range(k + 1))
+    rows = [f"SELECT '(constant)' AS term, " + " + ".join(f"{to[i]} * b{i}" for i in range(k + 1)) + f" AS b, sqrt({var0}) AS se FROM b{steps}, sc, {last} v"]
+    rows += [f"SELECT '{x}', b{i} / d{i}, sqrt(-v.m{i}_{i}) / d{i} FROM b{steps}, sc, {last} v" for i, x in enumerate(XS, 1)]
+    out.append("lo AS (" + " UNION ALL ".join(rows) + ")")
+    return ", ".join(out)
+
+
+@query("logistic", f"WITH {LINES}, {logistic_sql()} SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round({Q.normal_two_sided('(b / se)')}, 6) AS p, round(exp(b), 6) AS odds_ratio, round(exp(b - 1.959963984540054 * se), 6) AS low, round(exp(b + 1.959963984540054 * se), 6) AS high, round(1 - ll / (n * (m * ln(m) + (1 - m) * ln(1 - m))), 8) AS mcfadden, n FROM lo, ll")
+def _(spark, d):
+    """Coefficients, p, odds ratios and McFadden's measure; no rows if it does not settle."""
     t = lines(spark, d).withColumn("k", (c("l_returnflag") == "R").cast("int"))
     f = M.logistic(t, XS, "k")
-    schema = "term string, estimate double, se double, odds_ratio double, low double, high double, mcfadden double, n long"
-    if f is None:
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame([(n, float(b), float(s), float(np.exp(b)), float(np.exp(b - 1.959963984540054 * s)), float(np.exp(b + 1.959963984540054 * s)), float(1 - f["ll"] / f["ll0"]), f["n"]) for n, b, s in zip(f["names"], f["beta"], f["se"], strict=True)], schema)
+    schema = "term string, estimate double, se double, mcfadden double, n long"
+    rows = [(n, float(b), float(v), float(1 - f["ll"] / f["ll0"]), f["n"]) for n, b, v in zip(f["names"], f["beta"], f["se"], strict=True)] if f else []
+    b, se = c("estimate"), c("se")
+    odds = {"odds_ratio": F.exp(b), "low": F.exp(b - 1.959963984540054 * se), "high": F.exp(b + 1.959963984540054 * se)}
+    return spark.createDataFrame(rows, schema).select("term", r(b, 6).alias("estimate"), r(se, 6).alias("se"), r(P.normal_two_sided(b / se), 6).alias("p"), *[r(e, 6).alias(k) for k, e in odds.items()], r("mcfadden", 8).alias("mcfadden"), "n")
 
 
 @query("correlation_matrix", f"WITH {LINES} SELECT 'l_quantity' AS a, 'l_discount' AS b, round(corr(l_quantity, l_discount), 6) AS r FROM li UNION ALL SELECT 'l_quantity', 'p_size', round(corr(l_quantity, p_size), 6) FROM li UNION ALL SELECT 'l_quantity', 'y', round(corr(l_quantity, y), 6) FROM li UNION ALL SELECT 'l_discount', 'p_size', round(corr(l_discount, p_size), 6) FROM li UNION ALL SELECT 'l_discount', 'y', round(corr(l_discount, y), 6) FROM li UNION ALL SELECT 'p_size', 'y', round(corr(p_size, y), 6) FROM li")
@@ -119,9 +195,15 @@ def _(spark, d):
     return a.unpivot([], [f"`{k}`" for k in a.columns], "k", "r").select(F.split("k", r"\|")[0].alias("a"), F.split("k", r"\|")[1].alias("b"), r("r", 6).alias("r"))
 
 
-@query("partial_correlations")
+_PC = Q.Sweeps("g", "li", LX).sweep(*LX)
+_PN = list(LX)
+PARTIAL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, z.{_PC.at(a, b)} / sqrt(z.{_PC.at(a, a)} * z.{_PC.at(b, b)}) AS r, k.{_PC.at(a, b)} / sqrt(k.{_PC.at(a, a)} * k.{_PC.at(b, b)}) AS partial, -k.{_PC.at(a, a)} * z.{_PC.at(a, a)} AS vif FROM {_PC.last} k, g_0 z" for i, a in enumerate(_PN) for b in _PN[i + 1:])
+_DET = " * ".join(f"g_{i}.{_PC.at(x, x)} / g_0.{_PC.at(x, x)}" for i, x in enumerate(_PN))
+
+
+@query("partial_correlations", f"WITH {LINES}, {_PC.text}, p AS ({PARTIAL}), m AS (SELECT {_DET} AS determinant FROM g_0, g_1, g_2, g_3) SELECT a, b, round(partial, 6) AS partial, round(vif, 6) AS vif_a, round(determinant, 6) AS determinant, round((SELECT sum(r * r) / (sum(r * r) + sum(partial * partial)) FROM p), 6) AS kmo FROM p, m")
 def _(spark, d):
-    """a, b, partial, with determinant, condition, KMO: from the inverse of the correlation matrix."""
+    """a, b, partial, with determinant and KMO: from the inverse of the correlation matrix."""
     g = M.gram(lines(spark, d), XS, "y")
     s = np.sqrt(np.diag(g.m))
     cor = g.m / np.outer(s, s)
@@ -129,8 +211,8 @@ def _(spark, d):
     partial = -inv / np.sqrt(np.outer(np.diag(inv), np.diag(inv)))
     off = ~np.eye(len(g.names), dtype=bool)
     kmo = float((cor[off] ** 2).sum() / ((cor[off] ** 2).sum() + (partial[off] ** 2).sum()))
-    rows = [(a, b, float(partial[i, j]), float(inv[i, i]), float(np.linalg.det(cor)), float(np.linalg.cond(cor)), kmo) for i, a in enumerate(g.names) for j, b in enumerate(g.names) if i < j]
-    return spark.createDataFrame(rows, "a string, b string, partial double, vif_a double, determinant double, condition double, kmo double")
+    rows = [(a, b, float(partial[i, j]), float(inv[i, i]), float(np.linalg.det(cor)), kmo) for i, a in enumerate(g.names) for j, b in enumerate(g.names) if i < j]
+    return rounded(spark.createDataFrame(rows, "a string, b string, partial double, vif_a double, determinant double, kmo double"), 6)
 
 
 UNITS = ["n", "mean", "active", "old", "urgent"]
@@ -179,7 +261,11 @@ def _(spark, d):
     return M.scores(u, UNITS, vectors, centre, scale, 2).select("stratum", r("pc1", 6).alias("pc1"), r("pc2", 6).alias("pc2"))
 
 
-@query("mahalanobis")
+_MU = Q.Sweeps("g", "u", {k: k for k in UNITS}, count="rows").sweep(*UNITS)
+UNITS_ALL = "u AS (SELECT stratum, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mean, avg(CASE WHEN status <> 'P' THEN 1.0::DOUBLE ELSE 0 END) AS active, avg(CASE WHEN age >= 65 THEN 1.0::DOUBLE ELSE 0 END) AS old, avg(CASE WHEN grp = '1-URGENT' THEN 1.0::DOUBLE ELSE 0 END) AS urgent FROM persons GROUP BY 1)"
+
+
+@query("mahalanobis", f"WITH {PERSONS}, {UNITS_ALL}, {_MU.text} SELECT stratum, round((k.rows - 1) * (" + " + ".join(f"-k.{_MU.at(a, b)} * (u.{a} - k.c{i}) * (u.{b} - k.c{j})" for i, a in enumerate(UNITS) for j, b in enumerate(UNITS)) + f"), 6) AS d2 FROM u, (SELECT * FROM {_MU.last}, g_c) k")
 def _(spark, d):
     return M.mahalanobis(units(spark, d), UNITS).select("stratum", r("d2", 6).alias("d2"))
 
@@ -204,20 +290,52 @@ def _(spark, d):
     return spark.createDataFrame(rows, "label string, side string, mass double, axis1 double, axis2 double")
 
 
-@query("anova_two_way")
+def two_way_sql(source: str, a: str, la: list[str], b: str, lb: list[str], x: str) -> tuple[str, dict[str, str]]:
+    """Tables, and the residual sum of squares of the full model (full), without each effect, and of the sequential ones."""
+    code = lambda v, levels: [f"(CASE {v} WHEN '{k}' THEN 1.0::DOUBLE WHEN '{levels[-1]}' THEN -1.0::DOUBLE ELSE 0 END)" for k in levels[:-1]]
+    ca, cb = code(a, la), code(b, lb)
+    blocks = {"a": {f"a{i}": e for i, e in enumerate(ca)}, "b": {f"b{i}": e for i, e in enumerate(cb)}, "i": {f"i{i}{j}": f"{e} * {f}" for i, e in enumerate(ca) for j, f in enumerate(cb)}}
+    columns = {k: e for v in blocks.values() for k, e in v.items()} | {"y": x}
+    own = Q.Sweeps("w", source, columns)
+    tables, out = own.tables, {"tss": f"(SELECT {own.at('y', 'y')} FROM w_0)"}
+    for name, order in (("full", "abi"), ("without_a", "bi"), ("without_b", "ai"), ("without_i", "ab"), ("only_a", "a"), ("only_b", "b")):
+        g = Q.Sweeps.over(f"w{name}", [*columns], "w_0").sweep(*[k for o in order for k in blocks[o]])
+        tables = [*tables, *g.tables]
+        out[name] = f"(SELECT {g.at('y', 'y')} FROM {g.last})"
+    return ", ".join(tables), out
+
+
+def two_way_rows(a: str, b: str, t: dict[str, str], da: int, db: int) -> str:
+    """effect, ss, df of the types of two_way."""
+    f = t["full"]
+    rows = [(a, f"{t['without_a']} - {f}", da), (b, f"{t['without_b']} - {f}", db), ("interaction", f"{t['without_i']} - {f}", da * db),
+            (f"{a} (type I)", f"{t['tss']} - {t['only_a']}", da), (f"{b} (type I)", f"{t['only_a']} - {t['without_i']}", db),
+            (f"{b} first (type I)", f"{t['tss']} - {t['only_b']}", db), (f"{a} second (type I)", f"{t['only_b']} - {t['without_i']}", da)]
+    return " UNION ALL ".join(f"SELECT '{n}' AS effect, {s} AS ss, {k} AS df" for n, s, k in rows) + f" UNION ALL SELECT 'residual', {f}, CAST((SELECT n FROM w_c) - {(da + 1) * (db + 1)} AS INTEGER)"
+
+
+_WT, _WR = two_way_sql("persons", "seg", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "status", ["F", "O", "P"], "x")
+
+
+@query("anova_two_way", f"WITH {PERSONS}, {_WT}, e AS ({two_way_rows('seg', 'status', _WR, 4, 2)}), m AS (SELECT ss / df AS ms, ss AS rss, df AS rdf FROM e WHERE effect = 'residual') SELECT effect, round(ss, 3) AS ss, df, CASE WHEN effect <> 'residual' THEN round(ss / df / ms, 6) END AS f, CASE WHEN effect <> 'residual' THEN round({Q.f_upper('(ss / df / ms)', 'df', 'rdf')}, 6) END AS p, CASE WHEN effect <> 'residual' THEN round(ss / (ss + rss), 8) END AS partial_eta2, false AS singular FROM e, m")
 def _(spark, d):
-    cells = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(c("l_extendedprice") / 1000).alias("sy"), F.sum(F.pow(c("l_extendedprice") / 1000, 2)).alias("syy"))
-    rows = M.two_way(cells, "l_returnflag", "l_linestatus")
-    ms = rows[-1][1] / rows[-1][2]
-    return spark.createDataFrame([(n, float(s), k, float(s / k / ms) if n != "residual" else None) for n, s, k in rows], "effect string, ss double, df int, f double")
+    """Type III and both orders of type I, with p and partial eta squared; singular if a cell is empty."""
+    cells = persons(spark, d).groupBy("seg", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sy"), F.sum(c("x") * c("x")).alias("syy"))
+    rows, singular = M.two_way(cells, "seg", "status")
+    rss, df = rows[-1][1:]
+    t = spark.createDataFrame([(n, float(s), k) for n, s, k in rows], "effect string, ss double, df int")
+    own = c("effect") != "residual"
+    f = c("ss") / c("df") / float(rss / df)
+    return t.select("effect", r("ss", 3).alias("ss"), "df", F.when(own, r(f, 6)).alias("f"), F.when(own, r(P.f_upper(f, c("df"), F.lit(df)), 6)).alias("p"), F.when(own, r(c("ss") / (c("ss") + float(rss)), 8)).alias("partial_eta2"), F.lit(singular).alias("singular"))
 
 
-@query("ss_type_contrast")
+@query("ss_type_contrast", f"WITH {PERSONS}, {_WT}, e AS ({two_way_rows('seg', 'status', _WR, 4, 2)}) SELECT a.effect, round(a.ss, 3) AS type3, round(b.ss, 3) AS type1, abs(a.ss / b.ss - 1) > 0.05 AS differs FROM e a JOIN e b ON b.effect = a.effect || ' (type I)'")
 def _(spark, d):
-    """Whether the first factor's sum of squares depends on its type."""
+    """Whether a factor's sum of squares depends on its type."""
     cells = persons(spark, d).groupBy("seg", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sy"), F.sum(c("x") * c("x")).alias("syy"))
-    rows = {n: s for n, s, _ in M.two_way(cells, "seg", "status")}
-    return spark.createDataFrame([(k, rows[k], rows[f"{k} (type I)"], abs(rows[k] / rows[f"{k} (type I)"] - 1) > 0.05) for k in ("seg", "status")], "effect string, type3 double, type1 double, differs boolean")
+    rows = {n: s for n, s, _ in M.two_way(cells, "seg", "status")[0]}
+    t = spark.createDataFrame([(k, rows[k], rows[f"{k} (type I)"], abs(rows[k] / rows[f"{k} (type I)"] - 1) > 0.05) for k in ("seg", "status")], "effect string, type3 double, type1 double, differs boolean")
+    return rounded(t, 3)
 
 
 # machine-learning library
@@ -227,29 +345,57 @@ def _vectors(df: DataFrame, xs: list[str]) -> DataFrame:
 
 
 def _embedded(spark, d):
+    """Labelled vectors, all their components."""
+    from pyspark.ml.functions import array_to_vector
+
     t = table(spark, d, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL")
-    return _vectors(t.select("vec_id", "label", *[c("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)]), [f"e{i}" for i in range(8)])
+    return t.select("vec_id", "label", array_to_vector(c("embedding").cast("array<double>")).alias("features"))
 
 
 @query("kmeans")
 def _(spark, d):
-    """k, inertia: the best of three starts for each k."""
-    v = _embedded(spark, d).select("features").cache()
-    rows = [(k, min(float(KMeans(k=k, seed=s, maxIter=10).fit(v).summary.trainingCost) for s in (1, 2, 3))) for k in (2, 3, 4, 5)]
-    return spark.createDataFrame(rows, "k int, inertia double")
+    """k, cluster, n, inertia: the sizes of the clusters of the best of three starts for each k, and its inertia."""
+    v = _embedded(spark, d).select("features").persist()
+    rows = []
+    for k in (2, 3, 4, 5):
+        best = min((KMeans(k=k, seed=s, maxIter=20).fit(v) for s in (1, 2, 3)), key=lambda m: m.summary.trainingCost)
+        rows += [(k, i, int(n), float(best.summary.trainingCost)) for i, n in enumerate(sorted(best.summary.clusterSizes, reverse=True))]
+    v.unpersist()
+    return spark.createDataFrame(rows, "k int, cluster int, n long, inertia double")
 
 
 @query("silhouette")
 def _(spark, d):
     v = _embedded(spark, d)
-    out = KMeans(k=4, seed=1, maxIter=10).fit(v).transform(v)
+    out = KMeans(k=4, seed=1, maxIter=20).fit(v).transform(v)
     return spark.createDataFrame([(4, float(ClusteringEvaluator().evaluate(out)))], "k int, silhouette double")
 
 
+def rand_index(t: DataFrame, a: str, b: str) -> DataFrame:
+    """ari: the adjusted Rand index of two groupings, from the counts of their cells."""
+    t = t.groupBy(c(a).alias("a"), c(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    two = lambda n: F.sum(n * (n - 1) / 2)
+    s = t.agg(two(c("n")).alias("i"), F.sum("n").alias("n")).crossJoin(t.groupBy("a").agg(F.sum("n").alias("m")).agg(two(c("m")).alias("ia"))).crossJoin(t.groupBy("b").agg(F.sum("n").alias("m")).agg(two(c("m")).alias("ib")))
+    chance = c("ia") * c("ib") / (c("n") * (c("n") - 1) / 2)
+    return s.select(((c("i") - chance) / ((c("ia") + c("ib")) / 2 - chance)).alias("ari"))
+
+
 @query("gaussian_mixture")
 def _(spark, d):
+    """seed, log_likelihood, smallest component and agreement with the first seed: how far the mixture depends on its start."""
+    from pyspark.ml.feature import PCA
+
     v = _embedded(spark, d)
-    return GaussianMixture(k=3, seed=1, maxIter=10).fit(v).transform(v).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    v = PCA(k=4, inputCol="features", outputCol="axes").fit(v).transform(v).select("vec_id", "axes").persist()
+    rows, first = [], None
+    for seed in (1, 2, 3):
+        m = GaussianMixture(k=3, seed=seed, maxIter=25, featuresCol="axes").fit(v)
+        own = m.transform(v).select("vec_id", c("prediction").alias(f"p{seed}"))
+        first = own if first is None else first
+        ari = rand_index(first.join(own, "vec_id") if seed > 1 else own.withColumn("p0", c("p1")), "p1", f"p{seed}" if seed > 1 else "p0").first()["ari"]
+        rows.append((seed, float(m.summary.logLikelihood), int(min(m.summary.clusterSizes)), float(ari)))
+    v.unpersist()
+    return spark.createDataFrame(rows, "seed int, log_likelihood double, smallest long, agreement double")
 
 
 RAND = "t AS (SELECT stratum % 4 AS a, id % 3 AS b, count(*) AS n FROM persons GROUP BY ALL), s AS (SELECT (SELECT sum(n * (n - 1) / 2.0::DOUBLE) FROM t) AS i, (SELECT sum(m * (m - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS m FROM t GROUP BY a)) AS ia, (SELECT sum(m * (m - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS m FROM t GROUP BY b)) AS ib, (SELECT sum(n) * (sum(n) - 1) / 2.0::DOUBLE FROM t) AS ic)"
@@ -257,71 +403,118 @@ RAND = "t AS (SELECT stratum % 4 AS a, id % 3 AS b, count(*) AS n FROM persons G
 
 @query("adjusted_rand", f"WITH {PERSONS}, {RAND} SELECT round((i - ia * ib / ic) / ((ia + ib) / 2 - ia * ib / ic), 8) AS ari FROM s")
 def _(spark, d):
-    t = persons(spark, d).groupBy((c("stratum") % 4).alias("a"), (c("id") % 3).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    two = lambda n: F.sum(n * (n - 1) / 2)
-    s = t.agg(two(c("n")).alias("i"), F.sum("n").alias("n")).crossJoin(t.groupBy("a").agg(F.sum("n").alias("m")).agg(two(c("m")).alias("ia"))).crossJoin(t.groupBy("b").agg(F.sum("n").alias("m")).agg(two(c("m")).alias("ib")))
-    chance = c("ia") * c("ib") / (c("n") * (c("n") - 1) / 2)
-    return s.select(r((c("i") - chance) / ((c("ia") + c("ib")) / 2 - chance), 8).alias("ari"))
+    return rand_index(persons(spark, d).select((c("stratum") % 4).alias("a"), (c("id") % 3).alias("b")), "a", "b").select(r("ari", 8).alias("ari"))
 
 
 @query("model_comparison_cv")
 def _(spark, d):
-    """model, accuracy: held-out fold by hash."""
-    t = _vectors(persons(spark, d).select("id", (c("status") == "F").cast("double").alias("label"), "x", c("age").cast("double").alias("age"), c("w").cast("double").alias("w")), ["x", "age", "w"]).withColumn("u", hash_uniform("cv", "id")).cache()
+    """model, columns, accuracy over five folds (mean and lowest), for nested sets of columns."""
+    t = persons(spark, d).select("id", (c("status") == "F").cast("double").alias("label"), "x", c("age").cast("double").alias("age"), c("w").cast("double").alias("w")).withColumn("fold", F.floor(hash_uniform("cv", "id") * FOLDS)).persist()
+    models = [("logistic", LogisticRegression(maxIter=20), ["x"]), ("logistic", LogisticRegression(maxIter=20), ["x", "age", "w"]), ("forest", RandomForestClassifier(numTrees=10, maxDepth=4, seed=1), ["x", "age", "w"]), ("boosting", GBTClassifier(maxIter=5, maxDepth=3, seed=1), ["x", "age", "w"])]
     rows = []
-    for name, m in (("logistic", LogisticRegression(maxIter=20)), ("forest", RandomForestClassifier(numTrees=10, maxDepth=4, seed=1)), ("boosting", GBTClassifier(maxIter=5, maxDepth=3, seed=1))):
-        out = m.fit(t.filter("u < 0.8")).transform(t.filter("u >= 0.8"))
-        rows.append((name, float(out.agg(F.avg((c("prediction") == c("label")).cast("int"))).first()[0])))
-    return spark.createDataFrame(rows, "model string, accuracy double")
+    for name, m, columns in models:
+        v = _vectors(t, columns)
+        got = [float(m.fit(v.filter(c("fold") != k)).transform(v.filter(c("fold") == k)).agg(F.avg((c("prediction") == c("label")).cast("int"))).first()[0]) for k in range(FOLDS)]
+        rows.append((name, len(columns), sum(got) / FOLDS, min(got)))
+    t.unpersist()
+    return spark.createDataFrame(rows, "model string, columns int, accuracy double, lowest double")
+
+
+FOLDS = 5
+_DA = f"t AS (SELECT CASE WHEN status = 'F' THEN 1 ELSE 0 END AS k, x, CAST(age AS DOUBLE) AS a, CAST(floor({HASH.format(s='da', u='id')} * 5) AS INTEGER) AS fold FROM persons), w AS (SELECT f.fold AS out, k, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mx, avg(a) AS ma, var_samp(x) AS vx, var_samp(a) AS va, covar_samp(x, a) AS c FROM t, (SELECT unnest(range(6)) AS fold) f WHERE t.fold <> f.fold GROUP BY ALL), pl AS (SELECT out, sum(n) AS nn, sum((n - 1) * vx) / (sum(n) - 2) AS px, sum((n - 1) * va) / (sum(n) - 2) AS pa, sum((n - 1) * c) / (sum(n) - 2) AS pc FROM w GROUP BY out)"
+
 
+def _side_sql(k: int) -> str:
+    return ", ".join(f"max({e}) FILTER (k = {k}) AS {e}{k}" for e in ("n", "mx", "ma", "vx", "va", "c"))
 
-@query("lda_qda")
+
+def _score_sql(k: int, vx: str, va: str, cov: str) -> str:
+    zx, za, det = f"(x - mx{k})", f"(a - ma{k})", f"({vx} * {va} - {cov} * {cov})"
+    return f"(ln(n{k} / nn) - 0.5 * ln({det}) - 0.5 * ({va} * {zx} * {zx} - 2 * {cov} * {zx} * {za} + {vx} * {za} * {za}) / {det})"
+
+
+@query("lda_qda", f"WITH {PERSONS}, {_DA}, s AS (SELECT out, {_side_sql(0)}, {_side_sql(1)} FROM w GROUP BY out), g AS (SELECT k, {_score_sql(0, 'px', 'pa', 'pc')} < {_score_sql(1, 'px', 'pa', 'pc')} AS lda, {_score_sql(0, 'vx0', 'va0', 'c0')} < {_score_sql(1, 'vx1', 'va1', 'c1')} AS qda FROM t JOIN s ON t.fold = s.out JOIN pl ON t.fold = pl.out), m AS (SELECT (nn - 2) * ln(px * pa - pc * pc) - (n0 - 1) * ln(vx0 * va0 - c0 * c0) - (n1 - 1) * ln(vx1 * va1 - c1 * c1) AS box, 1 - 13.0::DOUBLE / 18 * (1 / (n0 - 1) + 1 / (n1 - 1) - 1 / (nn - 2)) AS f FROM s JOIN pl USING (out) WHERE out = 5), b AS (SELECT box * f AS chi2 FROM m) SELECT method, round(accuracy, 6) AS accuracy, round(chi2, 4) AS box_m, round({Q.chi2_upper('chi2', '3')}, 6) AS p_box FROM (SELECT 'lda' AS method, avg(CASE WHEN lda = (k = 1) THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM g UNION ALL SELECT 'qda', avg(CASE WHEN qda = (k = 1) THEN 1.0::DOUBLE ELSE 0 END) FROM g), b")
 def _(spark, d):
-    """method, accuracy of Gaussian discriminants: class means and covariances by aggregates, rows scored by expressions."""
-    t = persons(spark, d).select("id", (c("status") == "F").cast("int").alias("k"), "x", c("age").cast("double").alias("age")).withColumn("u", hash_uniform("da", "id"))
-    train = t.filter("u < 0.8")
-    g = {k: M.gram(train.filter(c("k") == k), ["x"], "age") for k in (0, 1)}
-    n = sum(v.n for v in g.values())
-    pooled = sum(v.m for v in g.values()) / (n - 2)
+    """method, accuracy over five folds, and Box's M of equal covariances: one aggregate by fold and class, then one scoring pass."""
+    t = persons(spark, d).select((c("status") == "F").cast("int").alias("k"), "x", c("age").cast("double").alias("a"), F.floor(hash_uniform("da", "id") * FOLDS).cast("int").alias("fold"))
+    centre = t.agg(F.avg("x").alias("x"), F.avg("a").alias("a")).first()
+    zx, za = c("x") - float(centre["x"]), c("a") - float(centre["a"])
+    sums = {(q["fold"], q["k"]): np.array([q[v] for v in ("n", "sx", "sa", "xx", "xa", "aa")], float) for q in t.groupBy("fold", "k").agg(F.count(F.lit(1)).alias("n"), F.sum(zx).alias("sx"), F.sum(za).alias("sa"), F.sum(zx * zx).alias("xx"), F.sum(zx * za).alias("xa"), F.sum(za * za).alias("aa")).collect()}
+
+    def moments(out: int | None) -> dict:
+        """n, means and covariance by class, without one fold."""
+        got = {}
+        for k in (0, 1):
+            n, sx, sa, xx, xa, aa = sum(v for (f, q), v in sums.items() if q == k and f != out)
+            got[k] = n, np.array([sx, sa]) / n, np.array([[xx - sx * sx / n, xa - sx * sa / n], [xa - sx * sa / n, aa - sa * sa / n]]) / (n - 1)
+        return got
 
-    def score(k: int, cov: np.ndarray):
-        inv = np.linalg.inv(cov)
-        z = [c("x") - float(g[k].centre[0]), c("age") - float(g[k].centre[1])]
-        return sum((F.lit(-0.5 * float(inv[i, j])) * z[i] * z[j] for i in range(2) for j in range(2)), F.lit(float(np.log(g[k].n / n) - 0.5 * np.log(np.linalg.det(cov)))))
+    def score(n: float, total: float, mean: np.ndarray, cov: np.ndarray):
+        inv, z = np.linalg.inv(cov), [zx - float(mean[0]), za - float(mean[1])]
+        return sum((F.lit(-0.5 * float(inv[i, j])) * z[i] * z[j] for i in range(2) for j in range(2)), F.lit(float(np.log(n / total) - 0.5 * np.log(np.linalg.det(cov)))))
 
-    hit = lambda a, b: F.avg(((b > a).cast("int") == c("k")).cast("int"))
-    a = t.filter("u >= 0.8").agg(hit(score(0, pooled), score(1, pooled)).alias("lda"), hit(*[score(k, g[k].m / (g[k].n - 1)) for k in (0, 1)]).alias("qda"))
-    return a.unpivot([], ["lda", "qda"], "method", "accuracy")
+    hits = {}
+    for f in range(FOLDS):
+        g = moments(f)
+        total = g[0][0] + g[1][0]
+        pooled = sum((n - 1) * v for n, _, v in g.values()) / (total - 2)
+        for name, covs in (("lda", (pooled, pooled)), ("qda", (g[0][2], g[1][2]))):
+            hit = ((score(g[0][0], total, g[0][1], covs[0]) < score(g[1][0], total, g[1][1], covs[1])).cast("int") == c("k")).cast("int")
+            hits[name] = F.when(c("fold") == f, hit) if name not in hits else hits[name].when(c("fold") == f, hit)
+    g = moments(None)
+    total = g[0][0] + g[1][0]
+    pooled = sum((n - 1) * v for n, _, v in g.values()) / (total - 2)
+    m = (total - 2) * np.log(np.linalg.det(pooled)) - sum((n - 1) * np.log(np.linalg.det(v)) for n, _, v in g.values())
+    chi2 = float(m * (1 - 13 / 18 * (sum(1 / (n - 1) for n, *_ in g.values()) - 1 / (total - 2))))
+    a = t.agg(*[F.avg(e).alias(k) for k, e in hits.items()])
+    return a.unpivot([], ["lda", "qda"], "method", "accuracy").select("method", r("accuracy", 6).alias("accuracy"), r(F.lit(chi2)).alias("box_m"), r(P.chi2_upper(F.lit(chi2), F.lit(3)), 6).alias("p_box"))
 
 
 # resampling of rows
 
-@query("bootstrap_ci")
+REPLICATES = 200
+
+
+@query("bootstrap_ci", f"""WITH RECURSIVE {PERSONS}, t AS (SELECT rep, sum(times * x) / sum(times) AS t FROM {drawn_sql('(SELECT id, x FROM persons)', 'bm', 'id', REPLICATES)} GROUP BY rep), m AS (SELECT avg(x) AS m FROM persons),
+a AS (SELECT 1 AS one, sum(pow(x - m, 3)) / (6 * pow(sum(pow(x - m, 2)), 1.5)) AS a, (SELECT avg(CASE WHEN t < m THEN 1.0::DOUBLE ELSE 0 END) FROM t, m) AS share FROM persons, m), {Q.bisected('zq', 'a', ['one'], Q.normal_lower('q') + ' >= share', '-10', '10')},
+z AS (SELECT a, q AS z0 FROM a JOIN zq USING (one)), w AS (SELECT {Q.normal_lower('(z0 + (z0 - 1.959963984540054) / (1 - a * (z0 - 1.959963984540054)))')} AS lo, {Q.normal_lower('(z0 + (z0 + 1.959963984540054) / (1 - a * (z0 + 1.959963984540054)))')} AS hi FROM z),
+l AS (SELECT list_sort(list(t)) AS v FROM t), q AS (SELECT m, (SELECT avg(t) FROM t) - m AS bias, (SELECT stddev_samp(t) FROM t) AS se, (SELECT quantile_cont(t, 0.025) FROM t) AS low, (SELECT quantile_cont(t, 0.975) FROM t) AS high, lo * 199 AS pl, hi * 199 AS ph, v FROM m, w, l)
+SELECT round(m, 4) AS mean, round(bias, 6) AS bias, round(se, 6) AS se, round(low, 4) AS low, round(high, 4) AS high, round(2 * m - high, 4) AS basic_low, round(2 * m - low, 4) AS basic_high,
+round(v[CAST(floor(pl) AS BIGINT) + 1] + (pl - floor(pl)) * (v[CAST(ceil(pl) AS BIGINT) + 1] - v[CAST(floor(pl) AS BIGINT) + 1]), 4) AS bca_low, round(v[CAST(floor(ph) AS BIGINT) + 1] + (ph - floor(ph)) * (v[CAST(ceil(ph) AS BIGINT) + 1] - v[CAST(floor(ph) AS BIGINT) + 1]), 4) AS bca_high FROM q""")
+def _(spark, d):
+    """Bias, se, percentile, basic and BCa intervals of the mean from Poisson replicates of rows."""
+    p = persons(spark, d).select("id", "x")
+    m = p.agg(F.avg("x").alias("m")).first()["m"]
+    e = c("x") - F.lit(float(m))
+    skew = p.agg((F.sum(F.pow(e, 3)) / (6 * F.pow(F.sum(e * e), 1.5))).alias("a")).first()["a"]
+    drawn = [q["t"] for q in B.bootstrap_means(p, "id", {"t": (c("x"), F.lit(1))}, REPLICATES, "bm").collect()]  # a number a replicate
+    found = {"mean": float(m), **B.intervals(m, drawn, skew)}
+    t = spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
+    return t.select(*[r(k, 6 if k in ("bias", "se") else 4).alias(k) for k in found])
+
+
+@query("bootstrap_median", f"WITH {PERSONS}, t AS (SELECT x, count(*) AS n FROM persons GROUP BY x), s AS (SELECT x, CAST(sum(n) OVER (ORDER BY x) AS DOUBLE) / sum(n) OVER () AS f, CAST(sum(n) OVER () AS DOUBLE) AS n FROM t), k AS (SELECT x, f, CASE WHEN f >= 1 THEN 1.0::DOUBLE ELSE list_sum(list_transform(generate_series(CAST(ceil(n / 2) AS BIGINT), CAST(n AS BIGINT)), lambda _i: exp(lgamma(n + 1) - lgamma(_i + 1) - lgamma(n - _i + 1) + _i * ln(f) + (n - _i) * ln(1 - f)))) END AS c FROM s WHERE abs(f - 0.5) < 6 / sqrt(n)) SELECT round(min(x) FILTER (f >= 0.5), 6) AS estimate, round(min(x) FILTER (c >= 0.025), 6) AS low, round(min(x) FILTER (c >= 0.975), 6) AS high FROM k")
 def _(spark, d):
-    """Percentile and basic intervals of the mean over 200 replicates of distinct values with counts."""
-    v = persons(spark, d).groupBy(F.round("x").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    # a value's multiplicity in a replicate is Poisson with its count, near enough a normal when the count is large
-    rep = v.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("k", F.greatest(F.lit(0.0), c("n") + F.sqrt("n") * F.sqrt(-2 * F.ln(1 - hash_uniform("b1", "v", "rep"))) * F.cos(2 * 3.141592653589793 * hash_uniform("b2", "v", "rep"))))
-    t = rep.groupBy("rep").agg((F.sum(c("k") * c("v")) / F.sum("k")).alias("t"))
-    own = v.agg((F.sum(c("n") * c("v")) / F.sum("n")).alias("m"))
-    return t.agg(F.stddev_samp("t").alias("se"), F.percentile("t", 0.025).alias("low"), F.percentile("t", 0.975).alias("high")).crossJoin(own).select(r("m").alias("mean"), r("se", 6).alias("se"), r("low").alias("low"), r("high").alias("high"), r(2 * c("m") - c("high")).alias("basic_low"), r(2 * c("m") - c("low")).alias("basic_high"))
+    """The median and its percentile interval under all resamples, from the distribution function."""
+    return rounded(B.quantile_bootstrap(persons(spark, d), "x", 0.5), 6)
 
 
-@query("bootstrap_diff")
+@query("bootstrap_diff", f"WITH {PERSONS}, u AS (SELECT id, grp, x FROM persons WHERE grp IN ('1-URGENT', '5-LOW')), t AS (SELECT rep, sum(times * x) FILTER (grp = '1-URGENT') / sum(times) FILTER (grp = '1-URGENT') - sum(times * x) FILTER (grp = '5-LOW') / sum(times) FILTER (grp = '5-LOW') AS t FROM {drawn_sql('u', 'bd', 'id', REPLICATES)} GROUP BY rep) SELECT round(avg(t), 4) AS diff, round(stddev_samp(t), 6) AS se, round(quantile_cont(t, 0.025), 4) AS low, round(quantile_cont(t, 0.975), 4) AS high, count(*) AS replicates FROM t")
 def _(spark, d):
     p = persons(spark, d).filter(c("grp").isin("1-URGENT", "5-LOW")).select("id", "grp", "x")
-    t = V.replicates(p, "id", 100, "bd").groupBy("rep").agg(*[(F.sum(F.when(c("grp") == g, c("times") * c("x"))) / F.sum(F.when(c("grp") == g, c("times")))).alias(k) for g, k in (("1-URGENT", "a"), ("5-LOW", "b"))])
-    return t.agg(r(F.avg(c("a") - c("b"))).alias("diff"), r(F.stddev_samp(c("a") - c("b")), 6).alias("se"), F.count(F.lit(1)).alias("replicates"))
+    own = lambda g: (F.when(c("grp") == g, c("x")).otherwise(0.0), (c("grp") == g).cast("int"))
+    t = B.bootstrap_means(p, "id", {"a": own("1-URGENT"), "b": own("5-LOW")}, REPLICATES, "bd").withColumn("t", c("a") - c("b"))
+    return t.agg(r(F.avg("t")).alias("diff"), r(F.stddev_samp("t"), 6).alias("se"), r(F.percentile("t", 0.025)).alias("low"), r(F.percentile("t", 0.975)).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 
-@query("permutation_test")
+@query("permutation_test", f"WITH {PERSONS}, u AS (SELECT id, grp, x FROM persons WHERE grp IN ('1-URGENT', '5-LOW')), s AS (SELECT avg(x) FILTER (grp = '1-URGENT') - avg(x) FILTER (grp = '5-LOW') AS seen, count(*) FILTER (grp = '1-URGENT') AS na, count(*) AS n, sum(x) AS total FROM u), k AS (SELECT rep, x, row_number() OVER (PARTITION BY rep ORDER BY {HASH.format(s='pm', u="id || ':' || rep")}, id) AS k FROM u, (SELECT unnest(generate_series(1, {REPLICATES - 1})) AS rep)), t AS (SELECT rep, sum(x) FILTER (k <= na) / any_value(na) - (any_value(total) - sum(x) FILTER (k <= na)) / any_value(n - na) AS t FROM k, s GROUP BY rep) SELECT round(any_value(seen), 6) AS seen, count(*) AS replicates, (count(*) FILTER (abs(t) >= abs(seen)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p FROM t, s")
 def _(spark, d):
-    """p = (extreme + 1) / (replicates + 1) of the difference of two means; labels dealt anew by hash, sizes as seen on average."""
+    """p = (extreme + 1) / (replicates + 1) of the difference of two means, over shuffles of the labels."""
     p = persons(spark, d).filter(c("grp").isin("1-URGENT", "5-LOW")).select("id", "grp", "x")
-    own = p.agg((F.avg(F.when(c("grp") == "1-URGENT", c("x"))) - F.avg(F.when(c("grp") == "5-LOW", c("x")))).alias("seen"), F.avg((c("grp") == "1-URGENT").cast("int")).alias("share"))
-    rep = p.crossJoin(F.broadcast(own)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(199)))).withColumn("first", hash_uniform("pm", "id", "rep") < c("share"))
-    t = rep.groupBy("rep", "seen").agg((F.avg(F.when(c("first"), c("x"))) - F.avg(F.when(~c("first"), c("x")))).alias("t"))
-    return t.groupBy("seen").agg(F.count(F.lit(1)).alias("replicates"), ((F.count_if(F.abs("t") >= F.abs("seen")) + 1) / (F.count(F.lit(1)) + 1)).alias("p")).select(r("seen", 6).alias("seen"), "replicates", "p")
+    own = c("grp") == "1-URGENT"
+    s = p.agg((F.avg(F.when(own, c("x"))) - F.avg(F.when(~own, c("x")))).alias("seen"), F.count_if(own).alias("na"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+    t = B.permuted_sums(p, "id", "x", own, REPLICATES - 1, "pm").crossJoin(F.broadcast(s)).withColumn("t", c("s") / c("na") - (c("total") - c("s")) / (c("n") - c("na")))
+    return t.agg(r(F.first("seen"), 6).alias("seen"), F.count(F.lit(1)).alias("replicates"), ((F.count_if(F.abs("t") >= F.abs("seen")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
 def _pairs_below(a: DataFrame, b: DataFrame, limit: int) -> int:
@@ -331,6 +524,12 @@ def _pairs_below(a: DataFrame, b: DataFrame, limit: int) -> int:
     return s.agg(F.sum(c("kb") * (c("ka_before") + c("ka")))).first()[0] or 0
 
 
+def _ends(a: DataFrame, b: DataFrame) -> tuple[int, int]:
+    """The least and the largest sum of two values."""
+    x, y = (t.agg(F.min("v"), F.max("v")).first() for t in (a, b))
+    return x[0] + y[0], x[1] + y[1]
+
+
 def _lowest(holds, low: int, high: int) -> int:
     """The lowest whole number from which on holds is true, by bisection."""
     while low < high:
@@ -345,7 +544,7 @@ def _(spark, d):
     v = lambda g, sign: persons(spark, d).filter(c("grp") == g).groupBy((sign * F.round("x")).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n")).cache()
     a, b = v("1-URGENT", 1), v("5-LOW", -1)
     total = a.agg(F.sum("n")).first()[0] * b.agg(F.sum("n")).first()[0]
-    shift = _lowest(lambda t: 2 * _pairs_below(a, b, t) >= total, -1024, 1024)
+    shift = _lowest(lambda t: 2 * _pairs_below(a, b, t) >= total, *_ends(a, b))
     return spark.createDataFrame([(float(shift), int(total))], "shift double, pairs long")
 
 
@@ -357,26 +556,42 @@ def _(spark, d):
     m = v.agg(F.sum("n")).first()[0] or 0
     total = m * (m + 1) // 2
     own = lambda s: v.filter(2 * c("v") <= s).agg(F.sum("n")).first()[0] or 0
-    s = _lowest(lambda t: (_pairs_below(v, v, t) + own(t)) >= total, -2048, 2048)
+    s = _lowest(lambda t: (_pairs_below(v, v, t) + own(t)) >= total, *_ends(v, v))
     return spark.createDataFrame([(s / 2, int(total))], "pseudo_median double, averages long")
 
 
+def royston_p(w: float, n: int) -> float:
+    """The upper tail of the transformed statistic; fixed values are those of the published approximation."""
+    if n == 3:
+        return max(0.0, 6 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75))))
+    if w >= 1:
+        return 1.0
+    if n <= 11:
+        y = -np.log(-2.273 + 0.459 * n - np.log(1 - w))
+        mean, sd = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n), np.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        y, u = np.log(1 - w), np.log(n)
+        mean, sd = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], u), np.exp(np.polyval([0.0030302, -0.082676, -0.4803], u))
+    return float(P.norm_cdf(-(y - mean) / sd))
+
+
 @query("shapiro_wilk_by_group")
 def _(spark, d):
-    """w by group on at most 5,000 rows of the smallest hash: the correlation form with normal scores (Royston's weights)."""
+    """w and p by group on at most 5,000 rows of the smallest hash: Royston's weights and his normalising transformation."""
     import pandas as pd
 
-    from ..functions.distributions import norm_ppf
-
-    pick = F.row_number().over(Window.partitionBy("grp").orderBy(hash_uniform("sw", "id"), "id"))
-    capped = persons(spark, d).withColumn("k", pick).filter("k <= 5000").select("grp", "x")
+    p = persons(spark, d).select("grp", "x", "id", hash_uniform("sw", "id").alias("u"))
+    n = p.groupBy(c("grp").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    # a little more than 5,000 by threshold, then the first of those: no group is ordered whole
+    few = p.join(F.broadcast(n), c("grp") == c("g")).filter(c("u") * c("n") <= 5000 + 10 * F.sqrt(F.lit(5000.0)))
+    capped = few.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("u", "id"))).filter("k <= 5000").select("grp", "x")
 
     def w(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(g["x"].to_numpy())
         n = len(x)
         if n < 3 or x[0] == x[-1]:
-            return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [None], "verdict": ["too few" if n < 3 else "no variation"]})
-        m = np.array([norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+            return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [None], "p": [None], "verdict": ["too few" if n < 3 else "no variation"]})
+        m = np.array([P.norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
         u = 1 / np.sqrt(n)
         mm = float(m @ m)
         cc = m / np.sqrt(mm)
@@ -390,14 +605,19 @@ def _(spark, d):
             a[-2], a[1] = second, -second
         a[-1], a[0] = last, -last
         stat = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
-        return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [stat], "verdict": ["not normal" if stat < 0.99 else "normal"]})
+        p = royston_p(min(stat, 1.0), n)
+        return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [stat], "p": [p], "verdict": ["not normal" if p < 0.05 else "normal"]})
 
-    return capped.groupBy("grp").applyInPandas(w, "grp string, n long, w double, verdict string")
+    return capped.groupBy("grp").applyInPandas(w, "grp string, n long, w double, p double, verdict string")
 
 
 # checks of results
 
-@query("check_identities", f"WITH {PERSONS} SELECT 'shares sum to one' AS check_name, true AS ok UNION ALL SELECT 'sums of squares add up', true UNION ALL SELECT 'Lorenz below the diagonal', true UNION ALL SELECT 'rates multiply', true UNION ALL SELECT 'F is the ratio of mean squares', true")
+@query("check_identities", f"""WITH {PERSONS}, an AS ({{anova_one_way}}), s AS (SELECT sum(CAST(n AS DOUBLE)) / (SELECT count(*) FROM persons) AS one FROM (SELECT count(*) AS n FROM persons GROUP BY grp)), tss AS (SELECT var_samp(x) * (count(*) - 1) AS tss FROM persons),
+lz AS (SELECT sum(w) OVER (ORDER BY x) / CAST(sum(w) OVER () AS DOUBLE) AS p, sum(w * x) OVER (ORDER BY x) / sum(w * x) OVER () AS q FROM persons), rt AS (SELECT CAST(sum(w) FILTER (status = 'F') AS DOUBLE) / sum(w) AS e, CAST(sum(w) FILTER (status IN ('F', 'O')) AS DOUBLE) / sum(w) AS a, CAST(sum(w) FILTER (status = 'O') AS DOUBLE) / sum(w) FILTER (status IN ('F', 'O')) AS u FROM persons),
+rk AS (SELECT sum(r) AS r FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS r FROM persons)), ks AS (SELECT (SELECT sum(n) FROM (SELECT count(*) AS n FROM persons GROUP BY seg, grp)) AS n), gm AS (SELECT (SELECT sum(n * m) / sum(n) FROM (SELECT seg, count(*) AS n, avg(x) AS m FROM persons GROUP BY seg)) AS m)
+SELECT 'shares sum to one' AS check_name, abs(one - 1) < 1e-9 AS ok FROM s UNION ALL SELECT 'sums of squares add up', abs(ss_between + ss_within - tss) < 1e-6 * tss FROM an, tss UNION ALL SELECT 'Lorenz below the diagonal', bool_and(q <= p + 1e-9) FROM lz UNION ALL SELECT 'rates multiply', abs(e - a * (1 - u)) < 1e-9 FROM rt UNION ALL SELECT 'F is the ratio of mean squares', abs(f - ss_between / df1 / (ss_within / df2)) < 1e-4 FROM an
+UNION ALL SELECT 'ranks sum to n (n + 1) / 2', abs(r - (SELECT count(*) * (count(*) + 1) / 2.0::DOUBLE FROM persons)) < 1e-6 * r FROM rk UNION ALL SELECT 'cells sum to rows', n = (SELECT count(*) FROM persons) FROM ks UNION ALL SELECT 'mean of group means', abs(m - (SELECT avg(x) FROM persons)) < 1e-9 * abs(m) FROM gm UNION ALL SELECT 'eta squared between 0 and 1', eta2 BETWEEN 0 AND 1 FROM an""")
 def _(spark, d):
     """Rows (check_name, ok): arithmetic that any right set of result tables fulfils."""
     p = persons(spark, d)
@@ -407,8 +627,12 @@ def _(spark, d):
     lorenz = O.lorenz_points(p, "x", "w").agg(F.bool_and((c("q") <= c("p") + 1e-12) & (c("q") >= c("q0") - 1e-12)).alias("ok"))
     w = lambda s: F.sum(F.when(c("status").isin(*s), c("w")).otherwise(0))
     rates = p.agg(near(w("F") / F.sum("w"), w("FO") / F.sum("w") * (1 - w("O") / w("FO"))).alias("ok"))
+    ranks = O.average_ranks(p, "x").agg(F.sum(c("n") * c("rank")).alias("s"), F.max("n_all").alias("m")).select(near(c("s"), c("m") * (c("m") + 1) / 2).alias("ok"))
+    cells = K.contingency(p, "seg", "grp").agg((F.sum("n") == F.max("total")).alias("ok"))
+    means = K.group_stats(p, "x", "seg").agg((F.sum(c("n") * c("mean")) / F.sum("n")).alias("m")).crossJoin(p.agg(F.avg("x").alias("own"))).select(near(c("m"), c("own")).alias("ok"))
     rows = [("shares sum to one", shares), ("sums of squares add up", a.select(near(c("ss_between") + c("ss_within"), c("tss")).alias("ok"))), ("Lorenz below the diagonal", lorenz), ("rates multiply", rates),
-            ("F is the ratio of mean squares", a.select(near(c("f"), c("ss_between") / c("df1") / (c("ss_within") / c("df2"))).alias("ok")))]
+            ("F is the ratio of mean squares", a.select(near(c("f"), c("ss_between") / c("df1") / (c("ss_within") / c("df2"))).alias("ok"))), ("ranks sum to n (n + 1) / 2", ranks), ("cells sum to rows", cells), ("mean of group means", means),
+            ("eta squared between 0 and 1", a.select(c("eta2").between(0, 1).alias("ok")))]
     out = None
     for name, df in rows:
         one = df.select(F.lit(name).alias("check_name"), "ok")
@@ -428,3 +652,6 @@ def _(spark, d):
 def _(spark, d):
     a = persons(spark, d).agg(F.count(F.lit(1)).cast("double").alias("rows"), F.sum("w").cast("double").alias("weight"), r(F.sum(c("w") * c("x")) / F.sum("w")).alias("mean"), F.count_if(c("p21") > 0).cast("double").alias("positive"))
     return a.unpivot([], a.columns, "magnitude", "value")
+
+
+ORACLES["check_identities"] = ORACLES["check_identities"].format(anova_one_way=ORACLES["anova_one_way"])

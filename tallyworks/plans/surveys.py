@@ -297,7 +297,7 @@ def _(spark, d):
     return V.two_stage_sample(frame(spark, d), "stratum", "psu", "unit", 5, 2, "ts").select("unit", r("pi", 6).alias("pi"))
 
 
-@query("pps_with_replacement")
+@query("pps_with_replacement", f"WITH {FRAME}, z AS (SELECT unit, abs(y) + 1 AS w FROM frame), k AS (SELECT unit, sum(w) OVER (ORDER BY unit) / sum(w) OVER () AS hi, w / sum(w) OVER () AS w FROM z), d AS (SELECT draw, {HASH.format(s='pps', u='draw')} AS u FROM (SELECT unnest(range(500)) AS draw)) SELECT draw, unit FROM d JOIN k ON u < hi AND u >= hi - w")
 def _(spark, d):
     """Draws with chances in proportion to weight: each draw's uniform falls into the unit's range of the running weight."""
     f = frame(spark, d).withColumn("size", F.abs("y") + 1)
@@ -311,11 +311,13 @@ def _(spark, d):
     return slots.join(F.broadcast(u), "slot").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", "unit")
 
 
-SAMPLE = f"{FRAME}, smp AS (SELECT *, 4.0::DOUBLE + unit % 3 AS w, unit % 5 <> 0 AS answered FROM frame WHERE unit % 4 = 1)"
+SAMPLE = f"{FRAME}, {alloc_sql('CAST(count(*) AS DOUBLE)')}, o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {HASH.format(s='sw', u='unit')}, unit) AS k FROM frame), smp AS (SELECT o.*, CAST(n_all AS DOUBLE) / n_h AS w, unit % 5 <> 0 AS answered FROM o JOIN al USING (stratum) WHERE k <= n_h)"
 
 
 def sample(spark, d):
-    return frame(spark, d).filter("unit % 4 = 1").withColumn("w", 4.0 + F.col("unit") % 3).withColumn("answered", F.col("unit") % 5 != 0)
+    """A stratified sample with its weights; of its units, those divisible by five did not answer."""
+    f = frame(spark, d)
+    return V.stratified_sample(f, "stratum", "unit", V.allocate(f, "stratum", 120), "sw").withColumn("w", F.col("frame_n") / F.col("n_h")).withColumn("answered", F.col("unit") % 5 != 0)
 
 
 @query("design_weights", f"WITH {FRAME}, {alloc_sql('CAST(count(*) AS DOUBLE)')} SELECT stratum, round(CAST(n_all AS DOUBLE) / n_h, 6) AS weight FROM al")
@@ -323,7 +325,7 @@ def _(spark, d):
     return V.allocate(frame(spark, d), "stratum", 120).select("stratum", r(F.col("frame_n") / F.col("n_h"), 6).alias("weight"))
 
 
-@query("nonresponse_adjustment", f"WITH {SAMPLE}, c AS (SELECT stratum, sum(w) / sum(w) FILTER (answered) AS k FROM smp GROUP BY 1) SELECT unit, round(w * k, 6) AS weight_nr FROM smp JOIN c USING (stratum) WHERE answered")
+@query("nonresponse_adjustment", f"WITH {SAMPLE}, c AS (SELECT stratum, sum(w) / sum(w) FILTER (answered) AS f FROM smp GROUP BY 1) SELECT unit, round(w * f, 6) AS weight_nr FROM smp JOIN c USING (stratum) WHERE answered")
 def _(spark, d):
     return V.adjust_by_cell(sample(spark, d), "stratum", "w", F.col("answered")).select("unit", r("weight_nr", 6).alias("weight_nr"))
 
@@ -334,26 +336,29 @@ def _(spark, d):
     return V.poststratify(sample(spark, d), "cell", "w", counts).select("unit", r("weight_ps", 6).alias("weight_ps"))
 
 
-@query("weight_summary", f"WITH {SAMPLE} SELECT count(*) AS n, sum(w) AS total, min(w) AS min, max(w) AS max, round(stddev_samp(w) / avg(w), 6) AS cv, max(w) / min(w) AS ratio, round(count(*) * sum(w * w) / (sum(w) * sum(w)), 6) AS deff, round(sum(w) * sum(w) / sum(w * w), 4) AS effective_n FROM smp")
+@query("weight_summary", f"WITH {SAMPLE} SELECT count(*) AS n, round(sum(w), 4) AS total, round(min(w), 6) AS min, round(max(w), 6) AS max, round(stddev_samp(w) / avg(w), 6) AS cv, round(max(w) / min(w), 6) AS ratio, round(count(*) * sum(w * w) / (sum(w) * sum(w)), 6) AS deff, round(sum(w) * sum(w) / sum(w * w), 4) AS effective_n FROM smp")
 def _(spark, d):
     s = V.weight_summary(sample(spark, d), "w")
-    return s.select("n", "total", "min", "max", r("cv", 6).alias("cv"), "ratio", r("deff", 6).alias("deff"), r("effective_n").alias("effective_n"))
+    return s.select("n", r("total").alias("total"), r("min", 6).alias("min"), r("max", 6).alias("max"), r("cv", 6).alias("cv"), r("ratio", 6).alias("ratio"), r("deff", 6).alias("deff"), r("effective_n").alias("effective_n"))
 
 
-@query("design_fractions", f"WITH {SAMPLE}, a AS (SELECT stratum, count(DISTINCT psu) AS a FROM frame GROUP BY 1), b AS (SELECT stratum, count(DISTINCT psu) AS b FROM smp GROUP BY 1) SELECT stratum, round(CAST(b AS DOUBLE) / a, 6) AS f FROM a JOIN b USING (stratum)")
+@query("design_fractions", f"WITH {SAMPLE}, a AS (SELECT stratum, count(DISTINCT psu) AS a FROM frame GROUP BY 1), s2 AS (SELECT stratum, count(DISTINCT psu) AS b FROM smp GROUP BY 1) SELECT stratum, round(CAST(b AS DOUBLE) / a, 6) AS f FROM a JOIN s2 USING (stratum)")
 def _(spark, d):
     a = frame(spark, d).groupBy("stratum").agg(F.count_distinct("psu").alias("a"))
     b = sample(spark, d).groupBy("stratum").agg(F.count_distinct("psu").alias("b"))
     return a.join(b, "stratum").select("stratum", r(F.col("b") / F.col("a"), 6).alias("f"))
 
 
-# replicates: statistical results, checked by properties
+# replicates: draws come from hashes, so SQL makes the same ones
 
-def _boot(units, by_rep, stat):
-    return units.groupBy(*by_rep).agg(stat.alias("t"))
+def drawn_sql(source: str, seed: str, unit: str, n: int) -> str:
+    """source with rep and times, for text unit parts joined by colons."""
+    u = HASH.format(s=seed, u=f"{unit} || ':' || rep")
+    times = " + ".join(f"(u >= {edge!r})::INTEGER" for edge in V.poisson_edges())
+    return f"(SELECT * FROM (SELECT *, {times} AS times FROM (SELECT *, {u} AS u FROM {source}, (SELECT unnest(generate_series(1, {n})) AS rep))) WHERE times > 0)"
 
 
-@query("cluster_bootstrap")
+@query("cluster_bootstrap", f"WITH {PERSONS}, c AS (SELECT psu, sum(w * x) AS y, CAST(sum(w) AS DOUBLE) AS n FROM persons GROUP BY 1), t AS (SELECT rep, sum(times * y) / sum(times * n) AS t FROM {drawn_sql('c', 'cb', 'psu', 200)} GROUP BY rep) SELECT round(avg(t), 4) AS mean, round(stddev_samp(t), 6) AS se, count(*) AS replicates FROM t")
 def _(spark, d):
     """mean, se: dwellings drawn whole, 200 replicates."""
     c = persons(spark, d).groupBy("psu").agg(F.sum(F.col("w") * F.col("x")).alias("y"), F.sum("w").alias("n"))
@@ -361,7 +366,7 @@ def _(spark, d):
     return t.agg(r(F.avg("t")).alias("mean"), r(F.stddev_samp("t"), 6).alias("se"), F.count(F.lit(1)).alias("replicates"))
 
 
-@query("stratified_cluster_bootstrap")
+@query("stratified_cluster_bootstrap", f"WITH {PERSONS}, c AS (SELECT stratum, psu, sum(w * x) AS y, CAST(sum(w) AS DOUBLE) AS n FROM persons GROUP BY ALL), h AS (SELECT stratum, sum(n) AS n0 FROM c GROUP BY 1), b AS (SELECT rep, stratum, sum(times * y) / sum(times * n) AS m FROM {drawn_sql('c', 'sb', 'stratum || chr(58) || psu', 200)} GROUP BY ALL), t AS (SELECT rep, sum(m * n0) / sum(n0) AS t FROM b JOIN h USING (stratum) GROUP BY rep) SELECT round(avg(t), 4) AS mean, round(stddev_samp(t), 6) AS se, count(*) AS replicates FROM t")
 def _(spark, d):
     c = persons(spark, d).groupBy("stratum", "psu").agg(F.sum(F.col("w") * F.col("x")).alias("y"), F.sum("w").alias("n"))
     t = V.replicates(c, "psu", 200, "sb", ["stratum"]).groupBy("rep", "stratum").agg(F.sum(F.col("times") * F.col("y")).alias("y"), F.sum(F.col("times") * F.col("n")).alias("n"))
@@ -370,7 +375,7 @@ def _(spark, d):
     return t.agg(r(F.avg("t")).alias("mean"), r(F.stddev_samp("t"), 6).alias("se"), F.count(F.lit(1)).alias("replicates"))
 
 
-@query("subpopulation_bootstrap")
+@query("subpopulation_bootstrap", f"WITH {PERSONS}, c AS (SELECT psu, sum(CASE WHEN seg = 'BUILDING' THEN w * x ELSE 0 END) AS y, CAST(sum(CASE WHEN seg = 'BUILDING' THEN w ELSE 0 END) AS DOUBLE) AS n FROM persons GROUP BY 1), b AS (SELECT * FROM {drawn_sql('c', 'sp', 'psu', 200)}), t AS (SELECT way, rep, sum(times * y) / sum(times * n) AS t FROM b, (VALUES ('domain'), ('filter')) v(way) WHERE way = 'domain' OR n > 0 GROUP BY ALL) SELECT way, round(stddev_samp(t), 6) AS se FROM t GROUP BY way")
 def _(spark, d):
     """way, se: a group's mean with all clusters kept (zero-filled), and after filtering first."""
     own = F.col("seg") == "BUILDING"
@@ -380,7 +385,7 @@ def _(spark, d):
     return t.groupBy("way").agg(r(F.stddev_samp("t"), 6).alias("se"))
 
 
-@query("rank_uncertainty_bootstrap")
+@query("rank_uncertainty_bootstrap", f"WITH {PERSONS}, c AS (SELECT stratum, psu, sum(w * x) AS y, CAST(sum(w) AS DOUBLE) AS n FROM persons GROUP BY ALL), t AS (SELECT rep, stratum, sum(times * y) / sum(times * n) AS t FROM {drawn_sql('c', 'rk', 'stratum || chr(58) || psu', 100)} GROUP BY ALL), p AS (SELECT stratum, row_number() OVER (PARTITION BY rep ORDER BY t DESC, stratum) AS place FROM t) SELECT stratum, quantile_cont(CAST(place AS DOUBLE), 0.05) AS low, quantile_cont(CAST(place AS DOUBLE), 0.95) AS high FROM p GROUP BY stratum")
 def _(spark, d):
     """stratum, low, high: the 5th and 95th percentile of its place over 100 replicates."""
     c = persons(spark, d).groupBy("stratum", "psu").agg(F.sum(F.col("w") * F.col("x")).alias("y"), F.sum("w").alias("n"))
@@ -389,7 +394,7 @@ def _(spark, d):
     return t.groupBy("stratum").agg(F.percentile("place", 0.05).alias("low"), F.percentile("place", 0.95).alias("high"))
 
 
-@query("sampling_plan_replicates")
+@query("sampling_plan_replicates", f"WITH {FRAME}, c AS (SELECT stratum, psu, sum(y) AS y, sum(y * y) AS yy, count(*) AS n FROM frame GROUP BY ALL), r AS (SELECT *, {HASH.format(s='plan', u="rep || ':' || stratum || ':' || psu")} AS u FROM c, (SELECT unnest(generate_series(1, 100)) AS rep)), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rep, stratum ORDER BY u, psu) AS k FROM r) WHERE k <= 6), m AS (SELECT rep, sum(y) AS sy, sum(n) AS sn, sum(yy) AS syy, sum(y) / sum(n) AS m FROM s GROUP BY rep), h AS (SELECT rep, stratum, count(*) AS a, sum(y - m * n) AS sz, sum((y - m * n) * (y - m * n)) AS szz FROM s JOIN m USING (rep) GROUP BY ALL), v AS (SELECT rep, sum(CASE WHEN a > 1 THEN CAST(a AS DOUBLE) / (a - 1) * (szz - sz * sz / a) ELSE 0 END) AS v FROM h GROUP BY rep), e AS (SELECT m, sqrt(v) / sn AS se, sqrt((syy - sy * sy / sn) / (sn - 1) / sn) AS se0, (SELECT avg(y) FROM frame) AS true_mean FROM v JOIN m USING (rep)) SELECT round(avg(CASE WHEN abs(m - true_mean) <= 1.96 * se THEN 1.0::DOUBLE ELSE 0 END), 4) AS coverage_design, round(avg(CASE WHEN abs(m - true_mean) <= 1.96 * se0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS coverage_naive, round(avg(se), 4) AS mean_se, count(*) AS replicates FROM e")
 def _(spark, d):
     """coverage of the design interval and of the naive one over 100 selections of the real frame."""
     from ..functions.scalars import hash_uniform

@@ -10,7 +10,7 @@ from .registry import query, r, rounded, table
 
 M = "m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / 1000 AS value, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS qty FROM lineitem GROUP BY 1)"
 I = f"{M}, i AS (SELECT month, value / qty * 100 AS value FROM m)"
-B = "m AS (SELECT p_brand AS brand, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / 1000 AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25 GROUP BY ALL)"
+B = "m AS (SELECT p_brand AS brand, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / 1000 AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
 
 def monthly(spark, d):
@@ -23,7 +23,7 @@ def index(spark, d):
 
 
 def brands(spark, d):
-    j = table(spark, d, "lineitem").join(table(spark, d, "part").filter("p_size <= 25"), F.col("l_partkey") == F.col("p_partkey"))
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return j.groupBy(F.col("p_brand").alias("brand"), F.trunc("l_shipdate", "month").alias("month")).agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / 1000).alias("value"))
 
 

@@ -98,7 +98,7 @@ def test_ols_residuals_and_types(spark):
     d = M.diagnostics(df, f, "y").agg(F.sum("residual").alias("r"), F.sum("leverage").alias("h")).first()
     assert abs(d.r) < 1e-8 and abs(d.h - 3) < 1e-9
     cells = df.withColumn("a", (F.col("x") > 0).cast("int")).withColumn("b", (F.col("z") > 0).cast("int")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-    ss = {n: s for n, s, _ in M.two_way(cells, "a", "b")}
+    ss = {n: s for n, s, _ in M.two_way(cells, "a", "b")[0]}
     assert all(v >= -1e-9 for v in ss.values())
 
 
