@@ -30,11 +30,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4 = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-pages AS (SELECT source, count(*) AS n FROM d WHERE source IS NOT NULL GROUP BY source),
-held AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM d WHERE source IS NOT NULL),
+p AS (SELECT DISTINCT source, text, lines FROM d WHERE source IS NOT NULL),
+pages AS (SELECT source, count(*) AS n FROM p GROUP BY source),
+held AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM p),
 bad AS (SELECT source, list(line) AS bad FROM (
   SELECT h.source, h.line FROM held h JOIN pages p ON h.source = p.source WHERE h.line <> ''
-  GROUP BY h.source, h.line, p.n HAVING count(*) >= 5 AND p.n >= 20 AND count(*) > CAST(0.1 AS DOUBLE) * p.n) GROUP BY source)
+  GROUP BY h.source, h.line, p.n HAVING count(*) >= 3 AND count(*) > CAST(0.05 AS DOUBLE) * p.n) GROUP BY source)
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
   CASE WHEN bad IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text
@@ -53,7 +54,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6 = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5('mix' || coalesce(':' || CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(3 AS DOUBLE) * source_size AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),

@@ -87,10 +87,10 @@ def lines():
     return out + [(900, None, "big"), (901, "", "big"), (902, "Menu | Home", "big"), (902, "Menu | Home", "big"), (903, "é\n" * 20000, "mid")]
 
 
-def brute_lines(rows, ratio=0.1):
+def brute_lines(rows, ratio=0.05):
     pages, held = Counter(), defaultdict(Counter)
     strip = lambda x: x.strip(" \t\r\x0b\x0c")
-    for _, t, s in rows:
+    for t, s in {(t, s) for _, t, s in rows}:
         if s is not None:
             pages[s] += 1
             held[s].update({strip(x) for x in (t or "").split("\n")} - {""} if t is not None else set())
@@ -100,7 +100,7 @@ def brute_lines(rows, ratio=0.1):
             out.append((i, None, 0, 0))
             continue
         all_ = t.split("\n")
-        bad = {x for x, n in held[s].items() if n >= 5 and n > ratio * pages[s]} if s is not None and pages[s] >= 20 else set()
+        bad = {x for x, n in held[s].items() if n >= 3 and n > ratio * pages[s]} if s is not None else set()
         kept = [x for x in all_ if strip(x) not in bad]
         out.append((i, "\n".join(kept), len(all_), len(all_) - len(kept)))
     return sorted(out, key=str)
@@ -110,7 +110,7 @@ def brute_lines(rows, ratio=0.1):
 def test_lines(spark, monkeypatch, salted):
     rows = lines()
     df = frame(spark, rows)
-    out = linededup.dedup_lines(df, broadcast_lines=-1 if salted else 50_000)
+    out = linededup.dedup_lines(df, broadcast_mb=-1 if salted else 32)
     assert sorted(((r.row.doc_id, r.clean, r.n_lines, r.n_dropped) for r in out.collect()), key=str) == brute_lines(rows)
     kept = linededup.without_boilerplate(df)
     assert kept.columns == df.columns
@@ -128,5 +128,5 @@ def test_copies_of_a_document_are_one_page(spark):
     kept = {r.doc_id: r.text for r in linededup.without_boilerplate(frame(spark, rows)).collect()}
     assert len(kept) == len(rows)
     assert all(kept[i] == (f"own words {i}" if i < 40 else t) for i, t, _ in rows)
-    pages = {r.site: r.n_pages for r in linededup.boilerplate(frame(spark, rows), distinct_pages=True).collect()}
+    pages = {r.site: r.n_pages for r in linededup.boilerplate(frame(spark, rows)).collect()}
     assert pages == {"s": 41}
