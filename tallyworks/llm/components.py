@@ -2,7 +2,7 @@
 
 Each step is one or two group-bys by vertex. A vertex with very many links is no special case: neighbours are
 reduced to a minimum by a partial aggregate, and no step gathers a neighbourhood. Every round is written to the
-shared folder, so a lost executor costs one round at most. The number of rounds grows with the logarithm of
+shared folder, so a lost executor costs one round at most, and the round before it is deleted. The number of rounds grows with the logarithm of
 the longest path.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(rounds):
-        e = cut(_star(_star(e, True), False))
+        last, e = e, cut(_star(_star(e, True), False))
+        drop(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -13,7 +13,7 @@ fingerprints, never all pairs.
 
 Nulls and short texts: no word gives fingerprint zero, which links like any other; fewer words than a shingle
 make one shingle. A null doc_id has a fingerprint but no links, and a null component. Repeated rows all come
-back with the same component. An empty table gives an empty result.
+back with the same component, and so do rows of one text under several ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,14 +53,16 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and extra columns of whole numbers."""
+    extra = extra or []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, size, seed) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp, **{c: b[c] for c in extra}})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInPandas(run, "doc_id long, fp long" + "".join(f", {c} long" for c in extra))
 
 
 def _flips(radius: int) -> np.ndarray:
@@ -146,22 +148,34 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return variants.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(_verify(radius), "fa long, fb long")
 
 
+def groups(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """group and first_id for each distinct fingerprint (column fp) of rows with an id: the group is the least fingerprint it can reach."""
+    own = cut(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    comp = components(cut(near_links(own, radius).distinct()).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    return cut(own.join(comp, F.col("fp") == F.col("vertex"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("group")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     rows = cut(fingerprints(docs, size, seed))
-    own = cut(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = cut(near_links(own, radius).distinct())
-    ids = own.select(F.col("fp").alias("f"), "first_id")
-    edges = links.join(ids, F.col("fa") == F.col("f")).select("fb", F.col("first_id").alias("a")).join(ids, F.col("fb") == F.col("f")).select("a", F.col("first_id").alias("b"))
-    comp = components(edges)
-    named = own.join(comp, F.col("first_id") == F.col("vertex"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "first_id").alias("c"))
+    g = groups(rows, radius)
+    least = g.groupBy(F.col("group").alias("g")).agg(F.min("first_id").alias("c"))
+    named = g.join(least, F.col("group") == F.col("g")).select(F.col("fp").alias("f"), "c")
     # one row for each distinct fingerprint on the right: a fingerprint of very many copies is split on the left
     return rows.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
 
 
-def without_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; rows without an id stay."""
-    keep = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    one = row.filter("id IS NOT NULL").join(keep, F.col("id") == F.col("keep_id"), "left_semi").dropDuplicates(["id"]).select("row.*")
+def without_near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, seed: int = 42) -> DataFrame:
+    """docs with one document of each group, that of the smallest doc_id (of equal ids, the least hash of the text); rows without an id stay.
+
+    Rows of one doc_id but of texts in different groups are different documents and all stay; rows of one id and text are copies.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = cut(fingerprints(docs.withColumn("_t", text), size, seed, ["_t"]))
+    g = groups(rows, radius).select(F.col("fp").alias("f"), "group")
+    # of a fingerprint first its own least row, so that a fingerprint of very many copies is summed in part before it is shuffled
+    first = rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "_t")).alias("r")).join(g, F.col("fp") == F.col("f"))
+    keep = first.groupBy("group").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("keep_id"), F.col("r._t").alias("keep_text")).distinct()
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("t"))
+    one = row.filter("id IS NOT NULL").join(keep, (F.col("id") == F.col("keep_id")) & (F.col("t") == F.col("keep_text")), "left_semi").dropDuplicates(["id", "t"]).select("row.*")
     return one.unionByName(row.filter("id IS NULL").select("row.*"))

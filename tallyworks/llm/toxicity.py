@@ -10,12 +10,13 @@ labelled documents show to be harmless is no hit. A hit in
 quotation marks or beside words of reporting is counted apart from a plain one. Each kind of hit has a log likelihood ratio measured on the
 labelled documents, that of misspellings being drawn towards that of the words themselves, and a score is the logistic of their sum.
 
-Bounds: at most max_labelled labelled documents (those of the smallest hash) and max_terms terms are used to
-learn; scoring covers every whole text. Labels, lang, source and doc_id are no input of a score.
+Bound: at most max_labelled labelled documents (those of the smallest hash) are used to learn, which bounds the lexicon as well;
+scoring covers every whole text. Labels, lang, source and doc_id are no input of a score.
 
 Nulls: a null or empty text has no hits and gets the prior; labels with a null id or label are ignored; a
 document with several labels counts once for each. Without any usable label the lexicon is empty, and every score is the
-prior 0.1. Repeated rows are scored alike.
+prior 0.1. Repeated rows are scored alike. Ties: of terms equally near to a word the alphabetically first counts; of labelled
+documents with one hash that of the smaller id comes first.
 """
 
 from __future__ import annotations
@@ -187,7 +188,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) ->
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 5_000, min_contexts: int = 5) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, min_contexts: int = 5) -> Model:
     train = cut(labelled(docs, labels, max_labelled).distinct())
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
@@ -208,13 +209,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_te
     stems = (words.withColumn("stem", F.explode(F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda n: n < F.length("word")), lambda n: F.substr("word", F.lit(1), n))))
              .groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("n"))
              .filter(fit(0.995) & (F.col("t") > min_contexts) & (F.col("n") >= 3)))
-    top = lambda df, c: [r[c] for r in df.orderBy(F.desc("t"), c).limit(max_terms).select(c).collect()]
-    found = {r["stem"]: r["t"] for r in stems.orderBy(F.desc("t"), "stem").limit(max_terms).select("stem", "t").collect()}
+    found = {r["stem"]: r["t"] for r in stems.select("stem", "t").collect()}  # of the labelled documents, at most max_labelled
     chosen: list[str] = []
     for s in sorted(found, key=lambda x: (len(x), x)):
         if not any(s.startswith(x) for x in chosen):  # as long as it may be without losing words
             chosen.append(max((x for x in found if x.startswith(s) and found[x] >= 0.98 * found[s]), key=lambda x: (len(x), x)))
-    terms = top(words.filter(fit(SHARE) & (F.col("d") >= 3) & (2 * F.col("t") > F.col("n"))), "word")
+    terms = [r["word"] for r in words.filter(fit(SHARE) & (F.col("d") >= 3) & (2 * F.col("t") > F.col("n"))).orderBy(F.desc("t"), "word").select("word").collect()]
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = FuzzyTrie(terms, chosen)
