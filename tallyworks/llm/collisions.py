@@ -4,7 +4,8 @@ Each block of vectors keeps its projections as sorted arrays. A query opens a wi
 projection in each array and widens it step by step (virtual rehashing: no array is built again). A vector
 that lies in the window of at least `share` of the projections is verified by its exact Euclidean distance. The search of a block ends when
 the k-th verified distance is so small against the windows that a nearer vector would have reached
-that share, but for `doubt` standard deviations. Queries meet all vectors in blocks; of each block, k results a query go on.
+that share, but for `doubt` standard deviations. Queries, the smaller side, are sent to every block; of each block, k results a query go on. Projections far
+outside a block's own range are put at its ends, so that one huge vector does not spoil the arrays of the others.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most take no part, nor
 does a null vec_id. A query's own vec_id is never its neighbour; repeated rows of another vec_id count
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import dimension, matrix, usable
+from .vectors import dimension, distances, matrix, usable
 
 HITS = "query_id long, vec_id long, score double"
 
@@ -38,18 +39,28 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.a = np.random.default_rng(seed).standard_normal((x.shape[1], projections))
-        p = np.ascontiguousarray((self.x @ self.a).T)
+        p = self.projected(self.x).T
+        # what lies a thousand quartile ranges out is put at that place: it enters windows no later than it should, and it
+        # can't take the others' places from the arrays
+        low, mid, high = np.quantile(p, [0.25, 0.5, 0.75], axis=1, keepdims=True)
+        far = 1000 * np.maximum(high - low, 1e-300)
+        self.least, self.most = (mid - far).ravel(), (mid + far).ravel()
+        p = np.ascontiguousarray(np.clip(p, mid - far, mid + far))
         self.order = np.argsort(p, axis=1, kind="stable")
         self.low = float(p.min())
         self.span = 4 * (float(p.max()) - self.low) + 1
         self.flat = (np.take_along_axis(p, self.order, 1) - self.low + np.arange(projections)[:, None] * self.span).ravel()
         self.order = self.order.ravel()
 
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.nan_to_num(x @ self.a, nan=0.0, posinf=1e300, neginf=-1e300)
+
     def search(self, query_id: int, q: np.ndarray, k: int, share: float, doubt: float, step: float) -> tuple[np.ndarray, np.ndarray]:
         n, m = len(self.ids), self.a.shape[1]
         need = math.ceil(share * m)
         first = np.arange(m) * n
-        at = np.clip(q @ self.a - self.low, -self.span / 4, self.span / 2) + np.arange(m) * self.span
+        at = np.clip(self.projected(q), self.least, self.most) - self.low + np.arange(m) * self.span
         lo = np.clip(np.searchsorted(self.flat, at), first, first + n)
         hi = lo.copy()
         count = np.zeros(n, np.int64)
@@ -70,8 +81,7 @@ class Block:
             fresh = np.flatnonzero((count >= need) & ~done)
             if len(fresh):
                 done[fresh] = True
-                d = self.x[fresh] - q
-                found, far = np.r_[found, fresh], np.r_[far, np.sqrt((d * d).sum(1))]
+                found, far = np.r_[found, fresh], np.r_[far, distances(self.x[fresh], q)]
             if len(found) >= want:
                 p = _inside(width, float(np.partition(far, want - 1)[want - 1]))
                 if p * m - doubt * math.sqrt(p * (1 - p) * m) >= need or done.all():
@@ -81,13 +91,16 @@ class Block:
         return self.ids[found[best]], far[best]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, projections: int = 128, share: float = 0.5, doubt: float = 2.0, step: float = 1.15, block: int = 16384, queries: int = 256, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, projections: int = 128, share: float = 0.5, doubt: float = 2.0, step: float = 1.15, block: int = 16384, queries: int = 16384, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for each row of vectors (vec_id, embedding) that is_query."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     size = dimension(rows, "embedding")
     rows = cut(rows.filter(F.size("embedding") == size))
     asked = rows.filter(is_query).dropDuplicates(["vec_id"])
-    blocks, groups = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // queries))
+    n_asked = asked.count()
+    blocks = max(1, -(-rows.count() // block))
+    # a block is indexed once for every so many queries; only with few blocks the queries are split further, so that all cores have work
+    groups = max(1, -(-n_asked // queries), min(-(-n_asked // 64), -(-2 * rows.sparkSession.sparkContext.defaultParallelism // blocks)))
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     stored = rows.withColumn("i", deal(blocks, 1)).withColumn("j", every(groups))

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by product quantisation: inverted lists, residual codes, table-lookup distances, exact cosine.
 
 A coarse quantiser and the codebooks of the residuals' subspaces are fitted on a bounded sample (fit_rows). Every vector is
-indexed in its cell, with its residual's codes and how far they lie from it. Every vector also
+indexed in its cell once, with its residual's codes and how far they lie from it. Every vector also
 visits its nearest cells (probes). There, distances from the query to the coded vectors come from one table
 per subspace; a pair goes on if that distance, less the coding error, is within reach, so codes lose no pair; the rest
 is decided by the exact cosine in double precision. Only missed cells can lose a link (recall is measured in
@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import components
-from .vectors import dimension, kmeans, matrix, nearest, sample, squared, usable
+from .vectors import dimension, kmeans, matrix, nearest, sample, scaled, squared, unit_rows, usable
 
 FOUND = "id long, n long, root long"
 
@@ -77,43 +77,45 @@ def link(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20_000, pr
     if total == 0:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     reach = float(np.sqrt(2 - 2 * threshold))
-    fit = sample(one, "embedding", fit_rows)
-    fit /= np.linalg.norm(fit, axis=1, keepdims=True)
+    fit = unit_rows(sample(one, "embedding", fit_rows))
     n_cells = int(max(1, min(2048, len(fit) // 8, round(total**0.5 / 2))))
     index = Index(fit, n_cells, subspaces, codes)
 
     def visit(batches):
-        """A row in its own cell (home) and one in each other cell it probes."""
+        """A row in its own cell (home), with its codes and their error, and one in each other cell it probes."""
         for b in batches:
-            x = matrix(b["embedding"])
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            unit = unit_rows(matrix(b["embedding"]))
             order = np.argsort(squared(unit, index.centres), axis=1, kind="stable")[:, :probes]
+            codes_, error = index.encode(unit - index.centres[order[:, 0]])
             n = order.shape[1]
             at = np.repeat(np.arange(len(b)), n)
-            yield pd.DataFrame({"label": b["label"].to_numpy()[at], "cell": order.ravel(), "home": np.tile(np.arange(n) == 0, len(b)), "own": order[:, 0][at], "probed": [order[i].tolist() for i in at],
+            home = np.tile(np.arange(n) == 0, len(b))
+            own = [c.tobytes() for c in codes_]
+            yield pd.DataFrame({"label": b["label"].to_numpy()[at], "cell": order.ravel(), "home": home, "own": order[:, 0][at], "probed": [order[i].astype("<i4").tobytes() for i in at],
+                                "codes": [own[i] if h else None for i, h in zip(at.tolist(), home.tolist(), strict=True)], "error": np.where(home, error[at], np.nan),
                                 "id": b["id"].to_numpy()[at], "times": b["times"].to_numpy()[at], "embedding": b["embedding"].to_numpy()[at]})
 
-    label = one.schema["label"].dataType.simpleString()
-    visits = cut(one.select("label", "id", "times", "embedding").mapInPandas(visit, f"label {label}, cell long, home boolean, own long, probed array<long>, id long, times long, embedding array<double>"))
+    label, kind = one.schema["label"].dataType.simpleString(), one.schema["embedding"].dataType.simpleString()
+    visits = cut(one.select("label", "id", "times", "embedding").mapInPandas(visit, f"label {label}, cell long, home boolean, own long, probed binary, codes binary, error double, id long, times long, embedding {kind}"))
     # a cell of many rows is dealt in blocks of stored vectors by blocks of visitors
     sizes = visits.groupBy(F.col("label").alias("l"), F.col("cell").alias("c")).agg(
         F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("stored"), F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("asking")).filter("stored > 0")
-    v = visits.join(sizes, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).drop("l", "c")
+    v = visits.join(small(sizes), (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).drop("l", "c")
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n.cast("long")).cast("int")
     stored = v.filter("home").withColumn("i", spread(F.col("stored"), 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))
-    asking = v.select(*[F.col(c).alias(c) for c in v.columns]).withColumn("j", spread(F.col("asking"), 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("stored") - 1)))
+    asking = v.select(*[F.col(c).alias(c) for c in v.columns if c not in ("codes", "error", "home")]).withColumn("j", spread(F.col("asking"), 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("stored") - 1)))
 
     def compare(key: tuple, s: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(s) or not len(q):
             return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
         cell = int(key[1])
-        x, y = matrix(s["embedding"]), matrix(q["embedding"])
+        x, y = scaled(matrix(s["embedding"])), scaled(matrix(q["embedding"]))
         xn, yn = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
         centre = index.centres[cell]
-        codes_, error = index.encode(x / xn[:, None] - centre)
+        codes_, error = np.frombuffer(b"".join(s["codes"]), np.uint8).reshape(len(s), -1), s["error"].to_numpy()
         sid, qid, qown = s["id"].to_numpy(), q["id"].to_numpy(), q["own"].to_numpy()
         sw, qw = s["times"].to_numpy(), q["times"].to_numpy()
-        probed = np.stack(s["probed"].to_numpy())
+        probed = np.frombuffer(b"".join(s["probed"]), "<i4").reshape(len(s), -1)
         ids = np.unique(np.r_[sid, qid])
         ns, nq = np.searchsorted(ids, sid), np.searchsorted(ids, qid)
         n = np.zeros(len(ids), np.int64)

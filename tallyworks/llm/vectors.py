@@ -18,6 +18,31 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row by a power of two near its largest component: no digit changes, and no square of a finite row is infinite or lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, whatever the size of their components."""
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; where squares leave the range of doubles, of the scaled differences."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = x - q
+        s = (d * d).sum(1)
+        odd = ~np.isfinite(s) | (s < 1e-250)
+        out = np.sqrt(s)
+        if odd.any():
+            top = np.abs(d[odd]).max(1)
+            whole = np.where((top > 0) & np.isfinite(top), top, 1.0)
+            out[odd] = np.where(np.isfinite(top), whole * np.sqrt(((d[odd] / whole[:, None]) ** 2).sum(1)), np.inf)
+    return out
+
+
 def dimension(vectors: DataFrame, column: str) -> int:
     """The commonest length (of equals the smallest); vectors of other lengths can't be compared with these."""
     row = vectors.groupBy(F.size(column).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()

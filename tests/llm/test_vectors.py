@@ -76,3 +76,30 @@ def test_few_and_none(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pqdedup.link(df).collect()) == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True)]
     none = df.limit(0)
     assert collisions.search(none, F.col("vec_id") == 0).count() == 0 and pqdedup.link(none).count() == 0
+
+
+def test_huge_and_tiny_components(spark):
+    """Finite components near the ends of the range of doubles link, are found, and spoil nobody else's search."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((400, 16))
+    v = [*base, *(base[:20] * 1e200), *(base[:20] * 1e-200), *(base[20:40] / np.abs(base[20:40]).max() * 1e308)]
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in pqdedup.link(df).collect()}
+    unit = np.array([x / np.abs(x).max() for x in v])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert [got[i].n_links for i in range(len(v))] == near.tolist() and got[405].component_id == got[425].component_id == 5
+    hits = collisions.search(df, F.col("vec_id") % 100 == 0, block=200).collect()
+    x = np.array(v)
+    found = total = 0
+    for q in range(0, len(v), 100):
+        mine = [r for r in sorted(hits, key=lambda r: r.rank) if r.query_id == q]
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = np.array([np.hypot.reduce(x[q] - y) for y in x])
+        d[q] = np.inf
+        want = np.sort(d)[:10]
+        assert len(mine) == 10
+        assert all(abs(r.score - d[r.vec_id]) <= 1e-12 * d[r.vec_id] for r in mine)
+        found += sum(r.score <= want[-1] * (1 + 1e-12) for r in mine)
+        total += 10
+    assert found >= 0.9 * total
