@@ -60,7 +60,10 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def parts_for(df: DataFrame, column: str, mb: int = 24) -> int:
-    """So many hash parts that each holds about mb MB of the column; never below the session's shuffle partitions."""
-    total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def parts_for(df: DataFrame, total: int, mb: int = 24) -> int:
+    """So many hash parts that each holds about mb MB of total bytes; never below the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (mb << 20) + 1)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for
+from .common import WORD, cut, parts_for, text_bytes
 from .parts import KEY_BITS, bucket_slices, gaps, packed, parted, squeeze, ungaps, unpacked, unsqueeze
 
 CACHE_WORDS = 1_000_000
@@ -72,8 +72,9 @@ def _counted(texts: list[bytes], cache: WordHash, order: int) -> tuple[np.ndarra
 
 def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score."""
-    buckets = parts_for(docs, "text", 8)
-    texts = packed(parted(docs))
+    size = text_bytes(docs)
+    buckets = parts_for(docs, size, 8)
+    texts = packed(parted(docs, size))
 
     def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = _counted(unpacked(rows)[1], WordHash(), order)
@@ -121,3 +122,27 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
     sent = texts.groupBy("part").applyInPandas(send, "bucket long, part long, n long, keys binary, counts binary")
     answers = sent.groupBy("bucket").applyInPandas(add, "part long, bucket long, n long, totals binary, check long")
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(join, "doc_id long, n_words long, log_score double, mean_log_score double")
+
+
+def score_joined(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
+    """The same scores from rows alone: n-grams exploded, counted by group, joined back to their places, summed by document.
+
+    N-grams are compared as text. It shuffles every n-gram of every place three times, several times the corpus (figures in
+    the README), so score() is the form for large corpora.
+    """
+    d = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w")))
+    total = d.agg(F.sum(F.size("w")).alias("n")).first()["n"] or 0
+    gram = lambda n: lambda i: F.struct((i + n - 1).alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("gram"))
+    some = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), gram(n))).otherwise(F.array().cast("array<struct<at:int,n:int,gram:string>>")) for n in range(1, order + 1)]))
+    g = d.select("row", F.explode(some).alias("g")).select("row", "g.at", "g.n", "g.gram")
+    counts = g.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("c"))
+    seen = g.join(counts, ["n", "gram"])  # an n-gram that holds many rows is split by the skew join
+    # a count serves the place where its n-gram ends and, as context of a longer one, the place after
+    at = seen.select("row", "c", F.explode(F.array(F.struct(F.col("at").alias("at"), F.col("n").alias("own"), F.lit(0).alias("context")), F.struct((F.col("at") + 1).alias("at"), F.lit(0).alias("own"), (F.col("n") + 1).alias("context")))).alias("p")).select("row", "p.at", "p.own", "p.context", "c")
+    place = at.groupBy("row", "at").agg(*[F.max(F.when(F.col("own") == n, F.col("c"))).alias(f"c{n}") for n in range(1, order + 1)], *[F.max(F.when(F.col("context") == n, F.col("c"))).alias(f"b{n}") for n in range(2, order + 1)]).filter("c1 IS NOT NULL")
+    s = F.col("c1") / F.lit(float(total or 1))
+    for n in range(2, order + 1):
+        s = F.when(F.col(f"c{n}") >= min_count, F.col(f"c{n}") / F.col(f"b{n}")).when(F.col(f"c{n}").isNotNull(), alpha * s).otherwise(s)
+    sums = place.groupBy(F.col("row").alias("r")).agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.ln(s)).alias("log_score"))
+    out = d.select("row", "doc_id").join(sums, F.col("row") == F.col("r"), "left")
+    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"), (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KEY_BITS = 56
-#: Bytes of a file split that make a part.
-PART_MB = 4
+#: MB of text that make a part.
+PART_MB = 6.5
 
 
 def _dctx() -> zstandard.ZstdDecompressor:
@@ -57,11 +57,12 @@ def bucket_slices(sorted_keys: np.ndarray, buckets: int) -> Iterator[tuple[int,
             yield i, a, b
 
 
-def parted(docs: DataFrame) -> DataFrame:
-    """part, doc_id, text: rows of one part come from one file split, whatever the tasks."""
+def parted(docs: DataFrame, total: int) -> DataFrame:
+    """part, doc_id, text: rows of one part come from one file split, whatever the tasks; total is the bytes of all texts."""
     def from_files(df: DataFrame) -> DataFrame:
         m = F.col("_metadata")
-        size = F.ceil(m["file_block_length"] / F.lit(PART_MB << 20)).cast("long")
+        files = df.select(m["file_path"].alias("p"), m["file_size"].alias("s")).distinct().agg(F.sum("s").alias("n")).first()["n"] or 1
+        size = F.greatest(F.lit(1), F.ceil(m["file_block_length"] * F.lit(total / files / (PART_MB * (1 << 20))))).cast("long")
         sub = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length("text")), size)
         return df.select(F.xxhash64(m["file_path"], m["file_block_start"], sub).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 

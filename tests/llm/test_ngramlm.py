@@ -32,7 +32,10 @@ def test_same_as_brute_force(spark, order):
     got = ngramlm.score(df, order).collect()
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=str) == brute(rows, order)
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
+    joined = ngramlm.score_joined(df, order).collect()
+    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in joined), key=str) == brute(rows, order)
 
 
 def test_empty(spark):
-    assert ngramlm.score(spark.createDataFrame([], SCHEMA)).count() == 0
+    none = spark.createDataFrame([], SCHEMA)
+    assert ngramlm.score(none).count() == 0 and ngramlm.score_joined(none).count() == 0
