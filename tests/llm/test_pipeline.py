@@ -65,5 +65,48 @@ def test_stages(spark, tables):
 
 
 def test_run(spark, tables):
+    """run gives the pieces of what the stages, applied one by one, keep: each document as often as the mix takes it, with its own ids."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in docs.collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids + [0]
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            want[r.doc_id, k, s, len(ids[s:s + 2048]), zlib.crc32(np.array(ids[s:s + 2048], "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, path).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 2048
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "both"])
+def test_empty_tables(spark, tables, tmp_path, empty):
     path, _ = tables
-    assert corpus_pipeline.run(spark, path).count() > 0
+    for name in ("documents", "labels"):
+        df = spark.read.parquet(f"{path}/{name}.parquet")
+        (df.limit(0) if empty in (name, "both") else df.limit(50)).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert (got.count() == 0) == (empty != "labels") and "sequence_id" in got.columns
+
+
+def test_rows_of_one_id_and_other_texts_all_stay(spark):
+    from tallyworks.llm import simhash
+
+    a, b = "one two three four five six seven", "an altogether different text of some words"
+    rows = [(1, a, "x", "s", 1), (1, b, "x", "s", 1), (2, a, "x", "s", 1), (1, a, "x", "s", 1), (None, a, "x", "s", 1)]
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (None, a)], key=str)

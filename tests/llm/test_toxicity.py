@@ -114,3 +114,48 @@ def test_documents_with_misspelled_words_alone(spark):
     docs.append((9100, " ".join([*plain, *["horrit"] * 3]), 0.0, 1))
     got = {r.doc_id: r.predicted for r in toxicity.scored(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("doc_id >= 9000").collect()}
     assert {x: got[9000 + i] for i, x in enumerate(wrong.values())} == dict.fromkeys(wrong.values(), 1) and got[9100] == 0
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_score(text, m):
+    """The score by looking at every word, every term and every window, without trie or automata."""
+    import math
+    import re
+
+    text = (text or "").lower()
+    found = [(w.group(), w.start(), w.end()) for w in re.finditer(r"[^\W_]+", text)]
+    z = m.prior
+    for i, (w, a, b) in enumerate(found):
+        allowed = lambda t: 0 if len(t) < 4 else 1 if len(t) < 10 else 2
+        near = sorted((plain_distance(w, t), t) for t in m.terms if plain_distance(w, t) <= allowed(t))
+        if any(w.startswith(s) for s in m.stems):
+            kind = "stem"
+        elif not near or (near[0][0] and w in m.harmless):
+            continue
+        else:
+            kind = "exact" if near[0][0] == 0 else "near_short" if len(near[0][1]) < 8 else "near_long"
+        around = found[max(0, i - 6):i] + found[i + 1:i + 7]
+        left, right = text[found[max(0, i - 6)][1]:a], text[b:found[min(len(found) - 1, i + 6)][2]]
+        marks = '"“”„«»‹›'
+        quoted = (any(q in left for q in marks) and any(q in right for q in marks)) or any(x in toxicity.REPORTING for x, *_ in around)
+        z += m.weights.get(kind + "_quoted" * quoted, 0.0)
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_are_those_of_a_plain_scorer(spark):
+    import random
+
+    rnd = random.Random(8)
+    m = toxicity.Model(["horrid", "scum", "despicable", "zorkmid", "abc"], ["zork", "vile"], -1.5, {"exact": 2.0, "stem": 1.5, "near_short": 1.0, "near_long": 1.2, "exact_quoted": -0.5, "stem_quoted": -0.3, "near_short_quoted": 0.1}, frozenset(["horrit"]))
+    words = ["horrid", "horid", "horrit", "scum", "scuum", "scu", "despicable", "despicabel", "desspicabl", "zorkmid", "zrkmid", "zorkish", "vilest", "abc", "abd", "clean", "said", "other", "words", "und", "Straße", "x_y"]
+    texts = [" ".join(rnd.choice([w, w.upper(), f'"{w}', f'{w}"', f"{w},", f"«{w}»"]) for w in rnd.choices(words, k=rnd.randint(0, 25))) for _ in range(300)] + [None, "", "clean " * 3000 + "scum"]
+    got = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), m).collect()
+    assert all(abs(r.score - plain_score(texts[r.doc_id], m)) < 1e-12 for r in got) and len(got) == len(texts)
