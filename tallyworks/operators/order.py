@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 
-def prefix_sums(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], parts: int | None = None, beside: dict[str, Column] | None = None) -> DataFrame:
     """by, value and, for each name in sums, name (at this value), name_before (below it) and name_all (of the group).
 
-    df may have many rows a value. With groups, ranges are over (group, value), so a hot group spreads.
+    beside names other aggregates of a value's rows, carried along. df may have many rows a value. With groups, ranges are over (group, value), so a hot group spreads.
     """
-    one = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    one = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[c.alias(n) for n, c in (beside or {}).items()])
     keys = [F.col(b).asc_nulls_first() for b in by] + [F.col(value)]
     ranged = one.repartitionByRange(*([parts] if parts else []), *keys).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     inside = Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -32,7 +32,7 @@ def prefix_sums(df: DataFrame, by: list[str], value: str, sums: dict[str, Column
     on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_" + b)) for b in by], F.col("_p") == F.col("_q"))
     # one row a partition (and group in it): at most parts + groups rows
     out = ranged.withColumns({f"{n}_before": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in sums}).join(shift, on)
-    return out.select(*by, value, *sums, *[(F.col(f"{n}_before") + F.col(f"_{n}_shift")).alias(f"{n}_before") for n in sums], *[f"{n}_all" for n in sums])
+    return out.select(*by, value, *sums, *(beside or {}), *[(F.col(f"{n}_before") + F.col(f"_{n}_shift")).alias(f"{n}_before") for n in sums], *[f"{n}_all" for n in sums])
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -58,10 +58,8 @@ def quantiles_midpoint(df: DataFrame, value: str, weight: str, ps: list[float],
     """
     by = by or []
     d = df.filter((F.col(weight) > 0) & F.col(value).isNotNull())
-    s = prefix_sums(d, by, value, {"w": F.col(weight)})
-    ends = d.groupBy(*[F.col(b).alias("_" + b) for b in by], F.col(value).alias("_v")).agg(F.min(weight).alias("_low"), F.max(weight).alias("_high"))
-    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_" + b)) for b in by], F.col(value) == F.col("_v"))
-    s = s.join(ends, on).select(*by, value, ((F.col("w_before") + F.col("_low") / 2) / F.col("w_all")).alias("lo"), ((F.col("w_before") + F.col("w") - F.col("_high") / 2) / F.col("w_all")).alias("hi"))
+    s = prefix_sums(d, by, value, {"w": F.col(weight)}, beside={"_low": F.min(weight), "_high": F.max(weight)})
+    s = s.select(*by, value, ((F.col("w_before") + F.col("_low") / 2) / F.col("w_all")).alias("lo"), ((F.col("w_before") + F.col("w") - F.col("_high") / 2) / F.col("w_all")).alias("hi"))
     at = s.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
     below = F.max(F.when(F.col("hi") <= F.col("p"), F.struct(F.col("hi").alias("x"), F.col(value).alias("v"))))
     above = F.min(F.when(F.col("lo") >= F.col("p"), F.struct(F.col("lo").alias("x"), F.col(value).alias("v"))))

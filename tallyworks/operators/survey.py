@@ -55,10 +55,15 @@ def srs_fixed_n(frame: DataFrame, unit: str, n: int, seed: str) -> DataFrame:
 
 
 def stratified_sample(frame: DataFrame, stratum: str, unit: str, sizes: DataFrame, seed: str) -> DataFrame:
-    """sizes (stratum, n_h) units a stratum by smallest hash; pi = n_h / frame_n."""
+    """sizes (stratum, n_h) units a stratum by smallest hash; pi = n_h / frame_n.
+
+    A threshold on the hash lets through a few more than n_h (ten standard deviations), and only these are ordered.
+    """
     s = sizes.select(F.col(stratum).alias("_h"), "n_h", "frame_n")
-    w = Window.partitionBy(stratum).orderBy(hash_uniform(seed, unit), unit)
-    return frame.join(F.broadcast(s), F.col(stratum) == F.col("_h")).withColumn("_r", F.row_number().over(w)).filter("_r <= n_h").withColumn("pi", F.col("n_h") / F.col("frame_n")).drop("_h", "_r")
+    f = frame.withColumn("_u", hash_uniform(seed, unit)).join(F.broadcast(s), F.col(stratum) == F.col("_h"))
+    few = f.filter(F.col("_u") * F.col("frame_n") <= F.col("n_h") + 10 * F.sqrt("n_h") + 50)
+    r = F.row_number().over(Window.partitionBy(stratum).orderBy("_u", unit))
+    return few.withColumn("_r", r).filter("_r <= n_h").withColumn("pi", F.col("n_h") / F.col("frame_n")).drop("_h", "_r", "_u")
 
 
 def allocate(frame: DataFrame, stratum: str, n: int, size: Column | None = None, least: int = 2) -> DataFrame:
