@@ -120,10 +120,10 @@ def replicates(units: DataFrame, unit: str, n: int, seed: str, by: list[str] | N
     """units times n replicates with times: Poisson(1) multiplicities from a seeded hash.
 
     Poisson counts keep each replicate's draw independent by unit, so no replicate needs its units together; totals
-    vary around the sample size, which ratios and means take care of. Units drawn no time stay, with times 0.
+    vary around the sample size, which ratios and means take care of. Units drawn no time are left out.
     """
     r = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_u", hash_uniform(seed, *(by or []), unit, "rep"))
     times = F.when(F.col("_u") < poisson_edges()[0], 0)  # the first edge above the number, so that the hash is taken once
     for k, edge in enumerate(poisson_edges()[1:], 1):
         times = times.when(F.col("_u") < edge, k)
-    return r.withColumn("times", times.otherwise(len(poisson_edges()))).drop("_u")
+    return r.withColumn("times", times.otherwise(len(poisson_edges()))).drop("_u").filter("times > 0")
