@@ -25,24 +25,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums over all rows before each in an order that tells them apart: ranges are summed apart, then shifted."""
+    d = cut(rows.withColumns({f"_{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    shift = d.groupBy("_range").agg(*[F.sum(f"_{n}").alias(n) for n in sums]).select(F.col("_range").alias("_at"), *[F.coalesce(F.sum(n).over(ranges), F.lit(0)).alias(f"_{n}_shift") for n in sums])
+    out = d.withColumns({n: F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) for n in sums}).join(F.broadcast(shift), F.col("_range") == F.col("_at"))
+    return out.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}_shift")).alias(n) for n in sums])
+
+
 def source_targets(sized: DataFrame, cycle: int = 3, limit: float = 3.0) -> DataFrame:
     """source, source_size, target: weights 1..cycle by code point (null last), repeating; targets stop at limit times the size.
 
     The excess goes to the other sources by weight until none is above: target = min(limit * size, rate * weight)
-    for one rate, found from prefix sums over the sources ordered by limit * size / weight. Only the table of
-    sources, one row each, is ordered.
+    for one rate, found from prefix sums over the sources ordered by limit * size / weight. Of sources equal in that, the
+    first has the rate that holds: it counts none of them as above yet. Only the table of sources, one row each, is ordered,
+    by ranges.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("weight", (F.row_number().over(by_name) - 1) % cycle + 1).withColumn("cap", limit * F.col("source_size"))
-    s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
-    s = s.withColumn("rate", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-                     / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    s = s.withColumn("level", F.min(F.when(F.col("rate") <= F.col("ratio"), F.struct("ratio", "rate"))).over(everything)["rate"])
-    return s.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).cast("double").alias("target"))
+    s = _before(s, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    s = s.withColumn("weight", F.col("place") % cycle + 1).withColumn("cap", limit * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    s = _before(s, [F.col("ratio"), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "weights": F.col("weight")})
+    all_ = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    rate = (F.lit(all_["size"]) - F.col("caps")) / (F.lit(all_["weight"]) - F.col("weights"))
+    level = s.withColumn("rate", rate).filter("rate <= ratio").agg(F.min(F.struct("ratio", -F.col("rate"))).alias("first")).first()["first"]
+    return s.select("source", "source_size", F.least(F.col("cap"), F.lit(-level[1] if level else 0.0) * F.col("weight")).cast("double").alias("target"))
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:

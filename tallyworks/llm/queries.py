@@ -60,7 +60,7 @@ w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS
 r AS (SELECT *, cap / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rate FROM r),
-t AS (SELECT source, source_size, least(cap, weight * (SELECT min({'ratio': ratio, 'rate': rate}).rate FROM l WHERE rate <= ratio)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT -min({'ratio': ratio, 'rate': -rate}).rate FROM l WHERE rate <= ratio)) AS target FROM l),
 n AS (SELECT *, CAST(coalesce(floor(target / nullif(source_size, 0)), 0) AS BIGINT) AS rounds FROM t),
 g AS (SELECT source, h, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source, h),
 c AS (SELECT g.source, g.h, words, sum(words) OVER (PARTITION BY g.source ORDER BY g.h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM g),

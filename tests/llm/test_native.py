@@ -68,6 +68,28 @@ def test_mixed_rows_are_those_taken(spark, rows):
     assert Counter(r.doc_id for r in got.collect()) == Counter({k: v for k, v in copies.items() if v})
 
 
+@pytest.mark.parametrize("sizes", [[10] * 6, [10, 20], [10, 20, 30] * 2, [5, 1000, 3, 5], [0, 0, 0, 9], [7] * 40, [1, 1, 1, 60, 1, 1, 1]])
+def test_targets_of_equal_sources(spark, sizes):
+    """Sources that meet their limit at one rate: shares still add up to all words."""
+    of = {chr(97 + i) if i < 26 else f"z{i}": n for i, n in enumerate(sizes)}
+    d = spark.createDataFrame(list(of.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(d).collect()}
+    want = targets(of)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 * max(1, want[s]) for s in want)
+    assert abs(sum(got.values()) - sum(sizes)) < 1e-6
+
+
+def test_equal_sources_in_sql(spark):
+    import duckdb
+
+    from tallyworks.llm.queries import OP6
+    docs = frame(spark, [(i, "w " * 10, f"s{i % 6}") for i in range(60)])
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in con.sql(OP6).fetchall())
+    assert want == sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(docs).collect())
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(frame(spark, [(1, None, None)])).collect()] == [0]
