@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as P
-from .order import average_ranks
+from .order import average_ranks, quantiles
 
 c = F.col
 
@@ -64,7 +64,7 @@ def alexander_govern(df: DataFrame, x: str, g: str) -> DataFrame:
 
 def levene(df: DataFrame, x: str, g: str) -> DataFrame:
     """Brown-Forsythe: analysis of variance of distances to the group's median."""
-    m = df.groupBy(c(g).alias("_g")).agg(F.percentile(x, 0.5).alias("_m"))
+    m = quantiles(df, x, {"_m": 0.5}, [g]).withColumnRenamed(g, "_g")
     return anova(df.join(F.broadcast(m), c(g) == c("_g")).withColumn("_z", F.abs(c(x) - c("_m"))), "_z", g)
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import quantiles_midpoint
+from .order import at_place, places, quantiles, quantiles_midpoint
+
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
 
 def whole():
     """All rows of a result: only over tables of a few rows."""
@@ -22,9 +27,15 @@ def skew_adjusted(x: str) -> Column:
 
 def describe_numeric(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
     """n, missing, mean, sd, min, q1, median, q3, max, skew, shape; quartiles of type 7."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.count_if(F.col(x).isNull()).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"), skew_adjusted(x).alias("skew"))
-    return out.select(*(by or []), "n", "missing", "mean", "sd", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "skew", F.when(F.abs("skew") > 1, "skewed").otherwise("symmetric").alias("shape"))
+    by = by or []
+    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.count_if(F.col(x).isNull()).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), skew_adjusted(x).alias("skew"))
+    q = quantiles(df, x, QUARTILES, by)  # a row a group, like out
+    if by:
+        q = q.select(*[F.col(b).alias(f"_{b}") for b in by], *QUARTILES)
+        out = out.join(q, reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]), "left")
+    else:
+        out = out.crossJoin(q)
+    return out.select(*by, "n", "missing", "mean", "sd", "min", *QUARTILES, "max", "skew", F.when(F.abs("skew") > 1, "skewed").otherwise("symmetric").alias("shape"))
 
 
 def weighted_moments(df: DataFrame, x: str, w: str, by: list[str] | None = None) -> DataFrame:
@@ -71,28 +82,21 @@ def grouped_classes(df: DataFrame, x: str, start: float, width: float, k: int, w
 
 def box_summary(df: DataFrame, x: str, by: str) -> DataFrame:
     """by, q1, median, q3, whiskers at the last values inside 1.5 IQR, and the number of outliers."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    f = df.groupBy(F.col(by).alias("g")).agg(q.alias("q")).select("g", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    f = quantiles(df, x, QUARTILES, [by]).withColumnRenamed(by, "g")
     f = f.withColumn("lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    d = df.select(F.col(by).alias("b"), F.col(x).alias("v")).join(F.broadcast(f), F.col("b").eqNullSafe(F.col("g")))
+    d = df.select(F.col(by).alias("b"), F.col(x).alias("v")).join(F.broadcast(f), F.col("b").eqNullSafe(F.col("g")), "left")
     inside = F.col("v").between(F.col("lo"), F.col("hi"))
-    return d.groupBy("g", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("low_whisker"), F.max(F.when(inside, F.col("v"))).alias("high_whisker"), F.count_if(~inside).alias("outliers")).withColumnRenamed("g", by)
+    return d.groupBy("b", *QUARTILES).agg(F.min(F.when(inside, F.col("v"))).alias("low_whisker"), F.max(F.when(inside, F.col("v"))).alias("high_whisker"), F.count_if(~inside).alias("outliers")).withColumnRenamed("b", by)
 
 
 def quantile_conventions(df: DataFrame, x: str, by: str, ps: list[float]) -> DataFrame:
     """by, p, type7, type6, type2: three conventions side by side, from places in the order of each group."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    d = df.filter(F.col(x).isNotNull()).select(by, F.col(x).alias("v"), F.row_number().over(Window.partitionBy(by).orderBy(x)).alias("r"), n.alias("n")).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
-
-    def at(h: Column) -> Column:
-        h = F.greatest(F.lit(1.0), F.least(h, F.col("n").cast("double")))
-        lo, hi = F.floor(h), F.least(F.floor(h) + 1, F.col("n"))
-        return F.sum(F.when(F.col("r") == lo, F.col("v") * (1 - (h - lo))).otherwise(0) + F.when((F.col("r") == hi) & (hi > lo), F.col("v") * (h - lo)).otherwise(0))
-
-    np_ = F.col("n") * F.col("p")
-    first, second = F.greatest(F.ceil(np_), F.lit(1)), F.least(F.floor(np_) + 1, F.col("n"))
-    two = F.sum(F.when(F.col("r") == first, F.col("v")).otherwise(0) + F.when(F.col("r") == second, F.col("v")).otherwise(0)) / 2
-    return d.groupBy(by, "p").agg(at((F.col("n") - 1) * F.col("p") + 1).alias("type7"), at((F.col("n") + 1) * F.col("p")).alias("type6"), two.alias("type2"))
+    n = F.col("_n_all")
+    np_ = n * F.col("p")
+    inside = lambda h: F.greatest(F.lit(1.0), F.least(h, n.cast("double")))
+    first, second = F.greatest(F.ceil(np_), F.lit(1)), F.least(F.floor(np_) + 1, n)
+    d = places(df, x, [by]).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    return d.groupBy(by, "p").agg(at_place(x, inside((n - 1) * F.col("p") + 1)).alias("type7"), at_place(x, inside((n + 1) * F.col("p"))).alias("type6"), ((at_place(x, first) + at_place(x, second)) / 2).alias("type2"))
 
 
 def weighted_mode(df: DataFrame, x: str, w: str) -> DataFrame:
@@ -110,9 +114,8 @@ def heaping(df: DataFrame, x: str, k: int, multiple: float) -> DataFrame:
 
 def histogram_fd(df: DataFrame, x: str) -> DataFrame:
     """class_no, low, high, n: equal classes, as many as Freedman and Diaconis ask, 4 to 25."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-    s = df.agg(F.count(x).alias("cnt"), F.min(x).alias("lo"), F.max(x).alias("hi"), q.alias("q"))
-    width = 2 * (F.col("q")[1] - F.col("q")[0]) * F.pow(F.col("cnt").cast("double"), F.lit(-1 / 3))
+    s = df.agg(F.count(x).alias("cnt"), F.min(x).alias("lo"), F.max(x).alias("hi")).crossJoin(quantiles(df, x, {"_q1": 0.25, "_q3": 0.75}))  # one row each
+    width = 2 * (F.col("_q3") - F.col("_q1")) * F.pow(F.col("cnt").cast("double"), F.lit(-1 / 3))
     s = s.select("lo", "hi", F.greatest(F.lit(4), F.least(F.lit(25), F.ceil((F.col("hi") - F.col("lo")) / width))).cast("int").alias("k"))
     d = df.select(F.col(x).alias("v")).filter("v is not null").crossJoin(F.broadcast(s))
     no = F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("k"))), F.col("k") - 1).cast("int")

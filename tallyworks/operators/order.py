@@ -41,6 +41,26 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> Dat
     return s.select(*(by or []), value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"), F.col("n_all"))
 
 
+def places(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """by, value, _n rows of it, _n_before rows below it, _n_all rows of the group: what at_place reads places off."""
+    return prefix_sums(df, by or [], value, {"_n": F.lit(1)})
+
+
+def at_place(value: str, h: Column) -> Column:
+    """An aggregate over places(): the value at place h, from 1, of a group's order, interpolated between its neighbours."""
+    low = F.floor(h)
+    part = h - low
+    holds = lambda k: (F.col("_n_before") < k) & (k <= F.col("_n_before") + F.col("_n"))
+    v = F.col(value).cast("double")
+    return F.sum(F.when(holds(low), v * (1 - part)).otherwise(0.0) + F.when((part > 0) & holds(low + 1), v * part).otherwise(0.0))
+
+
+def quantiles(df: DataFrame, value: str, ps: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """by and, for each name in ps, the quantile of type 7; groups without a value are left out, without groups there is one row."""
+    found = places(df, value, by).groupBy(*(by or []))
+    return found.agg(*[F.when(F.count(F.lit(1)) > 0, at_place(value, (F.col("_n_all") - 1) * p + 1)).alias(name) for name, p in ps.items()])
+
+
 def quantiles_step(df: DataFrame, value: str, weight: str, ps: list[float], by: list[str] | None = None) -> DataFrame:
     """by, p, q: the first value whose running weight reaches p of the total."""
     by = by or []

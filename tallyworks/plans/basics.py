@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import clean as C
+from ..operators import order as O
 from .registry import DIRTY, PERSONS, dirty, persons, query, r, table
 
 SPECS = [C.VarSpec("amount", "number", 0, 8000), C.VarSpec("kind", "category", codes=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")), C.VarSpec("day", "date"), C.VarSpec("age", "integer", 0, 110)]
@@ -184,7 +185,7 @@ def _(spark, d):
 @query("group_stat_back_join", f"WITH {PERSONS}, m AS (SELECT grp, quantile_cont(x, 0.5) AS med FROM persons GROUP BY 1) SELECT id, round(abs(x - med), 6) AS deviation FROM persons JOIN m USING (grp)")
 def _(spark, d):
     p = persons(spark, d)
-    m = p.groupBy(F.col("grp").alias("g")).agg(F.percentile("x", 0.5).alias("med"))
+    m = O.quantiles(p, "x", {"med": 0.5}, ["grp"]).withColumnRenamed("grp", "g")
     return p.join(m, F.col("grp") == F.col("g")).select("id", r(F.abs(F.col("x") - F.col("med")), 6).alias("deviation"))
 
 

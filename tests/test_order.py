@@ -1,5 +1,9 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tallyworks.operators import describe as D
 from tallyworks.operators import order as O
 
 
@@ -53,3 +57,28 @@ def test_gini_of_equal_and_unequal(spark):
 def test_index_rows(spark):
     d = spark.range(0, 1000, numPartitions=5).withColumn("k", (F.col("id") * 7919) % 1000)
     assert all(r.row_index == r.k + 1 for r in O.index_rows(d, ["k"]).collect())
+
+
+def test_quantiles_of_groups(spark):
+    rnd = random.Random(5)
+    rows = [(g, float(rnd.choice([rnd.randint(0, 9), rnd.gauss(0, 50)]))) for g in ["hot"] * 400 + ["b"] * 7 + [None] * 4 + ["one"]] + [("empty", None), ("hot", None)]
+    d = spark.createDataFrame(rows, "g string, x double")
+    own = lambda g: [x for k, x in rows if k == g and x is not None]
+    got = {r.g: r for r in O.quantiles(d, "x", {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0}, ["g"]).collect()}
+    assert got.keys() == {"hot", "b", None, "one"}
+    for g, r in got.items():
+        assert np.allclose([r.a, r.b, r.c, r.d], np.quantile(own(g), [0, 0.3, 0.5, 1]), rtol=1e-12)
+    assert O.quantiles(d.filter("g = 'empty'"), "x", {"m": 0.5}).collect() == [(None,)]
+    box = {r.g: r for r in D.box_summary(d, "x", "g").collect()}
+    assert box["empty"].median is None and box["empty"].outliers == 0 and box[None].q1 == np.quantile(own(None), 0.25)
+    about = {r.g: r for r in D.describe_numeric(d, "x", ["g"]).collect()}
+    assert (about["empty"].n, about["empty"].median, about["hot"].missing) == (0, None, 1) and about["hot"].q3 == np.quantile(own("hot"), 0.75)
+    for r in D.quantile_conventions(d, "x", "g", [0.1, 0.5, 0.9]).collect():
+        v = own(r.g)
+        want = [np.quantile(v, r.p, method=m) for m in ("linear", "weibull", "averaged_inverted_cdf")]
+        assert np.allclose([r.type7, r.type6, r.type2], want, rtol=1e-9), (r, want)
+
+
+def test_quantiles_hold_no_group_in_one_task(spark):
+    plan = O.quantiles(frame(spark), "x", {"m": 0.5}, ["g"])._jdf.queryExecution().toString()
+    assert "rangepartitioning(g" in plan and "percentile" not in plan
