@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, htmltext, linededup, mixing, ngramlm, packing, pqdedup, simhash, suffixdedup, toxicity
+from . import collisions, htmltext, linededup, merkle, mixing, ngramlm, packing, pqdedup, simhash, suffixdedup, toxicity
 from .common import read
 
 
@@ -114,5 +114,49 @@ FROM d LEFT JOIN z ON d.r = z.r
 """
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op5_embedding_dedup": op5_embedding_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op8_nearest": op8_nearest, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score}
-ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op10_lm_score": OP10}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def _fields(*columns: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in columns)
+
+
+def _levels(tree: str, nodes: str, walkers: str, levels: int) -> str:
+    """CTEs over nodes (s, pos, digest) and walkers (r, s, pos, now, sib): the nodes of each level, and the walkers folded up to the last."""
+    out = f"{tree}n0 AS ({nodes}), {tree}f0 AS ({walkers})"
+    for k in range(levels):
+        out += f""",
+{tree}r{k} AS (SELECT s, pos // 16 AS up, list(digest ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY s) > 1 AS more FROM {tree}n{k} GROUP BY s, pos // 16),
+{tree}n{k + 1} AS (SELECT s, up AS pos, CASE WHEN more THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest FROM {tree}r{k}),
+{tree}f{k + 1} AS (SELECT f.r, f.s, f.pos // 16 AS pos,
+    CASE WHEN more THEN sha256(array_to_string(run[1:f.pos % 16] || [now] || run[f.pos % 16 + 2:], '')) ELSE now END AS now,
+    CASE WHEN more THEN sib || array_to_string(run[1:f.pos % 16] || run[f.pos % 16 + 2:], '') ELSE sib END AS sib
+  FROM {tree}f{k} f JOIN {tree}r{k} t ON f.s IS NOT DISTINCT FROM t.s AND f.pos // 16 = t.up)"""
+    return out
+
+
+def _half_bytes() -> list[int]:
+    """What crc32 makes of each half byte, by the reversed polynomial."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, sha256({_fields("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+    sha256({_fields("doc_id", "source", "lang", "n_chars", f"translate(text, '{merkle.UPPER}', '{merkle.UPPER.lower()}')")}) AS tampered,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0])),
+      lambda a, v: xor(({_half_bytes()}::BIGINT[])[(xor(a, v) & 15) + 1], xor(a, v) >> 4))) AS crc FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+{_levels("a", "SELECT source AS s, pos, leaf AS digest FROM p", "SELECT r, source AS s, pos, CASE WHEN crc % 5 = 0 THEN tampered ELSE leaf END AS now, '' AS sib FROM p", 7)},
+u AS (SELECT s, digest, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS pos FROM an7),
+{_levels("b", "SELECT 0 AS s, pos, digest FROM u", "SELECT f.r, 0 AS s, u.pos, f.now, f.sib FROM af7 f JOIN u ON f.s IS NOT DISTINCT FROM u.s", 4)}
+SELECT p.doc_id, p.source, p.leaf, u.digest AS subroot, (SELECT digest FROM bn4) AS root, sha256(f.sib) AS proof_sha256, f.now AS folded_root, f.now = (SELECT digest FROM bn4) AS verified
+FROM p JOIN bf4 f ON p.r = f.r JOIN u ON p.source IS NOT DISTINCT FROM u.s
+"""
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op5_embedding_dedup": op5_embedding_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op8_nearest": op8_nearest, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score, "op11_merkle_manifest": op11_merkle_manifest}
+ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op10_lm_score": OP10, "op11_merkle_manifest": OP11}
