@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collisions, crosstoken, htmltext, linededup, merkle, mixing, ngramlm, packing, pqdedup, simhash, suffixdedup, toxicity
+from . import collisions, crosstoken, htmltext, language, linededup, merkle, mixing, ngramlm, packing, pqdedup, simhash, suffixdedup, toxicity
 from .common import read
 
 
@@ -158,11 +158,17 @@ FROM p JOIN bf4 f ON p.r = f.r JOIN u ON p.source IS NOT DISTINCT FROM u.s
 """
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return language.identify(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return crosstoken.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op5_embedding_dedup": op5_embedding_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op8_nearest": op8_nearest, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score, "op11_merkle_manifest": op11_merkle_manifest, "op13_token_alignment": op13_token_alignment}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op4_line_dedup": op4_line_dedup, "op5_embedding_dedup": op5_embedding_dedup, "op6_mix_sources": op6_mix_sources, "op7_pack": op7_pack, "op8_nearest": op8_nearest, "op9_html_text": op9_html_text, "op10_lm_score": op10_lm_score, "op11_merkle_manifest": op11_merkle_manifest, "op12_language": op12_language, "op13_token_alignment": op13_token_alignment}
 ORACLES = {"op4_line_dedup": OP4, "op6_mix_sources": OP6, "op10_lm_score": OP10, "op11_merkle_manifest": OP11}
