@@ -2,10 +2,15 @@
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of the
 blocks before and after it, and what encloses it: content tags (article, main), tags of page furniture (nav,
-header, footer, aside, form ...), class or id words of furniture, and whether it is a heading. Such a word counts neither
-on article or main, nor on a wrapper of all of a page's article and main elements, nor after no-, has- or with-; a hidden element always does. A small decision tree,
+header, footer, aside, form ...), class or id words of furniture, and whether it is a heading. Such a word counts as a whole
+class, as its last part (site-header), or as its first before a word for a place (comments-area). It counts neither on article or main, nor on
+a wrapper of all of a page's article and main elements, nor after no-, has- or with-, nor, on a page without article and main, on what holds most of the words
+outside links, unless it is of readers' comments; a hidden element always counts. A small decision tree,
 trained here on the labelled table below, tells main text from the rest. Pages are independent rows: no shuffle.
 
+Embedded elements (video, object, iframe, svg ...) go with their content where they have an end tag; one that is closed by an enclosing
+element's end, or never, holds nothing, and what follows it is read on.
+
 A null or empty html, or one without main text, gives an empty text. Markup may be unclosed, badly nested or
 cut off; scripts may hold tags in strings. Repeated rows are extracted alike; a null page_id or url is carried.
 """
@@ -35,13 +40,20 @@ LAYOUT = re.compile(r"(?:no|not|has|with|without)[-_]", re.I)
 # fixed values: element names of the HTML standard
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript".split())
+#: Elements that stand for something else than their content, which goes with them where they have an end tag.
+EMBEDDED = frozenset("template iframe svg math object canvas audio video".split())
 CONTENT = frozenset(("article", "main"))
 FURNITURE = frozenset("nav header footer aside form menu dialog button select option fieldset legend".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Parts of class, id or role values that name furniture.
+CLOSES_ITSELF = HEADING | {"p", "li", "a"}
+#: Class, id or role values that name furniture, whole, as their last part, or as their first before a word for a place.
 HINTS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent contentinfo cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted related reply replies response responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+PLACES = frozenset("area articles bar block body box buttons container content div form grid group holder inner items left links list panel posts right section slot stories thread top unit zone".split())
+#: Hints of what readers write, which may well be more than the article.
+READERS = frozenset("comment comments commentlist disqus replies responses".split())
 WORDS = re.compile(r"[\W_]+")
+EMBED = re.compile(r"<(?:" + "|".join(sorted(EMBEDDED)) + r")[\s/>]", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_content", "in_furniture", "hinted", "heading")
 #: Labelled blocks, written by hand: the features above, then 1 for main text.
@@ -197,9 +209,18 @@ def is_hidden(attributes: str) -> bool:
     return False
 
 
-def is_hinted(attributes: str) -> bool:
-    """Whether a class, id or role names furniture."""
-    return any(not HINTS.isdisjoint(WORDS.split(v)) for found in NAME.findall(attributes) for v in "".join(found).lower().split() if not LAYOUT.match(v))
+def hint_of(attributes: str) -> str:
+    """The word of a class, id or role that names furniture, or nothing."""
+    for found in NAME.findall(attributes):
+        for v in "".join(found).lower().split():
+            parts = [x for x in WORDS.split(v) if x]
+            if not parts or LAYOUT.match(v):
+                continue
+            if parts[-1] in HINTS:
+                return parts[-1]
+            if parts[0] in HINTS and parts[-1] in PLACES:
+                return parts[0]
+    return ""
 
 
 def tags(page: str) -> Iterator[tuple[str, str, str, str, int]]:
@@ -237,6 +258,45 @@ def decoded(text: str) -> str:
     return entities.unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub(r"&#\1", text)) if "&#" in text else text)
 
 
+def embedded(page: str) -> dict[int, int]:
+    """Where the content of embedded elements ends, by where it starts. One that an enclosing element's end closes holds nothing."""
+    out: dict[int, int] = {}
+    if not EMBED.search(page):
+        return out
+    stack: list[tuple[str, int]] = []
+    names: dict[str, int] = {}
+    reader, at = tags(page), None
+    while True:
+        try:
+            _, slash, name, attributes, go_on = reader.send(at)
+        except StopIteration:
+            return out
+        at = None
+        if not name:
+            continue
+        if slash:
+            closed = None if names.get(name) else name
+            while closed != name:
+                closed, start = stack.pop()
+                names[closed] -= 1
+                if closed == name and name in EMBEDDED:
+                    out[start] = go_on
+        elif name in RAW:
+            at = raw_end(page, name, go_on)
+        elif name not in VOID and not attributes.rstrip().endswith("/"):
+            if name in CLOSES_ITSELF and stack and stack[-1][0] == name:
+                names[stack.pop()[0]] -= 1
+            stack.append((name, go_on))
+            names[name] = names.get(name, 0) + 1
+
+
+def raw_end(page: str, name: str, at: int) -> int:
+    """Behind the end tag of an element that holds text only, or the page's end."""
+    end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+    end = page.find(">", end.end() - 1) if end else -1
+    return end + 1 if end >= 0 else len(page)
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """(text, words, words in links, in content, in furniture, hinted, heading) in page order."""
     out: list = []
@@ -244,6 +304,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
     content = furniture = hidden = link = heading = contents = 0
     open_hints = [0]
     inside = [0]  # by number of a hint: article and main elements before it, then within it
+    around, hints = [0], [""]  # by number of a hint: the one around it, and its word
     names: dict[str, int] = {}  # open elements by name
     text: list[str] = []
     linked = 0
@@ -287,6 +348,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
                 open_hints.pop()
 
     page = page or ""
+    ends = embedded(page)
     reader = tags(page)
     at = None
     while True:
@@ -308,31 +370,44 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
                 closed, h = stack.pop()
                 count(closed, h, -1)
             continue
-        if name in ("svg", "math") and attributes.rstrip().endswith("/"):
-            continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, go_on)
-            end = page.find(">", end.end() - 1) if end else -1
-            at = end + 1 if end >= 0 else len(page)
+            at = raw_end(page, name, go_on)
             continue
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        if name in ("p", "li", "a", *HEADING) and stack and stack[-1][0] == name:  # these do not nest
+        if name in EMBEDDED:
+            at = ends.get(go_on)
+            continue
+        if name in CLOSES_ITSELF and stack and stack[-1][0] == name:  # these do not nest
             count(*stack.pop(), -1)
         hint = 0
         if attributes and name not in ("html", "body"):
             if is_hidden(attributes):
                 hint = -1
-            elif name not in CONTENT and is_hinted(attributes):
+            elif name not in CONTENT and (word := hint_of(attributes)):
                 hint = len(inside)
                 inside.append(0)
+                around.append(open_hints[-1])
+                hints.append(word)
         stack.append((name, hint))
         count(name, hint, 1)
     flush()
     while stack:
         count(*stack.pop(), -1)
-    # the innermost hint decides: if it holds all article and main elements, so do those around it
-    counts = [h > 0 and not 0 < inside[h] == contents for h in range(len(inside))]
+    held = [0] * len(inside)  # by number of a hint: unlinked words within it
+    for _, words, in_links, _, in_furniture, hint, _ in out:
+        if hint >= 0 and not in_furniture:
+            held[hint] += words - in_links
+    for h in range(len(held) - 1, 0, -1):
+        held[around[h]] += held[h]
+
+    def names_furniture(h: int) -> bool:
+        if contents:
+            return not 0 < inside[h] == contents
+        return hints[h] in READERS or 2 * held[h] <= held[0]
+
+    # the innermost hint decides: if it holds all content, so do those around it
+    counts = [h > 0 and names_furniture(h) for h in range(len(inside))]
     return [(*row[:5], row[5] < 0 or counts[row[5]], row[6]) for row in out]
 
 

@@ -1,5 +1,6 @@
 import html
 import random
+import re
 import time
 from html.parser import HTMLParser
 from pathlib import Path
@@ -55,7 +56,46 @@ def test_hints_of_layout_and_hidden():
         assert htmltext.main_text(f"<body><div class='has-sidebar'>{article}{other}</div>", TREE) == both, other
 
 
+BODY = "word " * 40
+PARAGRAPHS = [f"{i} {BODY.strip()}" for i in range(5)]
+MARKUP = [f"<p>{p}</p>" for p in PARAGRAPHS]
+
+
+@pytest.mark.parametrize("name", sorted(htmltext.EMBEDDED))
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>", "<main>{}"])
+def test_embedded_elements(name, around):
+    read = lambda *parts: htmltext.main_text("<body><nav><a href=/>Home</a></nav>" + around.format("".join(parts)) + "<footer>Own site</footer>", TREE).split("\n")
+    a, *rest = MARKUP
+    for tag in (f"<{name} src=x>", f"<{name}>", f"<{name} src=x />", f"<div><{name} src=x></div>", f"<p><{name} src=x></p>", f"<{name} src=x></{name}>", f"<{name}>Your browser <b>can't</b> show this.</{name}>",
+                f"<{name} src=x><source src=y><{name}>no</{name}>", f"<{name}><{name}>no</{name}>no</{name}>"):
+        assert read(a, tag, *rest) == PARAGRAPHS, tag
+    assert read(a, f"<{name} src=x>", *rest[:2], f"<div><{name}>no</{name}></div>", *rest[2:]) == PARAGRAPHS
+    assert read("<p>" + PARAGRAPHS[0] + f" <{name}>no</{name}></p>", *rest) == PARAGRAPHS
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main", "section"])
+@pytest.mark.parametrize("wrap", ["post comments-open", "page-header-wrap", "article-footer-visible", "menu-open page", "sidebar-right-layout", "share-enabled", "notice-shown", "social", "site-header"])
+def test_wrappers_with_hint_words(tag, wrap):
+    other = "<div class='site-header'><p>Name of the site</p></div><div class='cookie-notice'>We use cookies here.</div>"
+    comments = "<div class='comments-area'><p>Thanks for a good read, this was new to me.</p></div>"
+    for inner in ("{}", "<div>{}</div>"):
+        page = f"<body>{other}<{tag} class='{wrap}'>{inner.format(''.join(MARKUP))}</{tag}>{comments}"
+        assert htmltext.main_text(page, TREE).split("\n") == PARAGRAPHS
+        page = f"<body>{other}<div class='{wrap}'><article>{inner.format(''.join(MARKUP))}</article></div>{comments}"
+        assert htmltext.main_text(page, TREE).split("\n") == PARAGRAPHS
+
+
+def test_furniture_by_hint_words():
+    for wrap in ("comments", "comment-list", "comments-area", "site-footer", "cookie-notice", "related-posts", "ad", "ad-slot", "sidebar-left", "newsletter-form", "share-buttons", "main-menu"):
+        for page in (f"<article>{''.join(MARKUP)}</article>", f"<div class=post>{''.join(MARKUP)}</div>"):
+            assert htmltext.main_text(f"<body>{page}<div class='{wrap}'><p>{BODY}</p></div>", TREE).split("\n") == PARAGRAPHS, wrap
+    many = "".join(f"<p>{BODY} by a reader</p>" for _ in range(20))
+    assert htmltext.main_text(f"<body><div>{''.join(MARKUP)}</div><div id=comments>{many}</div>", TREE).split("\n") == PARAGRAPHS
+
+
 HOSTILE = {
+    "embedded": "<video>" * 50_000 + "<object></p>" * 20_000,
+    "embedded and ended": "<svg>" * 30_000 + "</svg>" * 30_000,
     "quotes": "<a title=" + "\"" * 100_001,
     "mixed quotes": "<a title=" + "\"'" * 50_000 + "x",
     "values": "<a " + "b=\"c" * 50_000,
@@ -109,7 +149,7 @@ class Plain(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.flush() if tag in htmltext.BLOCK else self.text.append(" ") if tag == "br" else None
-        self.skip += tag in htmltext.RAW
+        self.skip += tag in htmltext.RAW | htmltext.EMBEDDED
 
     def handle_startendtag(self, tag, attrs):
         self.flush() if tag in htmltext.BLOCK else self.text.append(" ") if tag == "br" else None
@@ -117,7 +157,7 @@ class Plain(HTMLParser):
     def handle_endtag(self, tag):
         if tag in htmltext.BLOCK and tag not in htmltext.RAW:
             self.flush()
-        self.skip -= tag in htmltext.RAW
+        self.skip -= tag in htmltext.RAW | htmltext.EMBEDDED
 
     def handle_data(self, data):
         if not self.skip:
@@ -156,6 +196,98 @@ def test_blocks_are_those_of_another_parser():
         assert [b[0] for b in htmltext.blocks(page)] == plain_blocks(page), page
 
 
+class Tree(HTMLParser):
+    """Blocks with what encloses them, from the elements as a tree; for well-nested pages only."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.rows, self.parts, self.all = [], [], [], []
+
+    def flush(self):
+        body = " ".join("".join(p for p, _ in self.parts).split())
+        if body:
+            first = next(c for p, c in self.parts if p.strip())
+            linked = sum(len(p.split()) for p, c in self.parts if any(e["name"] == "a" for e in c))
+            self.rows.append((body, len(body.split()), linked, first))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in htmltext.BLOCK:
+            self.flush()
+        if tag == "br":
+            self.parts.append((" ", list(self.open)))
+        elif tag not in htmltext.VOID:
+            self.open.append({"name": tag, "hidden": "hidden" in dict(attrs), "class": dict(attrs).get("class") or "", "content": 0})
+            self.all.append(self.open[-1])
+            if tag in ("article", "main"):
+                for e in self.open:
+                    e["content"] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in htmltext.BLOCK:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in htmltext.BLOCK:
+            self.flush()
+        assert self.open.pop()["name"] == tag
+
+    def handle_data(self, data):
+        if not any(e["name"] in htmltext.RAW | htmltext.EMBEDDED for e in self.open):
+            self.parts.append((data, list(self.open)))
+
+    def text(self, page):
+        self.feed(page)
+        self.close()
+        self.flush()
+        contents = sum(e["name"] in ("article", "main") for e in self.all)
+        word = lambda e: {"comments": "comments", "comments-area": "comments", "site-header": "header", "ad": "ad", "related-posts": "related"}.get(e["class"]) if e["name"] not in ("article", "main") else None
+        in_furniture = lambda c: any(e["name"] in htmltext.FURNITURE for e in c)
+        held = lambda e: sum(w - k for _, w, k, c in self.rows if (e is None or any(x is e for x in c)) and not in_furniture(c) and not any(x["hidden"] for x in c))
+
+        def hinted(c):
+            if any(e["hidden"] for e in c):
+                return True
+            named = [e for e in c if word(e) and not e["hidden"]]
+            if not named:
+                return False
+            e = named[-1]
+            if contents:
+                return not (e["content"] and e["content"] == contents)
+            return word(e) == "comments" or 2 * held(e) <= held(None)
+
+        shape = [(0, 0.0), *((w, k / w) for _, w, k, _ in self.rows), (0, 0.0)]
+        out = []
+        for i, (body, _, _, c) in enumerate(self.rows, 1):
+            where = (any(e["name"] in ("article", "main") for e in c), in_furniture(c), hinted(c), any(e["name"] in htmltext.HEADING for e in c))
+            if htmltext.is_main(TREE, (*shape[i], *shape[i - 1], *shape[i + 1], *where)):
+                out.append(body)
+        return "\n".join(out)
+
+
+def test_main_text_is_that_of_a_plain_classifier():
+    rng = random.Random(8)
+    said = 0
+
+    def part(depth, inline):
+        if depth == 0 or rng.random() < 0.25:
+            return " ".join("word &amp; more".split()[rng.randint(0, 2)] for _ in range(rng.choice([1, 3, 8, 40])))
+        names = ["b", "a", "span"] if inline else ["p", "div", "ul", "h2", "section", "nav", "aside", "table", "b", "footer", "blockquote"] + ["article", "main"] * rng.randint(0, 1)
+        name = rng.choice(names)
+        attribute = rng.choice([""] * 6 + [" class='comments'", " class='comments-area'", " class='site-header'", " class='ad'", " class='related-posts'", " class='post comments-open'", " class='no-sidebar'", " hidden"])
+        body = "".join(part(depth - 1, inline or name in ("p", "h2", "b", "a", "span")) for _ in range(rng.randint(1, 4)))
+        return f"<{name}{attribute}>{body}</{name}>" + rng.choice(["", "", "<br>", "<video>no</video>", "<svg><b>no</b></svg>", " tail "])
+
+    for _ in range(600):
+        page = "<html><body>" + "".join(part(4, False) for _ in range(4)) + "</body></html>"
+        if re.search(r"<a\b[^>]*>(?:(?!</a>).)*<a\b", page):  # links do not nest
+            continue
+        got = htmltext.main_text(page, TREE)
+        assert got == Tree().text(page), page
+        said += bool(got)
+    assert said > 150
+
+
 def test_given_pages(spark):
     """Each given page has one article: the extracted text is its blocks, less what is furniture inside it."""
     path = Path("/root/testdata/sf0.001/pages.parquet")
