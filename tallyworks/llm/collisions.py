@@ -8,8 +8,8 @@ that share, but for `doubt` standard deviations. Queries, the smaller side, are
 outside a block's own range are put at its ends, so that one huge vector does not spoil the arrays of the others.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most take no part, nor
-does a null vec_id. A query's own vec_id is never its neighbour; repeated rows of another vec_id count
-once each. Ties go to the smaller vec_id. An empty table, or one without queries, gives an empty result.
+does a null vec_id. A query's own row is never its neighbour; every other row is, whether it repeats it or shares its
+vec_id, and each row that asks is answered. Ties go to the smaller vec_id. An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .vectors import dimension, distances, matrix, usable
 
-HITS = "query_id long, vec_id long, score double"
+HITS = "query long, query_id long, vec_id long, score double"
 
 
 def _inside(width: float, distance: float) -> float:
@@ -35,9 +35,9 @@ def _inside(width: float, distance: float) -> float:
 class Block:
     """Projections of a block's vectors as one flat array, sorted within each projection, projections side by side."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, projections: int, seed: int):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, projections: int, seed: int):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.rows, self.x = ids[order], rows[order], x[order]
         self.a = np.random.default_rng(seed).standard_normal((x.shape[1], projections))
         p = self.projected(self.x).T
         # what lies a thousand quartile ranges out is put at that place: it enters windows no later than it should, and it
@@ -56,7 +56,7 @@ class Block:
         with np.errstate(over="ignore", invalid="ignore"):
             return np.nan_to_num(x @ self.a, nan=0.0, posinf=1e300, neginf=-1e300)
 
-    def search(self, query_id: int, q: np.ndarray, k: int, share: float, doubt: float, step: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: int, q: np.ndarray, k: int, share: float, doubt: float, step: float) -> tuple[np.ndarray, np.ndarray]:
         n, m = len(self.ids), self.a.shape[1]
         need = math.ceil(share * m)
         first = np.arange(m) * n
@@ -64,7 +64,7 @@ class Block:
         lo = np.clip(np.searchsorted(self.flat, at), first, first + n)
         hi = lo.copy()
         count = np.zeros(n, np.int64)
-        done = self.ids == query_id
+        done = self.rows == query
         want = min(k, int((~done).sum()))
         found, far = np.empty(0, np.int64), np.empty(0)
         # to begin with, windows of a sixteenth of the vectors: far fewer than share of them hold any but near ones
@@ -95,26 +95,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, projections: int =
     """query_id, rank, vec_id, score for each row of vectors (vec_id, embedding) that is_query."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     size = dimension(rows, "embedding")
-    rows = cut(rows.filter(F.size("embedding") == size))
-    asked = rows.filter(is_query).dropDuplicates(["vec_id"])
+    rows = cut(rows.filter(F.size("embedding") == size).withColumn("row", F.monotonically_increasing_id()))  # fixed by the write
+    asked = rows.filter(is_query)
     n_asked = asked.count()
     blocks = max(1, -(-rows.count() // block))
     # a block is indexed once for every so many queries; only with few blocks the queries are split further, so that all cores have work
     groups = max(1, -(-n_asked // queries), min(-(-n_asked // 64), -(-2 * rows.sparkSession.sparkContext.defaultParallelism // blocks)))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     stored = rows.withColumn("i", deal(blocks, 1)).withColumn("j", every(groups))
-    asking = asked.select(F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding")).withColumn("j", deal(groups, 2)).withColumn("i", every(blocks))
+    asking = asked.select(*[F.col(c).alias(c) for c in rows.columns]).withColumn("j", deal(groups, 2)).withColumn("i", every(blocks))
 
     def run(key: tuple, s: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(s) and len(q):
-            b = Block(s["vec_id"].to_numpy(), matrix(s["embedding"]), projections, seed)
-            for i, v in zip(q["vec_id"].tolist(), matrix(q["embedding"]), strict=True):
+            b = Block(s["vec_id"].to_numpy(), s["row"].to_numpy(), matrix(s["embedding"]), projections, seed)
+            for i, own, v in zip(q["row"].tolist(), q["vec_id"].tolist(), matrix(q["embedding"]), strict=True):
                 ids, far = b.search(i, v, k, share, doubt, step)
-                out += [(i, x, d) for x, d in zip(ids.tolist(), far.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                out += [(i, own, x, d) for x, d in zip(ids.tolist(), far.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"]).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     hits = stored.groupBy("i", "j").cogroup(asking.groupBy("i", "j")).applyInPandas(run, HITS)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

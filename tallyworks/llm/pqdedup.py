@@ -12,7 +12,8 @@ all link leaves a task as counts and a spanning star, not as pairs.
 
 Null labels link with nothing, nor do vectors that are null, zero, hold null or non-finite components, or have
 another length than most: no links, component of their own. A null vec_id has no links and a null
-component and is kept. Repeated rows are vectors of their own. An empty table gives an empty result.
+component and is kept. Repeated rows are vectors of their own, and so are rows that share a vec_id: they link, or not, by their
+vectors, and only the smallest vec_id that each reaches is looked up. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ def link(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20_000, pr
     valid = rows.filter("ok")
     size = dimension(valid, "embedding")
     key = F.xxhash64("embedding")
-    one = cut(valid.filter(F.size("embedding") == size).withColumn("h", key).groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("times")))
+    one = valid.filter(F.size("embedding") == size).withColumn("h", key).groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("times"))
+    one = cut(one.withColumn("id", F.monotonically_increasing_id()))  # a number for each distinct vector, fixed by the write
     total = one.count()
     if total == 0:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -141,8 +143,11 @@ def link(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20_000, pr
     found = cut(stored.groupBy(*by).cogroup(asking.groupBy(*by)).applyInPandas(compare, FOUND))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = one.select(F.col("label").alias("l"), F.col("h").alias("hh"), F.col("embedding").alias("e"), F.col("id").alias("rid"), "times").join(links, F.col("rid") == F.col("id"), "left").join(comp, F.col("rid") == F.col("vertex"), "left").select(
-        "l", "hh", "e", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rid").alias("c"))
+    nodes = one.select(F.col("id").alias("node"), "first").join(comp, F.col("node") == F.col("vertex"))
+    smallest = nodes.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("least"))
+    least = nodes.join(smallest, F.col("component") == F.col("of")).select("vertex", "least")
+    named = one.select(F.col("label").alias("l"), F.col("h").alias("hh"), F.col("embedding").alias("e"), F.col("id").alias("rid"), "first", "times").join(links, F.col("rid") == F.col("id"), "left").join(least, F.col("rid") == F.col("vertex"), "left").select(
+        "l", "hh", "e", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("least", "first").alias("c"))
     out = rows.join(named, F.col("ok") & (F.col("label") == F.col("l")) & (key == F.col("hh")) & (F.col("embedding") == F.col("e")), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
