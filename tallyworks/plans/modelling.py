@@ -132,9 +132,8 @@ def _(spark, d):
 def _(spark, d):
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (c("l_extendedprice") / 1000).alias("y"))
     m = F.broadcast(t.agg(F.avg("y").alias("m")))
-    i = O.index_rows(t, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).crossJoin(m).select("row_index", (c("y") - c("m")).alias("e"))
-    before = i.select((c("row_index") + 1).alias("row_index"), c("e").alias("b"))
-    return i.join(before, "row_index", "left").agg(r(F.sum(F.pow(c("e") - c("b"), 2)) / F.sum(c("e") * c("e")), 6).alias("dw"))
+    e = O.lagged(t, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "y", [1]).crossJoin(m)
+    return e.agg(r(F.sum(F.pow(c("y") - c("y_1"), 2)) / F.sum(F.pow(c("y") - c("m"), 2)), 6).alias("dw"))
 
 
 _WO = fitted_sql("w", "y", "li", "(l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM top)")

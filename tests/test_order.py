@@ -59,6 +59,51 @@ def test_index_rows(spark):
     assert all(r.row_index == r.k + 1 for r in O.index_rows(d, ["k"]).collect())
 
 
+def exchanges(df):
+    """Of rows: those of the final plan that the join of the few totals does not need."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "Reused" not in line]
+
+
+def test_one_exchange_beyond_the_aggregate(spark):
+    d = frame(spark).repartition(3).withColumn("x", F.col("x") + F.rand(1))
+    for q in (O.gini(d, "x", "w", ["g"]), O.quantiles_midpoint(d, "x", "w", [0.1, 0.5]), O.prefix_sums(d, [], "x", {"w": F.col("w")})):
+        lines = exchanges(q)
+        assert any("rangepartitioning" in x for x in lines) and not any("hashpartitioning(_p" in x for x in lines), lines
+
+
+def test_lags_take_one_exchange(spark):
+    d = spark.range(0, 1000, numPartitions=5).withColumn("v", F.rand(2))
+    assert sum("rangepartitioning" in x for x in exchanges(O.lagged(d, ["id"], "v", [1, 2]))) == 1
+
+
+def test_lags_over_ranges(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([0, 0, 0, rnd.randint(-50, 50)]), i, float(rnd.randint(0, 9)) if i % 5 else None) for i in range(300)]
+    d = spark.createDataFrame(rows, "k int, id int, v double").repartition(4)
+    want = sorted(rows)
+    for r in O.lagged(d, ["k", "id"], "v", [1, 3, 40]).collect():
+        at = want.index((r.k, r.id, r.v))
+        assert [r.v_1, r.v_3, r.v_40] == [want[at - n][2] if at >= n else None for n in (1, 3, 40)]
+    few = spark.createDataFrame([(i, i, float(i)) for i in range(5)], "k int, id int, v double")
+    assert sorted((r.k, r.v_2) for r in O.lagged(few, ["k"], "v", [2]).collect()) == [(0, None), (1, None), (2, 0.0), (3, 1.0), (4, 2.0)]
+    assert O.lagged(few.limit(0), ["k"], "v", [1]).count() == 0
+
+
+def test_held_tables_are_let_go(spark):
+    rows = spark.range(100).withColumn("x", (F.col("id") % 7).cast("double"))
+    sums = [O.prefix_sums(rows.withColumn("x", F.col("x") + k), [], "x", {"n": F.lit(1)}) for k in range(O.HELD + 3)]
+    assert len(O._held) == O.HELD
+    assert all(s.agg(F.sum("n")).first()[0] == 100 and s.agg(F.max("n_before")).first()[0] == 86 for s in sums)  # also those let go
+
+
+def test_ranges_hold_a_hot_value_and_nan(spark):
+    rows = [(1.0, 1)] * 500 + [(float("nan"), 1), (float("inf"), 1), (-float("inf"), 1)] + [(float(i), 1) for i in range(50)]
+    got = {str(r.x): (r.n_before, r.n) for r in O.prefix_sums(spark.createDataFrame(rows, "x double, n int"), [], "x", {"n": F.col("n")}, 6).collect()}
+    assert got["-inf"] == (0, 1) and got["1.0"] == (2, 501) and got["inf"] == (551, 1) and got["nan"] == (552, 1) and got["49.0"] == (550, 1)
+
+
 def test_quantiles_of_groups(spark):
     rnd = random.Random(5)
     rows = [(g, float(rnd.choice([rnd.randint(0, 9), rnd.gauss(0, 50)]))) for g in ["hot"] * 400 + ["b"] * 7 + [None] * 4 + ["one"]] + [("empty", None), ("hot", None)]
