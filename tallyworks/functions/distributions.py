@@ -99,6 +99,30 @@ def beta_inc(x: float, a: float, b: float) -> float:
     return front * h
 
 
+def beta_inc_many(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """beta_inc of many x for one a and b."""
+    x = np.asarray(x, float)
+    turn = x > (a + 1) / (a + b + 2)
+    z = np.clip(np.where(turn, 1 - x, x), 1e-300, 1.0)
+    p, q = np.where(turn, b, a).astype(float), np.where(turn, a, b).astype(float)
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(z) + q * np.log1p(-z)) / p
+    c, start = np.ones_like(z), 1 - (p + q) * z / (p + 1)
+    d = 1 / np.where(np.abs(start) < 1e-300, 1e-300, start)
+    h = d.copy()
+    for m in range(1, 1000):
+        for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / np.where(d == 0, 1e-300, d)
+            c = 1 + num / c
+            c = np.where(c == 0, 1e-300, c)
+            h = h * c * d
+        if np.abs(c * d - 1).max(initial=0) < 1e-15:
+            break
+    out = np.where(turn, 1 - front * h, front * h)
+    return np.clip(np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out)), 0, 1)
+
+
 def gamma_inc(a: float, x: float) -> float:
     """Regularised lower incomplete gamma."""
     if x <= 0:

@@ -516,49 +516,6 @@ def _(spark, d):
     return t.agg(r(F.first("seen"), 6).alias("seen"), F.count(F.lit(1)).alias("replicates"), ((F.count_if(F.abs("t") >= F.abs("seen")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
-def _pairs_below(a: DataFrame, b: DataFrame, limit: int) -> int:
-    """Pairs of values (v, n) of two tables with v_a + v_b <= limit, from running totals of merged values."""
-    both = a.select(c("v"), c("n").alias("ka"), F.lit(0).cast("long").alias("kb")).union(b.select(limit - c("v"), F.lit(0).cast("long"), c("n"))).groupBy("v").agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb"))
-    s = O.prefix_sums(both, [], "v", {"ka": c("ka"), "kb": c("kb")})
-    return s.agg(F.sum(c("kb") * (c("ka_before") + c("ka")))).first()[0] or 0
-
-
-def _ends(a: DataFrame, b: DataFrame) -> tuple[int, int]:
-    """The least and the largest sum of two values."""
-    x, y = (t.agg(F.min("v"), F.max("v")).first() for t in (a, b))
-    return x[0] + y[0], x[1] + y[1]
-
-
-def _lowest(holds, low: int, high: int) -> int:
-    """The lowest whole number from which on holds is true, by bisection."""
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if holds(mid) else (mid + 1, high)
-    return low
-
-
-@query("hodges_lehmann_two", f"WITH {PERSONS}, a AS (SELECT round(x) AS v, count(*) AS n FROM persons WHERE grp = '1-URGENT' GROUP BY 1), b AS (SELECT round(x) AS v, count(*) AS n FROM persons WHERE grp = '5-LOW' GROUP BY 1), d AS (SELECT a.v - b.v AS d, sum(a.n * b.n) AS n FROM a, b GROUP BY 1), s AS (SELECT d, sum(n) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS total FROM d) SELECT min(d) AS shift, CAST(max(total) AS BIGINT) AS pairs FROM s WHERE cum >= total / 2")
-def _(spark, d):
-    """The (lower) median of all differences a - b of whole amounts, by bisection on the answer: no pair is formed."""
-    v = lambda g, sign: persons(spark, d).filter(c("grp") == g).groupBy((sign * F.round("x")).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n")).cache()
-    a, b = v("1-URGENT", 1), v("5-LOW", -1)
-    total = a.agg(F.sum("n")).first()[0] * b.agg(F.sum("n")).first()[0]
-    shift = _lowest(lambda t: 2 * _pairs_below(a, b, t) >= total, *_ends(a, b))
-    return spark.createDataFrame([(float(shift), int(total))], "shift double, pairs long")
-
-
-@query("hodges_lehmann_paired", f"WITH {PERSONS}, y AS (SELECT round(avg(x) FILTER (year(day) = 1996) - avg(x) FILTER (year(day) = 1997)) AS d FROM persons GROUP BY psu HAVING d IS NOT NULL), k AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM y), w AS (SELECT a.d + b.d AS s, count(*) AS n FROM k a JOIN k b ON a.i <= b.i GROUP BY 1), t AS (SELECT s, sum(n) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS total FROM w) SELECT min(s) / 2 AS pseudo_median, CAST(max(total) AS BIGINT) AS averages FROM t WHERE cum >= total / 2")
-def _(spark, d):
-    """The (lower) median of the Walsh averages of paired differences, by the same bisection; each value also meets itself."""
-    y = F.year("day")
-    v = persons(spark, d).groupBy("psu").agg(F.round(F.avg(F.when(y == 1996, c("x"))) - F.avg(F.when(y == 1997, c("x")))).cast("long").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n")).cache()
-    m = v.agg(F.sum("n")).first()[0] or 0
-    total = m * (m + 1) // 2
-    own = lambda s: v.filter(2 * c("v") <= s).agg(F.sum("n")).first()[0] or 0
-    s = _lowest(lambda t: (_pairs_below(v, v, t) + own(t)) >= total, *_ends(v, v))
-    return spark.createDataFrame([(s / 2, int(total))], "pseudo_median double, averages long")
-
-
 def royston_p(w: float, n: int) -> float:
     """The upper tail of the transformed statistic; fixed values are those of the published approximation."""
     if n == 3:
