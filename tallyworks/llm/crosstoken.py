@@ -43,7 +43,7 @@ ODD = re.compile(r"[\s\u180e] ")
 #: Pieces on whose characters all pattern engines agree.
 PLAIN = re.compile(r"[\x20-\x7e\n\t\u00c0-\u024f]*").fullmatch
 #: Pieces that a worker keeps from chunk to chunk.
-KEPT = 400_000
+KEPT = 250_000
 #: Links of a group that are written out; above, its distinct ids are counted first.
 DIRECT = 256
 
@@ -310,7 +310,7 @@ def _taken(batches: Iterator[pd.DataFrame], mb: float) -> Iterator[tuple[list, l
         yield ids, texts
 
 
-def chunks(docs: DataFrame, a: str, b: str, pattern: str, chunk_mb: float = 5) -> DataFrame:
+def chunks(docs: DataFrame, a: str, b: str, pattern: str, chunk_mb: float = 3) -> DataFrame:
     """chunk, body, pairs, held: documents of a chunk, its distinct pairs (A id << 32 | B id) and how many of its documents hold each."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, (ids, texts) in enumerate(_taken(batches, chunk_mb)):
@@ -340,7 +340,7 @@ def pair_counts(written: DataFrame) -> DataFrame:
     return own.join(top, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, a: str, b: str, pattern: str, chunk_mb: float = 5) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, pattern: str, chunk_mb: float = 3) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each document."""
     written = cut(chunks(docs, a, b, pattern, chunk_mb))
     asked = written.select(F.col("chunk").alias("of"), F.explode("pairs").alias("pair"))
@@ -365,7 +365,7 @@ def align(docs: DataFrame, a: str, b: str, pattern: str, chunk_mb: float = 5) ->
         run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
-def groups(docs: DataFrame, a: str, b: str, pattern: str, chunk_mb: float = 5) -> DataFrame:
+def groups(docs: DataFrame, a: str, b: str, pattern: str, chunk_mb: float = 3) -> DataFrame:
     """doc_id, group, a_ids, b_ids: the groups of each document, from 0."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _taken(batches, chunk_mb):
