@@ -117,7 +117,7 @@ def beta_inc_many(x: np.ndarray, a: float, b: float) -> np.ndarray:
             c = 1 + num / c
             c = np.where(c == 0, 1e-300, c)
             h = h * c * d
-        if np.abs(c * d - 1).max(initial=0) < 1e-15:
+        if np.abs(c * d - 1).max(initial=0) < 1e-14:
             break
     out = np.where(turn, 1 - front * h, front * h)
     return np.clip(np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out)), 0, 1)
