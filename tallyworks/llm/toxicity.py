@@ -6,8 +6,8 @@ documents keeps copies of one document from lending weight to its words. The lex
 word along the trie and a Levenshtein automaton at once finds terms within a bounded number of edits: one from four letters
 on, two from ten. Words that a stem covers are terms as well, so that their misspellings are found. The walk's states are sets of
 (node, edits), made when first met and kept, so that most words end after a few characters. A word near a term that the
-labelled documents show to be harmless is no hit. A hit in
-quotation marks or beside words of reporting is counted apart from a plain one. Each kind of hit has a log likelihood ratio measured on the
+labelled documents show to be harmless is no hit. A hit
+between marks that open and close a quotation, or governed by a word of reporting, is counted apart from a plain one. Each kind of hit has a log likelihood ratio measured on the
 labelled documents, that of misspellings being drawn towards that of the words themselves, and a score is the logistic of their sum.
 
 Bound: at most max_labelled labelled documents (those of the smallest hash) are used to learn, which bounds the lexicon as well;
@@ -35,10 +35,15 @@ from pyspark.sql import functions as F
 from .common import cut, hash60
 
 TOKEN = re.compile(r"[^\W_]+")
-QUOTES = "\"“”„«»‹›"
+#: Quotation marks, or the end of a line, beyond which none is closed.
+MARKS = re.compile("[\"\u201c\u201d\u201e\u00ab\u00bb\u2039\u203a\n]")
+#: What closes a quotation, by what opens it; a straight mark opens or closes by the side on which it stands.
+CLOSED_BY = {'"': '"', "\u201c": "\u201d", "\u201d": "\u201d", "\u201e": "\u201c\u201d", "\u00ab": "\u00bb", "\u00bb": "\u00ab", "\u2039": "\u203a", "\u203a": "\u2039"}
 #: Words that report somebody else's words, in the languages of the corpus.
 REPORTING = frozenset("said says wrote called quote quoted quotes reported allegedly dit écrit cité selon sagte schrieb zitat zitiert laut dijo escribió citó según".split())
+#: A reporting word governs what follows it up to the sentence's end, behind a colon or a word for "that" within so many words of it.
 WINDOW = 6
+GOVERNED = re.compile(r"\b(?:" + "|".join(sorted(REPORTING)) + r")\b(?:[^\S\n]+[^\W_]+){0,%d}?(?:[^\S\n]*:|[^\S\n]*,?[^\S\n]+(?:that|que|qu'|dass)(?!\w))([^.!?\n]*)" % (WINDOW - 1))
 KINDS = ("exact", "stem", "near_short", "near_long")
 CACHE_WORDS = 400_000
 #: Hits of a kind of misspelling that count as much as what is known of the words themselves.
@@ -156,22 +161,48 @@ class FuzzyTrie:
         return found
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where others are quoted: between marks that open and close on one line, and what a reporting word governs.
+
+    A straight mark with white space or an opening bracket before it opens, one with no word behind it closes, and otherwise it does what is due. A mark that
+    opens again stands for the one before it, which was never closed; one that closes nothing is no mark.
+    """
+    out, opened, at = [], "", 0
+    for m in MARKS.finditer(text):
+        mark, i = m[0], m.start()
+        if mark == "\n":
+            opened = ""
+            continue
+        closes = mark in CLOSED_BY.get(opened, "")
+        opens = True
+        if mark == '"':
+            before, behind = text[i - 1:i], text[i + 1:i + 2]
+            opens, shuts = (not before or before.isspace() or before in "([{"), not behind.isalnum()
+            closes = closes and (shuts or not opens)
+            opens = opens or not shuts
+        if closes:
+            out.append((at, i))
+            opened = ""
+        elif opens:
+            opened, at = mark, i
+    return sorted(out + [m.span(1) for m in GOVERNED.finditer(text)])
+
+
 def hits(text: str | None, trie: FuzzyTrie) -> dict[str, int]:
     """How often each kind of hit occurs; those quoted or reported under kind + "_quoted"."""
     text = (text or "").lower()
-    words = TOKEN.findall(text)
-    found = list(map(trie.find, words))
+    found = list(map(trie.find, TOKEN.findall(text)))
     out: dict[str, int] = {}
     if not any(found):
         return out
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    for i, f in enumerate(found):
+    spans = quotations(text)
+    at, ends = 0, 0
+    for f, m in zip(found, TOKEN.finditer(text), strict=True):
         if f:
-            near = words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW]
-            left = text[spans[max(0, i - WINDOW)][0]:spans[i][0]]
-            right = text[spans[i][1]:spans[min(len(words) - 1, i + WINDOW)][1]]
-            quoted = (any(q in left for q in QUOTES) and any(q in right for q in QUOTES)) or not REPORTING.isdisjoint(near)
-            kind = f[0] + "_quoted" * quoted
+            while at < len(spans) and spans[at][0] <= m.start():
+                ends = max(ends, spans[at][1])
+                at += 1
+            kind = f[0] + "_quoted" * (m.end() <= ends)
             out[kind] = out.get(kind, 0) + 1
     return out
 

@@ -84,6 +84,13 @@ def test_quotation_is_counted_apart():
     trie = FuzzyTrie(["horrid"], [])
     assert toxicity.hits('they wrote "you horrid man" today', trie) == {"exact_quoted": 1}
     assert toxicity.hits("you horrid man", trie) == {"exact": 1}
+    for plain in ('"hello" you horrid thing, "bye"', "he said nothing and you horrid man go away", 'he said "you horrid man', 'a 5" horrid pipe of 6" width', 'you" horrid "man', '"one\nhorrid" two',
+                  "\u00abhello\u00bb you horrid thing \u00abbye\u00bb", "\u201chello\u201d horrid \u201cbye\u201d", 'he said: no. You horrid man', 'he said "no" and: you horrid man'):
+        assert toxicity.hits(plain, trie) == {"exact": 1}, plain
+    for quoted in ('"you horrid man", they wrote', '("horrid")', "\u00abyou horrid man\u00bb", "\u00bbdu horrid\u00ab", "\u201eyou horrid man\u201c sagte er", "\u201cyou horrid man\u201d", 'x "a" y "b horrid c" z', 'stray " mark. Then "you horrid man"',
+                   "she said: you horrid man", "he wrote to us that you are horrid people", "elle a dit que horrid"):
+        assert toxicity.hits(quoted, trie) == {"exact_quoted": 1}, quoted
+    assert toxicity.hits('horrid "horrid" horrid said: horrid! horrid', trie) == {"exact": 3, "exact_quoted": 2}
 
 
 def test_misspellings_of_short_and_stemmed_words():
@@ -125,6 +132,36 @@ def plain_distance(a, b):
     return row[-1]
 
 
+def plain_quoted(text, a, b):
+    """Whether text[a:b] is quoted, from its own line alone."""
+    import re
+
+    start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    line = text[start:end if end >= 0 else len(text)]
+    a, b = a - start, b - start
+    opened = None
+    for i, x in enumerate(line):
+        if x not in '"\u201c\u201d\u201e\u00ab\u00bb\u2039\u203a':
+            continue
+        free = i == 0 or line[i - 1].isspace() or line[i - 1] in "([{"
+        ended = i + 1 == len(line) or not line[i + 1].isalnum()
+        fits = opened is not None and (opened[1], x) in {('"', '"'), ("\u201c", "\u201d"), ("\u201d", "\u201d"), ("\u201e", "\u201c"), ("\u201e", "\u201d"), ("\u00ab", "\u00bb"), ("\u00bb", "\u00ab"), ("\u2039", "\u203a"), ("\u203a", "\u2039")}
+        if fits and not (x == '"' and free and not ended):
+            if opened[0] < a and b <= i:
+                return True
+            opened = None
+        elif x != '"' or free or not ended:
+            opened = (i, x)
+    sentence = re.split(r"[.!?]", line[:a])[-1]
+    words = re.findall(r"[^\W_]+", sentence)
+    for i, w in enumerate(words):
+        if w in toxicity.REPORTING:
+            rest = sentence[[m.end() for m in re.finditer(r"[^\W_]+", sentence)][i]:]
+            if re.match(r"(?:\s+[^\W_]+){0,5}?(?:\s*:|\s*,?\s+(?:that|que|qu'|dass)(?!\w))", rest):
+                return True
+    return False
+
+
 def plain_score(text, m):
     """The score by looking at every word, every term and every window, without trie or automata."""
     import math
@@ -142,10 +179,7 @@ def plain_score(text, m):
             continue
         else:
             kind = "exact" if near[0][0] == 0 else "near_short" if len(near[0][1]) < 8 else "near_long"
-        around = found[max(0, i - 6):i] + found[i + 1:i + 7]
-        left, right = text[found[max(0, i - 6)][1]:a], text[b:found[min(len(found) - 1, i + 6)][2]]
-        marks = '"“”„«»‹›'
-        quoted = (any(q in left for q in marks) and any(q in right for q in marks)) or any(x in toxicity.REPORTING for x, *_ in around)
+        quoted = plain_quoted(text, a, b)
         z += m.weights.get(kind + "_quoted" * quoted, 0.0)
     return 1 / (1 + math.exp(-max(-30, min(30, z))))
 
@@ -156,6 +190,6 @@ def test_scores_are_those_of_a_plain_scorer(spark):
     rnd = random.Random(8)
     m = toxicity.Model(["horrid", "scum", "despicable", "zorkmid", "abc"], ["zork", "vile"], -1.5, {"exact": 2.0, "stem": 1.5, "near_short": 1.0, "near_long": 1.2, "exact_quoted": -0.5, "stem_quoted": -0.3, "near_short_quoted": 0.1}, frozenset(["horrit"]))
     words = ["horrid", "horid", "horrit", "scum", "scuum", "scu", "despicable", "despicabel", "desspicabl", "zorkmid", "zrkmid", "zorkish", "vilest", "abc", "abd", "clean", "said", "other", "words", "und", "Straße", "x_y"]
-    texts = [" ".join(rnd.choice([w, w.upper(), f'"{w}', f'{w}"', f"{w},", f"«{w}»"]) for w in rnd.choices(words, k=rnd.randint(0, 25))) for _ in range(300)] + [None, "", "clean " * 3000 + "scum"]
+    texts = [" ".join(rnd.choice([w, w.upper(), f'"{w}', f'{w}"', f"{w},", f"{w}:", f"that {w}", f"{w}.", f"{w}\n", f"«{w}»"]) for w in rnd.choices(words, k=rnd.randint(0, 25))) for _ in range(300)] + [None, "", "clean " * 3000 + "scum"]
     got = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), m).collect()
     assert all(abs(r.score - plain_score(texts[r.doc_id], m)) < 1e-12 for r in got) and len(got) == len(texts)
