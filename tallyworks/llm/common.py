@@ -29,10 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+    """Write df once to the shared folder and read it back: lineage ends here, and a lost executor loses nothing. What is written goes with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyworks-{uuid.uuid4().hex}"
+    p, files = _path(spark, path)
+    files.deleteOnExit(p)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -43,8 +50,9 @@ def drop(df: DataFrame) -> None:
     """Delete what cut wrote for df, once nothing reads it any more."""
     path = getattr(df, "written_to", None)
     if path:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        p, files = _path(df.sparkSession, path)
+        files.delete(p, True)
+        files.cancelDeleteOnExit(p)
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS, mb: int = 32) -> DataFrame:

@@ -5,8 +5,8 @@ summed again by the next bits of the hash, until a bucket holds one hash value.
 is taken once more than the rest. Nothing is sorted by document, and a source that holds a third of all rows
 is pre-aggregated to at most 2^15 sums before the shuffle.
 
-Nulls: a null text counts 0 words, a null source is a source of its own (last in order), a null id hashes
-alike for all such rows, which are then taken together. Repeated rows share a hash and so a decision. Of the
+Nulls: a null text counts 0 words, a null source is a source of its own (last in order); rows with a null or repeated id
+are told apart by their texts. Rows equal in id and text share a hash and so a decision. Of the
 document at the boundary, all or nothing is taken, whichever comes nearer to the target. An empty table gives
 an empty result.
 """
@@ -25,6 +25,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _hash(seed: str) -> Column:
+    """Of id and text, so that rows without an id, or of one id, are told apart by their texts."""
+    return hash60(F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.col("text")))
+
+
 def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """rows with the sums over all rows before each in an order that tells them apart: ranges are summed apart, then shifted."""
     d = cut(rows.withColumns({f"_{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
@@ -82,7 +87,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = "mix", cycle: int = 3, limit: float = 3.0) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, in the hash order of seed."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.lit(seed), F.col("doc_id").cast("string")).alias("h")))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h")))
     t = thresholds(sized, source_targets(sized, cycle, limit))
     more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("edge_in"))
     copies = (F.col("rounds") + more.cast("int")).cast("int")
@@ -93,8 +98,8 @@ def mix(docs: DataFrame, seed: str = "mix", cycle: int = 3, limit: float = 3.0)
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; all columns are kept."""
     seed = options.get("seed", "mix")
-    row = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), hash60(F.lit(seed), F.col("doc_id").cast("string")).alias("h"))
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.lit(seed), F.col("doc_id").cast("string")).alias("h")))
+    row = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), _hash(seed).alias("h"))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h")))
     t = thresholds(sized, source_targets(sized, options.get("cycle", 3), options.get("limit", 3.0)))
     more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("edge_in"))
     # one row per source: joined by broadcast where Spark finds it small, else by a shuffle whose hot source it splits

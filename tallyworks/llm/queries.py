@@ -54,7 +54,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6 = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix' || coalesce(':' || CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5('mix' || coalesce(':' || CAST(doc_id AS VARCHAR), '') || coalesce(':' || md5(text), '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(3 AS DOUBLE) * source_size AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),

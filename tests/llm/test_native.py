@@ -152,3 +152,17 @@ def test_copies_of_a_document_are_one_page(spark):
     assert all(kept[i] == (f"own words {i}" if i < 40 else t) for i, t, _ in rows)
     pages = {r.site: r.n_pages for r in linededup.boilerplate(frame(spark, rows)).collect()}
     assert pages == {"s": 41}
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Null and repeated ids do not stand or fall together."""
+    rnd = random.Random(11)
+    rows = [(None if k % 2 else 5, " ".join(f"w{rnd.randint(0, 999)}" for _ in range(rnd.randint(1, 30))), "ab"[k % 3 == 0]) for k in range(900)]
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in mixing.mix(frame(spark, rows)).collect():
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    want = targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
+    assert sum(words(r.text) for r in mixing.mixed(frame(spark, rows)).collect()) == sum(taken.values())
