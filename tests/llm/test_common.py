@@ -8,10 +8,11 @@ import os, sys
 from pyspark.sql import SparkSession
 from tallyworks.llm.common import cut, drop
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[1]).getOrCreate()
+own = lambda: [x for x in os.listdir(sys.argv[1]) if x.startswith("tallyworks")]
 one, two = cut(spark.range(5)), cut(spark.range(7))
-assert one.count() == 5 and two.count() == 7 and len(os.listdir(sys.argv[1])) == 2
+assert one.count() == 5 and two.count() == 7 and len(own()) == 2
 drop(one)
-assert len(os.listdir(sys.argv[1])) == 1
+assert len(own()) == 1
 spark.stop()
 """
 
