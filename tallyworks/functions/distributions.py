@@ -59,6 +59,13 @@ def binomial_lower(k, n, p) -> Column:
     return F.when(k >= n, 1.0).otherwise(beta_cdf(1 - _d(p), F.greatest(n - k, F.lit(1e-9)), k + 1))
 
 
+def quantile(tail: Callable[[Column], Column], level, low, high, steps: int = 60) -> Column:
+    """The least x between low and high from which on tail(x) is at most level, by bisection within the row."""
+    half = lambda a: (a["lo"] + a["hi"]) / 2
+    step = lambda a, _: F.when(tail(half(a)) <= _d(level), F.struct(a["lo"].alias("lo"), half(a).alias("hi"))).otherwise(F.struct(half(a).alias("lo"), a["hi"].alias("hi")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(_d(low).alias("lo"), _d(high).alias("hi")), step, half)
+
+
 # numpy side
 
 def norm_cdf(z: float) -> float:

@@ -29,8 +29,8 @@ def _(spark, d):
 
 @query("ci_mean_t", f"WITH RECURSIVE {PERSONS}, s AS (SELECT stratum, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM persons GROUP BY 1), {Q.bisected('tq', 's', ['stratum'], Q.t_two_sided('q', '(n - 1)') + ' <= 0.05', '0', '200')} SELECT stratum, n, round(m, 4) AS mean, round(m - q * sqrt(v / n), 4) AS low, round(m + q * sqrt(v / n), 4) AS high FROM s JOIN tq USING (stratum)")
 def _(spark, d):
-    """Intervals with the t quantile of each group's own degrees of freedom: quantiles of a few rows."""
-    s = K.group_stats(persons(spark, d), "x", "stratum").withColumn("q", F.udf(lambda n: P.t_ppf(0.975, n - 1.0), "double")("n"))
+    """Intervals with the t quantile of each group's own degrees of freedom."""
+    s = K.group_stats(persons(spark, d), "x", "stratum").withColumn("q", P.quantile(lambda q: P.t_two_sided(q, c("n") - 1), 0.05, 0, 200))
     half = c("q") * F.sqrt(c("var") / c("n"))
     return s.select("stratum", "n", r("mean").alias("mean"), r(c("mean") - half).alias("low"), r(c("mean") + half).alias("high"))
 
@@ -49,16 +49,16 @@ def _(spark, d):
 def _(spark, d):
     """Clopper-Pearson bounds by beta quantiles."""
     t = persons(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("k")).withColumn("n", F.sum("k").over(D.whole()))
-    low = F.udf(lambda k, n: P.beta_ppf(0.025, k, n - k + 1) if k else 0.0, "double")
-    high = F.udf(lambda k, n: P.beta_ppf(0.975, k + 1, n - k) if k < n else 1.0, "double")
-    return t.select("status", r(low("k", "n"), 6).alias("low"), r(high("k", "n"), 6).alias("high"))
+    low = F.when(c("k") > 0, P.quantile(lambda q: 1 - P.beta_cdf(q, c("k"), c("n") - c("k") + 1), 0.975, 0, 1)).otherwise(0.0)
+    high = F.when(c("k") < c("n"), P.quantile(lambda q: 1 - P.beta_cdf(q, c("k") + 1, c("n") - c("k")), 0.025, 0, 1)).otherwise(1.0)
+    return t.select("status", r(low, 6).alias("low"), r(high, 6).alias("high"))
 
 
 @query("ci_variance", f"WITH RECURSIVE {PERSONS}, s AS (SELECT grp, count(*) AS n, var_samp(x) AS v FROM persons GROUP BY 1), {Q.bisected('a', 's', ['grp'], Q.chi2_upper('q', '(n - 1)') + ' <= 0.025', '0', '2 * n + 50')}, {Q.bisected('b', 's', ['grp'], Q.chi2_upper('q', '(n - 1)') + ' <= 0.975', '0', '2 * n + 50')} SELECT grp, round(v, 4) AS var, round((n - 1) * v / a.q, 4) AS low, round((n - 1) * v / b.q, 4) AS high FROM s JOIN a USING (grp) JOIN b USING (grp)")
 def _(spark, d):
     s = K.group_stats(persons(spark, d), "x", "grp")
-    q = F.udf(lambda p, n: P.chi2_ppf(p, n - 1.0), "double")
-    return s.select("grp", r("var").alias("var"), r((c("n") - 1) * c("var") / q(F.lit(0.975), "n")).alias("low"), r((c("n") - 1) * c("var") / q(F.lit(0.025), "n")).alias("high"))
+    q = lambda tail: P.quantile(lambda x: P.chi2_upper(x, c("n") - 1), tail, 0, 2 * c("n") + 50)
+    return s.select("grp", r("var").alias("var"), r((c("n") - 1) * c("var") / q(0.025)).alias("low"), r((c("n") - 1) * c("var") / q(0.975)).alias("high"))
 
 
 PAIRS = f"WITH {PERSONS}, g AS (SELECT grp, count(*) AS n, avg(x) AS m, var_samp(x) AS v, CAST(count(*) FILTER (status = 'F') AS DOUBLE) / count(*) AS p FROM persons GROUP BY 1)"
@@ -70,10 +70,24 @@ def _pairs(spark, d):
     return a.join(b, c("grpa") < c("grpb"))
 
 
-@query("ci_diff_means", f"{PAIRS} SELECT a.grp AS a, b.grp AS b, round(a.m - b.m, 4) AS diff, round(sqrt(a.v / a.n + b.v / b.n), 6) AS se, round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 4) AS df FROM g a JOIN g b ON a.grp < b.grp")
+_DIFF = f"""{PAIRS.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT a.grp AS a, b.grp AS b, a.m - b.m AS diff, sqrt(a.v / a.n + b.v / b.n) AS se, pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS df,
+  sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS se_pooled, CAST(a.n + b.n - 2 AS BIGINT) AS df_pooled FROM g a JOIN g b ON a.grp < b.grp),
+{Q.bisected('tq', 'e', ['a', 'b'], Q.t_two_sided('q', 'df') + ' <= 0.05', '0', '200')}, {Q.bisected('pq', 'e', ['a', 'b'], Q.t_two_sided('q', 'df_pooled') + ' <= 0.05', '0', '200')}
+SELECT e.a, e.b, round(diff, 4) AS diff, round(se, 6) AS se, round(df, 4) AS df, round(diff - tq.q * se, 4) AS low, round(diff + tq.q * se, 4) AS high, round({Q.t_two_sided('(diff / se)', 'df')}, 6) AS p,
+  round(se_pooled, 6) AS se_pooled, df_pooled, round(diff - pq.q * se_pooled, 4) AS low_pooled, round(diff + pq.q * se_pooled, 4) AS high_pooled, round({Q.t_two_sided('(diff / se_pooled)', 'df_pooled')}, 6) AS p_pooled
+FROM e JOIN tq USING (a, b) JOIN pq USING (a, b)"""
+
+
+@query("ci_diff_means", _DIFF)
 def _(spark, d):
+    """Intervals and p of the differences of all pairs of means, with each group's own variance and with a common one."""
     x, y = c("va") / c("na"), c("vb") / c("nb")
-    return _pairs(spark, d).select(c("grpa").alias("a"), c("grpb").alias("b"), r(c("ma") - c("mb")).alias("diff"), r(F.sqrt(x + y), 6).alias("se"), r((x + y) * (x + y) / (x * x / (c("na") - 1) + y * y / (c("nb") - 1))).alias("df"))
+    e = _pairs(spark, d).withColumn("diff", c("ma") - c("mb")).withColumn("se", F.sqrt(x + y)).withColumn("df", (x + y) * (x + y) / (x * x / (c("na") - 1) + y * y / (c("nb") - 1))).withColumn("df_pooled", c("na") + c("nb") - 2)
+    e = e.withColumn("se_pooled", F.sqrt(((c("na") - 1) * c("va") + (c("nb") - 1) * c("vb")) / c("df_pooled") * (1 / c("na") + 1 / c("nb"))))
+    half = lambda se, df: c(se) * P.quantile(lambda q: P.t_two_sided(q, c(df)), 0.05, 0, 200)
+    e = e.withColumn("half", half("se", "df")).withColumn("half_pooled", half("se_pooled", "df_pooled"))
+    limits = lambda k: [r(c("diff") - c("half" + k)).alias("low" + k), r(c("diff") + c("half" + k)).alias("high" + k), r(P.t_two_sided(c("diff") / c("se" + k), c("df" + k)), 6).alias("p" + k)]
+    return e.select(c("grpa").alias("a"), c("grpb").alias("b"), r("diff").alias("diff"), r("se", 6).alias("se"), r("df").alias("df"), *limits(""), r("se_pooled", 6).alias("se_pooled"), "df_pooled", *limits("_pooled"))
 
 
 @query("ci_diff_proportions", f"{PAIRS} SELECT a.grp AS a, b.grp AS b, round(a.p - b.p - {Z} * sqrt(a.p * (1 - a.p) / a.n + b.p * (1 - b.p) / b.n), 6) AS low, round(a.p - b.p + {Z} * sqrt(a.p * (1 - a.p) / a.n + b.p * (1 - b.p) / b.n), 6) AS high FROM g a JOIN g b ON a.grp < b.grp")
@@ -142,11 +156,16 @@ def _(spark, d):
     return t.select(c("b").cast("double").alias("below"), r((c("n_before") + c("n")) / c("n_all"), 6).alias("observed"), r(1 - P.normal_upper((c("b") - c("m")) / c("sd")), 6).alias("normal"))
 
 
-@query("power_n", f"{PAIRS} SELECT a.grp AS a, b.grp AS b, CAST(ceil(2 * pow((1.959963984540054 + 0.8416212335729143) / ((a.m - b.m) / sqrt((a.v + b.v) / 2)), 2)) AS BIGINT) AS n_80 FROM g a JOIN g b ON a.grp < b.grp")
+#: Power and the normal quantile that it asks for.
+POWER = {"n_80": 0.8416212335729143, "n_90": 1.2815515655446004, "n_95": 1.6448536269514722}
+
+
+@query("power_n", f"{PAIRS}, e AS (SELECT a.grp AS a, b.grp AS b, (a.m - b.m) / sqrt((a.v + b.v) / 2) AS d, a.n AS na, b.n AS nb FROM g a JOIN g b ON a.grp < b.grp) SELECT a, b, round(d, 6) AS d, " + ", ".join(f"CAST(ceil(2 * pow(({Z} + {z}) / d, 2)) AS BIGINT) AS {k}" for k, z in POWER.items()) + f", round({Q.normal_lower(f'(abs(d) / sqrt(1.0::DOUBLE / na + 1.0::DOUBLE / nb) - {Z})')}, 6) AS power FROM e")
 def _(spark, d):
-    k = P.norm_ppf(0.975) + P.norm_ppf(0.8)
-    effect = (c("ma") - c("mb")) / F.sqrt((c("va") + c("vb")) / 2)
-    return _pairs(spark, d).select(c("grpa").alias("a"), c("grpb").alias("b"), F.ceil(2 * F.pow(F.lit(k) / effect, 2)).alias("n_80"))
+    """Rows a group that find each pair's difference with a chance of 80, 90 and 95 %, and the chance with the rows there are."""
+    e = _pairs(spark, d).withColumn("d", (c("ma") - c("mb")) / F.sqrt((c("va") + c("vb")) / 2))
+    power = 1 - P.normal_upper(F.abs("d") / F.sqrt(1 / c("na") + 1 / c("nb")) - Z)
+    return e.select(c("grpa").alias("a"), c("grpb").alias("b"), r("d", 6).alias("d"), *[F.ceil(2 * F.pow((F.lit(Z) + z) / c("d"), 2)).alias(k) for k, z in POWER.items()], r(power, 6).alias("power"))
 
 
 CELLS = "t AS (SELECT seg AS a, grp AS b, count(*) AS n FROM persons GROUP BY ALL), cells AS (SELECT *, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY a) AS ra, sum(n) OVER (PARTITION BY b) AS cb FROM t)"
@@ -260,12 +279,27 @@ def _(spark, d):
     return s.agg(r(F.max(F.greatest(F.abs(c("f") - c("n_before") / c("n_all")), F.abs(c("f") - (c("n_before") + c("n")) / c("n_all")))), 6).alias("d"))
 
 
-@query("lognormal_fit", f"WITH {PERSONS}, m AS (SELECT sum(w * ln(x)) / sum(w) AS mu, sqrt(sum(w * ln(x) * ln(x)) / sum(w) - pow(sum(w * ln(x)) / sum(w), 2)) AS s FROM persons WHERE x > 0) SELECT round(mu, 6) AS mu, round(s, 6) AS sigma, round(exp(mu + s * s / 2), 4) AS mean, round(exp(mu), 4) AS median, round(exp(mu - s * s), 4) AS mode, round(sqrt(exp(s * s) - 1), 6) AS cv FROM m")
+@query("lognormal_fit", f"WITH {PERSONS}, m AS (SELECT sum(w * ln(x)) / sum(w) AS mu, sqrt(sum(w * ln(x) * ln(x)) / sum(w) - pow(sum(w * ln(x)) / sum(w), 2)) AS s FROM persons WHERE x > 0) SELECT round(mu, 6) AS mu, round(s, 6) AS sigma, round(exp(mu + s * s / 2), 4) AS mean, round(exp(mu), 4) AS median, round(exp(mu - s * s), 4) AS mode, round(sqrt(exp(s * s) - 1), 6) AS cv, round((exp(s * s) + 2) * sqrt(exp(s * s) - 1), 6) AS skew FROM m")
 def _(spark, d):
     lx, w = F.ln("x"), c("w")
     m = persons(spark, d).filter("x > 0").agg((F.sum(w * lx) / F.sum(w)).alias("mu"), (F.sum(w * lx * lx) / F.sum(w)).alias("q")).withColumn("s", F.sqrt(c("q") - c("mu") * c("mu")))
     mu, s = c("mu"), c("s")
-    return m.select(r(mu, 6).alias("mu"), r(s, 6).alias("sigma"), r(F.exp(mu + s * s / 2)).alias("mean"), r(F.exp(mu)).alias("median"), r(F.exp(mu - s * s)).alias("mode"), r(F.sqrt(F.exp(s * s) - 1), 6).alias("cv"))
+    return m.select(r(mu, 6).alias("mu"), r(s, 6).alias("sigma"), r(F.exp(mu + s * s / 2)).alias("mean"), r(F.exp(mu)).alias("median"), r(F.exp(mu - s * s)).alias("mode"), r(F.sqrt(F.exp(s * s) - 1), 6).alias("cv"), r((F.exp(s * s) + 2) * F.sqrt(F.exp(s * s) - 1), 6).alias("skew"))
+
+
+SHARES = {0.01: -2.3263478740408408, 0.05: -1.6448536269514722, 0.1: -1.2815515655446004, 0.25: -0.6744897501960817, 0.5: 0.0, 0.75: 0.6744897501960817, 0.9: 1.2815515655446004, 0.95: 1.6448536269514722, 0.99: 2.3263478740408408}
+
+
+@query("lognormal_quantiles", f"WITH {PERSONS}, m AS (SELECT sum(w * ln(x)) / sum(w) AS mu, sqrt(sum(w * ln(x) * ln(x)) / sum(w) - pow(sum(w * ln(x)) / sum(w), 2)) AS s, sum(w * x) / sum(w) AS mean, sqrt(sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2)) AS sd FROM persons WHERE x > 0), k AS (SELECT x, sum(w) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER () AS total FROM persons WHERE x > 0), o AS (SELECT p, z, min(x) AS seen FROM k, (VALUES {', '.join(f'({p}::DOUBLE, {z}::DOUBLE)' for p, z in SHARES.items())}) t(p, z) WHERE cum >= p * total GROUP BY ALL) SELECT p, round(seen, 4) AS observed, round(exp(mu + z * s), 4) AS lognormal, round(mean + z * sd, 4) AS normal, round(exp(mu + z * s) / seen - 1, 6) AS gap_lognormal, round((mean + z * sd) / seen - 1, 6) AS gap_normal FROM o, m")
+def _(spark, d):
+    """Weighted quantiles beside those of the fitted lognormal and of a normal with the same mean and deviation."""
+    p, w = persons(spark, d).filter("x > 0"), c("w")
+    lx = F.ln("x")
+    m = p.agg((F.sum(w * lx) / F.sum(w)).alias("mu"), (F.sum(w * lx * lx) / F.sum(w)).alias("ql"), (F.sum(w * c("x")) / F.sum(w)).alias("mean"), (F.sum(w * c("x") * c("x")) / F.sum(w)).alias("qx"))
+    seen = O.quantiles_step(p, "x", "w", list(SHARES))
+    z = F.create_map(*[F.lit(v) for pair in SHARES.items() for v in pair])[c("p")]
+    log, flat = F.exp(c("mu") + z * F.sqrt(c("ql") - c("mu") * c("mu"))), c("mean") + z * F.sqrt(c("qx") - c("mean") * c("mean"))
+    return seen.crossJoin(F.broadcast(m)).select("p", r("q").alias("observed"), r(log).alias("lognormal"), r(flat).alias("normal"), r(log / c("q") - 1, 6).alias("gap_lognormal"), r(flat / c("q") - 1, 6).alias("gap_normal"))
 
 
 def anova_sql(source: str, x: str, g: str) -> str:
@@ -413,9 +447,115 @@ def _(spark, d):
     return t.select("tp", "fp", "fn", "tn", r((c("tp") + c("tn")) / n, 6).alias("accuracy"), r(F.greatest(c("tp") + c("fn"), c("fp") + c("tn")) / n, 6).alias("trivial"))
 
 
-@query("effect_sizes", f"{TWO} SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d, CASE WHEN abs((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))) < 0.2 THEN 'negligible' WHEN abs((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))) < 0.5 THEN 'small' ELSE 'larger' END AS label FROM s")
+#: Where an effect begins to be small, medium and large, by measure.
+CUTS = {"d": (0.2, 0.5, 0.8), "g": (0.2, 0.5, 0.8), "r": (0.1, 0.3, 0.5), "eta2": (0.01, 0.06, 0.14), "omega2": (0.01, 0.06, 0.14), "epsilon2": (0.01, 0.06, 0.14), "v": (0.1, 0.3, 0.5)}
+LABELS = ("negligible", "small", "medium", "large")
+
+
+def label(measure, value):
+    """The label of an effect, from its measure's cuts."""
+    out = None
+    for k, cuts in CUTS.items():
+        one = F.when(F.abs(value) < cuts[0], LABELS[0]).when(F.abs(value) < cuts[1], LABELS[1]).when(F.abs(value) < cuts[2], LABELS[2]).otherwise(LABELS[3])
+        out = F.when(measure == k, one) if out is None else out.when(measure == k, one)
+    return out
+
+
+def effects(spark, d):
+    """measure, value: effects of two groups (d, g, r), of all groups (eta2, omega2, epsilon2) and of two labels (v)."""
+    p = persons(spark, d)
+    n = p.filter(c("grp").isin(*AB)).agg(F.count("x").alias("n"))
+    parts = [K.t_test(two(spark, d)).select("d", "g"), K.mann_whitney(p, "x", "grp", *AB).crossJoin(n).select(F.least(F.lit(1.0), F.abs("z") / F.sqrt("n")).alias("r")), K.anova(p, "x", "grp").select("eta2", "omega2"),
+             K.kruskal_wallis(p, "x", "grp").select("epsilon2"), K.chi2_independence(K.contingency(p, "seg", "grp")).select(c("cramer_v").alias("v"))]
+    out = None
+    for t in parts:
+        one = t.unpivot([], t.columns, "measure", "value")
+        out = one if out is None else out.union(one)
+    return out
+
+
+_LABEL = "CASE measure " + " ".join(f"WHEN '{k}' THEN CASE WHEN abs(value) < {a} THEN '{LABELS[0]}' WHEN abs(value) < {b} THEN '{LABELS[1]}' WHEN abs(value) < {e} THEN '{LABELS[2]}' ELSE '{LABELS[3]}' END" for k, (a, b, e) in CUTS.items()) + " END"
+EFFECTS = f"""WITH t2 AS ({{t_two_sample}}), mw AS ({{mann_whitney}}), ao AS ({{anova_one_way}}), kw AS ({{kruskal_wallis}}), ch AS ({{chi2_independence}}),
+ef AS (SELECT 'd' AS measure, d AS value FROM t2 UNION ALL SELECT 'g', g FROM t2 UNION ALL SELECT 'r', least(1, abs(z) / sqrt((SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN {AB}))) FROM mw UNION ALL SELECT 'eta2', eta2 FROM ao UNION ALL SELECT 'omega2', omega2 FROM ao UNION ALL SELECT 'epsilon2', epsilon2 FROM kw UNION ALL SELECT 'v', cramer_v FROM ch)"""
+
+
+@query("effect_sizes")
+def _(spark, d):
+    return effects(spark, d).select("measure", r("value", 5).alias("value"), label(c("measure"), F.round("value", 6)).alias("label"))
+
+
+# the choice of a test, as a table of rules: an empty cell holds for any case, the first rule that fits decides
+RULES = [
+    # kind, two groups, normal, equal variances, cells expected over 5, test, alternative, effect, reason
+    ("numeric", True, True, None, None, "welch t", "mann-whitney", "g", "two groups, both normal"),
+    ("numeric", True, False, None, None, "mann-whitney", "welch t", "r", "two groups, one of them not normal"),
+    ("numeric", False, True, True, None, "anova", "kruskal-wallis", "eta2", "several normal groups of equal variances"),
+    ("numeric", False, True, False, None, "welch anova", "kruskal-wallis", "eta2", "several normal groups of unequal variances"),
+    ("numeric", False, False, None, None, "kruskal-wallis", "anova", "epsilon2", "several groups, one of them not normal"),
+    ("categorical", True, None, None, False, "fisher", "chi2", "v", "two by two, a cell expected under 5"),
+    ("categorical", None, None, None, None, "chi2", "fisher", "v", "a table of counts"),
+]
+FACTS = ("kind", "two", "normal", "equal", "expected")
+
+
+def chosen(facts):
+    """facts (comparison, kind, two, normal, equal, expected) with the test, alternative, effect and reason of the first rule that fits."""
+    rules = facts.sparkSession.createDataFrame([(i, *rule) for i, rule in enumerate(RULES)], "place int, rule_kind string, rule_two boolean, rule_normal boolean, rule_equal boolean, rule_expected boolean, test string, alternative string, effect string, reason string")
+    fits = F.lit(True)
+    for k in FACTS:
+        fits = fits & (c("rule_" + k).isNull() | (c("rule_" + k) == c(k)))
+    found = facts.join(F.broadcast(rules), fits).groupBy(*facts.columns).agg(F.min(F.struct("place", "test", "alternative", "effect", "reason")).alias("rule"))  # a row a rule
+    return found.select(*facts.columns, "rule.test", "rule.alternative", "rule.effect", "rule.reason")
+
+
+def normal_groups(df, x: str, g: str):
+    """normal: whether skewness and kurtosis of every group agree with a normal at 0.05."""
+    s = df.groupBy(g).agg(F.count(x).alias("n"), F.skewness(x).alias("s"), F.kurtosis(x).alias("k"))
+    return s.agg(F.coalesce(F.bool_and(c("n") / 6 * (c("s") * c("s") + c("k") * c("k") / 4) / 2 <= F.lit(2.995732273553991)), F.lit(False)).alias("normal"))
+
+
+_JB = "n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) / 2 <= 2.995732273553991"
+_NORMAL = f"nm AS (SELECT bool_and({_JB}) AS normal, bool_and({_JB}) FILTER (grp IN {AB}) AS normal_two FROM (SELECT grp, CAST(count(*) AS DOUBLE) AS n, avg(pow(x - m, 2)) AS m2, avg(pow(x - m, 3)) AS m3, avg(pow(x - m, 4)) AS m4 FROM persons JOIN (SELECT grp AS gg, avg(x) AS m FROM persons GROUP BY 1) ON grp = gg GROUP BY grp))"
+_FIT = " ".join(f"WHEN {' AND '.join(f'{k} = {v!r}' if isinstance(v, str) else (k if v else f'NOT {k}') for k, v in zip(FACTS, rule[:5], strict=True) if v is not None)} THEN {i}" for i, rule in enumerate(RULES))
+CHOSEN = f"""{EFFECTS}, {PERSONS}, {_NORMAL}, lv AS ({{levene_bf}}), wa AS ({{welch_anova}}), fi AS ({{fisher_2x2}}),
+rs AS (SELECT status = 'F' AS a, w > 4 AS b, CAST(count(*) AS DOUBLE) AS n FROM persons GROUP BY ALL), fx AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM rs), c2 AS (SELECT sum(pow(n - e, 2) / e) AS chi2, min(e) AS least, sum(n) AS total FROM fx),
+cl AS (SELECT seg, grp, CAST(count(*) AS DOUBLE) AS n FROM persons GROUP BY ALL), cx AS (SELECT min(ra * cb / total) AS least FROM (SELECT sum(n) OVER (PARTITION BY seg) AS ra, sum(n) OVER (PARTITION BY grp) AS cb, sum(n) OVER () AS total FROM cl)),
+fa AS (SELECT 'income of two groups' AS comparison, 'numeric' AS kind, true AS two, normal_two AS normal, true AS equal, true AS expected FROM nm UNION ALL SELECT 'income of all groups', 'numeric', false, normal, (SELECT p >= 0.05 FROM lv), true FROM nm
+  UNION ALL SELECT 'segment by group', 'categorical', false, true, true, least >= 5 FROM cx UNION ALL SELECT 'status by weight', 'categorical', true, true, true, least >= 5 FROM c2),
+ru(place, test, alternative, effect, reason) AS (VALUES {', '.join(f"({i}, '{x[5]}', '{x[6]}', '{x[7]}', '{x[8]}')" for i, x in enumerate(RULES))}),
+ps AS (SELECT 'income of two groups' AS comparison, 'welch t' AS test, p_welch AS p FROM t2 UNION ALL SELECT 'income of two groups', 'mann-whitney', p FROM mw UNION ALL SELECT 'income of all groups', 'anova', p FROM ao UNION ALL SELECT 'income of all groups', 'welch anova', p FROM wa UNION ALL SELECT 'income of all groups', 'kruskal-wallis', p FROM kw
+  UNION ALL SELECT 'segment by group', 'chi2', p FROM ch UNION ALL SELECT 'status by weight', 'fisher', p FROM fi UNION ALL SELECT 'status by weight', 'chi2', {Q.chi2_upper('chi2', '1')} FROM c2),
+ev AS (SELECT 'income of two groups' AS comparison, measure, value FROM ef WHERE measure IN ('g', 'r') UNION ALL SELECT 'income of all groups', measure, value FROM ef WHERE measure IN ('eta2', 'epsilon2') UNION ALL SELECT 'segment by group', measure, value FROM ef WHERE measure = 'v' UNION ALL SELECT 'status by weight', 'v', sqrt(chi2 / total) FROM c2)
+SELECT comparison, test, reason, round(a.p, 6) AS p, alternative, round(b.p, 6) AS p_alternative, (a.p < 0.05) <> (b.p < 0.05) AS conclusion_changes, effect, round(ev.value, 5) AS value
+FROM (SELECT *, CASE {_FIT} END AS place FROM fa) f JOIN ru USING (place) LEFT JOIN ps a USING (comparison, test) LEFT JOIN (SELECT comparison, test AS alternative, p FROM ps) b USING (comparison, alternative) LEFT JOIN ev ON ev.comparison = f.comparison AND ev.measure = effect"""
+
+
+@query("choose_test_rules")
 def _(spark, d):
-    return K.t_test(two(spark, d)).select(r("d", 6).alias("d"), F.when(F.abs("d") < 0.2, "negligible").when(F.abs("d") < 0.5, "small").otherwise("larger").alias("label"))
+    """For each comparison the test that the rules choose, why, its p, that of the alternative where there is one, and the effect."""
+    p = persons(spark, d)
+    ab = p.filter(c("grp").isin(*AB))
+    cells, square = K.contingency(p, "seg", "grp"), K.contingency(p.select((c("status") == "F").alias("f"), (c("w") > 4).alias("h")), "f", "h")
+    true, text = F.lit(True), lambda v: F.lit(v)
+    facts = normal_groups(ab, "x", "grp").select(text("income of two groups").alias("comparison"), text("numeric").alias("kind"), true.alias("two"), "normal", true.alias("equal"), true.alias("expected"))
+    facts = facts.union(normal_groups(p, "x", "grp").crossJoin(K.levene(p, "x", "grp").select((c("p") >= 0.05).alias("equal"))).select(text("income of all groups"), text("numeric"), ~true, "normal", "equal", true))
+    for name, t, two_by_two in (("segment by group", cells, ~true), ("status by weight", square, true)):
+        facts = facts.union(t.agg((F.min("expected") >= 5).alias("e")).select(text(name), text("categorical"), two_by_two, true, true, "e"))
+    chi = K.chi2_independence(square)
+    yes, own = c("status") == "F", c("w") > 4
+    exact = fisher_exact(p.agg(F.count_if(yes).alias("m1"), F.count_if(~yes).alias("m0"), F.count_if(yes & own).alias("k"), F.count_if(own).alias("n")))
+    ps = None
+    for name, test, t in (("income of two groups", "welch t", K.t_test(two(spark, d)).select(c("p_welch").alias("p"))), ("income of two groups", "mann-whitney", K.mann_whitney(p, "x", "grp", *AB)), ("income of all groups", "anova", K.anova(p, "x", "grp")),
+                          ("income of all groups", "welch anova", K.welch_anova(p, "x", "grp")), ("income of all groups", "kruskal-wallis", K.kruskal_wallis(p, "x", "grp")), ("segment by group", "chi2", K.chi2_independence(cells)), ("status by weight", "fisher", exact), ("status by weight", "chi2", chi)):
+        one = t.select(F.lit(name).alias("of"), F.lit(test).alias("by"), c("p").alias("p"))
+        ps = one if ps is None else ps.union(one)
+    values = effects(spark, d).select(F.when(c("measure").isin("g", "r"), "income of two groups").when(c("measure") == "v", "segment by group").otherwise("income of all groups").alias("of"), "measure", "value")
+    values = values.union(chi.select(F.lit("status by weight"), F.lit("v"), c("cramer_v")))
+    t = chosen(facts)
+    second = ps.select(c("of").alias("of2"), c("by").alias("by2"), c("p").alias("p_alternative"))
+    t = t.join(F.broadcast(ps), (c("comparison") == c("of")) & (c("test") == c("by")), "left").drop("of", "by").join(F.broadcast(second), (c("comparison") == c("of2")) & (c("alternative") == c("by2")), "left")  # a row a test
+    t = t.join(F.broadcast(values), (c("comparison") == c("of")) & (c("effect") == c("measure")), "left")
+    return t.select("comparison", "test", "reason", r("p", 6).alias("p"), "alternative", r("p_alternative", 6).alias("p_alternative"), ((c("p") < 0.05) != (c("p_alternative") < 0.05)).alias("conclusion_changes"), "effect", r("value", 5).alias("value"))
 
 
 CHOOSE = f"""WITH {PERSONS}, f AS (SELECT CAST(count(DISTINCT grp) AS BIGINT) AS groups, abs(avg(pow((x - m) / s, 3))) AS skew FROM persons, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM persons)),
@@ -449,3 +589,5 @@ def _(spark, d):
 # the text of a table of tests is that of each test
 ORACLES["with_p_values"] = ORACLES["with_p_values"].format(**{k: ORACLES[k] for k in ("t_two_sample", "anova_one_way", "kruskal_wallis", "mann_whitney", "alexander_govern")})
 ORACLES["choose_test"] = CHOOSE.format(tests="tl AS ({levene_bf}), tp AS (SELECT 'anova' AS test, p FROM ({anova_one_way}) UNION ALL SELECT 'welch anova', p FROM ({welch_anova}) UNION ALL SELECT 'kruskal-wallis', p FROM ({kruskal_wallis}))".format(**{k: ORACLES[k] for k in ("levene_bf", "anova_one_way", "welch_anova", "kruskal_wallis")}))
+ORACLES["effect_sizes"] = f"{EFFECTS} SELECT measure, round(value, 5) AS value, {_LABEL} AS label FROM ef".format(**ORACLES)
+ORACLES["choose_test_rules"] = CHOSEN.replace("WITH t2", "WITH RECURSIVE t2", 1).format(**ORACLES)
