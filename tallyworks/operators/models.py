@@ -191,6 +191,73 @@ def correspondence(table: np.ndarray) -> dict:
     return {"inertia": d[keep] ** 2, "rows": u * d[keep] / np.sqrt(r)[:, None], "columns": v * d[keep] / np.sqrt(c)[:, None], "row_mass": r, "column_mass": c, "chi2": n * float((d**2).sum())}
 
 
+def leave_one_out(df: DataFrame, group: str, xs: list[str]) -> DataFrame:
+    """group, r (correlations of all pairs of xs, in order, without the group's rows), share (of the first component then).
+
+    Each group is its number of rows, sums and products about the whole mean; what is left without it are the totals less these.
+    """
+    p = len(xs)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    centre = df.agg(*[F.avg(x).alias(x) for x in xs]).first()
+    z = [F.col(x) - F.lit(float(centre[x])) for x in xs]
+    sums = df.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(v).alias(f"_s{i}") for i, v in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"_m{i}_{j}") for i, j in pairs])
+    names = ["_n", *[f"_s{i}" for i in range(p)], *[f"_m{i}_{j}" for i, j in pairs]]
+    total = np.array([float(v) for v in sums.agg(*[F.sum(k) for k in names]).first()])  # p (p + 3) / 2 + 1 numbers
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            left = total - b[names].to_numpy(float)
+            n, s = left[:, 0], left[:, 1:p + 1]
+            m = np.zeros((len(b), p, p))
+            for k, (i, j) in enumerate(pairs):
+                m[:, i, j] = m[:, j, i] = left[:, p + 1 + k]
+            cov = m - s[:, :, None] * s[:, None] / n[:, None, None]
+            sd = np.sqrt(np.einsum("bii->bi", cov))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cor = cov / (sd[:, :, None] * sd[:, None])
+            whole = np.isfinite(cor).all((1, 2))
+            top = np.full(len(b), np.nan)
+            top[whole] = np.linalg.eigvalsh(cor[whole])[:, -1] / p
+            r = [[None if np.isnan(c[i, j]) else float(c[i, j]) for i, j in pairs if i < j] for c in cor]
+            yield pd.DataFrame({group: b[group], "r": r, "share": [None if np.isnan(t) else float(t) for t in top]})
+
+    return sums.mapInPandas(run, f"{group} {kind}, r array<double>, share double")
+
+
+def correspondence_points(cells: DataFrame, axes: int = 2) -> DataFrame:
+    """label, side, mass, inertia, axis1 .., contribution1 .., quality, from a, b, n, row_n, col_n, total, expected of a contingency table.
+
+    Residuals are cells; their products are summed over the longer side, so that only a matrix of the shorter one's labels is
+    decomposed. The longer side's points are sums over its cells.
+    """
+    few_rows = cells.select("a").distinct().count() < cells.select("b").distinct().count()
+    own, other, own_n, other_n = ("b", "a", "col_n", "row_n") if few_rows else ("a", "b", "row_n", "col_n")
+    res = (F.col("n") - F.col("expected")) / F.sqrt(F.col("expected") * F.col("total"))
+    s = cells.filter("expected > 0").select(F.col(own).cast("string").alias("long"), F.col(other).cast("string").alias("short"), (F.col(own_n) / F.col("total")).alias("long_mass"), (F.col(other_n) / F.col("total")).alias("short_mass"), res.alias("s"))
+    left, right = s.select("long", F.col("short").alias("j"), F.col("s").alias("sj")), s.select(F.col("long").alias("l"), F.col("short").alias("k"), F.col("s").alias("sk"))
+    gram_ = left.join(right, F.col("long") == F.col("l")).groupBy("j", "k").agg(F.sum(F.col("sj") * F.col("sk")).alias("m")).collect()  # the shorter side's labels squared
+    labels = sorted({q["j"] for q in gram_})
+    m = np.zeros((len(labels), len(labels)))
+    at = {k: i for i, k in enumerate(labels)}
+    for q in gram_:
+        m[at[q["j"]], at[q["k"]]] = q["m"]
+    values, vectors = np.linalg.eigh(m)
+    values, vectors = values[::-1][:axes], signed(vectors[:, ::-1][:, :axes])
+    spark = cells.sparkSession
+    names = [f"v{k}" for k in range(1, axes + 1)]
+    v = spark.createDataFrame([(k, *[float(x) for x in vectors[i]]) for i, k in enumerate(labels)], "of string, " + ", ".join(f"{k} double" for k in names))
+    lam = [max(float(x), 0.0) for x in values]
+    sums = s.join(v, F.col("short") == F.col("of")).groupBy("long").agg(F.first("long_mass").alias("mass"), F.sum(F.col("s") * F.col("s")).alias("inertia"), *[F.sum(F.col("s") * F.col(k)).alias(k) for k in names])
+    points = sums.select(F.col("long").alias("label"), F.lit("row" if own == "a" else "column").alias("side"), "mass", "inertia", *[(F.col(k) / F.sqrt("mass")).alias(f"axis{i}") for i, k in enumerate(names, 1)])
+    short = s.groupBy("short").agg(F.first("short_mass").alias("mass"), F.sum(F.col("s") * F.col("s")).alias("inertia")).join(v, F.col("short") == F.col("of"))
+    points = points.union(short.select("short", F.lit("column" if own == "a" else "row"), "mass", "inertia", *[F.col(k) * F.lit(x**0.5) / F.sqrt("mass") for k, x in zip(names, lam, strict=True)]))
+    squares = [F.col("mass") * F.col(f"axis{i}") * F.col(f"axis{i}") for i in range(1, axes + 1)]
+    return points.select("*", *[(q / F.lit(x) if x > 0 else F.lit(0.0)).alias(f"contribution{i}") for i, (q, x) in enumerate(zip(squares, lam, strict=True), 1)], (sum(squares[1:], squares[0]) / F.nullif("inertia", F.lit(0.0))).alias("quality"))
+
+
 def two_way(cells: DataFrame, a: str, b: str) -> tuple[list[tuple[str, float, int]], bool]:
     """(effect, sum of squares, df) of type III and of type I in both orders, and whether a cell is empty.
 

@@ -106,12 +106,16 @@ def _(spark, d):
     return persons(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.ceil(1 + 3.322 * F.log10(F.count(F.lit(1)))).alias("k"))
 
 
-@query("histogram_density", f"WITH {PERSONS}, c(lo, hi) AS (VALUES (0, 20), (20, 100), (100, 250), (250, 600)) SELECT lo, hi, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (hi - lo), 6) AS height FROM persons JOIN c ON x >= lo AND x < hi GROUP BY lo, hi")
-def _(spark, d):
-    x = F.col("x")
-    lo = F.when(x < 20, 0).when(x < 100, 20).when(x < 250, 100).otherwise(250)
-    hi = F.when(x < 20, 20).when(x < 100, 100).when(x < 250, 250).otherwise(600)
-    return persons(spark, d).filter("x >= 0 AND x < 600").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.count(F.lit(1)).alias("n")).withColumn("height", r(F.col("n") / (F.col("hi") - F.col("lo")), 6))
+@query("histogram_density", f"WITH {PERSONS}, e AS (SELECT least(0, floor(min(x))) AS least, greatest(600, floor(max(x)) + 1) AS most FROM persons), c(lo, hi) AS (SELECT least, 0 FROM e WHERE least < 0 UNION ALL VALUES (0, 20), (20, 100), (100, 250), (250, 600) UNION ALL SELECT 600, most FROM e WHERE most > 600) SELECT CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (hi - lo), 6) AS height FROM persons JOIN c ON x >= lo AND x < hi GROUP BY lo, hi")
+def _(spark, d):
+    """Rows and density of uneven classes; the first and the last reach as far as the values do."""
+    p, cuts = persons(spark, d), [0, 20, 100, 250, 600]
+    ends = F.broadcast(p.agg(F.least(F.lit(0), F.floor(F.min("x"))).alias("least"), F.greatest(F.lit(600), F.floor(F.max("x")) + 1).alias("most")))
+    lo, hi = F.when(F.col("x") < 0, F.col("least")), F.when(F.col("x") < 0, 0)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        lo, hi = lo.when(F.col("x") < b, a), hi.when(F.col("x") < b, b)
+    t = p.crossJoin(ends).groupBy(lo.otherwise(600).cast("long").alias("lo"), hi.otherwise(F.col("most")).cast("long").alias("hi")).agg(F.count(F.lit(1)).alias("n"))
+    return t.withColumn("height", r(F.col("n") / (F.col("hi") - F.col("lo")), 6))
 
 
 @query("ogive_grouped_median", f"WITH {PERSONS}, t AS (SELECT floor(x / 50) * 50 AS low, count(*) AS n FROM persons GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY low ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS total FROM t) SELECT round(low + 50 * (total / 2.0::DOUBLE - (cum - n)) / n, 4) AS median FROM c WHERE cum >= total / 2.0 AND cum - n < total / 2.0")

@@ -225,17 +225,25 @@ def units(spark, d):
 UNITS_SQL = "u AS (SELECT stratum, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mean, avg(CASE WHEN status <> 'P' THEN 1.0::DOUBLE ELSE 0 END) AS active, avg(CASE WHEN age >= 65 THEN 1.0::DOUBLE ELSE 0 END) AS old FROM persons GROUP BY 1)"
 
 
-@query("leave_one_group_out", f"WITH {PERSONS}, {UNITS_SQL} SELECT a.stratum, round(corr(b.n, b.mean), 6) AS r FROM u a JOIN u b ON a.stratum <> b.stratum GROUP BY a.stratum")
+UNITS_ALL = "u AS (SELECT stratum, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mean, avg(CASE WHEN status <> 'P' THEN 1.0::DOUBLE ELSE 0 END) AS active, avg(CASE WHEN age >= 65 THEN 1.0::DOUBLE ELSE 0 END) AS old, avg(CASE WHEN grp = '1-URGENT' THEN 1.0::DOUBLE ELSE 0 END) AS urgent FROM persons GROUP BY 1)"
+UNIT_PAIRS = [(a, b) for i, a in enumerate(UNITS) for b in UNITS[i + 1:]]
+
+
+@query("leave_one_group_out", f"WITH {PERSONS}, {UNITS_ALL} " + " UNION ALL ".join(f"SELECT a.stratum AS stratum, '{x}' AS a, '{y}' AS b, round(corr(b.{x}, b.{y}), 6) AS r FROM u a JOIN u b ON a.stratum <> b.stratum GROUP BY a.stratum" for x, y in UNIT_PAIRS))
+def _(spark, d):
+    """Every correlation without each unit, from totals less the unit's own part."""
+    out = M.leave_one_out(units(spark, d), "stratum", UNITS)
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in UNIT_PAIRS])
+    return out.select("stratum", F.explode(F.arrays_zip(names.alias("pair"), "r")).alias("q")).select("stratum", "q.pair.a", "q.pair.b", r("q.r", 6).alias("r"))
+
+
+@query("leave_one_out_component")
 def _(spark, d):
-    """The correlation without each unit, from totals less the unit's own share."""
+    """The first component's share of the variance without each unit, and how far it is from that with all."""
     u = units(spark, d)
-    w = D.whole()
-    x, y = c("n") - F.avg("n").over(w), c("mean") - F.avg("mean").over(w)
-    u = u.withColumn("cx", x).withColumn("cy", y).withColumn("m", F.count(F.lit(1)).over(w) - 1)
-    left = lambda e: F.sum(e).over(w) - e
-    sx, sy, sxy, sxx, syy = (left(e) for e in (c("cx"), c("cy"), c("cx") * c("cy"), c("cx") * c("cx"), c("cy") * c("cy")))
-    m = c("m")
-    return u.select("stratum", r((m * sxy - sx * sy) / F.sqrt((m * sxx - sx * sx) * (m * syy - sy * sy)), 6).alias("r"))
+    values, *_ = M.pca(u, UNITS)
+    whole = float(values[0] / values.sum())
+    return M.leave_one_out(u, "stratum", UNITS).select("stratum", r("share", 6).alias("share"), r(c("share") - F.lit(whole), 6).alias("change"))
 
 
 @query("standardize_columns", f"WITH {PERSONS}, {UNITS_SQL}, s AS (SELECT avg(mean) AS m, stddev_samp(mean) AS sd, min(mean) AS lo, max(mean) AS hi, quantile_cont(mean, 0.5) AS med, quantile_cont(mean, 0.75) - quantile_cont(mean, 0.25) AS iqr FROM u) SELECT stratum, round((mean - m) / sd, 6) AS z, round((mean - lo) / (hi - lo), 6) AS minmax, round((mean - med) / iqr, 6) AS robust FROM u, s")
@@ -261,12 +269,14 @@ def _(spark, d):
 
 
 _MU = Q.Sweeps("g", "u", {k: k for k in UNITS}, count="rows").sweep(*UNITS)
-UNITS_ALL = "u AS (SELECT stratum, CAST(count(*) AS DOUBLE) AS n, avg(x) AS mean, avg(CASE WHEN status <> 'P' THEN 1.0::DOUBLE ELSE 0 END) AS active, avg(CASE WHEN age >= 65 THEN 1.0::DOUBLE ELSE 0 END) AS old, avg(CASE WHEN grp = '1-URGENT' THEN 1.0::DOUBLE ELSE 0 END) AS urgent FROM persons GROUP BY 1)"
+CUTOFF = P.chi2_ppf(0.975, len(UNITS))
 
 
-@query("mahalanobis", f"WITH {PERSONS}, {UNITS_ALL}, {_MU.text} SELECT stratum, round((k.rows - 1) * (" + " + ".join(f"-k.{_MU.at(a, b)} * (u.{a} - k.c{i}) * (u.{b} - k.c{j})" for i, a in enumerate(UNITS) for j, b in enumerate(UNITS)) + f"), 6) AS d2 FROM u, (SELECT * FROM {_MU.last}, g_c) k")
+@query("mahalanobis", f"WITH {PERSONS}, {UNITS_ALL}, {_MU.text}, m AS (SELECT stratum, (k.rows - 1) * (" + " + ".join(f"-k.{_MU.at(a, b)} * (u.{a} - k.c{i}) * (u.{b} - k.c{j})" for i, a in enumerate(UNITS) for j, b in enumerate(UNITS)) + f") AS d2 FROM u, (SELECT * FROM {_MU.last}, g_c) k) SELECT stratum, round(d2, 6) AS d2, round({CUTOFF!r}::DOUBLE, 6) AS cutoff, d2 > {CUTOFF!r} AS far, CAST(row_number() OVER (ORDER BY round(d2, 9) DESC, stratum) AS INTEGER) AS place FROM m")
 def _(spark, d):
-    return M.mahalanobis(units(spark, d), UNITS).select("stratum", r("d2", 6).alias("d2"))
+    """Squared distances, whether they are beyond the 97.5 % point of chi-square, and their order."""
+    t = M.mahalanobis(units(spark, d), UNITS)
+    return t.select("stratum", r("d2", 6).alias("d2"), r(F.lit(CUTOFF), 6).alias("cutoff"), (c("d2") > CUTOFF).alias("far"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("d2", 9)), "stratum")).alias("place"))
 
 
 @query("composite_index", f"WITH {PERSONS}, {UNITS_SQL}, z AS (SELECT stratum, ((mean - avg(mean) OVER ()) / stddev_samp(mean) OVER () + (active - avg(active) OVER ()) / stddev_samp(active) OVER ()) / 2 AS z, ((mean - min(mean) OVER ()) / (max(mean) OVER () - min(mean) OVER ()) + (active - min(active) OVER ()) / (max(active) OVER () - min(active) OVER ())) / 2 AS m FROM u) SELECT stratum, round(z, 6) AS z_mean, round(m, 6) AS minmax_mean, CAST(row_number() OVER (ORDER BY round(z, 9) DESC, stratum) - row_number() OVER (ORDER BY round(m, 9) DESC, stratum) AS INTEGER) AS moves FROM z")
@@ -279,14 +289,83 @@ def _(spark, d):
     return u.select("stratum", r("z", 6).alias("z_mean"), r("m", 6).alias("minmax_mean"), (place("z") - place("m")).alias("moves"))
 
 
+#: Indicators of an index, and whether more of one is better.
+SIGNS = {"mean": 1, "active": 1, "old": -1, "urgent": -1}
+_Z = "(({s}) * ({v} - avg({v}) OVER ()) / stddev_samp({v}) OVER ())"
+_MM = "(({s} * {v} - min({s} * {v}) OVER ()) / (max({s} * {v}) OVER () - min({s} * {v}) OVER ()))"
+_RK = "((row_number() OVER (ORDER BY round({s} * {v}, 12), stratum) - 1) / (count(*) OVER () - 1.0::DOUBLE))"
+_MEAN = lambda text: "(" + " + ".join(text.format(s=s, v=v) for v, s in SIGNS.items()) + f") / {len(SIGNS)}"
+VARIANTS = f"{UNITS_ALL}, x AS (SELECT stratum, {_MEAN(_Z)} AS z, {_MEAN(_MM)} AS minmax, {_MEAN(_RK)} AS ranks, exp({_MEAN('ln(' + _MM + ' * 0.98 + 0.01)')}) AS geometric, " + ", ".join(f"{_Z.format(s=s, v=v)} AS i_{v}" for v, s in SIGNS.items()) + " FROM u)"
+FORMS = ["z", "minmax", "ranks", "geometric"]
+
+
+def variants(spark, d):
+    """stratum, the index as a mean of z-scores, of ranges, of ranks and as a geometric mean of ranges, and the z-score of each indicator."""
+    w, one = D.whole(), Window.partitionBy(F.lit(0))  # result rows
+    z = lambda v, s: s * (c(v) - F.avg(v).over(w)) / F.stddev_samp(v).over(w)
+    mm = lambda v, s: (s * c(v) - F.min(s * c(v)).over(w)) / (F.max(s * c(v)).over(w) - F.min(s * c(v)).over(w))
+    rk = lambda v, s: (F.row_number().over(one.orderBy(F.round(s * c(v), 12), "stratum")) - 1) / (F.count(F.lit(1)).over(w) - 1.0)
+    mean = lambda f: sum((f(v, F.lit(s)) for v, s in SIGNS.items()), F.lit(0.0)) / len(SIGNS)
+    return units(spark, d).select("stratum", mean(z).alias("z"), mean(mm).alias("minmax"), mean(rk).alias("ranks"), F.exp(mean(lambda v, s: F.ln(mm(v, s) * 0.98 + 0.01))).alias("geometric"), *[z(v, F.lit(s)).alias(f"i_{v}") for v, s in SIGNS.items()])
+
+
+def _placed(t, names):
+    return t.withColumns({f"place_{k}": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(k, 9)), "stratum")) for k in names})
+
+
+_PLACED = f"p AS (SELECT *, " + ", ".join(f"row_number() OVER (ORDER BY round({k}, 9) DESC, stratum) AS place_{k}" for k in FORMS) + " FROM x)"
+
+
+@query("composite_variants", f"WITH {PERSONS}, {VARIANTS}, {_PLACED} SELECT stratum, " + ", ".join(f"round({k}, 6) AS {k}, CAST(place_{k} AS INTEGER) AS place_{k}" for k in FORMS) + " FROM p")
+def _(spark, d):
+    return _placed(variants(spark, d), FORMS).select("stratum", *[x for k in FORMS for x in (r(k, 6).alias(k), c(f"place_{k}"))])
+
+
+@query("composite_sensitivity", f"WITH {PERSONS}, {VARIANTS}, {_PLACED} " + " UNION ALL ".join(f"SELECT '{k}' AS variant, round(corr(place_z, place_{k}), 6) AS spearman, quantile_cont(abs(place_{k} - place_z)::DOUBLE, 0.5) AS median_move, CAST(max(abs(place_{k} - place_z)) AS INTEGER) AS largest_move, bool_or((place_{k} <= 5) <> (place_z <= 5)) AS top_changes FROM p" for k in FORMS[1:]))
+def _(spark, d):
+    """How far each form of the index moves the places that the mean of z-scores gives."""
+    t, out = _placed(variants(spark, d), FORMS), None
+    for k in FORMS[1:]:
+        move = F.abs(c(f"place_{k}") - c("place_z"))
+        one = t.agg(F.lit(k).alias("variant"), r(F.corr("place_z", f"place_{k}"), 6).alias("spearman"), F.percentile(move, 0.5).alias("median_move"), F.max(move).alias("largest_move"), F.bool_or((c(f"place_{k}") <= 5) != (c("place_z") <= 5)).alias("top_changes"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("composite_weights", f"WITH {PERSONS}, {VARIANTS}, w AS (" + " UNION ALL ".join(f"SELECT '{v}' AS indicator, corr(i_{v}, z) AS cor FROM x" for v in SIGNS) + f") SELECT indicator, round(1 / {len(SIGNS)}.0::DOUBLE, 6) AS nominal, round(cor, 6) AS correlation, round(cor * cor / sum(cor * cor) OVER (), 6) AS effective FROM w")
+def _(spark, d):
+    """The weight that each indicator has in effect: its squared correlation with the index, as a share."""
+    t = variants(spark, d)
+    w = t.agg(*[F.corr(f"i_{v}", "z").alias(v) for v in SIGNS]).unpivot([], list(SIGNS), "indicator", "cor")
+    return w.select("indicator", r(F.lit(1.0 / len(SIGNS)), 6).alias("nominal"), r("cor", 6).alias("correlation"), r(c("cor") * c("cor") / F.sum(c("cor") * c("cor")).over(D.whole()), 6).alias("effective"))
+
+
+@query("composite_first_component")
+def _(spark, d):
+    """The index as the first component of the oriented z-scores, and its places beside those of their mean."""
+    t, names = variants(spark, d), [f"i_{v}" for v in SIGNS]
+    _, vectors, centre, scale = M.pca(t, names)
+    sign = 1.0 if vectors[:, 0].sum() >= 0 else -1.0
+    t = _placed(M.scores(t, names, vectors[:, :1] * sign, centre, scale, 1), ["z", "pc1"])
+    return t.select("stratum", r("pc1", 6).alias("pc1"), c("place_pc1").alias("place"), (c("place_z") - c("place_pc1")).alias("moves"), r(F.corr("place_z", "place_pc1").over(D.whole()), 6).alias("spearman"))
+
+
+_CA = "t AS (SELECT stratum AS a, seg AS b, CAST(count(*) AS DOUBLE) AS n FROM persons GROUP BY ALL), g AS (SELECT a.a, b.b, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT a FROM t) a CROSS JOIN (SELECT DISTINCT b FROM t) b LEFT JOIN t ON t.a = a.a AND t.b = b.b), e AS (SELECT *, sum(n) OVER (PARTITION BY a) AS ra, sum(n) OVER (PARTITION BY b) AS cb, sum(n) OVER () AS nn FROM g), s AS (SELECT *, pow(n - ra * cb / nn, 2) / (ra * cb) AS s2 FROM e)"
+
+
 @query("correspondence_analysis")
 def _(spark, d):
-    """label, side, mass and coordinates on the first two axes; the inertia is chi2 / n."""
-    t = K.contingency(persons(spark, d), "stratum", "seg").select(c("a").cast("string").alias("a"), "b", "n").groupBy("a").pivot("b").agg(F.sum("n")).orderBy("a").toPandas()  # nations by segments
-    ca = M.correspondence(t.drop(columns="a").to_numpy(float))
-    rows = [(str(n), "row", float(w), float(p[0]), float(p[1])) for n, w, p in zip(t["a"], ca["row_mass"], ca["rows"], strict=True)]
-    rows += [(n, "column", float(w), float(p[0]), float(p[1])) for n, w, p in zip(t.columns[1:], ca["column_mass"], ca["columns"], strict=True)]
-    return spark.createDataFrame(rows, "label string, side string, mass double, axis1 double, axis2 double")
+    """Masses, inertias, coordinates, contributions to the first two axes and quality of both sides of nations by segments."""
+    return M.correspondence_points(K.contingency(persons(spark, d), "stratum", "seg"))
+
+
+@query("correspondence_inertias", f"WITH {PERSONS}, {_CA}, p AS (SELECT 'row' AS side, CAST(a AS VARCHAR) AS label, any_value(ra) / any_value(nn) AS mass, sum(s2) AS inertia FROM s GROUP BY a UNION ALL SELECT 'column', b, any_value(cb) / any_value(nn), sum(s2) FROM s GROUP BY b) SELECT side, label, round(mass, 8) AS mass, round(inertia, 8) AS inertia, round(inertia / sum(inertia) OVER (PARTITION BY side), 6) AS share, abs(sum(inertia) OVER (PARTITION BY side) - (SELECT sum(s2) FROM s)) < 1e-9 AS sums_to_chi2 FROM p")
+def _(spark, d):
+    """The inertia of every point; over either side it is chi-square over n."""
+    cells = K.contingency(persons(spark, d), "stratum", "seg")
+    points = M.correspondence_points(cells).crossJoin(F.broadcast(cells.agg((F.sum(F.pow(c("n") - c("expected"), 2) / c("expected")) / F.max("total")).alias("all"))))
+    side = F.sum("inertia").over(Window.partitionBy("side"))
+    return points.select("side", "label", r("mass", 8).alias("mass"), r("inertia", 8).alias("inertia"), r(c("inertia") / side, 6).alias("share"), (F.abs(side - c("all")) < 1e-9).alias("sums_to_chi2"))
 
 
 def two_way_sql(source: str, a: str, la: list[str], b: str, lb: list[str], x: str) -> tuple[str, dict[str, str]]:
@@ -363,6 +442,17 @@ def _(spark, d):
     return spark.createDataFrame(rows, "k int, cluster int, n long, inertia double")
 
 
+@query("kmeans_profile")
+def _(spark, d):
+    """cluster, n, component, mean, z: how far each cluster's mean of each component is from the whole, in standard deviations."""
+    v = _embedded(spark, d)
+    t = KMeans(k=4, seed=1, maxIter=20).fit(v).transform(v).join(table(spark, d, "embeddings").select(c("vec_id").alias("id"), "embedding"), c("vec_id") == c("id"))
+    t = t.select(c("prediction").alias("cluster"), F.posexplode(c("embedding").cast("array<double>")).alias("component", "x"))
+    whole = t.groupBy(c("component").alias("of")).agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
+    own = t.groupBy("cluster", "component").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    return own.join(whole, c("component") == c("of")).select("cluster", "n", "component", r("mean", 6).alias("mean"), r((c("mean") - c("m")) / F.nullif("sd", F.lit(0.0)), 6).alias("z"))
+
+
 @query("silhouette")
 def _(spark, d):
     v = _embedded(spark, d)
@@ -573,7 +663,12 @@ def _(spark, d):
 lz AS (SELECT sum(w) OVER (ORDER BY x) / CAST(sum(w) OVER () AS DOUBLE) AS p, sum(w * x) OVER (ORDER BY x) / sum(w * x) OVER () AS q FROM persons), rt AS (SELECT CAST(sum(w) FILTER (status = 'F') AS DOUBLE) / sum(w) AS e, CAST(sum(w) FILTER (status IN ('F', 'O')) AS DOUBLE) / sum(w) AS a, CAST(sum(w) FILTER (status = 'O') AS DOUBLE) / sum(w) FILTER (status IN ('F', 'O')) AS u FROM persons),
 rk AS (SELECT sum(r) AS r FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS r FROM persons)), ks AS (SELECT (SELECT sum(n) FROM (SELECT count(*) AS n FROM persons GROUP BY seg, grp)) AS n), gm AS (SELECT (SELECT sum(n * m) / sum(n) FROM (SELECT seg, count(*) AS n, avg(x) AS m FROM persons GROUP BY seg)) AS m)
 SELECT 'shares sum to one' AS check_name, abs(one - 1) < 1e-9 AS ok FROM s UNION ALL SELECT 'sums of squares add up', abs(ss_between + ss_within - tss) < 1e-6 * tss FROM an, tss UNION ALL SELECT 'Lorenz below the diagonal', bool_and(q <= p + 1e-9) FROM lz UNION ALL SELECT 'rates multiply', abs(e - a * (1 - u)) < 1e-9 FROM rt UNION ALL SELECT 'F is the ratio of mean squares', abs(f - ss_between / df1 / (ss_within / df2)) < 1e-4 FROM an
-UNION ALL SELECT 'ranks sum to n (n + 1) / 2', abs(r - (SELECT count(*) * (count(*) + 1) / 2.0::DOUBLE FROM persons)) < 1e-6 * r FROM rk UNION ALL SELECT 'cells sum to rows', n = (SELECT count(*) FROM persons) FROM ks UNION ALL SELECT 'mean of group means', abs(m - (SELECT avg(x) FROM persons)) < 1e-9 * abs(m) FROM gm UNION ALL SELECT 'eta squared between 0 and 1', eta2 BETWEEN 0 AND 1 FROM an""")
+UNION ALL SELECT 'ranks sum to n (n + 1) / 2', abs(r - (SELECT count(*) * (count(*) + 1) / 2.0::DOUBLE FROM persons)) < 1e-6 * r FROM rk UNION ALL SELECT 'cells sum to rows', n = (SELECT count(*) FROM persons) FROM ks UNION ALL SELECT 'mean of group means', abs(m - (SELECT avg(x) FROM persons)) < 1e-9 * abs(m) FROM gm UNION ALL SELECT 'eta squared between 0 and 1', eta2 BETWEEN 0 AND 1 FROM an
+UNION ALL SELECT 'Gini by Lorenz and by mean differences', abs(lorenz - ranks) < 1e-9 FROM (SELECT 1 - sum((cy + cy - y) / ty * w / tw) AS lorenz, sum(y * (2 * (cw - w) + w - tw)) / (any_value(tw) * any_value(ty)) AS ranks FROM (SELECT x, w, y, sum(w) OVER (ORDER BY x) AS cw, sum(y) OVER (ORDER BY x) AS cy, sum(w) OVER () AS tw, sum(y) OVER () AS ty FROM (SELECT x, sum(w) AS w, sum(w * x) AS y FROM persons GROUP BY x)))
+UNION ALL SELECT 'squared correlation is R2', abs(pow(corr(x, age), 2) - regr_r2(x, age)) < 1e-9 FROM persons
+UNION ALL SELECT 'deviations of ranks sum to zero', abs(sum(r - m)) < 1e-6 * count(*) FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS r, (count(*) OVER () + 1) / 2.0::DOUBLE AS m FROM persons)
+UNION ALL SELECT 'expected cells keep the margins', abs(sum(e) - max(total)) < 1e-6 * max(total) FROM (SELECT sum(n) OVER (PARTITION BY seg) * sum(n) OVER (PARTITION BY grp) / sum(n) OVER () AS e, sum(n) OVER () AS total FROM (SELECT seg, grp, CAST(count(*) AS DOUBLE) AS n FROM persons GROUP BY ALL))
+UNION ALL SELECT 'total variance is within plus between', abs(var_pop(x) - (SELECT sum(n * v) / sum(n) + sum(n * m * m) / sum(n) - pow(sum(n * m) / sum(n), 2) FROM (SELECT count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM persons GROUP BY seg))) < 1e-9 * var_pop(x) FROM persons""")
 def _(spark, d):
     """Rows (check_name, ok): arithmetic that any right set of result tables fulfils."""
     p = persons(spark, d)
@@ -589,6 +684,14 @@ def _(spark, d):
     rows = [("shares sum to one", shares), ("sums of squares add up", a.select(near(c("ss_between") + c("ss_within"), c("tss")).alias("ok"))), ("Lorenz below the diagonal", lorenz), ("rates multiply", rates),
             ("F is the ratio of mean squares", a.select(near(c("f"), c("ss_between") / c("df1") / (c("ss_within") / c("df2"))).alias("ok"))), ("ranks sum to n (n + 1) / 2", ranks), ("cells sum to rows", cells), ("mean of group means", means),
             ("eta squared between 0 and 1", a.select(c("eta2").between(0, 1).alias("ok")))]
+    s = O.prefix_sums(p, [], "x", {"k": c("w")})
+    gaps = s.agg((F.sum(c("k") * c("x") * (2 * c("k_before") + c("k") - c("k_all"))) / (F.max("k_all") * F.sum(c("k") * c("x")))).alias("g"))
+    rows.append(("Gini by Lorenz and by mean differences", O.gini(p, "x", "w").crossJoin(gaps).select(near(c("gini"), c("g")).alias("ok"))))
+    rows.append(("squared correlation is R2", p.agg(near(F.pow(F.corr("x", "age"), 2), F.regr_r2("x", "age")).alias("ok"))))
+    rows.append(("deviations of ranks sum to zero", O.average_ranks(p, "x").agg((F.abs(F.sum(c("n") * (c("rank") - (c("n_all") + 1) / 2))) < 1e-6 * F.max("n_all")).alias("ok"))))
+    rows.append(("expected cells keep the margins", K.contingency(p, "seg", "grp").agg(near(F.sum("expected"), F.max("total").cast("double")).alias("ok"))))
+    g = p.groupBy("seg").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).agg((F.sum(c("n") * c("v")) / F.sum("n") + F.sum(c("n") * c("m") * c("m")) / F.sum("n") - F.pow(F.sum(c("n") * c("m")) / F.sum("n"), 2)).alias("k"))
+    rows.append(("total variance is within plus between", p.agg(F.var_pop("x").alias("v")).crossJoin(g).select(near(c("v"), c("k")).alias("ok"))))
     out = None
     for name, df in rows:
         one = df.select(F.lit(name).alias("check_name"), "ok")
@@ -604,10 +707,28 @@ def _(spark, d):
     return a.join(b, c("seg") == c("g")).select("seg", r("m").alias("value"), (F.abs(c("m") - c("k")) <= 1e-9 * F.abs("m")).alias("agrees"))
 
 
-@query("recount_microdata", f"WITH {PERSONS} SELECT 'rows' AS magnitude, CAST(count(*) AS DOUBLE) AS value FROM persons UNION ALL SELECT 'weight', CAST(sum(w) AS DOUBLE) FROM persons UNION ALL SELECT 'mean', round(sum(w * x) / sum(w), 4) FROM persons UNION ALL SELECT 'positive', CAST(count(*) FILTER (p21 > 0) AS DOUBLE) FROM persons")
+RECOUNT = f"""WITH {PERSONS}, k AS (SELECT x, sum(w) AS w, sum(w * x) AS y FROM persons GROUP BY x), l AS (SELECT x, w, y, sum(w) OVER (ORDER BY x) AS cw, sum(y) OVER (ORDER BY x) AS cy, sum(w) OVER () AS tw, sum(y) OVER () AS ty FROM k),
+g AS (SELECT 1 - sum((cy + cy - y) / ty * w / tw) AS lorenz, sum(y * (2 * (cw - w) + w - tw)) / (any_value(tw) * any_value(ty)) AS ranks FROM l),
+s AS (SELECT seg, count(*) AS n, sum(w) AS w, sum(w * x) AS y, count(*) FILTER (p21 > 0) AS pos FROM persons GROUP BY seg),
+a AS (SELECT count(*) AS n, sum(w) AS w, sum(w * x) / sum(w) AS m, count(*) FILTER (p21 > 0) AS pos, sum(w) FILTER (status = 'O') / CAST(sum(w) FILTER (status <> 'P') AS DOUBLE) AS u, sum(w) FILTER (status <> 'P') / CAST(sum(w) AS DOUBLE) AS act, sum(w) FILTER (status = 'F') / CAST(sum(w) AS DOUBLE) AS emp FROM persons),
+q AS (SELECT 'rows' AS magnitude, CAST(n AS DOUBLE) AS value, CAST((SELECT sum(n) FROM s) AS DOUBLE) AS again FROM a UNION ALL SELECT 'weight', CAST(w AS DOUBLE), CAST((SELECT sum(w) FROM s) AS DOUBLE) FROM a UNION ALL SELECT 'mean', m, (SELECT sum(y) / sum(w) FROM s) FROM a UNION ALL SELECT 'positive', CAST(pos AS DOUBLE), CAST((SELECT sum(pos) FROM s) AS DOUBLE) FROM a
+  UNION ALL SELECT 'unemployment', u, 1 - emp / act FROM a UNION ALL SELECT 'gini', lorenz, ranks FROM g)
+SELECT magnitude, round(value, 4) AS value, round(again, 4) AS again, abs(value - again) <= 1e-9 * greatest(1, abs(value)) AS agrees FROM q"""
+
+
+@query("recount_microdata", RECOUNT)
 def _(spark, d):
-    a = persons(spark, d).agg(F.count(F.lit(1)).cast("double").alias("rows"), F.sum("w").cast("double").alias("weight"), r(F.sum(c("w") * c("x")) / F.sum("w")).alias("mean"), F.count_if(c("p21") > 0).cast("double").alias("positive"))
-    return a.unpivot([], a.columns, "magnitude", "value")
+    """Magnitudes counted from the rows and again by another way (from groups, from other rates, from mean differences), and whether both agree."""
+    p = persons(spark, d)
+    w = lambda *s: F.sum(F.when(c("status").isin(*s), c("w")))
+    a = p.agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("weight"), (F.sum(c("w") * c("x")) / F.sum("w")).alias("mean"), F.count_if(c("p21") > 0).alias("positive"), (w("O") / w("F", "O")).alias("unemployment"), (1 - (w("F") / F.sum("w")) / (w("F", "O") / F.sum("w"))).alias("unemployment_again"))
+    b = p.groupBy("seg").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(c("w") * c("x")).alias("y"), F.count_if(c("p21") > 0).alias("k")).agg(F.sum("n").alias("rows_again"), F.sum("w").alias("weight_again"), (F.sum("y") / F.sum("w")).alias("mean_again"), F.sum("k").alias("positive_again"))
+    s = O.prefix_sums(p, [], "x", {"k": c("w")})
+    mean_gap = s.agg((F.sum(c("k") * c("x") * (2 * c("k_before") + c("k") - c("k_all"))) / (F.max("k_all") * F.sum(c("k") * c("x")))).alias("gini_again"))
+    t = a.crossJoin(b).crossJoin(O.gini(p, "x", "w")).crossJoin(mean_gap)  # a row each
+    names = ["rows", "weight", "mean", "positive", "unemployment", "gini"]
+    t = t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("magnitude"), c(k).cast("double").alias("value"), c(k + "_again").cast("double").alias("again")) for k in names])).alias("q")).select("q.*")
+    return t.select("magnitude", r("value").alias("value"), r("again").alias("again"), (F.abs(c("value") - c("again")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("value"))).alias("agrees"))
 
 
 ORACLES["check_identities"] = ORACLES["check_identities"].format(anova_one_way=ORACLES["anova_one_way"])

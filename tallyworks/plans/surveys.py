@@ -168,13 +168,27 @@ def _(spark, d):
     return direct(spark, d).groupBy("pop").agg(r(1000 * F.min("rate")).alias("low"), r(1000 * F.max("rate")).alias("high"), r(F.max("rate") / F.min("rate"), 6).alias("ratio"), F.max_by("standard", F.struct(F.round("rate", 12), "standard")).alias("highest"))
 
 
-@query("kitagawa_decomposition", f"WITH {CELLS}, t AS (SELECT pop, grp, CAST(cases AS DOUBLE) / exposed AS m, CAST(exposed AS DOUBLE) / sum(exposed) OVER (PARTITION BY pop) AS c FROM cells) SELECT a.pop AS a, b.pop AS b, round(1000 * sum((a.c - b.c) * (a.m + b.m) / 2), 6) AS structure, round(1000 * sum((a.m - b.m) * (a.c + b.c) / 2), 6) AS rates, round(1000 * sum(a.c * a.m - b.c * b.m), 6) AS difference FROM t a JOIN t b ON a.grp = b.grp AND a.pop < b.pop WHERE a.pop < 5 GROUP BY ALL")
-def _(spark, d):
+PARTS = f"{CELLS}, t AS (SELECT pop, grp, CAST(cases AS DOUBLE) / exposed AS m, CAST(exposed AS DOUBLE) / sum(exposed) OVER (PARTITION BY pop) AS c FROM cells), k AS (SELECT a.pop AS a, b.pop AS b, a.grp AS grp, (a.c - b.c) * (a.m + b.m) / 2 AS s, (a.m - b.m) * (a.c + b.c) / 2 AS r, a.c * a.m - b.c * b.m AS d FROM t a JOIN t b ON a.grp = b.grp AND a.pop < b.pop)"
+
+
+def kitagawa(spark, d):
+    """a, b, grp, s, r, d: what structure and rates of a group add to the difference of each pair of populations, and the whole of it."""
     t = cells(spark, d).withColumn("m", F.col("cases") / F.col("exposed")).withColumn("c", F.col("exposed") / F.sum("exposed").over(Window.partitionBy("pop")))
     a, b = (t.select(F.col("pop").alias(k), F.col("grp").alias("g" + k), F.col("m").alias("m" + k), F.col("c").alias("c" + k)) for k in "ab")
-    j = a.filter("a < 5").join(b, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")))
     c = F.col
-    return j.groupBy("a", "b").agg(r(1000 * F.sum((c("ca") - c("cb")) * (c("ma") + c("mb")) / 2), 6).alias("structure"), r(1000 * F.sum((c("ma") - c("mb")) * (c("ca") + c("cb")) / 2), 6).alias("rates"), r(1000 * F.sum(c("ca") * c("ma") - c("cb") * c("mb")), 6).alias("difference"))
+    return a.join(b, (c("ga") == c("gb")) & (c("a") < c("b"))).select("a", "b", c("ga").alias("grp"), ((c("ca") - c("cb")) * (c("ma") + c("mb")) / 2).alias("s"), ((c("ma") - c("mb")) * (c("ca") + c("cb")) / 2).alias("r"), (c("ca") * c("ma") - c("cb") * c("mb")).alias("d"))
+
+
+@query("kitagawa_decomposition", f"WITH {PARTS} SELECT a, b, round(1000 * sum(s), 6) AS structure, round(1000 * sum(r), 6) AS rates, round(1000 * sum(d), 6) AS difference, abs(sum(s) + sum(r) - sum(d)) < 1e-12 AS adds_up FROM k GROUP BY ALL")
+def _(spark, d):
+    """The difference of every pair of populations by structure and rates, and whether the two add up to it."""
+    whole = [r(1000 * F.sum(k), 6).alias(n) for k, n in (("s", "structure"), ("r", "rates"), ("d", "difference"))]
+    return kitagawa(spark, d).groupBy("a", "b").agg(*whole, (F.abs(F.sum("s") + F.sum("r") - F.sum("d")) < 1e-12).alias("adds_up"))
+
+
+@query("kitagawa_by_group", f"WITH {PARTS} SELECT a, b, grp, round(1000 * s, 6) AS structure, round(1000 * r, 6) AS rates, round(1000 * d, 6) AS difference FROM k")
+def _(spark, d):
+    return kitagawa(spark, d).select("a", "b", "grp", *[r(1000 * F.col(k), 6).alias(n) for k, n in (("s", "structure"), ("r", "rates"), ("d", "difference"))])
 
 
 @query("overlap_flags", f"WITH {CELLS}, t AS (SELECT pop, rate, rate - 1.96::DOUBLE * sqrt(variance) AS lo, rate + 1.96::DOUBLE * sqrt(variance) AS hi FROM direct WHERE standard = 'young') SELECT pop, lo <= lead(hi) OVER w AND lead(lo) OVER w <= hi AS overlaps_next FROM t WINDOW w AS (ORDER BY rate DESC, pop)")
