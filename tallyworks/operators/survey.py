@@ -54,6 +54,11 @@ def srs_fixed_n(frame: DataFrame, unit: str, n: int, seed: str) -> DataFrame:
     return frame.orderBy(u, unit).limit(n)
 
 
+def likely(rows: Column, wanted: Column) -> Column:
+    """Whether a row's hash _u may be among the wanted smallest of so many rows: ten standard deviations more are let through."""
+    return F.col("_u") * rows <= wanted + 10 * F.sqrt(wanted) + 50
+
+
 def stratified_sample(frame: DataFrame, stratum: str, unit: str, sizes: DataFrame, seed: str) -> DataFrame:
     """sizes (stratum, n_h) units a stratum by smallest hash; pi = n_h / frame_n.
 
@@ -61,7 +66,7 @@ def stratified_sample(frame: DataFrame, stratum: str, unit: str, sizes: DataFram
     """
     s = sizes.select(F.col(stratum).alias("_h"), "n_h", "frame_n")
     f = frame.withColumn("_u", hash_uniform(seed, unit)).join(F.broadcast(s), F.col(stratum) == F.col("_h"))
-    few = f.filter(F.col("_u") * F.col("frame_n") <= F.col("n_h") + 10 * F.sqrt("n_h") + 50)
+    few = f.filter(likely(F.col("frame_n"), F.col("n_h")))
     r = F.row_number().over(Window.partitionBy(stratum).orderBy("_u", unit))
     return few.withColumn("_r", r).filter("_r <= n_h").withColumn("pi", F.col("n_h") / F.col("frame_n")).drop("_h", "_r", "_u")
 
@@ -76,14 +81,17 @@ def allocate(frame: DataFrame, stratum: str, n: int, size: Column | None = None,
 
 
 def two_stage_sample(frame: DataFrame, stratum: str, psu: str, unit: str, a: int, m: int, seed: str) -> DataFrame:
-    """a clusters a stratum, then m units a cluster; pi = (a / A)(m / M)."""
+    """a clusters a stratum, then m units a cluster; pi = (a / A)(m / M).
+
+    At both stages a threshold on the hash lets through a few more than asked for, and only these are ordered.
+    """
     c = frame.groupBy(stratum, psu).agg(F.count(F.lit(1)).alias("M"))
-    by_hash = Window.partitionBy(stratum).orderBy(hash_uniform(seed + "1", psu), psu)
-    c = c.withColumn("_r", F.row_number().over(by_hash)).withColumn("A", F.count(F.lit(1)).over(Window.partitionBy(stratum))).filter(F.col("_r") <= a)
+    c = c.join(c.groupBy(F.col(stratum).alias("_g")).agg(F.count(F.lit(1)).alias("A")), F.col(stratum) == F.col("_g")).withColumn("_u", hash_uniform(seed + "1", psu)).filter(likely(F.col("A"), F.lit(a)))
+    c = c.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_u", psu))).filter(F.col("_r") <= a)
     c = c.select(F.col(stratum).alias("_h"), F.col(psu).alias("_c"), "M", "A")
-    u = frame.join(F.broadcast(c), (F.col(stratum) == F.col("_h")) & (F.col(psu) == F.col("_c")))
-    r = F.row_number().over(Window.partitionBy(stratum, psu).orderBy(hash_uniform(seed + "2", unit), unit))
-    return u.withColumn("_r", r).filter(F.col("_r") <= m).withColumn("pi", F.least(F.lit(a), F.col("A")) / F.col("A") * F.least(F.lit(m), F.col("M")) / F.col("M")).drop("_h", "_c", "_r", "A", "M")
+    u = frame.join(F.broadcast(c), (F.col(stratum) == F.col("_h")) & (F.col(psu) == F.col("_c"))).withColumn("_u", hash_uniform(seed + "2", unit)).filter(likely(F.col("M"), F.lit(m)))
+    r = F.row_number().over(Window.partitionBy(stratum, psu).orderBy("_u", unit))
+    return u.withColumn("_r", r).filter(F.col("_r") <= m).withColumn("pi", F.least(F.lit(a), F.col("A")) / F.col("A") * F.least(F.lit(m), F.col("M")) / F.col("M")).drop("_h", "_c", "_r", "_u", "A", "M")
 
 
 def adjust_by_cell(df: DataFrame, cell: str, weight: str, answered: Column) -> DataFrame:

@@ -416,9 +416,10 @@ def _(spark, d):
     f = frame(spark, d)
     true = F.broadcast(f.agg(F.avg("y").alias("true")))
     c = f.groupBy("stratum", "psu").agg(F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(100))))
-    pick = Window.partitionBy("rep", "stratum").orderBy(hash_uniform("plan", "rep", "stratum", "psu"), "psu")
-    s = c.withColumn("k", F.row_number().over(pick)).filter("k <= 6")
+    a = c.groupBy(F.col("stratum").alias("h")).agg(F.count(F.lit(1)).alias("a"))
+    c = c.join(F.broadcast(a), F.col("stratum") == F.col("h")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("_u", hash_uniform("plan", "rep", "stratum", "psu"))
+    pick = Window.partitionBy("rep", "stratum").orderBy("_u", "psu")
+    s = c.filter(V.likely(F.col("a"), F.lit(6))).withColumn("k", F.row_number().over(pick)).filter("k <= 6").drop("h", "a", "_u")
     mean = s.groupBy("rep").agg(F.sum("y").alias("sy"), F.sum("n").alias("sn"), F.sum("yy").alias("syy")).withColumn("m", F.col("sy") / F.col("sn"))
     z = s.select("rep", "stratum", F.col("y").alias("cy"), F.col("n").alias("cn")).join(mean.withColumnRenamed("rep", "q"), F.col("rep") == F.col("q")).withColumn("z", F.col("cy") - F.col("m") * F.col("cn"))
     h = z.groupBy("rep", "stratum", "m", "sn", "syy", "sy").agg(F.count(F.lit(1)).alias("a"), F.sum("z").alias("sz"), F.sum(F.col("z") * F.col("z")).alias("szz"))
