@@ -46,6 +46,8 @@ WINDOW = 6
 GOVERNED = re.compile(r"\b(?:" + "|".join(sorted(REPORTING)) + r")\b(?:[^\S\n]+[^\W_]+){0,%d}?(?:[^\S\n]*:|[^\S\n]*,?[^\S\n]+(?:that|que|qu'|dass)(?!\w))([^.!?\n]*)" % (WINDOW - 1))
 KINDS = ("exact", "stem", "near_short", "near_long")
 CACHE_WORDS = 400_000
+#: Letters of a stem at most: more than any word's stem has, so that a run of letters without end is not cut at every one of them.
+LONGEST = 64
 #: Hits of a kind of misspelling that count as much as what is known of the words themselves.
 SHRINK = 20
 #: The share of a word's contexts in toxic documents that makes it a term; below it, a word met in clean ones is no misspelling.
@@ -237,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, min_co
     seen = train.mapInPandas(contexts, "word string, context long, toxic int, doc long").groupBy("word", "context", "toxic").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     words = cut(seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc"))).alias("d"), F.sum(F.col("toxic") * F.col("n")).alias("n")))
     fit = lambda share: (F.col("t") >= min_contexts) & (F.col("t") >= share * (F.col("t") + F.col("c")))
-    stems = (words.withColumn("stem", F.explode(F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda n: n < F.length("word")), lambda n: F.substr("word", F.lit(1), n))))
+    stems = (words.withColumn("stem", F.explode(F.transform(F.filter(F.sequence(F.lit(4), F.lit(LONGEST)), lambda n: n < F.length("word")), lambda n: F.substr("word", F.lit(1), n))))
              .groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("n"))
              .filter(fit(0.995) & (F.col("t") > min_contexts) & (F.col("n") >= 3)))
     found = {r["stem"]: r["t"] for r in stems.select("stem", "t").collect()}  # of the labelled documents, at most max_labelled
