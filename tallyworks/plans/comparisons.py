@@ -465,11 +465,11 @@ def effects(spark, d):
     """measure, value: effects of two groups (d, g, r), of all groups (eta2, omega2, epsilon2) and of two labels (v)."""
     p = persons(spark, d)
     n = p.filter(c("grp").isin(*AB)).agg(F.count("x").alias("n"))
-    parts = [K.t_test(two(spark, d)).select("d", "g"), K.mann_whitney(p, "x", "grp", *AB).crossJoin(n).select(F.least(F.lit(1.0), F.abs("z") / F.sqrt("n")).alias("r")), K.anova(p, "x", "grp").select("eta2", "omega2"),
+    parts = [K.t_test(two(spark, d)).select("d", "g"), K.mann_whitney(p, "x", "grp", *AB).crossJoin(n).select(F.least(F.lit(1.0), F.abs(F.round("z", 6)) / F.sqrt("n")).alias("r")), K.anova(p, "x", "grp").select("eta2", "omega2"),
              K.kruskal_wallis(p, "x", "grp").select("epsilon2"), K.chi2_independence(K.contingency(p, "seg", "grp")).select(c("cramer_v").alias("v"))]
     out = None
     for t in parts:
-        one = t.unpivot([], t.columns, "measure", "value")
+        one = t.select(*[F.round(k, 6).alias(k) if k != "r" else c(k) for k in t.columns]).unpivot([], t.columns, "measure", "value")  # to the digits of the tests' own tables
         out = one if out is None else out.union(one)
     return out
 
@@ -481,7 +481,7 @@ ef AS (SELECT 'd' AS measure, d AS value FROM t2 UNION ALL SELECT 'g', g FROM t2
 
 @query("effect_sizes")
 def _(spark, d):
-    return effects(spark, d).select("measure", r("value", 5).alias("value"), label(c("measure"), F.round("value", 6)).alias("label"))
+    return effects(spark, d).select("measure", r("value", 5).alias("value"), label(c("measure"), c("value")).alias("label"))
 
 
 # the choice of a test, as a table of rules: an empty cell holds for any case, the first rule that fits decides
