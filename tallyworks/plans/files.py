@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import distributions as P
+from ..operators import rates as T
 from ..sources import readers as R
 from ..sources import sinks as W
 from .registry import DIRTY, PERSONS, dirty, persons, query, r, table
@@ -93,15 +93,12 @@ POISSON = Q.bisected("lo", "k", ["pop"], Q.gamma_upper("greatest(cases, 1)", "q"
 def _(spark, d):
     """pop, cases and the exact interval of a count."""
     t = cells(spark, d).groupBy("pop").agg(F.sum("cases").alias("cases"))
-    low, high = F.udf(lambda k: P.gamma_ppf(0.025, float(k)) if k else 0.0, "double"), F.udf(lambda k: P.gamma_ppf(0.975, float(k + 1)), "double")
-    return t.select("pop", "cases", r(low("cases")).alias("low"), r(high("cases")).alias("high"))
+    low, high = T.poisson_interval(c("cases"))
+    return t.select("pop", "cases", r(low).alias("low"), r(high).alias("high"))
 
 
 def _fay_feuer(spark, d):
-    t = direct(spark, d).filter("standard = 'young'").withColumn("w", c("top") / 15.0)
-    low = F.udf(lambda y, v: P.gamma_ppf(0.025, y * y / v) * v / y if y > 0 else 0.0, "double")
-    high = F.udf(lambda y, v, w: P.gamma_ppf(0.975, (y + w) ** 2 / (v + w * w)) * (v + w * w) / (y + w), "double")
-    return t.select("pop", "rate", low("rate", "variance").alias("low"), high("rate", "variance", "w").alias("high"))
+    return T.with_gamma_interval(direct(spark, d).filter("standard = 'young'")).select("pop", "rate", "low", "high")
 
 
 FAY = f"""{CELLS}, fy AS (SELECT pop, rate AS y, variance AS v, top / 15.0::DOUBLE AS w FROM direct WHERE standard = 'young'), fk AS (SELECT pop, y, v, w, greatest(y * y / v, 1e-9) AS a, (y + w) * (y + w) / (v + w * w) AS b FROM fy WHERE v > 0),
@@ -117,7 +114,4 @@ def _(spark, d):
 @query("rate_ratio_ci", f"WITH RECURSIVE {FAY}, s AS (SELECT pop, rate, (ln(high) - ln(low)) / (2 * 1.959963984540054) AS s FROM fay), j AS (SELECT a.pop AS a, b.pop AS b, a.rate / b.rate AS q, sqrt(a.s * a.s + b.s * b.s) AS s FROM s a JOIN s b ON a.pop < b.pop) SELECT a, b, round(q, 6) AS ratio, round(q * exp(-1.959963984540054 * s), 6) AS low, round(q * exp(1.959963984540054 * s), 6) AS high FROM j")
 def _(spark, d):
     """Ratio of two adjusted rates with an interval on the log scale, from the widths of both intervals; every pair of populations, a row per nation on each side."""
-    t = _fay_feuer(spark, d).withColumn("s", (F.ln("high") - F.ln("low")) / (2 * 1.959963984540054))
-    a, b = (t.select(c("pop").alias(k), c("rate").alias("r" + k), c("s").alias("s" + k)) for k in "ab")
-    j = a.join(F.broadcast(b), c("a") < c("b")).withColumn("s", F.sqrt(c("sa") * c("sa") + c("sb") * c("sb"))).withColumn("q", F.try_divide("ra", "rb"))
-    return j.select("a", "b", r("q", 6).alias("ratio"), r(c("q") * F.exp(-1.959963984540054 * c("s")), 6).alias("low"), r(c("q") * F.exp(1.959963984540054 * c("s")), 6).alias("high"))
+    return T.rate_ratios(_fay_feuer(spark, d)).select("a", "b", *[r(k, 6).alias(k) for k in ("ratio", "low", "high")])

@@ -14,6 +14,7 @@ from ..functions.scalars import hash_uniform
 from ..operators import compare as K
 from ..operators import describe as D
 from ..operators import models as M
+from ..operators import normality as N
 from ..functions import distributions as P
 from ..operators import order as O
 from ..operators import resample as B
@@ -606,55 +607,10 @@ def _(spark, d):
     return t.agg(r(F.first("seen"), 6).alias("seen"), F.count(F.lit(1)).alias("replicates"), ((F.count_if(F.abs("t") >= F.abs("seen")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
-def royston_p(w: float, n: int) -> float:
-    """The upper tail of the transformed statistic; fixed values are those of the published approximation."""
-    if n == 3:
-        return max(0.0, 6 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75))))
-    if w >= 1:
-        return 1.0
-    if n <= 11:
-        y = -np.log(-2.273 + 0.459 * n - np.log(1 - w))
-        mean, sd = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n), np.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
-    else:
-        y, u = np.log(1 - w), np.log(n)
-        mean, sd = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], u), np.exp(np.polyval([0.0030302, -0.082676, -0.4803], u))
-    return float(P.norm_cdf(-(y - mean) / sd))
-
-
 @query("shapiro_wilk_by_group")
 def _(spark, d):
     """w and p by group on at most 5,000 rows of the smallest hash: Royston's weights and his normalising transformation."""
-    import pandas as pd
-
-    p = persons(spark, d).select("grp", "x", "id", hash_uniform("sw", "id").alias("u"))
-    n = p.groupBy(c("grp").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    # a little more than 5,000 by threshold, then the first of those: no group is ordered whole
-    few = p.join(F.broadcast(n), c("grp") == c("g")).filter(c("u") * c("n") <= 5000 + 10 * F.sqrt(F.lit(5000.0)))
-    capped = few.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("u", "id"))).filter("k <= 5000").select("grp", "x")
-
-    def w(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(g["x"].to_numpy())
-        n = len(x)
-        if n < 3 or x[0] == x[-1]:
-            return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [None], "p": [None], "verdict": ["too few" if n < 3 else "no variation"]})
-        m = np.array([P.norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        u = 1 / np.sqrt(n)
-        mm = float(m @ m)
-        cc = m / np.sqrt(mm)
-        a = np.empty(n)
-        last = cc[-1] + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
-        if n <= 5:
-            a[1:-1] = m[1:-1] / np.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * last**2))
-        else:
-            second = cc[-2] + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
-            a[2:-2] = m[2:-2] / np.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
-            a[-2], a[1] = second, -second
-        a[-1], a[0] = last, -last
-        stat = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
-        p = royston_p(min(stat, 1.0), n)
-        return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [stat], "p": [p], "verdict": ["not normal" if p < 0.05 else "normal"]})
-
-    return capped.groupBy("grp").applyInPandas(w, "grp string, n long, w double, p double, verdict string")
+    return N.shapiro_wilk(persons(spark, d), "x", "grp", "id")
 
 
 # checks of results

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import describe as D
 from ..operators import order as O
+from ..operators import rates as T
 from ..operators import survey as V
 from .registry import PERSONS, persons, query, r, rounded, table
 
@@ -86,10 +87,8 @@ def standards(spark, d):
 
 
 def direct(spark, d):
-    """standard, pop, rate, variance, top, crude: rates under each standard structure."""
-    c = cells(spark, d).join(F.broadcast(standards(spark, d).withColumnRenamed("grp", "g")), F.col("grp") == F.col("g"))  # standards by groups
-    w, n, k = F.col("weight"), F.col("exposed"), F.col("cases")
-    return c.groupBy("standard", "pop").agg((F.sum(w * k / n) / F.sum(w)).alias("rate"), (F.sum(w * w * k / (n.cast("double") * n)) / (F.sum(w) * F.sum(w))).alias("variance"), F.max(w / n).alias("top"), (F.sum(k) / F.sum(n)).alias("crude"))
+    """Rates under each standard structure, as rates.direct gives them."""
+    return T.direct(cells(spark, d), standards(spark, d))
 
 
 def place(col: str, by: str | None = None):
@@ -124,18 +123,13 @@ INDIRECT = f"{CELLS}, ref AS (SELECT grp, CAST(sum(cases) AS DOUBLE) / sum(expos
 
 @query("join_reference_rates", f"WITH {INDIRECT} SELECT pop, grp, cases, round(exposed * m, 6) AS expected FROM cells JOIN ref USING (grp)")
 def _(spark, d):
-    c = cells(spark, d)
-    ref = c.groupBy(F.col("grp").alias("g")).agg((F.sum("cases") / F.sum("exposed")).alias("m"))
-    return c.join(F.broadcast(ref), F.col("grp") == F.col("g")).select("pop", "grp", "cases", r(F.col("exposed") * F.col("m"), 6).alias("expected"))  # a row a group
+    return T.expected(cells(spark, d)).select("pop", "grp", "cases", r("expected", 6).alias("expected"))
 
 
 @query("indirect_standardization", f"WITH {INDIRECT}, e AS (SELECT pop, CAST(sum(cases) AS BIGINT) AS observed, sum(exposed * m) AS expected FROM cells JOIN ref USING (grp) GROUP BY pop) SELECT pop, observed, round(expected, 4) AS expected, round(observed / expected, 6) AS ratio, round(1000 * observed / expected * (SELECT CAST(sum(cases) AS DOUBLE) / sum(exposed) FROM cells), 4) AS rate, CAST(row_number() OVER (ORDER BY round(observed / expected, 12) DESC, pop) AS INTEGER) AS place FROM e")
 def _(spark, d):
-    c = cells(spark, d)
-    ref = c.groupBy(F.col("grp").alias("g")).agg((F.sum("cases") / F.sum("exposed")).alias("m"))
-    all_ = F.broadcast(c.agg((F.sum("cases") / F.sum("exposed")).alias("all")))
-    e = c.join(F.broadcast(ref), F.col("grp") == F.col("g")).groupBy("pop").agg(F.sum("cases").alias("observed"), F.sum(F.col("exposed") * F.col("m")).alias("expected")).crossJoin(all_).withColumn("ratio", F.col("observed") / F.col("expected"))
-    return e.select("pop", "observed", r("expected").alias("expected"), r("ratio", 6).alias("ratio"), r(1000 * F.col("ratio") * F.col("all")).alias("rate"), place("ratio").alias("place"))
+    e = T.indirect(cells(spark, d))
+    return e.select("pop", "observed", r("expected").alias("expected"), r("ratio", 6).alias("ratio"), r(1000 * F.col("rate")).alias("rate"), place("ratio").alias("place"))
 
 
 @query("by_standard", f"WITH {CELLS} SELECT standard, pop, round(1000 * rate, 4) AS rate FROM direct")
@@ -172,11 +166,7 @@ PARTS = f"{CELLS}, t AS (SELECT pop, grp, CAST(cases AS DOUBLE) / exposed AS m,
 
 
 def kitagawa(spark, d):
-    """a, b, grp, s, r, d: what structure and rates of a group add to the difference of each pair of populations, and the whole of it."""
-    t = cells(spark, d).withColumn("m", F.col("cases") / F.col("exposed")).withColumn("c", F.col("exposed") / F.sum("exposed").over(Window.partitionBy("pop")))
-    a, b = (t.select(F.col("pop").alias(k), F.col("grp").alias("g" + k), F.col("m").alias("m" + k), F.col("c").alias("c" + k)) for k in "ab")
-    c = F.col
-    return a.join(b, (c("ga") == c("gb")) & (c("a") < c("b"))).select("a", "b", c("ga").alias("grp"), ((c("ca") - c("cb")) * (c("ma") + c("mb")) / 2).alias("s"), ((c("ma") - c("mb")) * (c("ca") + c("cb")) / 2).alias("r"), (c("ca") * c("ma") - c("cb") * c("mb")).alias("d"))
+    return T.kitagawa(cells(spark, d))
 
 
 @query("kitagawa_decomposition", f"WITH {PARTS} SELECT a, b, round(1000 * sum(s), 6) AS structure, round(1000 * sum(r), 6) AS rates, round(1000 * sum(d), 6) AS difference, abs(sum(s) + sum(r) - sum(d)) < 1e-12 AS adds_up FROM k GROUP BY ALL")

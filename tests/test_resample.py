@@ -12,7 +12,7 @@ from tallyworks.functions import distributions as P
 from tallyworks.operators import models as M
 from tallyworks.operators import resample as B
 from tallyworks.operators.survey import poisson_edges
-from tallyworks.plans.modelling import royston_p
+from tallyworks.operators.normality import royston_p
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
