@@ -7,9 +7,11 @@ the centre of the ball. Variants are shuffled by value; in a partition, centres
 are candidates, verified by the full distance. For radius 3 that is 66 rows a fingerprint; the ball
 of radius 2 around all 64 bits would be 2,081.
 
-Exact copies are one fingerprint before anything is emitted, however many there are. Where many
-fingerprints meet on one value, their links are found in blocks of vectors and leave the task as a spanning forest: fewer links than
-fingerprints, never all pairs.
+Exact copies are one fingerprint before anything is emitted, however many there are. Where more than CROWD
+fingerprints would meet on one value, they do not meet there: they are dealt again by a ball on the 16-bit quarters of the other half,
+one of which two fingerprints within the radius share up to half of it. Of a centre 48 bits are then fixed, so on no value
+more than 65,536 centres meet, whatever the corpus. Links are found in blocks of vectors and leave the task as a spanning
+forest: fewer links than fingerprints, never all pairs.
 
 Nulls and short texts: no word gives fingerprint zero, which links like any other; fewer words than a shingle
 make one shingle. A null doc_id has a fingerprint but no links, and a null component. Repeated rows all come
@@ -26,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import components
 
 UPPER = bytes(range(65, 91))
 FOLD = bytes.maketrans(UPPER, UPPER.lower())
 #: Fingerprints that meet on one value and are compared directly; above, blocks of this size are compared.
 BLOCK = 2048
+#: Fingerprints of one half's value and those around it from which on they are dealt by quarters of the other half.
+CROWD = 16_384
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -65,11 +69,11 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, extra: list[str
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInPandas(run, "doc_id long, fp long" + "".join(f", {c} long" for c in extra))
 
 
-def _flips(radius: int) -> np.ndarray:
-    """XOR masks of a 32-bit half with 1 to radius bits."""
+def _flips(radius: int, bits: int = 32) -> np.ndarray:
+    """XOR masks of so many bits, 1 to radius of them set."""
     masks, last = [], [(0, 0)]
     for _ in range(radius):
-        last = [(m | 1 << i, i + 1) for m, at in last for i in range(at, 32)]
+        last = [(m | 1 << i, i + 1) for m, at in last for i in range(at, bits)]
         masks += [m for m, _ in last]
     return np.array(masks, np.uint64)
 
@@ -91,6 +95,40 @@ def _emit(radius: int):
     return run
 
 
+def crowded(own: DataFrame, radius: int, crowd: int) -> DataFrame:
+    """key: values of a half (its number above) that, with those within half the radius around, more than crowd fingerprints have.
+
+    A value is around 1 + 32 others at radius 3, so only values of more than crowd / 33 fingerprints can add up to that where they
+    count: those are few (33 n / crowd at most), and each names its neighbours. Values left out add less than crowd in all.
+    """
+    flips = [0, *_flips(radius // 2).tolist()]
+    halves = own.select(F.explode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))).alias("value"))
+    many = halves.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd // len(flips))
+    around = many.select("n", F.explode(F.array(*[F.col("value").bitwiseXOR(F.lit(m)) for m in flips])).alias("key"))
+    return around.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > crowd).select("key")
+
+
+def _again(radius: int):
+    """Rows of crowded keys, dealt by the quarters of the other half: a key of its own for each value within half the radius."""
+    flips = _flips(radius // 2, 16)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 4096):
+                key = b["key"].to_numpy(np.int64)[i:i + 4096].view(np.uint64)
+                fp = b["fp"].to_numpy(np.int64)[i:i + 4096].view(np.uint64)
+                centre = b["centre"].to_numpy(bool)[i:i + 4096]
+                other = np.where(key >> np.uint64(32) & np.uint64(1), fp, fp >> np.uint64(32))
+                for quarter in (0, 1):
+                    value = other >> np.uint64(16 * quarter) & np.uint64(0xFFFF)
+                    # the key before, the quarter's number and its value; bit 62 tells such keys from those of a half
+                    deal = lambda k, v: np.uint64(1 << 62) | k << np.uint64(17) | np.uint64(quarter << 16) | v  # noqa: B023, E731
+                    keys = np.concatenate([deal(key, value), deal(key[:, None], value[:, None] ^ flips).ravel()])
+                    whose = np.concatenate([fp, np.repeat(fp, len(flips))])
+                    yield pd.DataFrame({"key": keys.view(np.int64), "fp": whose.view(np.int64), "centre": np.r_[centre, np.zeros(len(keys) - len(fp), bool)]})
+    return run
+
+
 def _forest(centres: np.ndarray, around: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect whatever is within radius between centres and (centres and around), as a spanning forest."""
     every = np.concatenate([centres, around])
@@ -141,9 +179,15 @@ def _verify(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
     """Links (fa, fb) between distinct fingerprints (column fp) that connect all within radius."""
-    variants = fps.select("fp").mapInPandas(_emit(radius), "key long, fp long, centre boolean")
+    fields = "key long, fp long, centre boolean"
+    variants = fps.select("fp").mapInPandas(_emit(radius), fields)
+    hot = cut(crowded(fps, radius, crowd))
+    if not hot.isEmpty():
+        hot = small(hot.select(F.col("key").alias("k")))
+        at = F.col("key") == F.col("k")
+        variants = variants.join(hot, at, "left_anti").unionByName(variants.join(hot, at, "left_semi").mapInPandas(_again(radius), fields))
     # even values meet in ranges of a hash; a partition is sorted by Spark, which spills
     return variants.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(_verify(radius), "fa long, fb long")
 

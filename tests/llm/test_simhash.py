@@ -57,6 +57,58 @@ def test_empty(spark):
     assert simhash.near_duplicates(df).count() == 0 and simhash.without_near_duplicates(df).count() == 0
 
 
+@pytest.mark.parametrize("radius", [2, 3])
+def test_crowded_values_are_dealt_again_and_lose_no_link(spark, radius):
+    """A third of all fingerprints share one half: with a small crowd they meet by quarters, and components stay those of all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    shared = [(0xABCD1234 << 32) | int(x) for x in rng.integers(0, 2**32, 300)]
+    low = [0x0F0F0F0F | int(x) << 32 for x in rng.integers(0, 2**32, 200)]
+    free = [int(x) for x in rng.integers(0, 2**62, 300)]
+    near = []
+    for f in [*shared[:120], *low[:60], *free[:60]]:
+        for bits in (1, 2, 3, 4):
+            at = rng.choice(64, bits, replace=False)
+            near.append(f ^ sum(1 << int(i) for i in at))
+    fps = sorted({*shared, *low, *free, *near})
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    hot = {r.key for r in simhash.crowded(df, radius, 40).collect()}
+    assert (1 << 32 | 0xABCD1234) in hot and 0x0F0F0F0F in hot
+
+    def roots(links):
+        root = {f: f for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+        for a, b in links:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {f: find(f) for f in fps}
+
+    a = np.array(fps, np.uint64)
+    pairs = np.argwhere(np.bitwise_count(a[:, None] ^ a[None]) <= radius)
+    want = roots([(fps[i], fps[j]) for i, j in pairs if i < j])
+    got = [(r.fa & (2**64 - 1), r.fb & (2**64 - 1)) for r in simhash.near_links(df, radius, crowd=40).collect()]
+    assert all((x ^ y).bit_count() <= radius for x, y in got)
+    assert roots(got) == want and len(set(want.values())) < len(fps)
+
+
+def test_no_key_is_met_by_more_than_its_last_quarter_allows(spark):
+    """40,000 fingerprints of one half: no key gathers more than a twentieth of them."""
+    import numpy as np
+
+    fps = np.unique(np.random.default_rng(1).integers(0, 2**31, 40_000)) | (77 << 32)
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    assert [r.key for r in simhash.crowded(df, 3, 16_384).filter("key >= 4294967296").collect()].count(77 | 1 << 32) == 1
+    rows = df.mapInPandas(simhash._emit(3), "key long, fp long, centre boolean").filter(f"key = {77 | 1 << 32}")
+    dealt = rows.mapInPandas(simhash._again(3), "key long, fp long, centre boolean").groupBy("key").count()
+    assert dealt.agg(F.max("count")).first()[0] < len(fps) / 20
+
+
 def test_forest_connects_a_large_block():
     import numpy as np
 
