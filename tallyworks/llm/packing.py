@@ -250,7 +250,7 @@ def _search(loose: DataFrame, capacity: int, islands: int, epochs: int, seed: in
 
 def _place(loose: DataFrame, best: DataFrame) -> DataFrame:
     """The pieces with the number of their bin, their place in it, and what the bin holds."""
-    out = "shard long, bin long, offset long, filled long, length long, doc_id long, piece int, start long, ids_crc32 long"
+    out = "shard long, bin long, offset long, filled long, length long, doc_id long, piece int, start long, ids_crc32 long" + (", row long" if "row" in loose.columns else "")
 
     def run(key: tuple, items: pd.DataFrame, solution: pd.DataFrame) -> pd.DataFrame:
         p = _ordered(items)
@@ -265,12 +265,13 @@ def _place(loose: DataFrame, best: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, shard_pieces: int = 12_000, islands: int = 2, epochs: int = 2, reopen: float = 0.995, seed: int = 7) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    every = cut(pieces(docs, tokenizer, capacity, end))
+    # a number for each piece, fixed by the write, so that equal rows without an id of their own are spread as well
+    every = cut(pieces(docs, tokenizer, capacity, end).withColumn("row", F.monotonically_increasing_id()))
     cols = [F.col(x) for x in ("doc_id", "piece", "start", "length", "ids_crc32")]
     whole = every.filter(F.col("length") == capacity)
     loose = every.filter(F.col("length") < capacity)
     n = loose.count()
-    key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed))
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", "row", F.lit(seed))
     rounds, left, level = [], loose, 0
     while True:
         shards = max(1, -(-n // shard_pieces))
@@ -286,7 +287,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, sh
         rounds.append(placed.filter(~again).select(*cols, F.struct(F.lit(level).cast("long").alias("level"), "shard", "bin").alias("b"), "offset"))
         if shards == 1 or m == 0:
             break
-        left, n, level = placed.filter(again).select(*cols), m, level + 1
+        left, n, level = placed.filter(again).select(*cols, "row"), m, level + 1
     packed = rounds[0]
     for r in rounds[1:]:
         packed = packed.union(r)

@@ -43,6 +43,16 @@ def test_every_piece_is_placed_once_and_fits(spark):
     assert got["sequence_id"].nunique() <= 1.01 * least + 1
 
 
+def test_equal_rows_without_an_id_are_spread_over_shards(spark):
+    text = "word " * next(k for k in range(1, 1200) if len(plain_ids("word " * k)) == 1024)
+    df = spark.range(2000).selectExpr("CAST(NULL AS long) AS doc_id", f"'{text}' AS text")
+    got = packing.pack(df, PATH, shard_pieces=200).toPandas()
+    assert len(got) == 2000 and (got.groupby("sequence_id")["length"].sum() <= 2048).all()
+    assert got["sequence_id"].nunique() <= 1001
+    first = got[got["sequence_id"] < 1 << 56]
+    assert (first["sequence_id"].to_numpy() >> 24).max() == 9 and first.groupby(first["sequence_id"].to_numpy() >> 24).size().max() < 300
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
