@@ -247,10 +247,11 @@ def _told_apart(run: np.ndarray, h: np.ndarray, before: np.ndarray) -> tuple[np.
     return order, np.flatnonzero(new)
 
 
-def smallest_holders(m: np.ndarray, lcp: np.ndarray, least: np.ndarray, length: int, k: int) -> np.ndarray:
+def smallest_holders(m: np.ndarray, lcp: np.ndarray, least: np.ndarray, most: np.ndarray, length: int, k: int) -> np.ndarray:
     """For each merged suffix and each offset of a string's start before it, the smallest doc_id that holds the string there.
 
     lcp, the bytes that each suffix shares with the one before, cuts the merged order into the runs of every offset.
+    A suffix stands for documents from least to most, as a part sends copies once: alone in its run, it may still be held by several.
     """
     reach = length - k
     before = m[:, length + 1:-1]  # nearest first
@@ -262,7 +263,10 @@ def smallest_holders(m: np.ndarray, lcp: np.ndarray, least: np.ndarray, length:
             h = h * np.uint64(BASE) + _TABLE[before[:, o - 1]]
         run = np.cumsum(lcp < length - o)
         alone = np.bincount(run)[run] < 2
-        ok = np.flatnonzero((n_before >= o) & (n_after >= length - o) & ~alone)
+        whole = (n_before >= o) & (n_after >= length - o)
+        copies = np.flatnonzero(whole & alone & (least < most))
+        out[o, copies] = least[copies]
+        ok = np.flatnonzero(whole & ~alone)
         if not len(ok):
             continue
         if o:
@@ -371,7 +375,7 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
             nxt = np.searchsorted(step_ends, i + 32_768)
             j = int(step_ends[nxt]) if nxt < len(step_ends) else total
             sel = at[i:j]
-            holder[:, sel] = smallest_holders(m[sel], lcp[i:j], least[sel], length, k)
+            holder[:, sel] = smallest_holders(m[sel], lcp[i:j], least[sel], most[sel], length, k)
             i = j
         out = []
         for r, (n, s) in enumerate(zip(ns, starts, strict=True)):

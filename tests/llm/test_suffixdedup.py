@@ -93,3 +93,21 @@ def test_equal_hashes_of_other_bytes_are_told_apart():
     order, start = sd._told_apart(run, np.zeros(5, np.uint64), before)
     ends = [*start[1:].tolist(), 5]
     assert sorted(sorted(order[a:b].tolist()) for a, b in zip(start.tolist(), ends)) == [[0, 2], [1], [3, 4]]
+
+
+def test_copies_that_one_part_alone_holds(spark):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
+    a, b, c = text(90), text(400), text(70)
+    rows = [(1, a), (2, a), (3, b + text(30)), (4, text(30) + b), (5, text(80)), (5, c), (5, c), (7, c + text(60)), (None, a)]
+    got = sd.dedup(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], SCHEMA).coalesce(1)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=str) == brute(rows, 50)
+
+
+def test_a_suffix_alone_in_its_run_is_held_by_its_own_documents():
+    length, k = 6, 4
+    rows = [(b"abcdef", 6, b"xy", 2), (b"abcdeg", 6, b"xz", 2), (b"qrstu\0", 5, b"x\0", 1)]
+    m = np.array([[*after, n, *before, o] for after, n, before, o in rows], np.uint8)
+    least, most = np.array([3, 4, 5]), np.array([9, 4, 8])
+    got = sd.smallest_holders(m, np.array([0, 5, 0]), least, most, length, k)
+    assert got.tolist() == [[3, sd.NONE, sd.NONE], [3, 3, 5], [3, 4, sd.NONE]]
