@@ -73,7 +73,10 @@ def parted(docs: DataFrame, total: int) -> DataFrame:
 
 
 def packed(parts: DataFrame) -> DataFrame:
-    """part, ids, texts: a few rows a part, each with the doc_ids and the texts (UTF-8, lengths before) of many documents."""
+    """part, ids, texts: a few rows a part, each with the doc_ids and the texts (their bytes as stored, lengths before) of many documents.
+
+    Nulls among longs would make them doubles in pandas, so ids go as 0 and a flag where they are null.
+    """
     def rows(part: int, ids: list, texts: list[bytes]) -> pd.DataFrame:
         null = np.array([i is None for i in ids], "u1")
         body = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes() + null.tobytes() + b"".join(texts)
@@ -81,12 +84,11 @@ def packed(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
+            ids = [None if z else i for i, z in zip(b["doc_id"].tolist(), b["no_id"].tolist(), strict=True)]
             for part, at in b.groupby("part").indices.items():
                 own, texts, size = [], [], 0
                 for k in at.tolist():
-                    t = b["text"].iat[k]
-                    t = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
+                    t = b["text"].iat[k] or b""
                     own.append(ids[k])
                     texts.append(t)
                     size += len(t)
@@ -96,7 +98,8 @@ def packed(parts: DataFrame) -> DataFrame:
                 if own:
                     yield rows(part, own, texts)
 
-    return parts.mapInPandas(run, "part long, n long, body binary")
+    whole = parts.select("part", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("binary").alias("text"))
+    return whole.mapInPandas(run, "part long, n long, body binary")
 
 
 def unpacked(rows: pd.DataFrame) -> tuple[list, list[bytes]]:

@@ -32,7 +32,7 @@ from .common import cut, parts_for, text_bytes
 from .parts import KEY_BITS, bucket_slices, gaps, packed, parted, squeeze, ungaps, unpacked, unsqueeze
 
 NONE = np.int64(2**63 - 1)
-SLICE = 1 << 20
+SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -360,32 +360,41 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
         for n, lcp, rest in zip(ns, rows["lcp"], rows["rest"], strict=True):
             lcps, suffixes = decoded(lcp, rest, n, width)
             runs.append((lcps.tolist(), suffixes))
-        starts = (np.cumsum(ns) - ns).tolist()
-        total = sum(ns)
-        at, lcp = np.empty(total, np.int64), np.empty(total, np.int64)
-        for x, (r, i, h) in enumerate(merge(runs)):
-            at[x], lcp[x] = starts[r] + i, h
-        m = np.frombuffer(b"".join(s for _, r in runs for s in r), np.uint8).reshape(total, width)
         least = np.concatenate([unsqueeze(x, "<i8", n) for x, n in zip(rows["least"], ns, strict=True)])
         most = np.concatenate([unsqueeze(x, "<i8", n) for x, n in zip(rows["most"], ns, strict=True)])
-        holder = np.full((length - k + 1, total), NONE)
-        step_ends = np.flatnonzero(lcp < k)  # groups whole, about 2^15 suffixes at a time
-        i = 0
-        while i < total:
-            nxt = np.searchsorted(step_ends, i + 32_768)
-            j = int(step_ends[nxt]) if nxt < len(step_ends) else total
-            sel = at[i:j]
-            holder[:, sel] = smallest_holders(m[sel], lcp[i:j], least[sel], most[sel], length, k)
-            i = j
+        starts = (np.cumsum(ns) - ns).tolist()
+
+        def merged() -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+            """Suffixes in order, what each shares with the one before, and its place among all rows: groups whole, about 2^15 suffixes at a time."""
+            own, lcp, at = [], [], []
+            for r, i, h in merge(runs):
+                if h < k and len(own) >= 32_768:
+                    yield own, lcp, at
+                    own, lcp, at = [], [], []
+                own.append(runs[r][1][i])
+                lcp.append(h)
+                at.append(starts[r] + i)
+            yield own, lcp, at
+
+        found = []
+        for own, lcp, at in merged():
+            m = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), width)
+            at = np.array(at)
+            holder = smallest_holders(m, np.array(lcp), least[at], most[at], length, k)
+            who, off = np.nonzero((holder < most[at]).T)
+            if not len(who):
+                continue
+            low = holder[off, who]
+            first = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(off) != 1) | (np.diff(low) != 0)])
+            last = np.r_[first[1:], len(who)] - 1
+            found.append(np.stack([at[who[first]], off[first], off[last], low[first]]))
+        seg = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
+        seg = seg[:, np.argsort(seg[0], kind="stable")]
+        cuts = np.searchsorted(seg[0], [*starts, sum(ns)]).tolist()
         out = []
-        for r, (n, s) in enumerate(zip(ns, starts, strict=True)):
-            hit = holder[:, s:s + n] < most[None, s:s + n]
-            who, off = np.nonzero(hit.T)
-            low = holder[off, s + who]
-            first = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(off) != 1) | (np.diff(low) != 0)]) if len(who) else np.empty(0, int)
-            last = np.r_[first[1:], len(who)] - 1 if len(who) else first
-            seg = np.stack([who[first], off[first], off[last], low[first]], axis=1).astype("<i8") if len(who) else np.empty((0, 4), "<i8")
-            out.append((rows["part"].iat[r], 1, rows["bucket"].iat[r], len(seg), squeeze(seg.T.ravel()), b"", n))
+        for r, (n, s, i, j) in enumerate(zip(ns, starts, cuts[:-1], cuts[1:], strict=True)):
+            own = np.stack([seg[0, i:j] - s, *seg[1:, i:j]]).astype("<i8")
+            out.append((rows["part"].iat[r], 1, rows["bucket"].iat[r], j - i, squeeze(own.ravel()), b"", n))
         return pd.DataFrame(out, columns=["part", "kind", "bucket", "n", "a", "b", "check"])
 
     def remove(part: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

@@ -111,3 +111,17 @@ def test_a_suffix_alone_in_its_run_is_held_by_its_own_documents():
     least, most = np.array([3, 4, 5]), np.array([9, 4, 8])
     got = sd.smallest_holders(m, np.array([0, 5, 0]), least, most, length, k)
     assert got.tolist() == [[3, sd.NONE, sd.NONE], [3, 3, 5], [3, 4, sd.NONE]]
+
+
+def test_ids_and_bytes_go_as_they_are(spark, tmp_path):
+    rnd = random.Random(8)
+    a, b = ("".join(rnd.choice("abcdefgh é\n") for _ in range(n)) for n in (80, 200))
+    rows = [(None, a), (2**53, b), (2**53 + 1, b), (2**53 + 2, b + a), (-2**63, a), (2**63 - 1, a), (None, None)]
+    got = sd.dedup(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], SCHEMA).coalesce(1)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=str) == brute(rows, 50)
+    # bytes that are no UTF-8 are bytes all the same
+    path = str(tmp_path / "documents.parquet")
+    spark.sql("SELECT 1L AS doc_id, CAST(concat(CAST(repeat('abcdefghijkl', 9) AS BINARY), unhex('FF80C3')) AS STRING) AS text "
+              "UNION ALL SELECT 2L, CAST(concat(unhex('FF'), CAST(repeat('abcdefghijkl', 9) AS BINARY)) AS STRING)").write.parquet(path)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in sd.dedup(spark.read.parquet(path)).collect()}
+    assert got == {1: (111, 0, b"abcdefghijkl" * 9 + b"\xff\x80\xc3"), 2: (109, 108, b"\xff")}
