@@ -110,3 +110,35 @@ def test_rows_of_one_id_and_other_texts_all_stay(spark):
     rows = [(1, a, "x", "s", 1), (1, b, "x", "s", 1), (2, a, "x", "s", 1), (1, a, "x", "s", 1), (None, a, "x", "s", 1)]
     kept = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
+
+
+@pytest.mark.parametrize("k", [0, 2, 4])
+def test_stages_hand_texts_to_python_in_small_batches(spark, tables, k):
+    """After a stage is called, its job gets 30 MB of texts in batches of some 4 MB, not in one; a user's size and the session after run stay."""
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield b[["doc_id"]].iloc[:1].assign(n=int(b["text"].str.len().sum()))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, _ = tables
+    own = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+        long = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+        got = long.mapInPandas(sizes, "doc_id long, n long").agg(F.max("n").alias("most"), F.count("n").alias("batches")).first()
+        assert got["most"] < 5_000_000 and got["batches"] >= 7
+        spark.conf.set(key, "9m")
+        corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+        assert spark.conf.get(key) == "9m"
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
+def test_run_leaves_the_size_of_batches_as_it_was(spark, tables):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    corpus_pipeline.run(spark, tables[0])
+    assert spark.conf.get(key, None) == before
