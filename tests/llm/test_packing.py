@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tallyworks.llm import packing
@@ -103,3 +104,25 @@ def test_a_full_cache_keeps_what_is_asked_again():
     for k in (1, 2, 3, 1, 4, 1, 5, 6, 7, 1):
         assert cache[k] == k
     assert made.count(1) == 1 and len(cache) <= 3
+
+
+def test_python_is_asked_for_distinct_letters_and_odd_words_only():
+    """Words that differ by capitals and marks cost no call of their own, however many there are."""
+    ids, words, letters = packing.WordIds(PATH), [], []
+    ids.make, ids.letters.make = (lambda k, f=ids.make: words.append(k) or f(k)), (lambda k, f=ids.letters.make: letters.append(k) or f(k))
+    stems = ["word", "naïve", "schön"]
+    forms = [c(w) + m for w in stems for c in (str.lower, str.upper, str.capitalize) for m in ("", ".", "!!", ",--")]
+    text = " ".join([*forms, "don't", "7th", "don't"])
+    assert np.frombuffer(packing.document_ids(text, ids), "<u4").tolist() == plain_ids(text)
+    assert len(words) == 2 and sorted(filter(None, letters)) == sorted([*stems, ".", "!!", ",--"])
+
+
+def test_texts_together_have_the_ids_they_have_alone(monkeypatch):
+    texts = [*TEXTS, "  \n", " lead", "trail ", None, "A. a, A! É. é"]
+    want = [plain_ids(t) for t in texts]
+    for size in (1, 100, 1 << 25):
+        monkeypatch.setattr(packing, "CHUNK", size)
+        for kind in (pa.string(), pa.large_string()):
+            got = packing.WordIds(PATH).texts(pa.array(["other", *texts], kind).slice(1))
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert list(packing.WordIds(PATH).texts(pa.array([], pa.string()))) == []
