@@ -32,7 +32,7 @@ from .common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Odd words, and letters of words, whose ids a Python worker keeps in each of two generations.
-CACHE_WORDS, CACHE_LETTERS = 100_000, 300_000
+CACHE_WORDS, CACHE_LETTERS = 250_000, 300_000
 #: Bytes of texts whose words are told apart at once; a longer text is taken alone.
 CHUNK = 8 << 20
 #: A word of Latin letters with marks behind: parts that the tokenizer looks at one by one. An apostrophe may start an ending, so it is no mark.
