@@ -66,3 +66,14 @@ def test_deviation_of_replicates(spark):
     e = np.array(poisson_edges())
     want = [np.repeat(values, [int((bits(f"s:{i}:{rep}") / 2**52 >= e).sum()) for i in ids]).std(ddof=1) for rep in range(1, 13)]
     assert sd == pytest.approx(values.std(ddof=1)) and sorted(drawn) == pytest.approx(sorted(want))
+
+
+def test_means_without_a_row_for_each_replicate(spark):
+    df = odd(spark)
+    means = {"all": (F.col("x"), F.lit(1)), "own": (F.when(F.col("id") == "22", F.col("x")).otherwise(0.0), (F.col("id") == "22").cast("int"))}
+    t = B.bootstrap_means(df, "id", means, 40, "s")
+    assert "Generate" not in t._jdf.queryExecution().optimizedPlan().toString()
+    want = by_rows(df, {"x": F.col("x"), "k": F.lit(1)}, 40).select("rep", F.col("x") / F.col("k")).collect()
+    got = {r.rep: r for r in t.collect()}
+    assert all(got[rep]["all"] == pytest.approx(m) for rep, m in want) and len(got) == len(want)
+    assert {r.own for r in got.values()} == {None, KEYS.index("22") % 7 + 0.25}  # a replicate that draws no row of a group has no mean of it
