@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import differences as X
 from ..operators import laws as L
-from ..operators import order as O
 from ..operators import resample as B
-from ..operators import survey as V
 from . import sqltext as Q
 from .modelling import REPLICATES
 from .registry import PERSONS, persons, query, r, rounded
@@ -134,15 +132,12 @@ SELECT stratum, round(avg(t), 6) AS index, round(quantile_cont(t, 0.05), 6) AS i
 def _(spark, d):
     """stratum, index, index_low, index_high, low, high: an index of a mean, two weighted quantiles and a share, and its place, over 100 replicates of dwellings.
 
-    The quantiles of all replicates come from one table of prefix sums over (replicate, stratum, value).
+    A replicate's quantiles are looked for in the ranges of value that hold them; no row is made for a row and a replicate beyond those.
     """
     p = persons(spark, d)
-    drawn = V.replicates(p.select("stratum", "psu").distinct(), "psu", 100, "ri", ["stratum"]).select(c("stratum").alias("h"), c("psu").alias("u"), "rep", "times")
-    t = p.join(drawn, (c("stratum") == c("h")) & (c("psu") == c("u"))).withColumn("k", c("times") * c("w"))
-    s = O.prefix_sums(t, ["rep", "stratum"], "x", {"k": c("k"), "kf": F.when(c("status") == "F", c("k")).otherwise(0)})
-    reaches = lambda q: F.min(F.when(c("k_before") + c("k") >= q * c("k_all"), c("x")))
+    i = B.replicate_quantiles(p, "stratum", "psu", "x", "w", [0.5, 0.9], {"y": c("x"), "f": F.when(c("status") == "F", 1.0).otherwise(0.0)}, 100, "ri")
     names = ["mean", "median", "top", "share"]
-    i = s.groupBy("rep", "stratum").agg((F.sum(c("k") * c("x")) / F.sum("k")).alias("mean"), reaches(0.5).alias("median"), reaches(0.9).alias("top"), (F.sum("kf") / F.sum("k")).alias("share")).fillna(0.0, names)
+    i = i.select("rep", "stratum", (c("y") / F.nullif(c("w"), F.lit(0.0))).alias("mean"), c("q0").alias("median"), c("q1").alias("top"), (c("f") / F.nullif(c("w"), F.lit(0.0))).alias("share")).fillna(0.0, names)
     g = Window.partitionBy("rep")
     z = lambda v: F.coalesce((c(v) - F.avg(v).over(g)) / F.nullif(F.stddev_samp(v).over(g), F.lit(0.0)), F.lit(0.0))
     i = i.withColumn("t", sum((z(v) for v in names[1:]), z(names[0])) / 4)

@@ -77,3 +77,40 @@ def test_means_without_a_row_for_each_replicate(spark):
     got = {r.rep: r for r in t.collect()}
     assert all(got[rep]["all"] == pytest.approx(m) for rep, m in want) and len(got) == len(want)
     assert {r.own for r in got.values()} == {None, KEYS.index("22") % 7 + 0.25}  # a replicate that draws no row of a group has no mean of it
+
+
+@pytest.mark.parametrize("kind", ["real", "ties", "one value"])
+def test_quantiles_of_replicates(spark, kind):
+    rng = np.random.default_rng(4)
+    x = {"real": rng.lognormal(2, 1, 900), "ties": rng.integers(0, 6, 900).astype(float), "one value": np.full(900, 3.0)}[kind]
+    rows = [(f"g{i % 3}" if i < 890 else "few", i // 4, None if i % 50 == 7 else float(v), i % 7 + 1) for i, v in enumerate(x)]
+    rows += [(None, 3, 1.0, 1), ("g1", None, 1.0, 1), *[("nulls", i, None, 2) for i in range(3)]]
+    df = spark.createDataFrame(rows, "g string, u long, x double, w long").repartition(3)
+    got = {(r.rep, r.g): tuple(r)[2:] for r in B.replicate_quantiles(df, "g", "u", "x", "w", [0.5, 0.9], {"y": F.col("x")}, 15, "s").collect()}
+    e, want = np.array(poisson_edges()), {}
+    for rep in range(1, 16):
+        for g in ("g0", "g1", "g2", "few", "nulls"):
+            own = [(v, w * int((bits(f"s:{g}:{u}:{rep}") / 2**52 >= e).sum())) for h, u, v, w in rows if h == g and u is not None]
+            own = sorted(((v, k) for v, k in own if k), key=lambda q: (q[0] is None, q[0]))
+            if own:
+                upto = np.cumsum([k for _, k in own])
+                first = lambda p: own[int(np.argmax(upto >= p * upto[-1]))][0]  # noqa: E731, B023
+                want[rep, g] = (upto[-1], sum(v * k for v, k in own if v is not None), first(0.5), first(0.9))
+    assert sorted(got) == sorted(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got), [(k, got[k], want[k]) for k in got if got[k] != pytest.approx(want[k])][:3]
+
+
+def test_index_keeps_nulls_last(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, i % 3 AS c_nationkey, 'x' AS c_mktsegment FROM range(60) t(i)")
+    con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i * 7 % 60 AS o_custkey, ['F', 'O'][i % 2 + 1] AS o_orderstatus, CASE WHEN i % 9 = 0 THEN NULL ELSE CAST(i * 37 % 101 AS DOUBLE) END AS o_totalprice, 'a' AS o_orderpriority, DATE '1996-01-01' AS o_orderdate FROM range(400) t(i)")
+    for t in ("customer", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    df = entry.queries()["rank_uncertainty_index"](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()["rank_uncertainty_index"]).fetchall()
+    got = sorted(map(tuple, df.collect()))
+    assert len(got) == 3 and all(a == pytest.approx(b) for a, b in zip(got, sorted(want), strict=True))
