@@ -229,21 +229,26 @@ def _choose(n, k):
 
 
 def _few_drawn(total: np.ndarray, marked: np.ndarray, drawn: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Chance of fewer than least marked ones among drawn of total, marked of which are; from the top term downwards."""
-    top = np.minimum(np.minimum(drawn, marked), least - 1)
-    low = np.maximum(0, drawn - (total - marked))
-    live = (top >= low) & (least > 0)
-    out = np.where((least > 0) & (np.minimum(drawn, marked) < least), 1.0, 0.0)
-    live &= out == 0
-    h = np.where(live, top, 0).astype(float)
+    """Chance of fewer than least marked ones among drawn of total, marked of which are.
+
+    Summed away from the likeliest number: downwards from least - 1 below it, and beyond it upwards from least, as what lacks to 1.
+    Its terms only fall, so that none is lost because the first one is too small for a number.
+    """
+    low, high = np.maximum(0, drawn - (total - marked)), np.minimum(drawn, marked)
+    sure = (least > 0) & (high < least)
+    live = (least > low) & ~sure
+    up = live & (least > np.floor((drawn + 1.0) * (marked + 1.0) / (total + 2.0)))
+    out, h = np.zeros(len(live)), np.where(up, least, np.where(live, least - 1, 0)).astype(float)
     with np.errstate(invalid="ignore"):
         term = np.where(live, np.exp(_choose(np.where(live, drawn, 0), h) + _choose(np.where(live, total - drawn, 0), np.where(live, marked - h, 0)) - _choose(np.where(live, total, 0), np.where(live, marked, 0))), 0.0)
     while live.any():
         out = out + np.where(live, term, 0)
-        ratio = h * (total - drawn - marked + h) / ((drawn - h + 1) * (marked - h + 1))
-        term, h = term * ratio, h - 1
-        live &= (h >= low) & ((term > out * 1e-17) | (ratio > 1))
-    return np.minimum(out, 1.0)
+        rest = total - drawn - marked + h
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(up, (drawn - h) * (marked - h) / ((h + 1) * (rest + 1)), h * rest / ((drawn - h + 1) * (marked - h + 1)))
+        term, h = np.where(live, term * ratio, 0.0), h + np.where(up, 1, -1)
+        live &= (h >= low) & (h <= high) & ((term > out * 1e-17) | (ratio > 1))
+    return np.clip(np.where(sure, 1.0, np.where(up, 1 - out, out)), 0, 1)
 
 
 def _gap_reached(x: Places, na: int, k: int, m: int, gap: float) -> float:

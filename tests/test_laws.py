@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -122,3 +123,14 @@ def test_places_that_reach_the_driver(spark):
     assert got.n == 40_000 and len(got.v) < 2 * 20 * math.sqrt(40_000)
     values = sorted(r.x for r in df.collect())
     assert got.at(10_000) == values[9_999] and got.near(0.75).at(30_000) == values[29_999]
+
+
+def test_few_drawn_far_beyond_the_likeliest():
+    """Brute force, also where the number asked for lies so far out that its own chance is no number any more."""
+    def brute(total, marked, drawn, least):
+        ways = [math.comb(marked, h) * math.comb(total - marked, drawn - h) for h in range(min(marked, drawn) + 1)]
+        return float(Fraction(sum(ways[:max(0, least)]), sum(ways)))
+
+    cases = [(4000, 1000, 2000, least) for least in (-3, 0, 1, 250, 480, 500, 501, 530, 700, 900, 1000, 1001)] + [(12000, 4000, 6000, least) for least in (2000, 2400, 3000, 3900)] + [(60, 50, 30, least) for least in (19, 20, 21, 25, 30, 31)] + [(5, 0, 3, 1), (5, 5, 5, 5), (5, 5, 5, 6)]
+    got = L._few_drawn(*[np.array(x) for x in zip(*cases, strict=True)])
+    assert np.allclose(got, [brute(*q) for q in cases], atol=1e-9), list(zip(cases, got, [brute(*q) for q in cases], strict=True))
