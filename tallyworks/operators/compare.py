@@ -124,7 +124,7 @@ def wilcoxon_signed(df: DataFrame, diff: Column) -> DataFrame:
     d = df.select(diff.alias("d")).filter(c("d").isNotNull())
     zeros = d.agg(F.count_if(c("d") == 0).alias("zeros"))
     r = _ranked(d.filter("d <> 0").withColumn("ad", F.abs("d")).withColumn("s", F.when(c("d") > 0, "+").otherwise("-")), "ad", "s")
-    ties = r.groupBy("v").agg(F.max("ties").alias("t")).agg(F.sum(c("t") * c("t") * c("t") - c("t")).alias("ties"))
+    ties = r.groupBy("v").agg(F.max("ties").cast("double").alias("t")).agg(F.sum(c("t") * c("t") * c("t") - c("t")).alias("ties"))
     s = r.agg(F.sum("m").cast("double").alias("n"), F.coalesce(F.sum(F.when(c("g") == "+", c("m") * c("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(c("g") == "-", c("m") * c("rank"))), F.lit(0.0)).alias("w_minus")).crossJoin(ties).crossJoin(zeros)
     n = c("n")
     gap = c("w_plus") - n * (n + 1) / 4

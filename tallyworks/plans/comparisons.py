@@ -401,8 +401,13 @@ PAIRED = "y AS (SELECT psu, round(avg(x) FILTER (year(day) = 1996) - avg(x) FILT
 
 
 def paired(spark, d):
+    """psu, d, a, b: the difference of two years' means of a dwelling, and both.
+
+    A sum of numbers depends on their order, and a mean of four may lie half way between two sixth decimals; so rows are
+    summed in the order of their ids, wherever they come from, and d is the same in every run.
+    """
     y = F.year("day")
-    return persons(spark, d).groupBy("psu").agg(F.round(F.avg(F.when(y == 1996, c("x"))) - F.avg(F.when(y == 1997, c("x"))), 6).alias("d"), F.avg(F.when(y == 1996, c("x"))).alias("a"), F.avg(F.when(y == 1997, c("x"))).alias("b")).filter("d IS NOT NULL")
+    return persons(spark, d).select("psu", "id", "day", "x").repartition("psu").sortWithinPartitions("psu", "id").groupBy("psu").agg(F.round(F.avg(F.when(y == 1996, c("x"))) - F.avg(F.when(y == 1997, c("x"))), 6).alias("d"), F.avg(F.when(y == 1996, c("x"))).alias("a"), F.avg(F.when(y == 1997, c("x"))).alias("b")).filter("d IS NOT NULL")
 
 
 @query("wilcoxon_signed", f"WITH {PERSONS}, {PAIRED}, q AS (SELECT abs(d) AS x, d > 0 AS up FROM y WHERE d <> 0), {RANK.format(cols='up, x', src='q')}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(rk) FILTER (up) AS wp, sum(rk) FILTER (NOT up) AS wm, {TIES.format(src='q')} AS ties FROM rk) SELECT n, zeros, w_plus, w_minus, round(z, 6) AS z, round({Q.normal_two_sided('z')}, 6) AS p FROM (SELECT CAST(n AS BIGINT) AS n, (SELECT count(*) FROM y WHERE d = 0) AS zeros, wp AS w_plus, wm AS w_minus, sign(wp - n * (n + 1) / 4) * greatest(abs(wp - n * (n + 1) / 4) - 0.5, 0) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)")
