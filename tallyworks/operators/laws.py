@@ -137,7 +137,7 @@ class Spread:
         at = np.repeat(np.arange(len(lo)), parts)
         step = ((hi - lo) / parts)[at]
         start = lo[at] + step * (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts))
-        node, weight = np.polynomial.legendre.leggauss(24 if x.n <= 48 else 12 if step.max(initial=0) > sd / 4 else 4)
+        node, weight = np.polynomial.legendre.leggauss(24 if x.n <= 48 else 12 if step.max(initial=0) > sd / 4 else 4 if step.max(initial=0) > sd / 20 else 2)
         u = (start[:, None] + step[:, None] * (node + 1) / 2).ravel()
         self.of = np.repeat(at, len(node))
         with np.errstate(divide="ignore"):

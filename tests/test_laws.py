@@ -34,6 +34,19 @@ def test_beta_inc_of_many():
         assert np.allclose(P.beta_inc_many(x, a, b), [P.beta_inc(v, a, b) for v in x], atol=1e-13)
 
 
+def test_beta_inc_of_large_parameters(monkeypatch):
+    x = np.linspace(0, 1, 4001)
+    for a, b in ((1000, 1000), (1200, 30_000), (75_000, 225_001)):
+        got = P.beta_inc_many(x, a, b)
+        with monkeypatch.context() as m:
+            m.setattr(P, "LARGE", 1e99)
+            assert np.allclose(got, P.beta_inc_many(x, a, b), atol=2e-10)  # the fraction's front has rounded logs of gammas
+    for n in (10**5, 27 * 10**6, 10**9):  # halves by symmetry, and far out the normal law
+        sd = 0.5 / math.sqrt(2 * n + 1)
+        assert abs(P.beta_inc_many(np.array([0.5]), n, n)[0] - 0.5) < 1e-12
+        assert np.allclose(P.beta_inc_many(0.5 + sd * np.array([-12, -1, 2, 12]), n, n), [0, P.norm_cdf(-1), P.norm_cdf(2), 1], atol=1 / n)
+
+
 @pytest.mark.parametrize("values", SMALL)
 @pytest.mark.parametrize("p", [0.25, 0.5, 0.75])
 def test_quantiles_of_all_resamples(values, p):
