@@ -114,3 +114,30 @@ def test_index_keeps_nulls_last(spark, tmp_path):
     want = con.execute(entry.oracle_sql()["rank_uncertainty_index"]).fetchall()
     got = sorted(map(tuple, df.collect()))
     assert len(got) == 3 and all(a == pytest.approx(b) for a, b in zip(got, sorted(want), strict=True))
+
+
+def test_shuffles_without_a_row_for_each_replicate(spark, monkeypatch):
+    made = []
+    inner = B._hashed_near
+    monkeypatch.setattr(B, "_hashed_near", lambda *a: made.append(inner(*a)) or made[-1])
+    n, size = 30_000, 10_000
+    df = spark.range(n).select("id", (F.col("id") * 7919 % 10007).cast("double").alias("x"), (F.col("id") % 3 == 0).alias("first"))
+    got = {r.rep: r.s for r in B.permuted_sums(df, "id", "x", F.col("first"), 4, "p").collect()}
+    x = np.array([float(i * 7919 % 10007) for i in range(n)])
+    for rep in (1, 4):
+        order = sorted(range(n), key=lambda i: (bits(f"p:{i}:{rep}"), i))
+        assert got[rep] == x[order[:size]].sum()
+    assert len(made) == 1 and made[0].count() < 4 * 20 * n**0.5  # of 120,000 rows and replicates
+
+
+@pytest.mark.parametrize("copies", [1, 400])
+def test_shuffles_of_rows_that_share_ids(spark, copies):
+    """Rows of one id stand or fall together, so that a group's last row may lie anywhere."""
+    df = spark.range(5 * copies).select((F.col("id") % 5).alias("id"), (F.col("id") % 5).cast("double").alias("x"), (F.col("id") < 2 * copies).alias("first"))
+    got = {r.rep: r.s for r in B.permuted_sums(df, "id", "x", F.col("first"), 20, "p").collect()}
+    for rep in range(1, 21):
+        order = sorted(range(5), key=lambda i: bits(f"p:{i}:{rep}"))
+        assert got[rep] == copies * sum(order[:2])
+    none = df.withColumn("x", F.when(F.col("x") != 3, F.col("x")))
+    got = {r.rep: r.s for r in B.permuted_sums(none, "id", "x", F.col("first"), 20, "p").collect()}
+    assert all(got[rep] == copies * sum(i for i in sorted(range(5), key=lambda i: bits(f"p:{i}:{rep}"))[:2] if i != 3) for rep in got) and len(got) == 20
