@@ -1,21 +1,24 @@
 """Selection among the differences a - b of two columns of numbers, without forming them.
 
-How many differences lie at or below a cut is a running total: the rows a up to b + cut, summed over b. A round counts at
-several cuts in one pass over a, and b once a cut, and keeps the interval between two cuts that holds the wanted place. The first cuts are differences of quantiles, at which the
-blocks between them prove where the place must lie; the later ones divide the interval. When few differences are left between
-the cuts, they are formed by a join on strips as wide as the interval, and ordered. Values are used as they are: a difference is compared by the same rounded sum b + cut wherever it is counted.
+Blocks of both columns prove an interval in which the wanted difference lies. Both are then dealt once into strips of b, each
+with the values of a that differ from its own by a difference in the interval; where a falls below a whole strip, its rows alone
+count. A round counts the differences up to several cuts in every strip, by bisection in sorted numbers, and keeps the interval
+between two cuts that holds the wanted place. Cuts lie close around differences sampled in the strips, so that ties end the
+search, and at equal distances. When few differences are left between the cuts, or only equal ones but for rounding, they are formed, strip by strip, and
+ordered. Values are used as they are: a difference is compared by the same rounded sum b + cut wherever it is counted.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import held, prefix_sums
+from .order import RANGES, edges, held, prefix_sums
 
-#: Cuts of a round, blocks of the first one to a side, and differences that are formed at last.
-CUTS, BLOCKS, FEW = 16, 64, 200_000
+#: Blocks of the first interval to a side, rows of b in a strip, differences that are formed at last, and about as many samples a round.
+BLOCKS, STRIP, FEW, SAMPLES = 512, 5_000, 200_000, 4096
 
 
 def counted(df: DataFrame, value: Column) -> DataFrame:
@@ -23,16 +26,95 @@ def counted(df: DataFrame, value: Column) -> DataFrame:
     return held(df.select(value.cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n")))
 
 
-def upto(a: DataFrame, b: DataFrame, cuts: list[float], own: bool = False) -> list[int]:
-    """For each cut the pairs with a <= b + cut; own counts unordered pairs of a with itself instead (b is -a), each value with itself as well."""
-    pairs = b.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("v") + F.lit(t)).alias("v"), F.col("n")) for i, t in enumerate(cuts)])).alias("p")).select("p.*")
-    both = a.select("v", F.col("n").alias("ka"), F.lit(-1).alias("i"), F.lit(0).cast("long").alias("kb")).union(pairs.select("v", F.lit(0).cast("long"), "i", "n"))
-    s = prefix_sums(both, [], "v", {"ka": F.col("ka")}, beside={f"_{i}": F.sum(F.when(F.col("i") == i, F.col("kb"))) for i in range(len(cuts))})
-    got = s.agg(*[F.coalesce(F.sum(F.col(f"_{i}") * (F.col("ka_before") + F.col("ka"))), F.lit(0)) for i in range(len(cuts))]).first()
-    if not own:
-        return [int(x) for x in got]
-    alone = a.agg(*[F.coalesce(F.sum(F.when(F.col("v") <= -F.col("v") + F.lit(t), F.col("n"))), F.lit(0)) for t in cuts]).first()
-    return [(int(x) + int(y)) // 2 for x, y in zip(got, alone, strict=True)]
+class Strips:
+    """a and b dealt for differences between low and high."""
+
+    def __init__(self, a: DataFrame, b: DataFrame, low: float, high: float, unit: float, own: bool) -> None:
+        self.a, self.own = a, own
+        cuts = np.array(edges(b, "v", min(RANGES, b.count() // STRIP + 1)), float)
+        self.samples = SAMPLES // (len(cuts) + 1) + 1
+        self.table = held(_dealt(a, cuts, low - 8 * unit, high + 8 * unit).union(_dealt(b, cuts)).repartition("strip"))
+
+    def upto(self, cuts: list[float]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """For each cut, in ascending order, the pairs with a <= b + cut, and differences sampled between the first and last cut, with their weights.
+
+        own counts unordered pairs of a with itself instead (b is -a), each value with itself as well.
+        """
+        samples = self.samples
+
+        def count(key, table):
+            (a, ka, last), (b, kb) = _sides(table)
+            below = np.concatenate([[0], np.cumsum(ka)])
+            at = [np.searchsorted(a, b + t, "right") for t in cuts]
+            wide = at[-1] - at[0]
+            upto, sample = np.cumsum(wide), []
+            if len(wide) and upto[-1] > 0:
+                pick = np.random.default_rng(key[0].as_py()).integers(0, upto[-1], samples)
+                row = np.searchsorted(upto, pick, "right")
+                sample = (a[at[0][row] + pick - (upto[row] - wide[row])] - b[row]).tolist()
+            # whole numbers, as sums of pairs have up to 2^63
+            return pa.table({"strip": [key[0].as_py()], "last": [int(ka[last].sum())], "b": [int(kb.sum())], "upto": [[int((kb * below[i]).sum()) for i in at]], "sample": [sample]}, schema=shape)
+
+        shape = pa.schema([("strip", pa.int32()), ("last", pa.int64()), ("b", pa.int64()), ("upto", pa.list_(pa.int64())), ("sample", pa.list_(pa.float64()))])
+        rows = sorted(self.table.groupBy("strip").applyInArrow(count, "strip int, last long, b long, upto array<long>, sample array<double>").collect())  # a row a strip
+        got, before, sample, weight = [0] * len(cuts), 0, [], []
+        for _, last, b, upto, drawn in rows:
+            got = [x + y + before * b for x, y in zip(got, upto, strict=True)]
+            before += last
+            sample += drawn
+            weight += [(upto[-1] - upto[0]) / max(1, len(drawn))] * len(drawn)
+        if self.own:
+            alone = self.a.agg(*[F.coalesce(F.sum(F.when(F.col("v") <= -F.col("v") + F.lit(t), F.col("n"))), F.lit(0)) for t in cuts]).first()
+            got = [(x + int(y)) // 2 for x, y in zip(got, alone, strict=True)]
+        return got, np.array(sample), np.array(weight)
+
+    def formed(self, low: float, high: float) -> DataFrame:
+        """d, upto: the differences with b + low < a <= b + high, and how many of these lie at or below each."""
+        own = self.own
+
+        def form(_, table):
+            (a, ka, _), (b, kb) = _sides(table)
+            first, size = np.searchsorted(a, b + low, "right"), 0
+            size = np.searchsorted(a, b + high, "right") - first
+            j = np.repeat(np.arange(len(b)), size)
+            i = np.repeat(first, size) + np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
+            x, y, n = a[i], b[j], ka[i] * kb[j]
+            if own:  # each unordered pair once: of two values the one with the smaller first, of a value its rows with each other
+                n, keep = np.where(x == -y, ka[i] * (ka[i] + 1) // 2, n), x <= -y
+                x, y, n = x[keep], y[keep], n[keep]
+            return pa.table({"d": x - y, "n": n.astype(np.int64)})
+
+        pairs = self.table.groupBy("strip").applyInArrow(form, "d double, n long")
+        s = prefix_sums(pairs, [], "d", {"n": F.col("n")})
+        return s.select("d", (F.col("n_before") + F.col("n")).alias("upto"))
+
+
+def _dealt(t: DataFrame, cuts: np.ndarray, low: float | None = None, high: float | None = None) -> DataFrame:
+    """strip, side, v, n: b (side 0) by its own value, a by all values of b that differ from it by low to high, side 2 in the last of these strips and 1 before."""
+    def deal(batches):
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            if low is None:
+                last = np.searchsorted(cuts, v)
+                yield pa.RecordBatch.from_arrays([pa.array(last.astype(np.int32)), pa.array(np.zeros(len(v), np.int32)), *batch.columns], ["strip", "side", "v", "n"])
+                continue
+            first, last = np.searchsorted(cuts, v - high), np.searchsorted(cuts, v - low)
+            size = last - first + 1
+            row = np.repeat(np.arange(len(v)), size)
+            strip = np.repeat(first, size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            took = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(strip.astype(np.int32)), pa.array(np.where(strip == last[row], 2, 1).astype(np.int32)), *took.columns], ["strip", "side", "v", "n"])
+
+    return t.select("v", "n").mapInArrow(deal, "strip int, side int, v double, n long")
+
+
+def _sides(table: pa.Table) -> tuple:
+    """Values of a in ascending order, their rows and whether the strip is their last; values of b and their rows."""
+    side, v, n = (table.column(k).to_numpy() for k in ("side", "v", "n"))
+    order = np.argsort(v, kind="stable")
+    side, v, n = side[order], v[order], n[order]
+    own = side > 0
+    return (v[own], n[own], side[own] == 2), (v[~own], n[~own])
 
 
 def _blocks(a: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,36 +140,38 @@ def _bounds(a: DataFrame, b: DataFrame, place: int, own: bool) -> tuple[float, f
     return reached(low, max(wanted - slack, 1) * (1 - 1e-12)), reached(high, min(wanted * (1 + 1e-12), pairs.sum()))
 
 
+def _cuts(low: float, high: float, unit: float, share: float, sample: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Where to count next between low and high: at equal distances, and closely around sampled differences near the wanted share."""
+    at = {low + (high - low) * k / 6 for k in range(1, 6)}
+    if len(sample):
+        order = np.argsort(sample)
+        upto = np.cumsum(weight[order]) / weight.sum()
+        for off in (-4, -1, 0, 1, 4):
+            d = sample[order[min(np.searchsorted(upto, share + off * 0.5 / len(sample) ** 0.5), len(sample) - 1)]]
+            at |= {float(d) - 16 * unit, float(d) + 16 * unit}
+    return sorted(t for t in at if low < t < high)
+
+
 def place_among(a: DataFrame, b: DataFrame, place: int, own: bool = False) -> float:
     """The difference at place, from 1, of all a - b in ascending order; a and b are counted values."""
     low, high = _bounds(a, b, place, own)
     unit = max(abs(low), abs(high), *[abs(x) for t in (a, b) for x in t.agg(F.min("v"), F.max("v")).first()]) * 2.0**-48
     low, high = low - 4 * unit, high + 4 * unit
-    below, until = upto(a, b, [low, high], own)
+    # a margin, so that no difference is so near an end that rounding could move it across
+    margin = 8 * unit
+    strips = Strips(a, b, low - margin, high + margin, unit, own)
+    (below, until), sample, weight = strips.upto([low, high])
     while until - below > FEW and high - low > 64 * unit:
-        cuts = [low + (high - low) * k / (CUTS + 1) for k in range(1, CUTS + 1)]
-        n = [below, *upto(a, b, cuts, own), until]
-        k = next(i for i in range(1, len(n)) if n[i] >= place)
+        cuts = _cuts(low, high, unit, (place - below) / (until - below), sample, weight)
         ends = [low, *cuts, high]
+        n, sample, weight = strips.upto(ends)
+        k = next(i for i in range(1, len(n)) if n[i] >= place)
         low, high, below, until = ends[k - 1], ends[k], n[k - 1], n[k]
-    # a margin, so that no difference is so near an end that rounding could move it across
-    low, high = low - 8 * unit, high + 8 * unit
-    below = upto(a, b, [low], own)[0]
-    return float(_formed(a, b, low, high, own).agg(F.min(F.when(F.col("upto") >= place - below, F.col("d")))).first()[0])
-
-
-def _formed(a: DataFrame, b: DataFrame, low: float, high: float, own: bool) -> DataFrame:
-    """d, upto: the differences with b + low < a <= b + high, and how many of these lie at or below each."""
-    width = high - low
-    x = a.select(F.col("v").alias("a"), F.col("n").alias("m"), F.floor(F.col("v") / width).alias("s"))
-    at = F.floor((F.col("v") + F.lit(low)) / width)
-    y = b.select(F.col("v").alias("b"), F.col("n").alias("k"), F.explode(F.array(at - 1, at, at + 1, at + 2)).alias("t"))
-    near = x.join(y, F.col("s") == F.col("t")).filter((F.col("a") > F.col("b") + F.lit(low)) & (F.col("a") <= F.col("b") + F.lit(high)))
-    pairs = F.col("m") * F.col("k")
-    if own:  # each unordered pair once: of two values the one with the smaller first, of a value its rows with each other
-        near, pairs = near.filter(F.col("a") <= -F.col("b")), F.when(F.col("a") == -F.col("b"), F.col("m") * (F.col("m") + 1) / 2).otherwise(pairs)
-    s = prefix_sums(near.select((F.col("a") - F.col("b")).alias("d"), pairs.cast("long").alias("n")), [], "d", {"n": F.col("n")})
-    return s.select("d", (F.col("n_before") + F.col("n")).alias("upto"))
+        inside = (sample > low) & (sample <= high)
+        sample, weight = sample[inside], weight[inside]
+    low, high = low - margin, high + margin
+    below = strips.upto([low])[0][0]
+    return float(strips.formed(low, high).agg(F.min(F.when(F.col("upto") >= place - below, F.col("d")))).first()[0])
 
 
 def median_difference(a: DataFrame, b: DataFrame) -> tuple[float | None, int]:

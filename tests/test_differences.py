@@ -46,3 +46,29 @@ def test_every_place(spark):
 def test_none(spark):
     none = spark.createDataFrame([(None,)], "v double")
     assert X.median_difference(X.counted(none, F.col("v")), counted(spark, [1.0])) == (None, 0) and X.median_average(X.counted(none, F.col("v"))) == (None, 0)
+
+
+@pytest.mark.parametrize("name", [k for k in CASES if k != "few"])
+def test_many_strips(spark, monkeypatch, name):
+    monkeypatch.setattr(X, "FEW", 50)
+    monkeypatch.setattr(X, "STRIP", 20)
+    monkeypatch.setattr(X, "BLOCKS", 16)
+    a, b = CASES[name](np.random.default_rng(9))
+    d = np.sort(np.subtract.outer(a, b).ravel())
+    assert X.median_difference(counted(spark, a), counted(spark, b)) == (d[(len(d) - 1) // 2], len(d))
+    i, j = np.triu_indices(len(a))
+    own = np.sort(a[i] + a[j])
+    assert X.median_average(counted(spark, a)) == (own[(len(own) - 1) // 2] / 2, len(own))
+
+
+def test_ties_end_the_rounds(spark, monkeypatch):
+    """Differences of whole cents: each occurs some hundred times, so that a bracket never holds few until it holds one."""
+    calls = []
+    upto = X.Strips.upto
+    monkeypatch.setattr(X.Strips, "upto", lambda self, cuts: calls.append(len(cuts)) or upto(self, cuts))
+    monkeypatch.setattr(X, "FEW", 50)
+    g = np.random.default_rng(10)
+    a, b = g.integers(0, 20_000, 3000) / 100, g.integers(0, 20_000, 3000) / 100
+    d = np.sort(np.subtract.outer(a, b).ravel())
+    assert X.median_difference(counted(spark, a), counted(spark, b)) == (d[(len(d) - 1) // 2], len(d))
+    assert len(calls) <= 6  # equal distances alone would take twelve or more
